@@ -20,6 +20,18 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridkb.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridkb.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH doc AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -47,7 +59,7 @@ FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontamination": op3_decontamination}
+    return {"op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
