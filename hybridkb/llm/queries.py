@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridkb.llm.toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hybridkb.llm.decontaminate import contamination_report
 
@@ -59,8 +65,8 @@ FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op9_line_dedup": op9_line_dedup}
+    return {"op1_toxicity": op1_toxicity, "op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL}
+    return {"op1_toxicity": op1_toxicity, "op3_decontamination": OP3_SQL}
