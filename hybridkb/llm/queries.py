@@ -32,6 +32,14 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridkb.llm.sentencepiece_sa import decode_column, encode_documents
+
+    encoded = encode_documents(_table(spark, sf_dir, "documents"))
+    back = decode_column(encoded) == F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
+    return encoded.select("doc_id", F.size("ids").alias("n_tokens"), "ids", back.alias("round_trip"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hybridkb.llm.line_dedup import dedup_lines
 
@@ -65,7 +73,7 @@ FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op9_line_dedup": op9_line_dedup}
+    return {"op1_toxicity": op1_toxicity, "op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op7_sentencepiece": op7_sentencepiece, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
