@@ -1,15 +1,62 @@
-"""A corpus pipeline over ``documents``: each stage is one operator, written out and reread by the next."""
+"""A corpus pipeline over ``documents``: each stage is one operator, written out and reread by the next.
+
+Every stage works on all that its predecessor kept. All but the last return the columns of documents; the
+last adds the token ids.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from hybridkb.llm.common import shared_dir
+from hybridkb.llm.decontaminate import drop_contaminated
+from hybridkb.llm.line_dedup import dedup_lines
+from hybridkb.llm.neardup import drop_near_duplicates
+from hybridkb.llm.sentencepiece_sa import encode_documents
+from hybridkb.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dedup_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs, k=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
+
+#: A trained classifier and SentencePiece have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each written as Parquet and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    base = f"{shared_dir(spark).rstrip('/')}/hybridkb-pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        path = f"{base}/{k}-{name}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
