@@ -40,6 +40,13 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").alias("n_tokens"), "ids", back.alias("round_trip"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridkb.llm.suffix_dedup import remove_repeats
+
+    kept = remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hybridkb.llm.line_dedup import dedup_lines
 
@@ -73,7 +80,7 @@ FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op7_sentencepiece": op7_sentencepiece, "op9_line_dedup": op9_line_dedup}
+    return {"op1_toxicity": op1_toxicity, "op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op7_sentencepiece": op7_sentencepiece, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
