@@ -18,6 +18,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridkb.llm.topk import exact_top_k
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hybridkb.llm.decontaminate import contamination_report
 
@@ -32,6 +39,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridkb.llm.token_counts import context_totals, length_histogram
+
+    return context_totals(length_histogram(_table(spark, sf_dir, "documents")))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hybridkb.llm.sentencepiece_sa import decode_column, encode_documents
 
@@ -53,6 +66,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS i
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.i, c.i), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.i) = len(c.i) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pair) WHERE rank <= 5
+"""
+
 OP3_SQL = r"""
 WITH doc AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -80,8 +105,8 @@ FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op7_sentencepiece": op7_sentencepiece, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_line_dedup": op9_line_dedup}
+    return {"op1_toxicity": op1_toxicity, "op2_exact_top_k": op2_exact_top_k, "op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op6_token_counts": op6_token_counts, "op7_sentencepiece": op7_sentencepiece, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_toxicity": op1_toxicity, "op3_decontamination": OP3_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op3_decontamination": OP3_SQL}
