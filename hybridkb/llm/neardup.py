@@ -11,7 +11,7 @@
        prefix of D(y) under any fixed order meets D(x);
      * else one has J < 1/2 with c, so the other has J < 1/2 + (1 - t), and the usual prefixes of the
        sets themselves meet.
-   The pairs that meet are verified on the full sets. Shingles outside the hub are rarest and come first, so
+   Pairs that meet early enough (by the places of the token in both, and the sizes) are verified on the full sets. Shingles outside the hub are rarest and come first, so
    copies that were edited at different places do not meet.
 4. Links become components by contraction.
 
@@ -176,7 +176,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int, settle: bool) -> D
     right = sets.select(F.col("sid").alias("c"), F.col("elements").alias("ec"))
     both = pairs.hint("shuffle_merge").join(left, "x").hint("shuffle_merge").join(right, "c").select("c", "x", "ec", "ex")
     lists = ["near_index", "near_probe", "far_index", "far_probe"]
-    schema = "c binary, x binary, linked boolean" + "".join(f", {n} array<bigint>" for n in lists if settle)
+    schema = "c binary, x binary, linked boolean" + ", size bigint, differ bigint" * settle + "".join(f", {n} array<bigint>" for n in lists if settle)
     t, none = percent, np.zeros(0, np.int64)
 
     def tokens(c: np.ndarray, x: np.ndarray, inter: int, linked: bool) -> list[np.ndarray]:
@@ -199,18 +199,20 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int, settle: bool) -> D
 
     def verify(batches):
         for batch in batches:
-            linked, extra = [], [[], [], [], []]
+            linked, sizes, extra = [], [], [[], [], [], []]
             for ec, ex in zip(batch.column(2), batch.column(3), strict=True):
                 c, x = np.frombuffer(ec.as_buffer(), np.uint64), np.frombuffer(ex.as_buffer(), np.uint64)
                 inter = len(np.intersect1d(c, x, assume_unique=True))
                 linked.append(100 * inter >= t * (len(c) + len(x) - inter))
                 if settle:
+                    sizes.append((len(x), len(c) + len(x) - 2 * inter))
                     for column, values in zip(extra, tokens(c, x, inter, linked[-1]), strict=True):
                         column.append(values)
             cols = [batch.column(0), batch.column(1), pa.array(linked, type=pa.bool_())]
             if settle:
+                cols += [pa.array([v[i] for v in sizes], type=pa.int64()) for i in range(2)]
                 cols += [list_column(np.concatenate([none, *v]), np.array([len(x) for x in v], dtype=np.int64), pa.int64()) for v in extra]
-            yield pa.RecordBatch.from_arrays(cols, names=["c", "x", "linked"] + lists * settle)
+            yield pa.RecordBatch.from_arrays(cols, names=["c", "x", "linked"] + (["size", "differ"] + lists) * settle)
 
     return both.mapInArrow(verify, schema)
 
@@ -232,10 +234,17 @@ def near_duplicate_links(documents: DataFrame, signed: DataFrame, k: int, percen
     sets = write_out(_sets_of(documents, wanted, k), "sets")
     star = write_out(_compare(pairs, sets, percent, settle=True), "star")
     rest = None
+    p = percent
     for kind in ("near", "far"):
-        probe = star.select("c", F.explode(f"{kind}_probe").alias("token"), F.col("x").alias("a"))
-        index = star.select("c", F.explode(f"{kind}_index").alias("token"), F.col("x").alias("b"))
-        met = probe.hint("shuffle_merge").join(index, ["c", "token"]).where("a <> b").select(F.least("a", "b").alias("c"), F.greatest("a", "b").alias("x"))
+        probe = star.select("c", F.struct("x", "size", "differ").alias("a"), F.posexplode(f"{kind}_probe").alias("i", "token"))
+        index = star.select("c", F.struct("x", "size", "differ").alias("b"), F.posexplode(f"{kind}_index").alias("j", "token"))
+        # If this is the first token they share, no more than what is left behind it can be common; a link needs so much.
+        if kind == "near":
+            able = f"2 * {100 + p} * least(a.differ - i, b.differ - j) >= {100 + p} * (a.differ + b.differ) - {100 - p} * (a.size + b.size)"
+        else:
+            able = f"{100 + p} * least(a.size - i, b.size - j) >= {p} * (a.size + b.size)"
+        met = probe.hint("shuffle_merge").join(index, ["c", "token"]).where(f"a.x <> b.x AND {able}")
+        met = met.select(F.least("a.x", "b.x").alias("c"), F.greatest("a.x", "b.x").alias("x"))
         rest = met if rest is None else rest.unionByName(met)
     rest = write_out(rest.distinct().hint("shuffle_merge").join(pairs, ["c", "x"], "left_anti"), "rest")
     more = _compare(rest, sets, percent, settle=False)
