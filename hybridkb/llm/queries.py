@@ -39,6 +39,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridkb.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hybridkb.llm.token_counts import context_totals, length_histogram
 
@@ -66,6 +72,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridkb.llm.html_wrapper import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 OP2_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS i
@@ -105,7 +117,7 @@ FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_exact_top_k": op2_exact_top_k, "op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op6_token_counts": op6_token_counts, "op7_sentencepiece": op7_sentencepiece, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_line_dedup": op9_line_dedup}
+    return {"op1_toxicity": op1_toxicity, "op2_exact_top_k": op2_exact_top_k, "op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op5_license_scan": op5_license_scan, "op6_token_counts": op6_token_counts, "op7_sentencepiece": op7_sentencepiece, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_line_dedup": op9_line_dedup, "op10_html_extraction": op10_html_extraction}
 
 
 def oracle_sql() -> dict[str, str]:
