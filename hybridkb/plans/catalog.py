@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hybridkb.plans import retrieval
+from hybridkb.plans import chunking, retrieval, scalars
 
 
 def entries() -> dict:
     """key: (query, SQL or None)."""
-    return retrieval.entries()
+    return retrieval.entries() | scalars.entries() | chunking.entries()
