@@ -45,6 +45,20 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, c)
 
 
+def _pairwise(a: np.ndarray, b: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """Products of the rows of a and b where alive, -inf elsewhere: pair by pair if few are alive, as one
+    matrix product if many are."""
+    out = np.full(alive.shape, -np.inf)
+    if np.count_nonzero(alive) * 20 > alive.size:
+        np.copyto(out, a @ b.T, where=alive)
+        return out
+    r, j = np.nonzero(alive)
+    for x in range(0, len(r), 65536):
+        s = slice(x, x + 65536)
+        out[r[s], j[s]] = np.einsum("ij,ij->i", a[r[s]], b[j[s]])
+    return out
+
+
 def block_top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate id, score) of the k best of each query within one cell; c is sorted by id."""
     qf, cf = q.astype(np.float64), c.astype(np.float64)
@@ -63,13 +77,19 @@ def block_top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
         seed[own[r, seeds.ravel()].reshape(-1, few)] = -np.inf
         floor = -np.sort(-seed, axis=1)[:, min(k, few) - 1] if few >= k else np.full(bound.shape[0], -np.inf)
         slack = 1e-9 * (np.abs(bound[np.isfinite(bound)]).max(initial=1.0) + 1)
-        alive = np.flatnonzero((bound >= floor[:, None] - slack).ravel() & ~own.ravel())
+        alive = (bound >= floor[:, None] - slack) & ~own
         for sq, sc in stats[1:]:
-            r, j = np.divmod(alive, bound.shape[1])
-            finer = np.concatenate([np.einsum("ij,ij->i", sq[rows][r[x : x + 65536]], sc[j[x : x + 65536]]) for x in range(0, len(r), 65536)] or [np.zeros(0)])
-            alive = alive[finer >= floor[r] - slack]
-        r, j = np.divmod(alive, bound.shape[1])
-        score = np.concatenate([_products(q[rows][r[x : x + 65536]], c[j[x : x + 65536]]) for x in range(0, len(r), 65536)] or [np.zeros(0, np.int64)])
+            finer = _pairwise(sq[rows], sc, alive)
+            alive &= finer >= floor[:, None] - slack
+        if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < EXACT:
+            score = _pairwise(qf[rows], cf, alive)  # integers below 2 ** 53: exact in double
+            if score.shape[1] > k:  # a query's k-th best drops the rest before anything is sorted
+                alive &= score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+            r, j = np.nonzero(alive)
+            score = score[r, j].astype(np.int64)
+        else:
+            r, j = np.nonzero(alive)
+            score = np.concatenate([_products(q[rows][r[x : x + 65536]], c[j[x : x + 65536]]) for x in range(0, len(r), 65536)] or [np.zeros(0, np.int64)])
         order = np.lexsort((c_ids[j], -score, r))
         r, j, score = r[order], j[order], score[order]
         nth = np.arange(len(r)) - np.searchsorted(r, r)
