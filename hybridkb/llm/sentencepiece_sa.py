@@ -30,8 +30,9 @@ from pyspark.sql.functions import arrow_udf
 from hybridkb.llm.common import list_column, slices_by_bytes
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-SLAB = 8 << 20
-CACHED_UNITS = 500_000  # kept between batches by a worker; a bound on memory only
+SLAB = 3 << 20
+ADD_CHARS = 400_000  # characters of units that are indexed at a time
+CACHED_UNITS = 250_000  # kept between batches by a worker; a bound on memory only
 SPACE_MARK = "\u2581"
 UNIT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n\0]+|{SPACE_MARK}+|\n|\0")
 NONE, START = -1, -2
@@ -68,6 +69,22 @@ def merge(rank: dict[str, tuple[float, int]], text: str) -> list[str]:
     return parts
 
 
+def edge_states(rank: dict[str, tuple[float, int]], piece: str) -> tuple[list, list, bool]:
+    """While ``piece`` is merged alone: the symbols at its left and right edge, each with the ranks of the
+    merges that make and end it; and whether the merges come in rising order of rank."""
+    parts, rising, before = list(piece), True, -np.inf
+    left, right = [[parts[0], -np.inf, np.inf]], [[parts[-1], -np.inf, np.inf]]
+    while len(parts) > 1:
+        r, i = min((rank[a + b][0], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in rank)
+        rising, before = rising and r >= before, r
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        for states, changed in ((left, i == 0), (right, i == len(parts) - 1)):
+            if changed:
+                states[-1][2] = r
+                states.append([parts[0] if states is left else parts[-1], r, np.inf])
+    return left, right, rising
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -80,6 +97,7 @@ class Encoder:
         for i, p in enumerate(good):
             self.chars[i, : len(p)] = [ord(c) for c in p]
         self.compatible: dict[int, bool] = {}
+        self.states: dict[int, tuple[list, list, bool]] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -132,6 +150,23 @@ class Encoder:
                 break
         return tuple(np.concatenate(x) for x in zip(*done, strict=True))
 
+    def _side_by_side(self, a: int, b: int) -> bool:
+        """Whether merging the characters of both pieces gives just the two: whether no merge across their
+        border is ever the next one. Of equal ranks the left one goes first."""
+        rank, pieces = self.v.rank, self.v.pieces
+        for x in (a, b):
+            if x not in self.states:
+                self.states[x] = edge_states(rank, pieces[x])
+        (_, right, rising_a), (left, _, rising_b) = self.states[a], self.states[b]
+        if not (rising_a and rising_b):
+            return merge(rank, pieces[a] + pieces[b]) == [pieces[a], pieces[b]]
+        for x, made_a, end_a in right:
+            for y, made_b, end_b in left:
+                cross = rank.get(x + y)
+                if cross is not None and made_a <= end_b and made_b < end_a and cross[0] < end_a and cross[0] <= end_b:
+                    return False
+        return True
+
     def _allowed(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether pieces (by id) can stand side by side; NONE never, START always."""
         size = len(self.v.pieces)
@@ -139,19 +174,28 @@ class Encoder:
         ok = left == START
         ask = np.flatnonzero(left >= 0)
         pairs, back = np.unique(code[ask], return_inverse=True)
-        known, rank, pieces = self.compatible, self.v.rank, self.v.pieces
+        known = self.compatible
         verdict = np.empty(len(pairs), dtype=bool)
         for i, pair in enumerate(pairs.tolist()):
             yes = known.get(pair)
             if yes is None:
-                a, b = pieces[pair // size], pieces[pair % size]
-                yes = known[pair] = merge(rank, a + b) == [a, b]
+                yes = known[pair] = self._side_by_side(pair // size, pair % size)
             verdict[i] = yes
         ok[ask] = verdict[back]
         return ok
 
     def add(self, units: list[str]) -> None:
-        """Encode units that are not known yet."""
+        """Encode units that are not known yet, some 100,000s of characters at a time."""
+        if len(self.compatible) > CACHED_UNITS:
+            self.compatible.clear()
+        size, at = 0, 0
+        for i, u in enumerate(units):
+            size += len(u) + 1
+            if size >= ADD_CHARS or i == len(units) - 1:
+                self._add(units[at : i + 1])
+                size, at = 0, i + 1
+
+    def _add(self, units: list[str]) -> None:
         text = np.frombuffer(("\0".join(units) + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         sizes = np.array([len(u) for u in units], dtype=np.int64)
         first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
@@ -161,6 +205,7 @@ class Encoder:
         counts = hi - lo
         start = suffixes[np.repeat(lo - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())]
         token = np.repeat(self.ids[piece], counts)
+        del suffixes
         stop = start + np.repeat(self.lengths[piece], counts)
         # Characters without a piece: one edge of their own, which separates what stands beside it.
         lone = np.ones(len(text), dtype=bool)
