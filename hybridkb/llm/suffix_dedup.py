@@ -14,7 +14,7 @@ share of it:
    segments are gathered by anchor. Group by group, in rounds of halves, a run-length BWT index of the
    earlier halves is built and the later halves are streamed over it; where the matching statistic is 100 or
    more, the string starts earlier. Anchors with more than ``GROUP`` different segments (they grow with the
-   corpus) are settled by the hash of each single string instead, as an aggregation without any group in one task.
+   corpus) are settled by the hash of each single string instead; again a batch settles its own first.
 4. The removed spans of a document are merged.
 
 Null text is empty; a null doc_id counts as largest. Rows that repeat doc_id and text are one document;
@@ -26,17 +26,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hybridkb.llm.common import prefix_hash, slices_by_bytes, span_hash, text_buffers, write_out
+from hybridkb.llm.common import BASE, discard, mix64, prefix_hash, slices_by_bytes, span_hash, text_buffers, write_out
 from hybridkb.llm.run_length_index import RunLengthIndex
 from hybridkb.llm.verdicts import BROADCAST_ROWS
 
 ANCHOR = 36
 SLAB = 4 << 20
-GROUP = 1000  # different segments of one anchor that go to one index
+GROUP = 64  # different segments of one anchor that go to one index
 INDEX_BYTES = 2 << 20
+BROADCAST_BYTES = 32 << 20
 LARGEST = 2**63 - 1
 LOW = np.uint64((1 << 24) - 1)
 
@@ -292,23 +293,26 @@ def _settle_strings(shared: DataFrame, length: int) -> DataFrame:
             seg = np.repeat(np.arange(len(n)), n)
             inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             begin = np.repeat(np.cumsum(sizes) - sizes, n) + inside
+            string, place = span_hash(h, begin, begin + length), lo[seg] + inside
+            first, later = _first_of(string, doc[seg], place)
+            s, a, b = _merged(seg[later], place[later], place[later] + length)
+            rows = np.concatenate([seg[first], s])
+            settled = np.arange(len(rows)) >= len(first)
+            start = np.concatenate([place[first], a])
+            # Rows that are settled keep to themselves in the window below.
+            key = np.concatenate([string[first], mix64(doc[s].astype(np.uint64) * BASE + a.astype(np.uint64))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[seg]), pa.array(rid[seg]), pa.array((lo[seg] + inside).astype(np.int32)), _long_column(span_hash(h, begin, begin + length))],
-                names=["doc", "rid", "lo", "string"],
+                [pa.array(doc[rows]), pa.array(rid[rows]), pa.array(start.astype(np.int32)), pa.array(np.concatenate([place[first] + length, b]).astype(np.int32)), pa.array(settled), _long_column(key)],
+                names=["doc", "rid", "lo", "hi", "settled", "string"],
             )
 
-    each = shared.select("doc", "rid", "lo", "body").mapInArrow(strings, "doc bigint, rid bigint, lo int, string bigint")
-    each = write_out(each, "strings")
-    place = F.struct("doc", "rid", "lo")
-    first = each.groupBy("string").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = each.hint("shuffle_merge").join(first, "string").where(place > F.col("first"))
-    return later.select("doc", "rid", "lo", (F.col("lo") + length).alias("hi"))
+    each = shared.select("doc", "rid", "lo", "body").mapInArrow(strings, "doc bigint, rid bigint, lo int, hi int, settled boolean, string bigint")
+    nth = F.row_number().over(Window.partitionBy("settled", "string").orderBy("doc", "rid", "lo"))
+    return each.withColumn("nth", nth).where("settled OR nth > 1").select("doc", "rid", "lo", "hi")
 
 
 def removed_spans(documents: DataFrame, length: int = 100) -> DataFrame:
-    """doc, rid, spans: the merged [lo, hi) byte spans to remove, for documents that have any."""
-    from pyspark.sql import Window
-
+    """doc, rid, spans: the merged [lo, hi) byte spans to remove (pairs of 32-bit integers), for documents that have any."""
     found = write_out(scan_segments(documents, length), "segments")
     known = found.where("anchor IS NULL").select("doc", "rid", "lo", "hi")
     alive = found.where("anchor IS NOT NULL")
@@ -318,21 +322,36 @@ def removed_spans(documents: DataFrame, length: int = 100) -> DataFrame:
     later = later.select("doc", "rid", "lo", "hi")
     shared = alive.groupBy("anchor").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b").select("anchor")
     shared = write_out(shared, "shared")
+    copies = write_out(known.unionByName(later), "copies")
+    discard(found)
     texts = shared_anchor_texts(documents, _bloom(shared), length)
     texts = texts.hint("shuffle_merge").join(shared, "anchor", "left_semi")
     texts = write_out(texts.groupBy("whole").agg(F.min(F.struct("doc", "rid", "lo", "anchor", "body")).alias("s")).select("s.*"), "texts")
     crowded = write_out(texts.groupBy("anchor").count().where(F.col("count") > GROUP).select("anchor"), "crowded")
     hint = "broadcast" if crowded.count() <= BROADCAST_ROWS else "shuffle_merge"
-    spans = known.unionByName(later)
-    spans = spans.unionByName(_settle_groups(texts.join(crowded.hint(hint), "anchor", "left_anti"), length))
+    spans = copies.unionByName(_settle_groups(texts.join(crowded.hint(hint), "anchor", "left_anti"), length))
     spans = spans.unionByName(_settle_strings(texts.join(crowded.hint(hint), "anchor", "left_semi"), length))
-    return spans.groupBy("doc", "rid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    grouped = spans.groupBy("doc", "rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+
+    def merge(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            s = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            row, lo, hi = _merged(row, *(s.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in (0, 1)))
+            pairs = np.stack([lo, hi], axis=1).astype(np.int32)
+            cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            packed = [pairs[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, type=pa.binary())], names=["doc", "rid", "spans"])
+
+    return grouped.mapInArrow(merge, "doc bigint, rid bigint, spans binary")
 
 
 def remove_repeats(documents: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for every document."""
     spans = write_out(removed_spans(documents, length), "spans").select(F.col("doc").alias("_doc"), F.col("rid").alias("_rid"), "spans")
-    hint = "broadcast" if spans.count() <= BROADCAST_ROWS else "shuffle_merge"
+    rows, size = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("spans")), F.lit(0))).first()
+    hint = "broadcast" if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else "shuffle_merge"
     docs = _documents(documents).withColumn("doc_id", F.when(F.col("doc") != LARGEST, F.col("doc")))
     joined = docs.join(spans.hint(hint), (F.col("doc") == F.col("_doc")) & (F.col("rid") == F.col("_rid")), "left").select("doc_id", "text", "spans")
 
@@ -347,9 +366,7 @@ def remove_repeats(documents: DataFrame, length: int = 100) -> DataFrame:
                     count.append(0)
                     kept.append(body.tobytes())
                     continue
-                s = spans.values
-                lo, hi = (s.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in (0, 1))
-                _, lo, hi = _merged(np.zeros(len(lo), np.int64), lo, hi)
+                lo, hi = np.frombuffer(spans.as_buffer(), dtype=np.int32).astype(np.int64).reshape(-1, 2).T
                 removed.append(int((hi - lo).sum()))
                 count.append(len(lo))
                 edges = np.concatenate(([0], np.stack([lo, hi], axis=1).ravel(), [len(body)]))
