@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hybridkb.plans import chunking, records, retrieval, scalars
+from hybridkb.plans import chunking, more, records, retrieval, scalars
 
 
 def entries() -> dict:
     """key: (query, SQL or None)."""
-    return retrieval.entries() | scalars.entries() | chunking.entries() | records.entries()
+    return retrieval.entries() | scalars.entries() | chunking.entries() | records.entries() | more.entries()
