@@ -31,8 +31,8 @@ from hybridkb.llm.common import list_column, slices_by_bytes
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SLAB = 3 << 20
-ADD_CHARS = 400_000  # characters of units that are indexed at a time
-CACHED_UNITS = 250_000  # kept between batches by a worker; a bound on memory only
+ADD_CHARS = 250_000  # characters of units that are indexed at a time
+CACHED_UNITS = 200_000  # kept between batches by a worker; a bound on memory only
 SPACE_MARK = "\u2581"
 UNIT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n\0]+|{SPACE_MARK}+|\n|\0")
 NONE, START = -1, -2
