@@ -1,7 +1,7 @@
 """SentencePiece (BPE model) encoding and decoding by suffix-array matching.
 
-A batch's texts are cut into units that no piece crosses (a run of spaces with the word behind it; a
-newline or a NUL); each different unit is encoded once:
+A batch's texts are cut into units that no piece crosses (a run of spaces with the word behind it, up to
+a mark that no piece joins to a letter; a newline or a NUL); each different unit is encoded once:
 
 1. the units' characters lie one after the other, and their suffixes are sorted by prefix doubling to the
    length of the longest piece;
@@ -31,10 +31,11 @@ from hybridkb.llm.common import list_column, slices_by_bytes
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SLAB = 3 << 20
-ADD_CHARS = 250_000  # characters of units that are indexed at a time
+ADD_CHARS = 400_000  # characters of units that are indexed at a time
 CACHED_UNITS = 200_000  # kept between batches by a worker; a bound on memory only
 SPACE_MARK = "\u2581"
-UNIT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n\0]+|{SPACE_MARK}+|\n|\0")
+MARKS = ".,;:!?%*#$&|"
+LETTER = r"[^\W\d_¹²³]"
 NONE, START = -1, -2
 
 
@@ -45,6 +46,10 @@ class Vocabulary:
         self.pieces, self.byte_of = pieces, byte_of
         self.rank = {p: (-s, i) for i, (p, s, n) in enumerate(zip(pieces, scores, normal, strict=True)) if n}
         self.byte_id = {b: i for i, b in enumerate(byte_of) if b >= 0}
+        # Marks that no piece has behind a letter end a unit there.
+        cut = [c for c in MARKS if not any(re.search(LETTER + re.escape(c), p) for p in self.rank)]
+        word = f"{SPACE_MARK}*{LETTER}++(?=[{re.escape(''.join(cut))}])|" if cut else ""
+        self.unit = re.compile(f"{word}{SPACE_MARK}*[^{SPACE_MARK}\n\0]+|{SPACE_MARK}+|\n|\0")
 
     @classmethod
     def load(cls, model_file: str) -> Vocabulary:
@@ -259,7 +264,7 @@ class Encoder:
         per = np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
             if t:
-                found = UNIT.findall(SPACE_MARK + t.replace(" ", SPACE_MARK))
+                found = self.v.unit.findall(SPACE_MARK + t.replace(" ", SPACE_MARK))
                 units += found
                 per[i] = len(found)
         different = set(units)
@@ -267,7 +272,7 @@ class Encoder:
             self.forget()
         new = [u for u in different if u not in self.index]
         if new:
-            self.add(sorted(new))
+            self.add(new)
         number = np.fromiter(map(self.index.__getitem__, units), dtype=np.int64, count=len(units))
         n = self.size[number]
         total = np.concatenate(([0], np.cumsum(n)))
