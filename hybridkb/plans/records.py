@@ -49,15 +49,15 @@ def _zones(s, d):
 
 def entries() -> dict:
     """key: (query, SQL or None)."""
-    slot = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("row "), F.col("p_size").cast("string")))
-    raw = F.element_at(F.array(*[F.lit(x) for x in ("Engine", "engine cooling", "nav", "genset", "Hull/Deck", "e", "the rigging")]), (F.col("event_id") % 7 + 1).cast("int"))
-    cat = F.element_at(F.array(*[F.lit(x) for x in ("Flares", "toolbox", "water", "games", "toolbox of spares", "SAFETY", "")]), (F.col("event_id") % 7 + 1).cast("int"))
+    slot = lambda: F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("row "), F.col("p_size").cast("string")))
+    raw = lambda: F.element_at(F.array(*[F.lit(x) for x in ("Engine", "engine cooling", "nav", "genset", "Hull/Deck", "e", "the rigging")]), (F.col("event_id") % 7 + 1).cast("int"))
+    cat = lambda: F.element_at(F.array(*[F.lit(x) for x in ("Flares", "toolbox", "water", "games", "toolbox of spares", "SAFETY", "")]), (F.col("event_id") % 7 + 1).cast("int"))
 
     def descriptor(s, d):
         z = _zones(s, d).select("zone_id", "name")
         i = _items(s, d).join(z, "zone_id", "left")
         none = F.lit(None).cast("string")
-        return i.select("p_partkey", r.item_descriptor(F.col("p_name"), F.lit("spare"), F.when(F.col("p_size") % 3 == 0, F.col("p_type")), F.col("name"), slot, F.col("p_brand"), none, F.concat(F.lit("Part: "), F.col("p_partkey").cast("string")), none).alias("descriptor"))
+        return i.select("p_partkey", r.item_descriptor(F.col("p_name"), F.lit("spare"), F.when(F.col("p_size") % 3 == 0, F.col("p_type")), F.col("name"), slot(), F.col("p_brand"), none, F.concat(F.lit("Part: "), F.col("p_partkey").cast("string")), none).alias("descriptor"))
 
     def deviation(s, d):
         z = _zones(s, d).select("zone_id", "name")
@@ -133,9 +133,9 @@ def entries() -> dict:
             f"WITH {ENT}, e AS (SELECT date, content, min(entry_id) AS entry_id FROM ent GROUP BY ALL), b AS (SELECT *, date || '-' || replace(content, ' ', '-') AS base FROM e) SELECT entry_id, base || CASE WHEN row_number() OVER w > 1 THEN '-' || row_number() OVER w ELSE '' END || '.md' AS file_name FROM b WINDOW w AS (PARTITION BY base ORDER BY entry_id)",
         ),
         "render_entry": (lambda s, d: _entries(s, d).select("entry_id", r.render_entry(["date", "system"]).alias("text")), f"WITH {ENT} SELECT entry_id, '---' || chr(10) || 'date: ' || date || chr(10) || 'system: ' || system || chr(10) || '---' || chr(10) || content AS text FROM ent"),
-        "normalise_system": (lambda s, d: table(s, d, "events").select("event_id", r.normalise_system(raw).alias("system")), "SELECT event_id, ['engine', 'engine', 'electronics/nav', 'other', 'hull/deck', 'other', 'rigging'][event_id % 7 + 1] AS system FROM events"),
-        "normalise_category": (lambda s, d: table(s, d, "events").select("event_id", r.normalise_category(cat).alias("category")), "SELECT event_id, ['safety', 'tool', 'provision', 'toy', 'spare', 'safety', 'spare'][event_id % 7 + 1] AS category FROM events"),
-        "validate_category": (lambda s, d: table(s, d, "events").select("event_id", F.lower(cat).isin(*r.CATEGORIES).alias("valid")), "SELECT event_id, event_id % 7 = 5 AS valid FROM events"),
+        "normalise_system": (lambda s, d: table(s, d, "events").select("event_id", r.normalise_system(raw()).alias("system")), "SELECT event_id, ['engine', 'engine', 'electronics/nav', 'other', 'hull/deck', 'other', 'rigging'][event_id % 7 + 1] AS system FROM events"),
+        "normalise_category": (lambda s, d: table(s, d, "events").select("event_id", r.normalise_category(cat()).alias("category")), "SELECT event_id, ['safety', 'tool', 'provision', 'toy', 'spare', 'safety', 'spare'][event_id % 7 + 1] AS category FROM events"),
+        "validate_category": (lambda s, d: table(s, d, "events").select("event_id", F.lower(cat()).isin(*r.CATEGORIES).alias("valid")), "SELECT event_id, event_id % 7 = 5 AS valid FROM events"),
         "normalise_side": (lambda s, d: table(s, d, "events").select("event_id", r.normalise_enum(F.when(F.col("event_id") % 3 == 0, " Port").when(F.col("event_id") % 3 == 1, "left"), ["port", "starboard", "centre"]).alias("side")), "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'port' END AS side FROM events"),
         "item_descriptor": (descriptor, f"WITH {ITEMS} SELECT p_partkey, '[Item] ' || p_name || ' (spare' || CASE WHEN p_size % 3 = 0 THEN ', ' || p_type ELSE '' END || ') — ' || CASE WHEN s_name IS NULL THEN 'location unknown' ELSE s_name || CASE WHEN p_size % 2 = 0 THEN ', row ' || p_size ELSE '' END END || ' Brand: ' || p_brand || ' Part: ' || p_partkey || CASE WHEN p_size % 3 = 0 THEN ' Aliases: ' || p_type ELSE '' END AS descriptor FROM items LEFT JOIN supplier ON s_suppkey = zone_id"),
         "deviation_descriptor": (deviation, f"WITH {ITEMS} SELECT p_partkey, '[Deviation] ' || p_name || ' factory: ' || p_type || CASE WHEN p_size % 2 = 0 THEN ' as-built: ' || p_brand ELSE '' END || ' — ' || coalesce(s_name, 'location unknown') AS descriptor FROM items LEFT JOIN supplier ON s_suppkey = zone_id"),

@@ -11,12 +11,41 @@ WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
 TODAY = "2026-05-30"
 
 
+# Column expressions need a running session, so they are made when a query runs.
+
+
+def _text():
+    return F.col("text")
+
+
+def _fenced():
+    return F.when(F.col("turn") % 2 == 0, F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```"))).otherwise(F.col("text"))
+
+
+def _wrapped():
+    return F.concat(F.lit("so: "), F.col("props"), F.lit(' and {"later": 1}'))
+
+
+def _confidence():
+    return text.clamp_confidence(F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.round(F.col("value") / 50 - 0.5, 4).cast("string")))
+
+
+def _sku():
+    return F.concat(F.col("p_name"), F.when(F.col("p_partkey") % 3 == 0, ": 50%_off").otherwise(""))
+
+
+def _pages():
+    size = F.col("p_size")
+    spec = F.array(F.concat((size + 1).cast("string"), F.lit("-"), (size + 3).cast("string")), F.when(F.col("p_partkey") % 5 == 0, "x").otherwise(size.cast("string")))
+    return F.array_join(spec, ",")
+
+
 def _names(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-def _q(name, *columns):
-    return lambda s, d: table(s, d, name).select(*columns)
+def _q(name, columns):
+    return lambda s, d: table(s, d, name).select(*columns())
 
 
 def _chat(s, d):
@@ -50,29 +79,22 @@ FREE_DATES_SQL = FREE_DATES_SQL.replace("strftime(ts + INTERVAL 731 DAY, '2026-%
 
 def entries() -> dict:
     """key: (query, SQL or None)."""
-    t = F.col("text")
-    fenced = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("```json\n"), t, F.lit("\n```"))).otherwise(t)
-    wrapped = F.concat(F.lit("so: "), F.col("props"), F.lit(' and {"later": 1}'))
-    number = F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.round(F.col("value") / 50 - 0.5, 4).cast("string"))
-    confidence, changed = text.clamp_confidence(number)
-    sku = F.concat(F.col("p_name"), F.when(F.col("p_partkey") % 3 == 0, ": 50%_off").otherwise(""))
-    page = F.array_join(F.array(F.concat((F.col("p_size") + 1).cast("string"), F.lit("-"), (F.col("p_size") + 3).cast("string")), F.when(F.col("p_partkey") % 5 == 0, "x").otherwise(F.col("p_size").cast("string"))), ",")
     alias_sql = f"CASE WHEN coalesce(s, '') = '' THEN 'Unknown Sailor' ELSE {_names(text.ADJECTIVES)}[CAST('0x' || sha256(s)[1:2] AS INTEGER) % 36 + 1] || ' ' || {_names(text.NOUNS)}[CAST('0x' || sha256(s)[3:4] AS INTEGER) % 36 + 1] || ' ' || lpad(CAST(CAST('0x' || sha256(s)[5:6] AS INTEGER) % 100 AS VARCHAR), 2, '0') END"
     return {
-        "token_count": (_q("documents", "doc_id", text.token_count(t).alias("n_tokens")), rf"SELECT doc_id, CAST(len({WORDS}) + len(regexp_extract_all(text, '[^\p{{L}}\p{{N}}_\s]')) // 2 AS INTEGER) AS n_tokens FROM documents"),
+        "token_count": (_q("documents", lambda: ["doc_id", text.token_count(_text()).alias("n_tokens")]), rf"SELECT doc_id, CAST(len({WORDS}) + len(regexp_extract_all(text, '[^\p{{L}}\p{{N}}_\s]')) // 2 AS INTEGER) AS n_tokens FROM documents"),
         "slugify": (
-            _q("documents", "doc_id", text.slugify(t).alias("slug")),
+            _q("documents", lambda: ["doc_id", text.slugify(_text()).alias("slug")]),
             rf"SELECT doc_id, regexp_replace(substring(regexp_replace(trim(regexp_replace(array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')[1:5], ' '), '[^\p{{L}}\p{{N}}_\s-]', '', 'g')), '\s+', '-', 'g'), 1, 40), '^-+|-+$', '', 'g') AS slug FROM documents",
         ),
-        "sender_alias": (_q("events", "event_id", text.sender_alias(F.when(F.col("event_id") % 50 > 0, F.col("user_id").cast("string"))).alias("alias")), f"SELECT event_id, {alias_sql} AS alias FROM (SELECT event_id, CASE WHEN event_id % 50 > 0 THEN CAST(user_id AS VARCHAR) END AS s FROM events)"),
-        "fold_spaces": (_q("documents", "doc_id", F.sha2(text.fold_spaces(t), 256).alias("folded_sha256")), "SELECT doc_id, sha256(replace(replace(text, chr(8239), ' '), chr(160), ' ')) AS folded_sha256 FROM documents"),
-        "escape_like": (_q("part", "p_partkey", text.escape_like(sku).alias("escaped")), r"SELECT p_partkey, replace(replace(replace(p_name || CASE WHEN p_partkey % 3 = 0 THEN ': 50%_off' ELSE '' END, '\', '\\'), '%', '\%'), '_', '\_') AS escaped FROM part"),
-        "strip_fences": (_q("conversations", "conv_id", "turn", F.sha2(text.strip_fences(fenced), 256).alias("inner_sha256")), "SELECT conv_id, turn, sha256(text) AS inner_sha256 FROM conversations"),
-        "first_json_object": (_q("events", "event_id", text.first_json_object(wrapped).alias("object")), "SELECT event_id, props AS object FROM events"),
-        "yaml_quote": (_q("part", "p_partkey", text.yaml_quote(sku).alias("quoted")), """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '"' || p_name || ': 50%_off"' ELSE p_name END AS quoted FROM part"""),
-        "yaml_unquote": (_q("part", "p_partkey", text.yaml_unquote(text.yaml_quote(sku)).alias("plain")), "SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN ': 50%_off' ELSE '' END AS plain FROM part"),
+        "sender_alias": (_q("events", lambda: ["event_id", text.sender_alias(F.when(F.col("event_id") % 50 > 0, F.col("user_id").cast("string"))).alias("alias")]), f"SELECT event_id, {alias_sql} AS alias FROM (SELECT event_id, CASE WHEN event_id % 50 > 0 THEN CAST(user_id AS VARCHAR) END AS s FROM events)"),
+        "fold_spaces": (_q("documents", lambda: ["doc_id", F.sha2(text.fold_spaces(_text()), 256).alias("folded_sha256")]), "SELECT doc_id, sha256(replace(replace(text, chr(8239), ' '), chr(160), ' ')) AS folded_sha256 FROM documents"),
+        "escape_like": (_q("part", lambda: ["p_partkey", text.escape_like(_sku()).alias("escaped")]), r"SELECT p_partkey, replace(replace(replace(p_name || CASE WHEN p_partkey % 3 = 0 THEN ': 50%_off' ELSE '' END, '\', '\\'), '%', '\%'), '_', '\_') AS escaped FROM part"),
+        "strip_fences": (_q("conversations", lambda: ["conv_id", "turn", F.sha2(text.strip_fences(_fenced()), 256).alias("inner_sha256")]), "SELECT conv_id, turn, sha256(text) AS inner_sha256 FROM conversations"),
+        "first_json_object": (_q("events", lambda: ["event_id", text.first_json_object(_wrapped()).alias("object")]), "SELECT event_id, props AS object FROM events"),
+        "yaml_quote": (_q("part", lambda: ["p_partkey", text.yaml_quote(_sku()).alias("quoted")]), """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '"' || p_name || ': 50%_off"' ELSE p_name END AS quoted FROM part"""),
+        "yaml_unquote": (_q("part", lambda: ["p_partkey", text.yaml_unquote(text.yaml_quote(_sku())).alias("plain")]), "SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN ': 50%_off' ELSE '' END AS plain FROM part"),
         "page_selection": (
-            lambda s, d: _page_selection(table(s, d, "part").select("p_partkey", page.alias("spec"))),
+            lambda s, d: _page_selection(table(s, d, "part").select("p_partkey", _pages().alias("spec"))),
             "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE list_sort(list_distinct([p_size, p_size + 1, p_size + 2, p_size + 3])) END AS pages, CASE WHEN p_partkey % 5 = 0 THEN 'not a page' END AS reason FROM part",
         ),
         "normalise_date": (_free_dates, FREE_DATES_SQL),
@@ -89,29 +111,29 @@ def entries() -> dict:
               || ' ' || CASE event_id % 3 WHEN 0 THEN 'HH:MM (24h)' WHEN 1 THEN 'HH:MMSS (24h)' ELSE 'h:MM AM/PM' END AS label FROM chat""",
         ),
         "clamp_confidence": (
-            _q("events", "event_id", confidence.alias("confidence"), changed.alias("downgraded")),
+            _q("events", lambda: ["event_id", _confidence()[0].alias("confidence"), _confidence()[1].alias("downgraded")]),
             "SELECT event_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(v, 0))) AS confidence, v IS NULL OR v < 0 OR v > 1 AS downgraded FROM (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN round(value / 50 - 0.5, 4) END AS v FROM events)",
         ),
-        "json_field": (_q("events", "event_id", F.get_json_object("props", "$.k").alias("k")), "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"),
-        "json_valid": (_q("events", "event_id", F.try_parse_json(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props"))).isNotNull().alias("valid")), "SELECT event_id, event_id % 3 <> 0 AS valid FROM events"),
+        "json_field": (_q("events", lambda: ["event_id", F.get_json_object("props", "$.k").alias("k")]), "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"),
+        "json_valid": (_q("events", lambda: ["event_id", F.try_parse_json(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props"))).isNotNull().alias("valid")]), "SELECT event_id, event_id % 3 <> 0 AS valid FROM events"),
         "safe_json": (
-            _q("events", "event_id", F.size(F.map_keys(F.coalesce(F.from_json(F.when(F.col("event_id") % 3 == 0, "[1]").otherwise(F.col("props")), "map<string,string>"), F.create_map().cast("map<string,string>")))).alias("n_keys")),
+            _q("events", lambda: ["event_id", F.size(F.map_keys(F.coalesce(F.from_json(F.when(F.col("event_id") % 3 == 0, "[1]").otherwise(F.col("props")), "map<string,string>"), F.create_map().cast("map<string,string>")))).alias("n_keys")]),
             "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(len(json_keys(props)) AS INTEGER) END AS n_keys FROM events",
         ),
-        "coerce_str_list": (_q("events", "event_id", text.coerce_str_list(F.when(F.col("event_id") % 3 == 0, '["a ", "", "b"]').when(F.col("event_id") % 3 == 1, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).otherwise(F.col("props"))).alias("items")), "SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN [event_type] ELSE CAST([] AS VARCHAR[]) END AS items FROM events"),
-        "coerce_scalar": (_q("events", "event_id", text.coerce_scalar(F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit(" "), F.col("event_type"))).otherwise(" ")).alias("value")), "SELECT event_id, CASE event_id % 3 WHEN 1 THEN event_type END AS value FROM events"),
+        "coerce_str_list": (_q("events", lambda: ["event_id", text.coerce_str_list(F.when(F.col("event_id") % 3 == 0, '["a ", "", "b"]').when(F.col("event_id") % 3 == 1, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).otherwise(F.col("props"))).alias("items")]), "SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN [event_type] ELSE CAST([] AS VARCHAR[]) END AS items FROM events"),
+        "coerce_scalar": (_q("events", lambda: ["event_id", text.coerce_scalar(F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit(" "), F.col("event_type"))).otherwise(" ")).alias("value")]), "SELECT event_id, CASE event_id % 3 WHEN 1 THEN event_type END AS value FROM events"),
         "sub_slot_grid": (
             lambda s, d: table(s, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(1), F.col("n_regionkey") + 1)).alias("row"), "n_name").select("n_nationkey", "row", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("col"), F.get(F.split("n_name", " "), F.col("row") - 1).alias("row_label")),
             "SELECT n_nationkey, r AS row, c AS col, string_split(n_name, ' ')[r] AS row_label FROM (SELECT *, unnest([1, 2]) AS c FROM (SELECT *, CAST(unnest(range(1, n_regionkey + 2)) AS INTEGER) AS r FROM nation))",
         ),
         "geometry_valid": (
-            _q("events", "event_id", text.geometry_valid(F.transform(F.sequence(F.lit(1), F.lit(2) + (F.col("event_id") % 3).cast("int")), lambda i: F.array(F.col("value") / 100, F.lit(0.5) * (i % 2)))).alias("valid")),
+            _q("events", lambda: ["event_id", text.geometry_valid(F.transform(F.sequence(F.lit(1), F.lit(2) + (F.col("event_id") % 3).cast("int")), lambda i: F.array(F.col("value") / 100, F.lit(0.5) * (i % 2)))).alias("valid")]),
             "SELECT event_id, event_id % 3 > 0 AND value / 100 >= 0 AND value / 100 <= 1 AS valid FROM events",
         ),
-        "text_contains_any": (_q("events", "event_id", text.text_contains_any(F.lit("PURCHASE"), F.col("event_type"), F.col("props")).alias("found")), "SELECT event_id, contains(lower(event_type), 'purchase') OR contains(lower(props), 'purchase') AS found FROM events"),
-        "content_fingerprint": (_q("documents", "doc_id", text.content_fingerprint(t).alias("content_hash")), r"SELECT doc_id, sha256(regexp_replace(text, '\r\n?', chr(10), 'g')) AS content_hash FROM documents"),
-        "chunk_hash": (_q("documents", "doc_id", F.sha2("text", 256).alias("content_hash")), "SELECT doc_id, sha256(text) AS content_hash FROM documents"),
-        "anchor_key": (_q("documents", "doc_id", text.anchor_key(F.col("source"), F.col("lang"), F.col("doc_id") % 5).alias("anchor_key")), "SELECT doc_id, sha256(source || chr(10) || lang || chr(10) || doc_id % 5) AS anchor_key FROM documents"),
+        "text_contains_any": (_q("events", lambda: ["event_id", text.text_contains_any(F.lit("PURCHASE"), F.col("event_type"), F.col("props")).alias("found")]), "SELECT event_id, contains(lower(event_type), 'purchase') OR contains(lower(props), 'purchase') AS found FROM events"),
+        "content_fingerprint": (_q("documents", lambda: ["doc_id", text.content_fingerprint(_text()).alias("content_hash")]), r"SELECT doc_id, sha256(regexp_replace(text, '\r\n?', chr(10), 'g')) AS content_hash FROM documents"),
+        "chunk_hash": (_q("documents", lambda: ["doc_id", F.sha2("text", 256).alias("content_hash")]), "SELECT doc_id, sha256(text) AS content_hash FROM documents"),
+        "anchor_key": (_q("documents", lambda: ["doc_id", text.anchor_key(F.col("source"), F.col("lang"), F.col("doc_id") % 5).alias("anchor_key")]), "SELECT doc_id, sha256(source || chr(10) || lang || chr(10) || doc_id % 5) AS anchor_key FROM documents"),
     }
 
 
