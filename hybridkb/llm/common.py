@@ -56,7 +56,7 @@ BASE_INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit words."""
     x = x ^ (x >> np.uint64(30))
-    x = x * MIX_1
+    x *= MIX_1
     x ^= x >> np.uint64(27)
     x *= MIX_2
     x ^= x >> np.uint64(31)
@@ -83,7 +83,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """h with len(data) + 1 entries; (h[e] - h[s]) * BASE ** -s identifies data[s:e]."""
     h = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_CODES[data] * powers(len(data))[0], out=h[1:])
+    codes = BYTE_CODES[data]
+    codes *= powers(len(data))[0]
+    np.cumsum(codes, out=h[1:])
     return h
 
 

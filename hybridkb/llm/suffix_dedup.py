@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hybridkb.llm.common import BASE, discard, mix64, prefix_hash, slices_by_bytes, span_hash, text_buffers, write_out
+from hybridkb.llm.common import BASE, GOLDEN, discard, mix64, powers, prefix_hash, slices_by_bytes, span_hash, text_buffers, write_out
 from hybridkb.llm.run_length_index import RunLengthIndex
 from hybridkb.llm.verdicts import BROADCAST_ROWS
 
 ANCHOR = 36
-SLAB = 4 << 20
+SLAB = 2 << 20
 GROUP = 64  # different segments of one anchor that go to one index
 INDEX_BYTES = 2 << 20
 BROADCAST_BYTES = 32 << 20
@@ -49,24 +49,28 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int):
     if n < length:
         return none, none, none, none, none
     h = prefix_hash(data)
-    i = np.arange(n - ANCHOR + 1)
-    anchors = span_hash(h, i, i + ANCHOR)
-    end = np.repeat(offsets[1:], np.diff(offsets))
-    order = (anchors & ~LOW) | i.astype(np.uint64)
-    order[i + ANCHOR > end[: len(i)]] |= ~LOW
+    # Hashes of all 36-byte substrings as in span_hash, in place: a batch's arrays are the memory of a task.
+    order = h[ANCHOR:] - h[:-ANCHOR]
+    order *= powers(n + 1)[1][: len(order)]
+    order += np.uint64(ANCHOR * int(GOLDEN) % 2**64)
+    order = mix64(order)
+    order &= ~LOW
+    order |= np.arange(len(order), dtype=np.uint64)
+    end = np.repeat(offsets[1:].astype(np.int32), np.diff(offsets))
+    order[np.arange(ANCHOR, n + 1, dtype=np.int32) > end[: len(order)]] |= ~LOW
     least, size = order, 1
     while size * 2 <= w:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     m = len(order) - w + 1
     least = np.minimum(least[:m], least[w - size : w - size + m])
-    start = np.flatnonzero(np.arange(m) + length <= end[:m])
+    start = np.flatnonzero(np.arange(length, length + m, dtype=np.int32) <= end[:m])
     if not len(start):
         return none, none, none, none, none
     place = (least[start] & LOW).astype(np.int64)
     cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     lo, hi, place = start[cut], start[np.concatenate((cut[1:], [len(start)])) - 1], place[cut]
-    return place, lo, hi, anchors[place], span_hash(h, lo, hi + length)
+    return place, lo, hi, span_hash(h, place, place + ANCHOR), span_hash(h, lo, hi + length)
 
 
 def _slabs(batch: pa.RecordBatch, column: int, length: int):
