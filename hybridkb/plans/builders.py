@@ -40,7 +40,7 @@ def written(s, d):
 def locate(s, d):
     chunks = tables.chunks(s, d).withColumn("item_id", F.col("chunk_id"))
     i = table(s, d, "part").select(F.col("p_partkey").alias("item_id"), "p_name", "p_brand")
-    q = tables.queries(s, d).withColumn("text", F.when(F.col("query_id") % 2 == 0, F.lit("#12")).otherwise(F.col("text")))
+    q = tables.queries(s, d, whole=True).withColumn("text", F.when(F.col("query_id") % 2 == 0, F.lit("#12")).otherwise(F.col("text")))
     return b.locate_items(q, i, chunks, ["p_name", "p_brand"])
 
 

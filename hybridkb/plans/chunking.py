@@ -32,11 +32,21 @@ def chat_chunks(s, d):
 
 
 def _markdown(s, d):
-    """Documents whose lines become headings by their number."""
+    """Documents whose lines become headings by their number, cut as in the SQL of heading_ancestors."""
     text = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("# "), F.substring(x, 1, 12))).when(i % 4 == 2, F.concat(F.lit("## "), F.substring(x, 1, 12))).otherwise(x)), "\n")
     return table(s, d, "documents").select("doc_id", text.alias("text"))
 
 
+def _markdown_whole(s, d):
+    """Documents with a heading before every second line; the lines stay whole."""
+
+    def head(mark, x):
+        return F.concat(F.lit(mark), F.substring(x, 1, 12), F.lit("\n"), x)
+
+    text = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, head("# ", x)).when(i % 4 == 2, head("## ", x)).otherwise(x)), "\n")
+    return table(s, d, "documents").select("doc_id", text.alias("text"))
+
+
 def _front(s, d):
     p = table(s, d, "part")
     value = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit('"'), "p_name", F.lit(': x"'))).when(F.col("p_partkey") % 4 == 1, "null").otherwise(F.col("p_name"))
@@ -62,7 +72,7 @@ def entries() -> dict:
             SELECT doc_id, CAST(coalesce(max(i), 0) AS INTEGER) AS n_sentences, CAST(coalesce(max(part), 0) AS INTEGER) AS n_parts FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id""",
         ),
         "blank_line_blocks": (lambda s, d: chunking.blank_line_blocks(table(s, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))).select("doc_id", "ordinal", "section_path", F.sha2("content", 256).alias("content_sha256")), None),
-        "markdown_sections": (lambda s, d: chunking.markdown_sections(_markdown(s, d)).select("doc_id", "ordinal", "section_path", F.sha2("content", 256).alias("content_sha256")), None),
+        "markdown_sections": (lambda s, d: chunking.markdown_sections(_markdown_whole(s, d)).select("doc_id", "ordinal", "section_path", F.sha2("content", 256).alias("content_sha256")), None),
         "heading_ancestors": (
             lambda s, d: chunking.heading_ancestors(_markdown(s, d)).select("doc_id", "line_no", "level", "section_no", "path"),
             r"""WITH l AS (SELECT doc_id, i - 1 AS line_no, CASE (i - 1) % 4 WHEN 0 THEN '# ' || x[1:12] WHEN 2 THEN '## ' || x[1:12] ELSE x END AS line FROM (SELECT doc_id, l[i] AS x, i FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))),
@@ -71,6 +81,7 @@ def entries() -> dict:
             p AS (SELECT n.*, a.line AS t1, b.line AS t2 FROM n LEFT JOIN l a ON a.doc_id = n.doc_id AND a.line_no = n.l1 LEFT JOIN l b ON b.doc_id = n.doc_id AND b.line_no = n.l2 AND n.l2 > coalesce(n.l1, -1))
             SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(level AS INTEGER) AS level, section_no, CASE WHEN t1 IS NULL AND t2 IS NULL THEN 'Preamble' ELSE concat_ws(' > ', trim(t1), trim(t2)) END AS path FROM p""",
         ),
+        "heading_ancestors_whole": (lambda s, d: chunking.heading_ancestors(_markdown_whole(s, d)).select("doc_id", "line_no", "level", "section_no", "path"), None),
         "section_ordinal": (
             lambda s, d: chunking.section_ordinal(table(s, d, "documents").select(F.col("lang").alias("section_path"), F.col("source").alias("doc_id"), F.col("doc_id").alias("ordinal"))),
             "SELECT lang AS section_path, source AS doc_id, doc_id AS ordinal, CAST(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS INTEGER) AS section_ordinal FROM documents",

@@ -29,11 +29,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.join(e, "chunk_id", "left")
 
 
-def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def queries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """The benchmark's texts as questions: whole, or the first six words of each, as CHUNKS_SQL has them."""
     b = table(spark, sf_dir, "benchmark")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 6), " ").alias("text")).join(e, "query_id", "left")
+    return b.select(F.col("item_id").alias("query_id"), F.array_join(words if whole else F.slice(words, 1, 6), " ").alias("text")).join(e, "query_id", "left")
 
 
 CHUNKS_SQL = r"""
