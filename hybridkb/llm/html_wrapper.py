@@ -4,10 +4,11 @@
    Adjacent repeats of a group of tokens are folded into one repeated group ``( ... )+``, so pages that differ
    only in how many paragraphs or menu entries they have share one expression. The different expressions of
    a host are few; they are found by an aggregation over (host, expression).
-2. A host's expressions are aligned one after the other by their longest common subsequence: what both have
-   stays, what one lacks becomes an optional group ``( ... )?``, a group that one side repeats is repeated. The
-   result is a regular expression without unions, the host's wrapper. Hosts are aligned in salted parts
-   first, whose wrappers are aligned again, so a host with a third of all pages is no single task's work.
+2. All of a host's expressions are aligned, one after the other, by their longest common subsequence: what both
+   have stays, what one lacks becomes an optional group ``( ... )?``, a group that one side repeats is repeated,
+   and what the wrapper covers already adds nothing. The result is a regular expression without unions, the
+   host's wrapper. Hosts are aligned in PARTS hash parts first, whose wrappers are aligned again in fewer, so a
+   host with a third of all pages is no single task's work.
 3. From the wrapper follow the element that holds the article and the elements inside it that are not part
    of it (menus, headers, footers, sidebars, notices, adverts, forms, comments). They are applied to each page.
 
@@ -31,9 +32,8 @@ from pyspark.sql import functions as F
 from hybridkb.llm.common import write_out
 from hybridkb.llm.verdicts import BROADCAST_ROWS
 
-SALTS = 16
+PARTS = (4096, 256, 16, 1)  # hash parts of a host, level by level; each divides the one before
 FOLD = 24  # longest group of tokens that is looked for as a repeat
-EXPRESSIONS = 40  # expressions aligned token by token; further ones only if they bring new tokens
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -130,6 +130,25 @@ def expression(page: str) -> str:
     return json.dumps(fold(tokens), ensure_ascii=False)
 
 
+def covers(x: list[Item], y: list[Item]) -> bool:
+    """Whether the expression x takes the items y as they stand."""
+
+    def ends(items, at: set[int]) -> set[int]:
+        for item in items:
+            step = {i + 1 for i in at if i < len(y) and y[i] == item}
+            if isinstance(item, tuple):
+                new = ends(item[1], at)
+                step |= new | (at if item[0] == "?" else set())
+                while item[0] == "+" and (new := ends(item[1], new) - step):
+                    step |= new
+            at = step
+            if not at:
+                break
+        return at
+
+    return len(y) in ends(x, {0})
+
+
 def align(a: list[Item], b: list[Item]) -> list[Item]:
     """One union-free expression that covers both. Common items stay. Where they differ: a group that one
     side repeats and the other has once is repeated, two repeated groups are aligned inside, and anything
@@ -139,9 +158,9 @@ def align(a: list[Item], b: list[Item]) -> list[Item]:
         x, y = a[i:j], b[k:m]
         if tag == "equal":
             out += x
-        elif len(x) == 1 and isinstance(x[0], tuple) and x[0][1] == tuple(y):
+        elif covers(x, y):
             out += x
-        elif len(y) == 1 and isinstance(y[0], tuple) and y[0][1] == tuple(x):
+        elif covers(y, x):
             out += y
         elif len(x) == 1 and len(y) == 1 and isinstance(x[0], tuple) and isinstance(y[0], tuple) and x[0][0] == y[0][0]:
             out.append((x[0][0], tuple(align(list(x[0][1]), list(y[0][1])))))
@@ -157,12 +176,9 @@ def infer(expressions: list[str]) -> str:
     streams = sorted((_tuples(json.loads(x)) for x in set(expressions)), key=lambda x: (-len(flat(x)), str(x)))
     if not streams:
         return "[]"
-    wrapper, known = list(streams[0]), set(flat(streams[0]))
-    for n, s in enumerate(streams[1:], 1):
-        # Past EXPRESSIONS of them, only those that bring new tokens can change which elements there are.
-        if n < EXPRESSIONS or not known.issuperset(flat(s)):
-            wrapper = align(wrapper, list(s))
-            known.update(flat(s))
+    wrapper = list(streams[0])
+    for s in streams[1:]:
+        wrapper = align(wrapper, list(s))
     return json.dumps(wrapper, ensure_ascii=False)
 
 
@@ -254,11 +270,15 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], type=pa.string()) for i in (0, 1)], names=["host", "expression"])
 
     def aligned(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.table({"host": pa.array([key[0].as_py()], type=pa.string()), "expression": [infer(table.column("expression").to_pylist())]})
+        part = key[1].as_py() if len(key) > 1 else 0
+        return pa.table({"host": pa.array([key[0].as_py()], type=pa.string()), "part": pa.array([part], type=pa.int64()), "expression": [infer(table.column("expression").to_pylist())]})
 
     found = _hosts(pages).select("host", "html").mapInArrow(streams, "host string, expression string").distinct()
-    parts = found.withColumn("salt", F.pmod(F.xxhash64("expression"), F.lit(SALTS))).groupBy("host", "salt").applyInArrow(aligned, "host string, expression string")
-    return parts.groupBy("host").applyInArrow(aligned, "host string, expression string").withColumnRenamed("expression", "wrapper")
+    found = found.withColumn("part", F.xxhash64("expression"))
+    for n in PARTS[:-1]:
+        # The part of an expression goes on as that of its wrapper, modulo the next level's number.
+        found = found.withColumn("part", F.pmod("part", F.lit(n))).groupBy("host", "part").applyInArrow(aligned, "host string, part bigint, expression string")
+    return found.groupBy("host").applyInArrow(aligned, "host string, part bigint, expression string").select("host", F.col("expression").alias("wrapper"))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
