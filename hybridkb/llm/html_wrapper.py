@@ -9,8 +9,9 @@
    and what the wrapper covers already adds nothing. The result is a regular expression without unions, the
    host's wrapper. Hosts are aligned in PARTS hash parts first, whose wrappers are aligned again in fewer, so a
    host with a third of all pages is no single task's work.
-3. From the wrapper follow the element that holds the article and the elements inside it that are not part
-   of it (menus, headers, footers, sidebars, notices, adverts, forms, comments). They are applied to each page.
+3. From the wrapper follows the element that holds the article. Which elements inside it are not part of it
+   (menus, headers, footers, sidebars, notices, adverts, forms, comments) their names decide, by fixed lists;
+   names on the holder or around it drop nothing.
 
 Blocks are the text between tags of block elements and line breaks. Null html, and pages without any text
 slot, give an empty text. A null or odd url counts as a host of its own name. Repeated rows are extracted
@@ -47,6 +48,7 @@ NOT_TEXT_WORD = re.compile(
     r"comments?|disqus|replies|share|sharing|social|related|newsletter|subscribe|popup|modal|login|search)(?:$|[\s_.#-])",
     re.I,
 )
+LAYOUT = re.compile(r"(?<![^\s_.#])(?:has|with|without|no)[-_][\w-]+", re.I)  # says what stands beside or in an element
 HOLDERS = (re.compile(r"^article\b"), re.compile(r"^main\b"), re.compile(r"\brole=main\b"), re.compile(r"[.#](?:article|post|entry|main|content)(?:[-_](?:body|content|text|main))?(?:$|[.# ])"))
 CLOSES = {"p": "p", "li": "li", "td": "td th", "th": "td th", "tr": "tr td th", "dt": "dt dd", "dd": "dt dd", "option": "option"}
 
@@ -184,19 +186,29 @@ def infer(expressions: list[str]) -> str:
 
 def _is_boilerplate(sign: str) -> bool:
     name = re.split(r"[.# ]", sign, maxsplit=1)[0]
-    return name in NOT_TEXT or bool(NOT_TEXT_WORD.search(sign[len(name) :]))
+    if name in ("html", "body"):
+        return False
+    return name in NOT_TEXT or bool(NOT_TEXT_WORD.search(LAYOUT.sub("", sign[len(name) :])))
 
 
 @lru_cache(maxsize=4096)
 def plan(wrapper: str) -> tuple[str, frozenset[str]]:
     """From a wrapper: the signature of the element that holds the article ('' for the whole page), and the
     signatures of elements that are not part of it."""
-    signs, slots, path = [], {}, []
+    signs, path = [], []
+    slots: dict[int, dict[str, int]] = {}  # by the number of elements around a slot that look like boilerplate
+    texts: dict[int, int] = {}
     for token in flat(_tuples(json.loads(wrapper))):
         if token == "#":
-            if not any(_is_boilerplate(s) for s in path):
-                for s in set(path):
-                    slots[s] = slots.get(s, 0) + 1
+            # An element's level is the number of such elements down to it, itself included.
+            outer, level = set(), 0
+            dropped = [_is_boilerplate(s) for s in path]
+            texts[sum(dropped)] = texts.get(sum(dropped), 0) + 1
+            for n, s in enumerate(path):
+                level += dropped[n]
+                if s not in outer and not any(dropped[n + 1 :]):
+                    slots.setdefault(level, {})[s] = slots.get(level, {}).get(s, 0) + 1
+                outer.add(s)
         elif token.startswith("</"):
             name = token[2:-1]
             if any(s.startswith(name) for s in path):
@@ -206,10 +218,14 @@ def plan(wrapper: str) -> tuple[str, frozenset[str]]:
             signs.append(token[1:-1])
             path.append(token[1:-1])
     drop = frozenset(s for s in signs if _is_boilerplate(s))
-    for pattern in HOLDERS:
-        found = [s for s in slots if pattern.search(s) and s not in drop]
-        if found:
-            return max(found, key=lambda s: (slots[s], s)), drop
+    for level in sorted(slots):
+        # Around or on the article, a name like boilerplate's counts for nothing where the element holds more
+        # slots than stand outside of all such elements.
+        less = sum(n for k, n in texts.items() if k < level)
+        for pattern in HOLDERS:
+            found = [s for s, n in slots[level].items() if pattern.search(s) and n > less and re.split(r"[.# ]", s, maxsplit=1)[0] not in NOT_TEXT]
+            if found:
+                return max(found, key=lambda s: (slots[level][s], s)), drop
     return "", drop | {s for s in signs if re.match(r"header\b", s)}
 
 
@@ -242,7 +258,8 @@ def main_text(page: str | None, wrapper: str) -> str:
             while path and path[-1][0] in closes:
                 path.pop()
             above = path[-1] if path else ("", "", holder == "", False)
-            inside, dropped = above[2] or value == holder, above[3] or value in drop or (above[2] and _is_boilerplate(value))
+            # Names decide inside the holder only, not on it or around it.
+            inside, dropped = above[2] or value == holder, above[2] and (above[3] or value in drop or _is_boilerplate(value))
             path.append((name, value, inside, dropped))
             seen = seen or inside
         elif kind == "close" and any(p[0] == name for p in path):

@@ -17,3 +17,20 @@ def test_covered_items_add_nothing():
     for items in (["a", "c"], ["a", "b", "c", "d", "c"], ["a", "c", "c", "d"]):
         assert covers(wrapper, items) and align(wrapper, items) == wrapper
     assert not covers(wrapper, ["a", "b"]) and not covers(wrapper, ["a", "d"])
+
+
+def test_names_around_the_article_or_on_it_drop_nothing():
+    article = '<article{}><h1>T</h1><p>a</p><p>b</p><aside>no</aside></article>'
+    rest = '<div class="comments"><article class="comment"><b>me</b><p>c</p></article></div>'
+    for page in (
+        f'<body class="has-sidebar"><nav>n</nav>{article.format("")}{rest}</body>',
+        f'<body class="sidebar"><nav>n</nav>{article.format("")}{rest}</body>',
+        f'<body><div id="page" class="with-sidebar"><nav>n</nav>{article.format("")}{rest}</div></body>',
+        f'<body><div class="search sidebar">{article.format("")}{rest}</div></body>',
+        f'<body><a>skip</a>{article.format(" class=" + chr(34) + "post social" + chr(34))}{rest}</body>',
+        f'<body>{article.format("").replace("article", "div class=content-x", 1).replace("content-x", chr(34) + "content sidebar-right" + chr(34)).replace("/article", "/div")}</body>',
+    ):
+        wrapper = infer([expression(page)])
+        assert main_text(page, wrapper) == "T\na\nb", page
+    teaser = '<body><h1>T</h1><p>a</p><p>b</p><aside class="related"><article class="teaser"><p>x</p></article></aside></body>'
+    assert main_text(teaser, infer([expression(teaser)])) == "T\na\nb"
