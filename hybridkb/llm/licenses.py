@@ -28,7 +28,7 @@ SPACE = separators((0x20, 0x20), (0x09, 0x0D))
 CHUNK = 2 << 20
 MAX_TEMPLATES = 10_000
 
-# Notices and short texts of common licences.
+# Notices and openings of common licences.
 TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "MIT-notice": "Released under the MIT License.",
@@ -46,6 +46,36 @@ TEMPLATES = {
     "All-rights-reserved": "All rights reserved.",
 }
 
+# Whole licence texts by paragraph, without their copyright lines.
+_MIT = [
+    TEMPLATES["MIT"][: TEMPLATES["MIT"].index("The above")].strip(),
+    TEMPLATES["MIT"][TEMPLATES["MIT"].index("The above") :],
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+]
+_ISC = [
+    TEMPLATES["ISC"],
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+]
+_BSD_HEAD, _BSD_SOURCE, _BSD_BINARY = TEMPLATES["BSD-2-Clause"].replace(": Redistributions", ":\0Redistributions").replace(". Redistributions", ".\0Redistributions").split("\0")
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+TEMPLATES |= {
+    "MIT-text": " ".join(_MIT),
+    "MIT-permission": _MIT[0],
+    "MIT-condition": _MIT[1],
+    "MIT-disclaimer": _MIT[2],
+    "ISC-text": " ".join(_ISC),
+    "ISC-disclaimer": _ISC[1],
+    "BSD-2-Clause-text": " ".join([_BSD_HEAD, _BSD_SOURCE, _BSD_BINARY, _BSD_END]),
+    "BSD-3-Clause-text": " ".join([_BSD_HEAD, _BSD_SOURCE, _BSD_BINARY, _BSD_NAMES, _BSD_END]),
+    "BSD-conditions": _BSD_HEAD,
+    "BSD-source-condition": _BSD_SOURCE,
+    "BSD-binary-condition": _BSD_BINARY,
+    "BSD-3-Clause-names": _BSD_NAMES,
+    "BSD-disclaimer": _BSD_END,
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
+
 
 def _bigrams(data: np.ndarray, offsets: np.ndarray):
     """Places (bytes) of the bigrams' first and second words, and their hashes; none across a text's end."""
