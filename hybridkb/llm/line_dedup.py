@@ -30,12 +30,14 @@ from hybridkb.llm.verdicts import BROADCAST_ROWS
 NEWLINE = separators((0x0A, 0x0A))
 SPACE = separators((0x20, 0x20), (0x09, 0x0D))
 CHUNK = 2 << 20
-KEY = ["doc_id", "rid"]
+KEY = ["doc_id", "rid", "no_id"]  # never null, as the joins are by equality
+NO_ID = 2**63 - 1
 
 
 def _row_key(documents: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("rid"), text.alias("text"))
+    doc_id = F.col("doc_id").cast("bigint")
+    return documents.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("rid"), doc_id.isNull().alias("no_id"), text.alias("text"))
 
 
 def _runs(words: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,12 +58,12 @@ def _runs(words: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray,
 
 
 def line_sequences(documents: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, rid, ids (of the non-blank lines), starts and sizes (of the shortest runs of min_words words)."""
+    """doc_id, rid, no_id, ids (of the non-blank lines), starts and sizes (of the shortest runs of min_words words)."""
 
     def scan(batches):
         for whole in batches:
-            for at, n in slices_by_bytes(whole.column(2), CHUNK):
-                data, offs = text_buffers(whole.column(2).slice(at, n))
+            for at, n in slices_by_bytes(whole.column(3), CHUNK):
+                data, offs = text_buffers(whole.column(3).slice(at, n))
                 w, _, _ = word_spans(data, offs, SPACE)
                 s, e, _ = word_spans(data, offs, NEWLINE)
                 inside = np.searchsorted(w, e) - np.searchsorted(w, s)
@@ -71,11 +73,11 @@ def line_sequences(documents: DataFrame, min_words: int) -> DataFrame:
                 doc, start, size = _runs(inside, first, min_words)
                 per = np.bincount(doc, minlength=n)
                 yield pa.RecordBatch.from_arrays(
-                    [whole.column(0).slice(at, n), whole.column(1).slice(at, n), list_column(ids, np.diff(first), pa.int64()), list_column(start, per, pa.int32()), list_column(size, per, pa.int32())],
-                    names=["doc_id", "rid", "ids", "starts", "sizes"],
+                    [*(whole.column(k).slice(at, n) for k in range(3)), list_column(ids, np.diff(first), pa.int64()), list_column(start, per, pa.int32()), list_column(size, per, pa.int32())],
+                    names=[*KEY, "ids", "starts", "sizes"],
                 )
 
-    schema = "doc_id bigint, rid bigint, ids array<bigint>, starts array<int>, sizes array<int>"
+    schema = "doc_id bigint, rid bigint, no_id boolean, ids array<bigint>, starts array<int>, sizes array<int>"
     return _row_key(documents).mapInArrow(scan, schema).dropDuplicates(KEY)
 
 
@@ -105,7 +107,7 @@ def sorted_ranks(pairs: DataFrame) -> DataFrame:
 
 
 def later_copies(sequences: DataFrame) -> DataFrame:
-    """doc_id, rid, start, size: the shortest runs that stand in the text before."""
+    """doc_id, rid, no_id, start, size: the shortest runs that stand in the text before."""
     runs = sequences.select(*KEY, "ids", F.explode(F.arrays_zip("starts", "sizes")).alias("run")).select(
         *KEY, F.col("run.starts").alias("start"), F.col("run.sizes").alias("size"), F.expr("ids[run.starts]").alias("a")
     )
@@ -139,7 +141,7 @@ def later_copies(sequences: DataFrame) -> DataFrame:
     for more in named[1:]:
         every = every.unionByName(more)
     every = write_out(every, "runs")
-    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "rid", "start")
+    place = F.struct("doc_id", "no_id", "rid", "start")
     first = every.groupBy("size", "a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     joined = every.hint("shuffle_merge").join(first, ["size", "a", "b"])
     return joined.where(place > F.col("first")).select(*KEY, "start", "size")
@@ -150,14 +152,14 @@ def dedup_lines(documents: DataFrame, min_words: int = 5) -> DataFrame:
     and n_chars follows the text where it is a column."""
     sequences = write_out(line_sequences(documents, min_words), "sequences")
     spans = later_copies(sequences).groupBy(*KEY).agg(F.collect_set(F.struct("start", "size")).alias("spans"))
-    spans = write_out(spans.select(F.col("doc_id").alias("_doc"), F.col("rid").alias("_rid"), "spans"), "spans")
+    spans = write_out(spans.select(F.col("doc_id").alias("_doc"), F.col("rid").alias("_rid"), F.col("no_id").alias("_no_id"), "spans"), "spans")
     discard(sequences)
     few = spans.count() <= BROADCAST_ROWS // 25
     text = F.col("text").cast("string")
     names = documents.columns
-    hit = documents.join(
-        spans.withColumnRenamed("spans", "_spans").hint("broadcast" if few else "shuffle_merge"), documents["doc_id"].cast("bigint").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_rid")), "left"
-    )
+    doc_id = documents["doc_id"].cast("bigint")
+    same = (F.coalesce(doc_id, F.lit(NO_ID)) == F.col("_doc")) & (F.xxhash64(text) == F.col("_rid")) & (doc_id.isNull() == F.col("_no_id"))
+    hit = documents.join(spans.withColumnRenamed("spans", "_spans").hint("broadcast" if few else "shuffle_merge"), same, "left")
     marked = hit.withColumn("_dead", F.expr("array_distinct(flatten(transform(_spans, x -> sequence(x.start, x.start + x.size - 1))))"))
     kept = _drop_lines(marked, text)
     changed = F.col("_spans").isNotNull()
