@@ -12,8 +12,11 @@ FALLBACK_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    """The folder all executors share: spark.checkpoint.dir. Only a local session (tests) may leave it unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or FALLBACK_DIR
 
 
 def write_out(df: DataFrame, name: str) -> DataFrame:
@@ -34,6 +37,14 @@ def write_out(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fresh_name(names: list[str], stem: str) -> str:
+    """A column name that none of ``names`` equals, whatever their case."""
+    taken = {n.lower() for n in names}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that write_out made and that no later plan reads."""
     for t in tables:

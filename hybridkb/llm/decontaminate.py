@@ -6,17 +6,21 @@ that a match cannot miss is a single shingle: the rarest one of the window, by i
 documents. Steps:
 
 1. One pass over the documents finds the runs of words whose shingles occur in the benchmark at all (a
-   Bloom filter of fixed size, so what is broadcast never grows) and writes each document's word count
-   and runs. Every occurrence of a window lies inside one run.
+   Bloom filter of at most 2 ** MAX_BLOOM_BITS bits) and writes each document's word count, the shingles of
+   its runs, and the runs' words in pieces of some PIECE words. Every occurrence of a window lies inside one run.
 2. Shingles are ordered by rarity over those runs; every window joins on its rarest shingle. The offset of
-   the shingle in the window gives the only possible start; starts outside the run are dropped (the
-   positional and length bounds); the words themselves are then compared.
-3. Verified occurrences are merged per document.
+   the shingle in the window gives the only possible start; a window that would begin before the run or end
+   behind it is dropped (the positional and length bounds). No words travel with the shingles.
+3. The candidates that are left meet the piece in which they begin, and the words themselves are compared.
+4. Verified occurrences are merged per document.
+
+Shingles that stand more than HOT times in the runs are dealt over several salts, and only their windows are copied.
 
 Rows: null text counts as empty; an item or document without words takes no part, and such a document is
-reported with zeros. Repeated rows are reported once each. Items with a null id mark words but are not listed. Extra
-columns are ignored by ``contamination_report`` and kept by ``drop_contaminated``. Empty tables give empty
-reports.
+reported with zeros. Very long texts are whole: their runs are as many pieces as they need. Repeated rows are
+reported once each. Items with a null id mark words but are not listed; repeated items count once. Extra
+columns, whatever their names, are ignored by ``contamination_report`` and kept by ``drop_contaminated``. Empty
+tables give empty reports; with an empty benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -40,15 +44,17 @@ from hybridkb.llm.common import (
     word_spans,
     write_out,
 )
-from hybridkb.llm.verdicts import keep_without
+from hybridkb.llm.verdicts import BROADCAST_ROWS, keep_without
 
 WORD_SEPARATORS = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 SHINGLE = 3
-BLOOM_BITS = 25  # 4 MB, whatever the size of the benchmark
-SALTS = 64
+MIN_BLOOM_BITS, MAX_BLOOM_BITS = 20, 29  # 16 bits a shingle between these bounds: 64 MB at most
+HOT = 20_000  # occurrences of a shingle that go to one salt
+PIECE = 64  # starts of windows that one piece of a run serves
 CHUNK = 2 << 20
 
-RUN = "struct<start:int,text:string,keys:array<struct<pos:int,hash:bigint>>>"
+KEY = "struct<pos:int,hash:bigint,run_start:int,run_stop:int>"
+WORDS = "struct<run_start:int,block:int,first:int,text:string>"
 
 
 def _words(data: np.ndarray, offsets: np.ndarray):
@@ -61,8 +67,8 @@ def _keys(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(shingle_hashes(words, k) ^ np.uint64(k))
 
 
-def _probes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    shift = np.uint64(64 - BLOOM_BITS)
+def _probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    shift = np.uint64(64 - bits)
     return keys >> shift, mix64(keys * BASE) >> shift
 
 
@@ -93,29 +99,32 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return out.dropDuplicates(["item_id", "text"])
 
 
-def _bloom(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """The Bloom filter's words and the shingle sizes in use: at most 2 ** BLOOM_BITS bits in all."""
+def _bloom(windows: DataFrame) -> tuple[np.ndarray, int, list[int]]:
+    """The Bloom filter's words, its size as a power of two, and the shingle sizes in use."""
     keys = windows.select(F.explode("keys.hash").alias("h"), F.least(F.col("n_words"), F.lit(SHINGLE)).alias("k"))
+    different = keys.groupBy("h", "k").agg(F.lit(1).alias("one")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()  # SHINGLE rows at most
+    size = min(max(int(16 * sum(r["n"] for r in different)).bit_length(), MIN_BLOOM_BITS), MAX_BLOOM_BITS)
 
     def bits(batches):
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            both = np.unique(np.concatenate(_probes(h)))
+            both = np.unique(np.concatenate(_probes(h, size)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array((both >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (both & np.uint64(63))).view(np.int64))], names=["slot", "bits"]
             )
 
-    filled = np.zeros(1 << (BLOOM_BITS - 6), dtype=np.uint64)
+    filled = np.zeros(1 << (size - 6), dtype=np.uint64)
     got = keys.select("h").distinct().mapInArrow(bits, "slot bigint, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     filled[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
-    return filled, sorted(r[0] for r in keys.select("k").distinct().collect())
+    return filled, size, sorted(r["k"] for r in different)
 
 
-def document_runs(documents: DataFrame, bloom: np.ndarray, sizes: list[int]) -> DataFrame:
-    """uid, doc_id, n_words, runs: for each document the maximal runs of words in benchmark shingles."""
+def document_runs(documents: DataFrame, bloom: np.ndarray, bloom_bits: int, sizes: list[int], window: int) -> DataFrame:
+    """uid, doc_id, n_words, keys, pieces: for each document the shingles in the maximal runs of words in
+    benchmark shingles, and the runs' words. A piece holds the words of all windows that begin in its block."""
     shared = documents.sparkSession.sparkContext.broadcast(bloom)
-    schema = f"uid bigint, doc_id bigint, n_words bigint, runs array<{RUN}>"
-    run_type = pa.list_(pa.struct([("start", pa.int32()), ("text", pa.string()), ("keys", pa.list_(pa.struct([("pos", pa.int32()), ("hash", pa.int64())])))]))
+    schema = f"uid bigint, doc_id bigint, n_words bigint, keys array<{KEY}>, pieces array<{WORDS}>"
+    piece_type = pa.list_(pa.struct([("run_start", pa.int32()), ("block", pa.int32()), ("first", pa.int32()), ("text", pa.string())]))
 
     def scan(batches):
         bits = shared.value
@@ -125,19 +134,18 @@ def document_runs(documents: DataFrame, bloom: np.ndarray, sizes: list[int]) ->
                 batch = whole.slice(at, n)
                 data, offs = text_buffers(batch.column(1))
                 lower, s, e, first, h = _words(data, offs)
-                found = {}
+                found = []
                 marks = np.zeros(len(s) + 1, dtype=np.int32)
                 doc = np.repeat(np.arange(n), np.diff(first))
                 for k in sizes:
                     keys = _keys(h, k)
-                    a, b = _probes(keys)
+                    a, b = _probes(keys, bloom_bits)
                     hit = (bits[a >> np.uint64(6)] >> (a & np.uint64(63))) & (bits[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1)
                     at_word = np.flatnonzero(hit.astype(bool))
                     at_word = at_word[doc[at_word] == doc[at_word + k - 1]]
                     np.add.at(marks, at_word, 1)
                     np.add.at(marks, at_word + k, -1)
-                    for p in at_word.tolist():
-                        found.setdefault(p, []).append(int(keys[p].view(np.int64)))
+                    found.append((at_word, keys[at_word].view(np.int64)))
                 covered = np.cumsum(marks[:-1]) > 0
                 cut = np.ones(len(s) + 1, dtype=bool)
                 cut[1:-1] = doc[1:] != doc[:-1]
@@ -145,14 +153,26 @@ def document_runs(documents: DataFrame, bloom: np.ndarray, sizes: list[int]) ->
                 left[1:], right[:-1] = covered[:-1], covered[1:]
                 opens = np.flatnonzero(covered & (~left | cut[:-1]))
                 closes = np.flatnonzero(covered & (~right | cut[1:])) + 1
-                runs: list[list] = [[] for _ in range(n)]
+                pieces: list[list] = [[] for _ in range(n)]
                 for a, b in zip(opens.tolist(), closes.tolist(), strict=True):
                     d = int(doc[a])
                     base = int(first[d])
-                    text = " ".join(bytes(lower[x:y]).decode("utf-8", "replace") for x, y in zip(s[a:b], e[a:b], strict=True))
-                    runs[d].append({"start": a - base, "text": text, "keys": [{"pos": p - base, "hash": v} for p in range(a, b) for v in found.get(p, ())]})
+                    for block in range((a - base) // PIECE, (b - 1 - base) // PIECE + 1):
+                        x, y = max(a, base + block * PIECE), min(b, base + (block + 1) * PIECE + window - 1)
+                        text = " ".join(bytes(lower[i:j]).decode("utf-8", "replace") for i, j in zip(s[x:y].tolist(), e[x:y].tolist(), strict=True))
+                        pieces[d].append({"run_start": a - base, "block": block, "first": x - base, "text": text})
+                places, hashes = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
+                order = np.argsort(places, kind="stable")
+                places, hashes = places[order], hashes[order]
+                base = first[doc[places]]
+                run = np.searchsorted(opens, places, side="right") - 1
+                kinds = (np.int32, np.int64, np.int32, np.int32)
+                fields = [pa.array(v.astype(t)) for v, t in zip((places - base, hashes, opens[run] - base, closes[run] - base), kinds, strict=True)]
+                keyed = pa.StructArray.from_arrays(fields, names=["pos", "hash", "run_start", "run_stop"])
+                ends = np.searchsorted(places, first).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(uid, uid + n)), batch.column(0), pa.array(np.diff(first)), pa.array(runs, type=run_type)], names=["uid", "doc_id", "n_words", "runs"]
+                    [pa.array(np.arange(uid, uid + n)), batch.column(0), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(ends), keyed), pa.array(pieces, type=piece_type)],
+                    names=["uid", "doc_id", "n_words", "keys", "pieces"],
                 )
                 uid += n
 
@@ -160,40 +180,35 @@ def document_runs(documents: DataFrame, bloom: np.ndarray, sizes: list[int]) ->
 
 
 def occurrences(runs: DataFrame, windows: DataFrame) -> DataFrame:
-    """uid, item_id, start, n_words: every verified occurrence of a window in a document."""
-    keyed = runs.select("uid", F.explode("runs").alias("run")).select(
-        "uid",
-        F.col("run.start").alias("run_start"),
-        F.col("run.text").alias("run_text"),
-        F.explode("run.keys").alias("key"),
-    )
-    rarity = keyed.groupBy(F.col("key.hash").alias("hash")).agg(F.count(F.lit(1)).alias("n_seen"))
+    """uid, item_id, start, size: every verified occurrence of a window in a document."""
+    keyed = runs.select("uid", F.explode("keys").alias("key")).select("uid", "key.*")
+    rarity = keyed.groupBy("hash").agg(F.count(F.lit(1)).alias("n_seen"))
     parts = windows.select("item_id", "text", "n_words", F.size("keys").alias("n_keys"), F.explode("keys").alias("key")).select(
         "item_id", "text", "n_words", "n_keys", F.col("key.off").alias("off"), F.col("key.hash").alias("hash")
     )
     # A window with a shingle that no document has cannot occur; of the others, the rarest shingle is the prefix.
-    prefix = (
+    prefix = write_out(
         parts.hint("shuffle_merge")
         .join(rarity, "hash")
         .groupBy("item_id", "text", "n_words", "n_keys")
         .agg(F.count(F.lit(1)).alias("n_found"), F.min(F.struct("n_seen", "hash", "off")).alias("rarest"))
         .where("n_found = n_keys")
-        .select("item_id", "text", "n_words", F.col("rarest.hash").alias("hash"), F.col("rarest.off").alias("off"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    probe = keyed.select("uid", "run_start", "run_text", F.col("key.pos").alias("pos"), F.col("key.hash").alias("hash")).withColumn(
-        "salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")
+        .select("item_id", "text", "n_words", F.col("rarest.hash").alias("hash"), F.col("rarest.off").alias("off"), F.ceil(F.col("rarest.n_seen") / HOT).cast("int").alias("salts")),
+        "prefix",
     )
+    hot = write_out(prefix.where("salts > 1").select("hash", "salts").distinct(), "hot")
+    dealt = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    probe = keyed.join(hot.hint("broadcast" if hot.count() <= BROADCAST_ROWS else "shuffle_merge"), "hash", "left")
+    probe = probe.withColumn("salt", F.pmod(F.xxhash64("uid", "pos"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     start = F.col("pos") - F.col("off")
-    words = F.split("run_text", " ")
-    return (
-        probe.hint("shuffle_merge")
-        .join(prefix, ["hash", "salt"])
-        .where(start >= F.col("run_start"))
-        .where(start + F.col("n_words") <= F.col("run_start") + F.size(words))
-        .where(F.array_join(F.slice(words, start - F.col("run_start") + 1, F.col("n_words")), " ") == F.col("text"))
-        .select("uid", "item_id", start.alias("start"), F.col("n_words").alias("size"))
-    )
+    met = probe.hint("shuffle_merge").join(dealt, ["hash", "salt"]).where((start >= F.col("run_start")) & (start + F.col("n_words") <= F.col("run_stop")))
+    met = met.select("uid", "run_start", F.floor(start / PIECE).cast("int").alias("block"), "item_id", "text", "n_words", start.alias("start"))
+    words = runs.select("uid", F.explode("pieces").alias("piece")).select("uid", "piece.run_start", "piece.block", "piece.first", F.split("piece.text", " ").alias("words"))
+    # The optimizer may compare before it joins or filters, so a place outside the piece is no error here.
+    at = F.col("start") - F.col("first")
+    same = F.when((at >= 0) & (at + F.col("n_words") <= F.size("words")), F.array_join(F.slice("words", F.greatest(at, F.lit(0)) + 1, F.col("n_words")), " ") == F.col("text"))
+    found = met.hint("shuffle_merge").join(words, ["uid", "run_start", "block"])
+    return found.where(F.coalesce(same, F.lit(False))).select("uid", "item_id", "start", F.col("n_words").alias("size"))
 
 
 def _covered(spans: Column) -> Column:
@@ -209,8 +224,8 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame, window: int
     """doc_id, n_words, n_hit, n_items, items, contaminated for every document; contaminated means that some
     word is hit and ``share * n_hit >= n_words``."""
     windows = write_out(benchmark_windows(benchmark, window), "windows")
-    bloom, sizes = _bloom(windows)
-    runs = write_out(document_runs(documents, bloom, sizes), "runs")
+    bloom, bloom_bits, sizes = _bloom(windows)
+    runs = write_out(document_runs(documents, bloom, bloom_bits, sizes, window), "runs")
     hits = (
         occurrences(runs, windows)
         .groupBy("uid")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from hybridkb.llm.common import mix64, slices_by_bytes
+from hybridkb.llm.common import fresh_name, mix64, slices_by_bytes
 
 BUCKET_BITS = 20
 SIZES = (3, 4, 5, 6)
@@ -157,5 +157,5 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, max_per_class: int =
 def drop_toxic(documents: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """The documents scored below the threshold, with all their columns."""
     weights = train(documents, labels, max_per_class)
-    names = documents.columns
-    return documents.withColumn("_score", toxicity_score(documents, weights)).where(F.col("_score") < threshold).select(*names)
+    score = fresh_name(documents.columns, "score")
+    return documents.withColumn(score, toxicity_score(documents, weights)).where(F.col(score) < threshold).drop(score)

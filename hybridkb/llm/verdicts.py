@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hybridkb.llm.common import write_out
+from hybridkb.llm.common import fresh_name, write_out
 
 BROADCAST_ROWS = 250_000  # ids of 8 bytes: some 4 MB in memory at most
 
@@ -13,6 +13,7 @@ BROADCAST_ROWS = 250_000  # ids of 8 bytes: some 4 MB in memory at most
 def keep_without(documents: DataFrame, rejected: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents whose key is not in ``rejected`` (a null key is matched by a null). The ids are counted first:
     up to BROADCAST_ROWS of them are broadcast, more are shuffled."""
-    ids = write_out(rejected.select(F.col(key).alias("_rejected")).distinct(), "rejected")
+    name = fresh_name(documents.columns, "rejected")
+    ids = write_out(rejected.select(F.col(key).alias(name)).distinct(), "rejected")
     hint = "broadcast" if ids.count() <= BROADCAST_ROWS else "shuffle_merge"
-    return documents.join(ids.hint(hint), documents[key].eqNullSafe(ids["_rejected"]), "left_anti")
+    return documents.join(ids.hint(hint), documents[key].eqNullSafe(ids[name]), "left_anti")

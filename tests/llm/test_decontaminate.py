@@ -48,3 +48,27 @@ def test_short_items_ties_and_odd_rows(spark, odd_documents, no_documents):
     kept = drop_contaminated(odd_documents, items)
     assert kept.columns == odd_documents.columns
     assert {r.doc_id for r in kept.collect()} == {2, 3, 5, 7, 9}
+
+
+def test_windows_that_begin_before_their_run_or_end_behind_it(spark, monkeypatch):
+    from hybridkb.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "PIECE", 4)
+    monkeypatch.setattr(decontaminate, "HOT", 2)
+    item = "zulu yankee xray whiskey victor uniform tango sierra romeo quebec papa oscar november"
+    w = item.split()
+    docs = [
+        (1, " ".join(w[1:])),
+        (2, " ".join(w[:12])),
+        (3, "yankee xray whiskey"),
+        (4, "filler " + " ".join(w[1:]) + " more words here zulu yankee"),
+        (5, f"before {item} {item} behind and {' '.join(w[1:])} end"),
+        *((n, " ".join(w[2:9])) for n in range(10, 16)),
+        (20, " ".join([item] * 30)),
+    ]
+    items = [("a", item), ("b", item + " mike lima"), ("c", " ".join(w[3:5])), (None, "papa oscar")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = [(r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in contamination_report(*frames).collect()]
+    assert sorted(got) == sorted((d, n, hit, bad) for d, n, hit, _, bad in brute(docs, items))
+    dropped = {d for d, *_, bad in brute(docs, items) if bad}
+    assert {r.doc_id for r in drop_contaminated(*frames).collect()} == {d for d, _ in docs} - dropped
