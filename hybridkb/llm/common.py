@@ -48,11 +48,14 @@ def fresh_name(names: list[str], stem: str) -> str:
 def discard(*tables: DataFrame) -> None:
     """Delete tables that write_out made and that no later plan reads."""
     for t in tables:
-        path = getattr(t, "_written_path", None)
-        if path:
-            spark = t.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        delete_folder(t.sparkSession, getattr(t, "_written_path", None))
+
+
+def delete_folder(spark: SparkSession, path: str | None) -> None:
+    """Delete a folder of the shared file system, if one is given."""
+    if path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 # --- numpy kernels -------------------------------------------------------------------------------
