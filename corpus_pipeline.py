@@ -1,7 +1,11 @@
 """A corpus pipeline over ``documents``: each stage is one operator, written out and reread by the next.
 
-Every stage works on all that its predecessor kept. All but the last return the columns of documents; the
-last adds the token ids.
+Every stage works on all that its predecessor kept. All but the last return the columns of documents, extra
+ones included; the last adds the token ids as ``ids``. A stage's folder goes when the next one is written.
+
+Null and empty texts pass every stage (they are neither toxic, nor copies, nor contaminated) and end with no
+tokens; rows with a null doc_id pass the filters that work by id, but lose repeated lines. Repeated rows are
+kept or dropped together, as decisions are by doc_id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hybridkb.llm.common import shared_dir
+from hybridkb.llm.common import delete_folder, shared_dir
 from hybridkb.llm.decontaminate import drop_contaminated
 from hybridkb.llm.line_dedup import dedup_lines
 from hybridkb.llm.neardup import drop_near_duplicates
@@ -19,22 +23,27 @@ from hybridkb.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more go."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go from the texts; all rows stay."""
     return dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id."""
     return drop_near_duplicates(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more are words of benchmark windows go."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay and get the token ids of their texts."""
     return encode_documents(docs)
 
 
@@ -52,11 +61,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each written as Parquet and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     base = f"{shared_dir(spark).rstrip('/')}/hybridkb-pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         path = f"{base}/{k}-{name}"
         out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        delete_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
