@@ -1,11 +1,12 @@
 """SentencePiece (BPE model) encoding and decoding by suffix-array matching.
 
-A batch's texts are cut into units that no piece crosses (a run of spaces with the word behind it, up to
-a mark that no piece joins to a letter; a newline or a NUL); each different unit is encoded once:
+A batch's texts are cut into units that no piece crosses (a run of spaces with the word behind it; a newline
+or a NUL). A unit's occurrences share one entry, so the batch text that is indexed is the concatenation of its
+different new units (cut further at marks that no piece joins to a letter):
 
-1. the units' characters lie one after the other, and their suffixes are sorted by prefix doubling to the
-   length of the longest piece;
-2. every piece is binary-searched for its range of occurrences, character by character, all pieces at once;
+1. the units' characters lie one after the other, and their suffixes are sorted to the length of the longest
+   piece, by words of as many characters as 62 bits hold;
+2. every piece is binary-searched for its range of occurrences, all pieces at once;
 3. the occurrences become edges, sorted by the place where they end;
 4. the edges are relaxed in that order, all units in step. BPE has one result for each prefix of a unit: the
    edge that ends there and whose piece is compatible with the last piece of the prefix before it. Two pieces
@@ -13,13 +14,15 @@ a mark that no piece joins to a letter; a newline or a NUL); each different unit
    place, and the path is read backwards.
 
 Characters that are no piece become their UTF-8 bytes (byte fallback). The result is the same as the
-library's. Null and empty texts have no tokens. U+2581 in a text decodes to a space, as in the library.
+library's. Null and empty texts have no tokens. U+2581 in a text is a space, as in the library. Repeated rows
+get equal tokens, empty tables stay empty, very long texts are encoded whole; other columns stay as they are,
+but an own column named ``ids`` is replaced by ``encode_documents``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from hybridkb.llm.common import list_column, slices_by_bytes
+from hybridkb.llm.common import list_column, mix64, prefix_hash, slices_by_bytes, span_hash, text_buffers
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SLAB = 3 << 20
 ADD_CHARS = 400_000  # characters of units that are indexed at a time
-CACHED_UNITS = 200_000  # kept between batches by a worker; a bound on memory only
+CACHED_UNITS = 300_000  # kept between batches by a worker; a bound on memory only
+PAIR_BITS = 20  # places of the table of compatible pairs; a bound on memory only
 SPACE_MARK = "\u2581"
 MARKS = ".,;:!?%*#$&|"
 LETTER = r"[^\W\d_¹²³]"
@@ -49,7 +53,8 @@ class Vocabulary:
         # Marks that no piece has behind a letter end a unit there.
         cut = [c for c in MARKS if not any(re.search(LETTER + re.escape(c), p) for p in self.rank)]
         word = f"{SPACE_MARK}*{LETTER}++(?=[{re.escape(''.join(cut))}])|" if cut else ""
-        self.unit = re.compile(f"{word}{SPACE_MARK}*[^{SPACE_MARK}\n\0]+|{SPACE_MARK}+|\n|\0")
+        self.part = re.compile(f"{word}{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+|\n")
+        self.digest = hashlib.sha256(repr((pieces, scores, normal, byte_of)).encode("utf-8", "surrogatepass")).hexdigest()
 
     @classmethod
     def load(cls, model_file: str) -> Vocabulary:
@@ -98,62 +103,105 @@ class Encoder:
         self.ids = np.array([rank[p][1] for p in good], dtype=np.int64)
         self.lengths = np.array([len(p) for p in good], dtype=np.int64)
         self.depth = int(self.lengths.max())
-        self.chars = np.zeros((len(good), self.depth), dtype=np.int64)
+        chars = np.zeros((len(good), self.depth), dtype=np.uint32)
         for i, p in enumerate(good):
-            self.chars[i, : len(p)] = [ord(c) for c in p]
-        self.compatible: dict[int, bool] = {}
+            chars[i, : len(p)] = [ord(c) for c in p]
+        self.alphabet, back = np.unique(chars, return_inverse=True)
+        self.chars = back.reshape(chars.shape)
+        self.pair_code = np.full(1 << PAIR_BITS, -1, dtype=np.int64)
+        self.pair_fits = np.zeros(1 << PAIR_BITS, dtype=bool)
         self.states: dict[int, tuple[list, list, bool]] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[bytes, int] = {}
         self.begin, self.size, self.blob = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def _suffixes(self, text: np.ndarray) -> np.ndarray:
-        """The suffix array of ``text`` (zeros end units), sorted by the first ``depth`` characters at least."""
-        known = np.unique(text)
+        self.used = np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        """Keep the units that more than one batch has used."""
+        keep = self.used > 1
+        place = np.cumsum(keep) - 1
+        self.index = {u: int(place[i]) for u, i in self.index.items() if keep[i]}
+        begin, size = self.begin[keep], self.size[keep]
+        self.blob = self.blob[_ranges(begin, size)]
+        self.size, self.used = size, np.zeros(len(size), np.int32)
+        self.begin = np.cumsum(size) - size
+
+    def _suffixes(self, code: np.ndarray, left: np.ndarray, bits: int, per: int) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix array of the units (code 0 ends a unit, left counts the characters before it), sorted to
+        ``depth`` characters, and the word of the first ``per`` characters at each place."""
+        n = len(code)
+        word = np.zeros(n, dtype=np.int64)
+        for j in range(per):
+            word <<= bits
+            if j < n:
+                word[: n - j] |= np.where(left[: n - j] > j, code[j:], 0)
+        order = np.argsort(word)
+        first = word[order]
+        group = np.concatenate(([0], np.cumsum(first[1:] != first[:-1])))
+        at = np.arange(n)
+        for level in range(1, -(-self.depth // per)):
+            # What is tied and goes on is sorted by its next word.
+            tied = np.zeros(len(at), dtype=bool)
+            same = group[1:] == group[:-1]
+            tied[1:] |= same
+            tied[:-1] |= same
+            tied &= left[order[at]] > level * per
+            at, group = at[tied], group[tied]
+            if not len(at):
+                break
+            rows = order[at]
+            following = word[rows + level * per]
+            by = np.lexsort((following, group))
+            order[at] = rows[by]
+            following, group = following[by], group[by]
+            group = np.concatenate(([0], np.cumsum((group[1:] != group[:-1]) | (following[1:] != following[:-1]))))
+        return order, word
+
+    def _occurrences(self, code: np.ndarray, known: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, start) of all pieces in the indexed text."""
         bits = int(len(known)).bit_length()
-        packed = np.searchsorted(known, text).astype(np.int64) + 1
-        h = 1
-        while 2 * h * bits <= 62:  # doubling by packing, as long as a word holds both halves
-            second = np.zeros_like(packed)
-            second[:-h] = packed[h:]
-            packed = (packed << (h * bits)) | second
-            h *= 2
-        rank = np.unique(packed, return_inverse=True)[1].astype(np.int64)
-        while h < self.depth:
-            second = np.zeros_like(rank)
-            second[:-h] = rank[h:] + 1
-            rank = np.unique(rank * (int(rank.max()) + 2) + second, return_inverse=True)[1].astype(np.int64)
-            h *= 2
-        return np.argsort(rank, kind="stable")
-
-    def _ranges(self, text: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pieces that occur, with the bounds of their suffixes."""
-        piece = np.arange(len(self.ids))
-        lo, hi = np.zeros(len(piece), np.int64), np.full(len(piece), len(text), np.int64)
-        done = []
-        padded = np.concatenate([text, np.zeros(self.depth, np.int64)])
-        for t in range(self.depth):
-            c = self.chars[piece, t]
-            bounds = []
-            for upper in (False, True):
-                a, b = lo.copy(), hi.copy()
-                while (open_ := a < b).any():
-                    mid = (a + b) >> 1
-                    seen = padded[suffixes[np.minimum(mid, len(text) - 1)] + t]
-                    right = open_ & ((seen <= c) if upper else (seen < c))
-                    a, b = np.where(right, mid + 1, a), np.where(open_ & ~right, mid, b)
-                bounds.append(a)
-            lo, hi = bounds
-            over = self.lengths[piece] == t + 1
-            found = lo < hi
-            done.append((piece[over & found], lo[over & found], hi[over & found]))
-            going = found & ~over
-            piece, lo, hi = piece[going], lo[going], hi[going]
+        per = 62 // bits
+        suffixes, word = self._suffixes(code, left, bits, per)
+        first = word[suffixes]
+        here = np.minimum(np.searchsorted(known, self.alphabet), len(known) - 1)
+        codes = np.where(known[here] == self.alphabet, here, -1)
+        codes[self.alphabet == 0] = 0
+        codes = codes[self.chars]
+        piece = np.flatnonzero((codes >= 0).all(axis=1))
+        codes = codes[piece]
+        lo, hi = np.zeros(len(piece), np.int64), np.full(len(piece), len(suffixes), np.int64)
+        found = []
+        for level in range(-(-self.depth // per)):
+            part = codes[:, level * per : (level + 1) * per]
+            least = np.zeros(len(piece), dtype=np.int64)
+            for j in range(per):
+                least = (least << bits) | (part[:, j] if j < part.shape[1] else 0)
+            rest = np.clip(per - (self.lengths[piece] - level * per), 0, per) * bits
+            most = least + (np.int64(1) << rest) - 1
+            if level == 0:
+                lo, hi = np.searchsorted(first, least, side="left"), np.searchsorted(first, most, side="right")
+            else:
+                lo, hi = (self._bisect(lo, hi, suffixes, word, left, level * per, bound, upper) for bound, upper in ((least, False), (most, True)))
+            over = self.lengths[piece] <= (level + 1) * per
+            some = lo < hi
+            found.append((piece[over & some], lo[over & some], hi[over & some]))
+            going = some & ~over
+            piece, codes, lo, hi = piece[going], codes[going], lo[going], hi[going]
             if not len(piece):
                 break
-        return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+        piece, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+        return np.repeat(piece, hi - lo), suffixes[_ranges(lo, hi - lo)]
+
+    @staticmethod
+    def _bisect(lo, hi, suffixes, word, left, skip: int, bound: np.ndarray, upper: bool) -> np.ndarray:
+        """In each range of suffixes, the first whose word behind ``skip`` characters reaches (passes, if upper) the bound."""
+        a, b = lo.copy(), hi.copy()
+        while (open_ := a < b).any():
+            mid = (a + b) >> 1
+            at = suffixes[np.minimum(mid, len(suffixes) - 1)]
+            seen = np.where(left[at] > skip, word[np.minimum(at + skip, len(word) - 1)], 0)
+            right = open_ & ((seen <= bound) if upper else (seen < bound))
+            a, b = np.where(right, mid + 1, a), np.where(open_ & ~right, mid, b)
+        return a
 
     def _side_by_side(self, a: int, b: int) -> bool:
         """Whether merging the characters of both pieces gives just the two: whether no merge across their
@@ -173,53 +221,52 @@ class Encoder:
         return True
 
     def _allowed(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether pieces (by id) can stand side by side; NONE never, START always."""
+        """Whether pieces (by id) can stand side by side; START always. Verdicts are kept in a table that newer
+        pairs overwrite."""
         size = len(self.v.pieces)
         code = left * size + right
-        ok = left == START
-        ask = np.flatnonzero(left >= 0)
-        pairs, back = np.unique(code[ask], return_inverse=True)
-        known = self.compatible
-        verdict = np.empty(len(pairs), dtype=bool)
-        for i, pair in enumerate(pairs.tolist()):
-            yes = known.get(pair)
-            if yes is None:
-                yes = known[pair] = self._side_by_side(pair // size, pair % size)
-            verdict[i] = yes
-        ok[ask] = verdict[back]
+        slot = (mix64(code.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        ok = self.pair_fits[slot]
+        ask = np.flatnonzero((self.pair_code[slot] != code) & (left >= 0))
+        if len(ask):
+            pairs, at, back = np.unique(code[ask], return_index=True, return_inverse=True)
+            fits = np.array([self._side_by_side(pair // size, pair % size) for pair in pairs.tolist()], dtype=bool)
+            ok[ask] = fits[back]
+            self.pair_code[slot[ask[at]]], self.pair_fits[slot[ask[at]]] = pairs, fits
+        ok[left == START] = True
         return ok
 
-    def add(self, units: list[str]) -> None:
-        """Encode units that are not known yet, some 100,000s of characters at a time."""
-        if len(self.compatible) > CACHED_UNITS:
-            self.compatible.clear()
-        size, at = 0, 0
-        for i, u in enumerate(units):
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, tokens of each part), some 100,000s of characters at a time."""
+        tokens, sizes, size, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0, 0
+        for i, u in enumerate(parts):
             size += len(u) + 1
-            if size >= ADD_CHARS or i == len(units) - 1:
-                self._add(units[at : i + 1])
+            if size >= ADD_CHARS or i == len(parts) - 1:
+                t, n = self._index_and_relax(parts[at : i + 1])
+                tokens.append(t)
+                sizes.append(n)
                 size, at = 0, i + 1
+        return np.concatenate(tokens), np.concatenate(sizes)
 
-    def _add(self, units: list[str]) -> None:
-        text = np.frombuffer(("\0".join(units) + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    def _index_and_relax(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = np.frombuffer(("\0".join(units) + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         sizes = np.array([len(u) for u in units], dtype=np.int64)
         first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-        unit = np.repeat(np.arange(len(units)), sizes + 1)
-        suffixes = self._suffixes(text)
-        piece, lo, hi = self._ranges(text, suffixes)
-        counts = hi - lo
-        start = suffixes[np.repeat(lo - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())]
-        token = np.repeat(self.ids[piece], counts)
-        del suffixes
-        stop = start + np.repeat(self.lengths[piece], counts)
+        unit_first = np.repeat(first, sizes + 1)
+        left = np.repeat(first + sizes, sizes + 1) - np.arange(len(text))
+        # A unit may be a NUL itself, so ends are told by place and not by value.
+        codes = np.where(left > 0, text.astype(np.int64) + 1, 0)
+        known = np.unique(codes)
+        piece, start = self._occurrences(np.searchsorted(known, codes), np.maximum(known - 1, 0).astype(np.uint32), left)
+        token = self.ids[piece]
+        stop = start + self.lengths[piece]
         # Characters without a piece: one edge of their own, which separates what stands beside it.
-        lone = np.ones(len(text), dtype=bool)
+        lone = left > 0
         lone[start[stop - start == 1]] = False
-        lone[first + sizes] = False
         lone = np.flatnonzero(lone)
         start, stop, token = np.concatenate([start, lone]), np.concatenate([stop, lone + 1]), np.concatenate([token, np.full(len(lone), START)])
-        place = stop - first[unit[start]]
-        order = np.argsort(place, kind="stable")
+        place = stop - unit_first[start]
+        order = np.argsort(place.astype(np.uint16) if place.max(initial=0) < 1 << 16 else place, kind="stable")
         start, stop, token, place = start[order], stop[order], token[order], place[order]
         last = np.full(len(text) + 1, NONE, dtype=np.int64)  # the last piece of the prefix that ends here
         came = np.zeros(len(text) + 1, dtype=np.int64)
@@ -228,8 +275,9 @@ class Encoder:
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             s, e, t = start[a:b], stop[a:b], token[a:b]
             before = last[s]
-            ok = np.where(t == START, before != NONE, False)
-            ok[t >= 0] = self._allowed(before[t >= 0], t[t >= 0])
+            ok = before != NONE
+            asked = np.flatnonzero(ok & (t >= 0))
+            ok[asked] = self._allowed(before[asked], t[asked])
             s, e, t = s[ok], e[ok], t[ok]
             last[e], came[e] = t, s
         # Backwards, all units in step.
@@ -252,56 +300,120 @@ class Encoder:
         tokens = np.repeat(t, n).astype(np.int32)
         if len(alone):
             tokens[np.repeat(t, n) == START] = np.concatenate(coded)
-        size = np.bincount(u, weights=n, minlength=len(units)).astype(np.int64)
+        return tokens, np.bincount(u, weights=n, minlength=len(units)).astype(np.int64)
+
+    def _add(self, units: list[bytes]) -> None:
+        """Encode units that are not known yet."""
+        alone = [i for i, u in enumerate(units) if u in (b"\n", b"\0")]
+        words = [u for u in units if u not in (b"\n", b"\0")]
+        # One line for each unit; the line ends tell which parts are whose.
+        parts = self.v.part.findall((b"\n".join(words) + b"\n").decode("utf-8", "surrogatepass").replace(" ", SPACE_MARK)) if words else []
+        number = dict.fromkeys(parts) | dict.fromkeys(["\n", "\0"])
+        number = dict(zip(number, range(len(number)), strict=True))
+        which = np.array(list(map(number.__getitem__, parts)), dtype=np.int64)
+        line = which == number["\n"]
+        per = np.diff(np.flatnonzero(line), prepend=-1) - 1
+        which = which[~line]
+        for i in alone:  # a newline or NUL is its own part
+            at = int(per[:i].sum())
+            per, which = np.insert(per, i, 1), np.insert(which, at, number[units[i].decode()])
+        tokens, n = self._encode_parts(list(number))
+        begin = np.cumsum(n) - n
+        own = np.concatenate(([0], np.cumsum(n[which])))[np.concatenate(([0], np.cumsum(per)))]
         base = len(self.size)
-        self.begin = np.concatenate([self.begin, len(self.blob) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.blob = np.concatenate([self.blob, tokens])
+        self.begin = np.concatenate([self.begin, len(self.blob) + own[:-1]])
+        self.size = np.concatenate([self.size, np.diff(own)])
+        self.used = np.concatenate([self.used, np.zeros(len(units), np.int32)])
+        self.blob = np.concatenate([self.blob, tokens[_ranges(begin[which], n[which])]])
         self.index.update(zip(units, range(base, base + len(units)), strict=True))
 
-    def encode(self, texts: list[str | None]) -> pa.ListArray:
-        units: list[str] = []
-        per = np.zeros(len(texts), dtype=np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                found = self.v.unit.findall(SPACE_MARK + t.replace(" ", SPACE_MARK))
-                units += found
-                per[i] = len(found)
-        different = set(units)
-        if len(self.index) + len(different) > CACHED_UNITS:
-            self.forget()
-        new = [u for u in different if u not in self.index]
-        if new:
-            self.add(new)
-        number = np.fromiter(map(self.index.__getitem__, units), dtype=np.int64, count=len(units))
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        data, offs = text_buffers(texts)
+        filled = np.diff(offs) > 0
+        # Every text that is not empty gets a space in front.
+        data = np.insert(data, offs[:-1][filled], 0x20)
+        offs = offs + np.concatenate(([0], np.cumsum(filled)))
+        mark = SPACE_MARK.encode()
+        raw = data.tobytes()
+        if mark in raw:
+            cut = offs.tolist()
+            pieces = [raw[a:b].replace(mark, b" ") for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            raw = b"".join(pieces)
+            data, offs = np.frombuffer(raw, dtype=np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in pieces])))
+        start = _unit_starts(data, offs)
+        stop = np.concatenate((start[1:], [len(data)])) if len(start) else start
+        number = self._numbers(raw, data, start, stop)
         n = self.size[number]
-        total = np.concatenate(([0], np.cumsum(n)))
-        tokens = self.blob[np.repeat(self.begin[number] - total[:-1], n) + np.arange(total[-1])]
-        ends = total[np.cumsum(per)]
-        return list_column(tokens, np.diff(ends, prepend=0), pa.int32())
-
-
-@cache
-def _encoder(key: int) -> list:
-    return []
-
-
-def _worker_encoder(shared) -> Encoder:
-    """One encoder for each worker and vocabulary, kept between tasks."""
-    slot = _encoder(shared._jbroadcast_id if hasattr(shared, "_jbroadcast_id") else id(shared))
-    if not slot:
-        slot.append(Encoder(shared.value))
-    return slot[0]
+        tokens = self.blob[_ranges(self.begin[number], n)]
+        ends = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(start, offs)]
+        return list_column(tokens, np.diff(ends), pa.int32())
+
+    def _numbers(self, raw: bytes, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The entry of each unit data[start:stop]. Units are gathered by their hash, length and edges, then
+        looked up by their bytes."""
+        if not len(start):
+            return start
+        key = span_hash(prefix_hash(data), start, stop)
+        padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+        words = np.lib.stride_tricks.as_strided(padded.view(np.uint8), shape=(len(data) + 9, 8), strides=(1, 1))
+        length = stop - start
+        _, at, back = np.unique(key, return_index=True, return_inverse=True)
+        lead = at[back]
+        for edge in (words[start + 8], words[stop]):
+            edge = np.ascontiguousarray(edge).view(np.uint64).ravel()
+            if not ((edge == edge[lead]) | (length < 8)).all():
+                raise ArithmeticError("two units share a 64-bit hash")
+        if not (length == length[lead]).all():
+            raise ArithmeticError("two units share a 64-bit hash")
+        units = [raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)]
+        if len(self.index) + len(units) > CACHED_UNITS:
+            self._forget()
+        get = self.index.get
+        entry = np.array([get(u, -1) for u in units], dtype=np.int64)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            base = len(self.size)
+            self._add([units[i] for i in new.tolist()])
+            entry[new] = np.arange(base, base + len(new))
+        self.used[entry] += 1
+        return entry[back]
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for size[0] numbers, and so on."""
+    total = np.cumsum(size)
+    return np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+
+
+def _unit_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where units begin: at a text's start, at the first of a run of spaces, at and behind a newline or NUL."""
+    space, alone = data == 0x20, (data == 0x0A) | (data == 0)
+    begins = alone.copy()
+    begins[1:] |= alone[:-1] | (space[1:] & ~space[:-1])
+    begins[offs[:-1][np.diff(offs) > 0]] = True
+    return np.flatnonzero(begins)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _worker_encoder(digest: str, shared) -> Encoder:
+    """A worker's encoder of the vocabulary with this digest, kept between tasks; one at a time."""
+    if digest not in _encoders:
+        _encoders.clear()
+        _encoders[digest] = Encoder(shared.value)
+    return _encoders[digest]
 
 
 def encode_column(documents: DataFrame, text: str = "text", model_file: str = MODEL_FILE) -> Column:
     """The token ids of a text column, as array<int>."""
-    shared = documents.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file))
+    vocabulary = Vocabulary.load(model_file)
+    digest, shared = vocabulary.digest, documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     @arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        encoder = _worker_encoder(shared)
-        parts = [encoder.encode(texts.slice(at, n).to_pylist()) for at, n in slices_by_bytes(texts, SLAB)]
+        encoder = _worker_encoder(digest, shared)
+        parts = [encoder.encode(texts.slice(at, n)) for at, n in slices_by_bytes(texts, SLAB)]
         return pa.concat_arrays(parts) if parts else pa.array([], type=pa.list_(pa.int32()))
 
     return encode(F.col(text).cast("string"))

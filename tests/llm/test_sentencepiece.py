@@ -28,6 +28,20 @@ def test_side_by_side_is_what_merging_says():
         assert e._side_by_side(a, b) == (merge(v.rank, v.pieces[a] + v.pieces[b]) == [v.pieces[a], v.pieces[b]])
 
 
+def test_batches_reuse_and_forget_units(monkeypatch):
+    import pyarrow as pa
+
+    from hybridkb.llm import sentencepiece_sa
+
+    monkeypatch.setattr(sentencepiece_sa, "CACHED_UNITS", 40)
+    monkeypatch.setattr(sentencepiece_sa, "ADD_CHARS", 50)
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL_FILE)
+    e, rnd = Encoder(Vocabulary.load(MODEL_FILE)), random.Random(3)
+    for _ in range(30):
+        texts = [" ".join("".join(rnd.choice("aehstn,.-é日") for _ in range(rnd.randint(1, 12))) for _ in range(rnd.randint(0, 9))) + rnd.choice(["", "\n", " \n\n b", "\0x"]) for _ in range(4)]
+        assert e.encode(pa.array([*texts, None, ""])).to_pylist() == [*(sp.encode(t) for t in texts), [], []]
+
+
 def test_odd_rows(odd_documents, no_documents):
     coded = encode_documents(odd_documents)
     assert coded.count() == odd_documents.count() and set(coded.columns) == set(odd_documents.columns)
