@@ -7,6 +7,9 @@ import numpy as np
 from hybridkb.llm.common import powers, prefix_hash
 
 
+CHUNK = 1 << 14  # suffixes that are compared at a time
+
+
 class RunLengthIndex:
     """Texts lie one after the other, each ended by a 0; other symbols are 1 + byte + 256 * family, and
     only texts and patterns of one family can match. Equal suffixes are
@@ -52,18 +55,26 @@ class RunLengthIndex:
         return np.argsort(rank, kind="stable")
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of the suffixes at a and b, at most ``most``."""
+        """Length of the common prefix of the suffixes at a and b, at most ``most``: found by hash, then held
+        against the symbols, which can only shorten it."""
         n, h = len(self.text), self.hash
         lo, hi = np.zeros_like(most), np.minimum(most, n - np.maximum(a, b))
         down = powers(n + 1)[1]
         while True:
             open_ = lo < hi
             if not open_.any():
-                return lo
+                break
             mid = (lo + hi + 1) >> 1
             same = (h[a + mid] - h[a]) * down[a] == (h[b + mid] - h[b]) * down[b]
             lo = np.where(open_ & same, mid, lo)
             hi = np.where(open_ & ~same, mid - 1, hi)
+        for x in range(0, len(lo), CHUNK):
+            n = lo[x : x + CHUNK]
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            differ = np.flatnonzero(self.text[a[x : x + CHUNK][row] + at] != self.text[b[x : x + CHUNK][row] + at])
+            np.minimum.at(lo, x + row[differ], at[differ])
+        return lo
 
     def matching(self, patterns: np.ndarray, ends: np.ndarray, sizes: np.ndarray, cap: int):
         """Stream the patterns backwards, all in step; yields (pattern numbers, starts within them, lengths of

@@ -7,57 +7,65 @@ share of it:
 1. Every string of 100 bytes has an anchor, its leftmost 36-byte substring of least hash. The strings that
    share one anchor occurrence form a segment (some 30 strings, at most 164 bytes). Equal strings have equal
    anchors, so they only ever meet in segments of equal anchors.
-2. Segments that are equal as a whole are settled by a 64-bit hash: the first stays, later ones go. Most
-   copies end here. A batch settles its own first, so a passage that a third of all documents hold reaches
-   the shuffle once for each batch.
-3. Anchors with several different segments remain (the ends of copied passages, edits). Their different
-   segments are gathered by anchor. Group by group, in rounds of halves, a run-length BWT index of the
-   earlier halves is built and the later halves are streamed over it; where the matching statistic is 100 or
-   more, the string starts earlier. Anchors with more than ``GROUP`` different segments (they grow with the
-   corpus) are settled by the hash of each single string instead; again a batch settles its own first.
-4. The removed spans of a document are merged.
+2. Segments that are equal as a whole (by two 64-bit hashes, of the anchor and of all bytes) are one text with
+   several places: the first stays, later ones go. A batch settles its own first, so a passage that a third of
+   all documents hold reaches the shuffle once for each batch; buckets of hashes with very many rows are dealt
+   over salts.
+3. The different segments of anchors that have several (the ends of copied passages, edits) are gathered by
+   anchor. Group by group, in rounds of halves, a run-length BWT index of the earlier halves is built and the
+   later halves are streamed over it; where the matching statistic is 100 or more, the string starts earlier.
+   Matching statistics compare bytes. Segments of which no string occurs twice in the group, by hash, have no
+   match and stay out of the index.
+4. An anchor whose different segments exceed INDEX_BYTES is never one group: its segments are cut again by a
+   longer anchor, and so on; at the latest an anchor as long as the strings tells all different ones apart.
+5. The removed spans of a document are merged.
 
 Null text is empty; a null doc_id counts as largest. Rows that repeat doc_id and text are one document;
 rows that share a doc_id but not the text are only compared with other documents (and with themselves).
-Texts shorter than 100 bytes lose nothing. Empty tables give empty results; other columns are ignored.
+Texts shorter than 100 bytes lose nothing; very long texts are read in pieces that overlap. Empty tables give empty
+results; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hybridkb.llm.common import BASE, GOLDEN, discard, mix64, powers, prefix_hash, slices_by_bytes, span_hash, text_buffers, write_out
+from hybridkb.llm.common import GOLDEN, discard, mix64, powers, prefix_hash, slices_by_bytes, span_hash, text_buffers, write_out
 from hybridkb.llm.run_length_index import RunLengthIndex
 from hybridkb.llm.verdicts import BROADCAST_ROWS
 
 ANCHOR = 36
 SLAB = 2 << 20
-GROUP = 64  # different segments of one anchor that go to one index
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 2 << 20  # of segments that one index is built for
+HASH_BUCKETS = 1 << 16
+HOT, SALTS = 100_000, 64  # rows of a bucket of hashes beyond twice the mean that are dealt over salts
 BROADCAST_BYTES = 32 << 20
 LARGEST = 2**63 - 1
 LOW = np.uint64((1 << 24) - 1)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int):
-    """For each anchor occurrence: its place, the first and last start of its strings, anchor hash, hash of all."""
-    n, w = len(data), length - ANCHOR + 1
+def segments(data: np.ndarray, offsets: np.ndarray, length: int, width: int = ANCHOR):
+    """For each occurrence of an anchor of ``width`` bytes: its place, the first and last start of its strings,
+    anchor hash, hash of all."""
+    n, w = len(data), length - width + 1
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none, none
     h = prefix_hash(data)
-    # Hashes of all 36-byte substrings as in span_hash, in place: a batch's arrays are the memory of a task.
-    order = h[ANCHOR:] - h[:-ANCHOR]
+    # Hashes of all such substrings as in span_hash, in place: a batch's arrays are the memory of a task.
+    order = h[width:] - h[:-width]
     order *= powers(n + 1)[1][: len(order)]
-    order += np.uint64(ANCHOR * int(GOLDEN) % 2**64)
+    order += np.uint64(width * int(GOLDEN) % 2**64)
     order = mix64(order)
     order &= ~LOW
     order |= np.arange(len(order), dtype=np.uint64)
     end = np.repeat(offsets[1:].astype(np.int32), np.diff(offsets))
-    order[np.arange(ANCHOR, n + 1, dtype=np.int32) > end[: len(order)]] |= ~LOW
+    order[np.arange(width, n + 1, dtype=np.int32) > end[: len(order)]] |= ~LOW
     least, size = order, 1
     while size * 2 <= w:
         least = np.minimum(least[:-size], least[size:])
@@ -70,7 +78,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int):
     place = (least[start] & LOW).astype(np.int64)
     cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     lo, hi, place = start[cut], start[np.concatenate((cut[1:], [len(start)])) - 1], place[cut]
-    return place, lo, hi, span_hash(h, place, place + ANCHOR), span_hash(h, lo, hi + length)
+    return place, lo, hi, span_hash(h, place, place + width), span_hash(h, lo, hi + length)
 
 
 def _slabs(batch: pa.RecordBatch, column: int, length: int):
@@ -85,10 +93,11 @@ def _slabs(batch: pa.RecordBatch, column: int, length: int):
                 yield at, 1, piece, np.array([0, len(piece)]), base
 
 
-def _first_of(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the earliest occurrence of each hash, and of all others."""
+def _first_of(hashes: np.ndarray, anchor: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the earliest occurrence of each hash, and of others that have its anchor too."""
     order = np.lexsort((start, doc, hashes))
-    lead = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])) if len(order) else np.zeros(0, bool)
+    change = lambda x: x[order][1:] != x[order][:-1]
+    lead = np.concatenate(([True], change(hashes) | change(anchor))) if len(order) else np.zeros(0, bool)
     return order[lead], order[~lead]
 
 
@@ -125,7 +134,7 @@ def scan_segments(documents: DataFrame, length: int) -> DataFrame:
                 _, lo, hi, anchor, whole = segments(data, offs, length)
                 row = np.searchsorted(offs, lo, side="right") - 1
                 lo, hi = lo - offs[row] + base, hi + length - offs[row] + base
-                first, later = _first_of(whole, doc_all[at + row], lo)
+                first, later = _first_of(whole, anchor, doc_all[at + row], lo)
                 r, a, b = _merged(row[later], lo[later], hi[later])
                 rows = np.concatenate([row[first], r]) + at
                 nulls = np.arange(len(rows)) >= len(first)
@@ -159,7 +168,7 @@ def shared_anchor_texts(documents: DataFrame, bloom, length: int) -> DataFrame:
                 keep = _in_bloom(bits, anchor) if len(anchor) else np.zeros(0, bool)
                 lo, hi, anchor, whole = lo[keep], hi[keep] + length, anchor[keep], whole[keep]
                 row = np.searchsorted(offs, lo, side="right") - 1
-                first, _ = _first_of(whole, doc_all[at + row], lo - offs[row] + base)
+                first, _ = _first_of(whole, anchor, doc_all[at + row], lo - offs[row] + base)
                 row, lo, hi = row[first], lo[first], hi[first]
                 bodies = [data[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -199,6 +208,19 @@ def _bloom(anchors: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _repeating(bodies: list[bytes], length: int) -> np.ndarray:
+    """Which segments hold a string that another one may hold as well, by hash: all that the index must see."""
+    sizes = np.array([len(b) for b in bodies], dtype=np.int64)
+    h = prefix_hash(np.frombuffer(b"".join(bodies), dtype=np.uint8))
+    n = sizes - length + 1
+    seg = np.repeat(np.arange(len(n)), n)
+    begin = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    _, back, count = np.unique(span_hash(h, begin, begin + length), return_inverse=True, return_counts=True)
+    keep = np.zeros(len(n), dtype=bool)
+    keep[seg[count[back] > 1]] = True
+    return np.flatnonzero(keep)
+
+
 def _later_by_index(bodies: list[bytes], group: np.ndarray, length: int) -> np.ndarray:
     """(segment, start, stop) rows, merged: strings of segments that an earlier segment of the group holds.
     Segments are sorted by group and order; groups are halved again and again, all in step."""
@@ -207,6 +229,8 @@ def _later_by_index(bodies: list[bytes], group: np.ndarray, length: int) -> np.n
     ends = np.cumsum(sizes)
     found_seg, found_at = [], []
     cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+    if not len(bodies):
+        return np.zeros((0, 3), np.int64)
     spans = [(a, b, a) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b - a > 1]
     plain = data.astype(np.int32) + 1
     while spans:
@@ -246,7 +270,7 @@ def _settle_groups(shared: DataFrame, length: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         pending = 0
 
-        def flush(rows: list[pa.RecordBatch], final: bool):
+        def flush(rows: list[pa.RecordBatch], final: bool):  # segments of one anchor stay together
             table = pa.Table.from_batches(rows)
             keys = table.column("anchor").to_numpy()
             stop = len(keys) if final else int(np.flatnonzero(keys != keys[-1])[-1] + 1) if (keys != keys[-1]).any() else 0
@@ -254,8 +278,10 @@ def _settle_groups(shared: DataFrame, length: int) -> DataFrame:
             table = table.slice(0, stop)
             if not stop:
                 return None, rest
-            spans = _later_by_index(table.column("body").to_pylist(), keys[:stop], length)
-            seg = spans[:, 0]
+            bodies = table.column("body").to_pylist()
+            kept = _repeating(bodies, length)
+            spans = _later_by_index([bodies[i] for i in kept.tolist()], keys[kept], length)
+            seg = kept[spans[:, 0]]
             doc, rid, lo = (table.column(c).to_numpy() for c in ("doc", "rid", "lo"))
             out = pa.RecordBatch.from_arrays(
                 [pa.array(doc[seg]), pa.array(rid[seg]), pa.array((lo[seg] + spans[:, 1]).astype(np.int32)), pa.array((lo[seg] + spans[:, 2]).astype(np.int32))],
@@ -282,37 +308,50 @@ def _settle_groups(shared: DataFrame, length: int) -> DataFrame:
     return by_anchor.mapInArrow(settle, "doc bigint, rid bigint, lo int, hi int")
 
 
-def _settle_strings(shared: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with many different segments, by the hash of each string."""
+def _later_equals(rows: DataFrame) -> DataFrame:
+    """doc, rid, lo, hi: all but the first of the rows that share anchor and hash of all."""
+    place = ["doc", "rid", "lo"]
+    nth = lambda *keys: F.row_number().over(Window.partitionBy("anchor", "whole", *keys).orderBy(*place))
+    bucket = F.col("whole").bitwiseAND(HASH_BUCKETS - 1)
+    limit = 2 * rows.count() // HASH_BUCKETS + HOT
+    heavy = write_out(rows.groupBy(bucket.alias("heavy")).count().where(F.col("count") > limit).select("heavy"), "heavy")
+    rows = rows.select(*place, "hi", "anchor", "whole")
+    if heavy.isEmpty():
+        return rows.withColumn("nth", nth()).where("nth > 1").select(*place, "hi")
+    # HASH_BUCKETS rows at most are broadcast.
+    dealt = rows.join(F.broadcast(heavy), bucket == F.col("heavy"), "left")
+    salt = F.when(F.col("heavy").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*place), F.lit(SALTS)))
+    dealt = write_out(dealt.withColumn("salt", salt).withColumn("nth", nth("salt")).where("nth > 1 OR salt > 0").drop("heavy"), "dealt")
+    again = dealt.where("nth = 1").withColumn("nth", nth())
+    return dealt.where("nth > 1").select(*place, "hi").unionByName(again.where("nth > 1").select(*place, "hi"))
+
 
-    def strings(batches):
+def _finer_segments(texts: DataFrame, length: int, width: int) -> DataFrame:
+    """doc, rid, anchor, whole, lo, hi, body: segments cut again by anchors of ``width`` bytes."""
+
+    def cut(batches):
         for batch in batches:
-            bodies = batch.column(3).to_pylist()
-            doc, rid, lo = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            sizes = np.array([len(b) for b in bodies], dtype=np.int64)
-            if not len(sizes):
-                continue
-            h = prefix_hash(np.frombuffer(b"".join(bodies), dtype=np.uint8))
-            n = sizes - length + 1
-            seg = np.repeat(np.arange(len(n)), n)
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            begin = np.repeat(np.cumsum(sizes) - sizes, n) + inside
-            string, place = span_hash(h, begin, begin + length), lo[seg] + inside
-            first, later = _first_of(string, doc[seg], place)
-            s, a, b = _merged(seg[later], place[later], place[later] + length)
-            rows = np.concatenate([seg[first], s])
-            settled = np.arange(len(rows)) >= len(first)
-            start = np.concatenate([place[first], a])
-            # Rows that are settled keep to themselves in the window below.
-            key = np.concatenate([string[first], mix64(doc[s].astype(np.uint64) * BASE + a.astype(np.uint64))])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[rows]), pa.array(rid[rows]), pa.array(start.astype(np.int32)), pa.array(np.concatenate([place[first] + length, b]).astype(np.int32)), pa.array(settled), _long_column(key)],
-                names=["doc", "rid", "lo", "hi", "settled", "string"],
-            )
+            for at, n in slices_by_bytes(batch.column(3), SLAB):
+                bodies = batch.column(3).slice(at, n)
+                data, offs = text_buffers(bodies)
+                doc, rid, place = (batch.column(i).slice(at, n).to_numpy(zero_copy_only=False) for i in range(3))
+                _, lo, hi, anchor, whole = segments(data, offs, length, width)
+                hi = hi + length
+                row = np.searchsorted(offs, lo, side="right") - 1
+                found = [data[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                spans = ((place[row] + x - offs[row]).astype(np.int32) for x in (lo, hi))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc[row]), pa.array(rid[row]), _long_column(anchor), _long_column(whole), *map(pa.array, spans), pa.array(found, type=pa.binary())],
+                    names=["doc", "rid", "anchor", "whole", "lo", "hi", "body"],
+                )
+
+    return texts.select("doc", "rid", "lo", "body").mapInArrow(cut, "doc bigint, rid bigint, anchor bigint, whole bigint, lo int, hi int, body binary")
+
 
-    each = shared.select("doc", "rid", "lo", "body").mapInArrow(strings, "doc bigint, rid bigint, lo int, hi int, settled boolean, string bigint")
-    nth = F.row_number().over(Window.partitionBy("settled", "string").orderBy("doc", "rid", "lo"))
-    return each.withColumn("nth", nth).where("settled OR nth > 1").select("doc", "rid", "lo", "hi")
+def _first_texts(texts: DataFrame) -> DataFrame:
+    """doc, rid, lo, anchor, body: the first of the rows that share anchor and hash of all."""
+    first = F.min(F.struct("doc", "rid", "lo", "body"))
+    return texts.groupBy("anchor", "whole").agg(first.alias("s")).select("s.doc", "s.rid", "s.lo", "anchor", "s.body")
 
 
 def removed_spans(documents: DataFrame, length: int = 100) -> DataFrame:
@@ -321,20 +360,29 @@ def removed_spans(documents: DataFrame, length: int = 100) -> DataFrame:
     known = found.where("anchor IS NULL").select("doc", "rid", "lo", "hi")
     alive = found.where("anchor IS NOT NULL")
     # After the batches' own work a segment has a row for each batch at most.
-    nth = F.row_number().over(Window.partitionBy("whole").orderBy("doc", "rid", "lo"))
-    later = alive.select("doc", "rid", "lo", "hi", nth.alias("nth")).where("nth > 1")
-    later = later.select("doc", "rid", "lo", "hi")
+    copies = [write_out(known.unionByName(_later_equals(alive)), "copies")]
     shared = alive.groupBy("anchor").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b").select("anchor")
     shared = write_out(shared, "shared")
-    copies = write_out(known.unionByName(later), "copies")
     discard(found)
     texts = shared_anchor_texts(documents, _bloom(shared), length)
-    texts = texts.hint("shuffle_merge").join(shared, "anchor", "left_semi")
-    texts = write_out(texts.groupBy("whole").agg(F.min(F.struct("doc", "rid", "lo", "anchor", "body")).alias("s")).select("s.*"), "texts")
-    crowded = write_out(texts.groupBy("anchor").count().where(F.col("count") > GROUP).select("anchor"), "crowded")
-    hint = "broadcast" if crowded.count() <= BROADCAST_ROWS else "shuffle_merge"
-    spans = copies.unionByName(_settle_groups(texts.join(crowded.hint(hint), "anchor", "left_anti"), length))
-    spans = spans.unionByName(_settle_strings(texts.join(crowded.hint(hint), "anchor", "left_semi"), length))
+    texts = write_out(_first_texts(texts.hint("shuffle_merge").join(shared, "anchor", "left_semi")), "texts")
+    width = ANCHOR
+    while True:
+        crowded = texts.groupBy("anchor").agg(F.sum(F.length("body")).alias("size")).where(F.col("size") > INDEX_BYTES)
+        crowded = write_out(crowded.select("anchor"), "crowded")
+        n = crowded.count()
+        few = "broadcast" if n <= BROADCAST_ROWS else "shuffle_merge"
+        copies.append(_settle_groups(texts.join(crowded.hint(few), "anchor", "left_anti") if n else texts, length))
+        if not n or width == length:
+            break
+        copies[-1] = write_out(copies[-1], "copies")
+        width = (width + length + 1) // 2
+        finer = write_out(_finer_segments(texts.join(crowded.hint(few), "anchor", "left_semi"), length, width), "finer")
+        copies.append(write_out(_later_equals(finer), "copies"))
+        left = write_out(_first_texts(finer), "texts")
+        discard(texts, finer)
+        texts = left
+    spans = reduce(DataFrame.unionByName, copies)
     grouped = spans.groupBy("doc", "rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
     def merge(batches):

@@ -24,13 +24,19 @@ def run(df):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df).collect()}
 
 
-@pytest.mark.parametrize("group", [64, 2])
-def test_against_brute_force(spark, data, group, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "GROUP", group)
-    rnd = random.Random(group)
+@pytest.mark.parametrize(("index_bytes", "hot"), [(2 << 20, 100_000), (600, 1)])
+def test_against_brute_force(spark, data, index_bytes, hot, monkeypatch):
+    """With small indexes all anchors are cut again; with few hot rows all buckets are dealt over salts."""
+    monkeypatch.setattr(suffix_dedup, "INDEX_BYTES", index_bytes)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rnd = random.Random(hot)
     text = lambda n: "".join(rnd.choice("abcé ") for _ in range(n))
     passages = [text(rnd.randint(90, 400)) for _ in range(6)]
     rows = [(i, text(rnd.randint(0, 80)) + rnd.choice(passages)[rnd.randint(0, 30) :] + text(40) + rnd.choice(passages)) for i in range(60)]
+    # One phrase of less, just and more than 100 bytes between different neighbours.
+    for n in (60, 99, 100, 130):
+        phrase = text(n)
+        rows += [(200 + n + 1000 * i, text(90) + phrase + text(90)) for i in range(25)]
     rows += [(100, "x" * 350), (101, "ab" * 200), (102, rows[0][1]), (103, ""), (104, "x" * 99)]
     assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
 
