@@ -9,13 +9,19 @@
    and what the wrapper covers already adds nothing. The result is a regular expression without unions, the
    host's wrapper. Hosts are aligned in PARTS hash parts first, whose wrappers are aligned again in fewer, so a
    host with a third of all pages is no single task's work.
-3. From the wrapper follows the element that holds the article. Which elements inside it are not part of it
-   (menus, headers, footers, sidebars, notices, adverts, forms, comments) their names decide, by fixed lists;
-   names on the holder or around it drop nothing.
+3. From the wrapper follows the element that holds the article: the article or main element (or one of such a
+   name) with the most text slots, where a slot counts more the deeper it stands in repeated groups, and slots of
+   links do not count. Without one the whole page is read, but for elements whose slots are repeated links only.
+4. Inside the holder an element is left out (a) if HTML itself says that it is no article text (nav, aside,
+   footer, form, ...), (b) if the host's pages show it: an element with a class, id or role whose text is the same
+   on all its pages, three or more, while the holder's text varies; (c) if all words of one of its names speak of
+   menus, adverts, notices, comments and the like ("ad-slot", not "share-price"); so the pages' own evidence comes
+   before names, and names on the holder or around it, or on an element that holds most of the slots, drop nothing.
 
 Blocks are the text between tags of block elements and line breaks. Null html, and pages without any text
 slot, give an empty text. A null or odd url counts as a host of its own name. Repeated rows are extracted
-once each; empty tables give empty results; other columns are ignored.
+once each, ties between holders go to the larger name; very long pages are read whole; empty tables give empty
+results; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +41,9 @@ from hybridkb.llm.common import write_out
 from hybridkb.llm.verdicts import BROADCAST_ROWS
 
 PARTS = (4096, 256, 16, 1)  # hash parts of a host, level by level; each divides the one before
+SAME_PAGES = 3  # pages on which an element has the same text before it counts as the host's and not the article's
+BROADCAST_BYTES = 16 << 20
+BASE, MODULUS = 0x9E3779B97F4A7C15 % (2**61 - 1), 2**61 - 1
 FOLD = 24  # longest group of tokens that is looked for as a repeat
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)|([^<]+|<)", re.S)
@@ -43,12 +53,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe svg".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
 NOT_TEXT = frozenset("script style noscript template textarea iframe svg nav footer aside form button select dialog".split())
-NOT_TEXT_WORD = re.compile(
-    r"(?:^|[\s_.#-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|sidebar|menu|nav|navbar|navigation|breadcrumbs?|header|footer|cookies?|notice|consent|"
-    r"comments?|disqus|replies|share|sharing|social|related|newsletter|subscribe|popup|modal|login|search)(?:$|[\s_.#-])",
-    re.I,
+# Words of class names and ids: a name tells of other things than the article if it has one of the first and no
+# word outside of both lists.
+ASIDE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead "
+    "footer cookie cookies notice consent comment comments disqus replies share sharing social related newsletter subscribe popup modal login search complementary contentinfo".split()
+)
+FRAME_WORDS = frozenset(
+    "box block list section wrapper wrap container slot unit area bar widget inner outer site page main post posts item items link links button buttons top bottom left right signup "
+    "form panel overlay group row reader readers user thread global primary secondary mobile sticky".split()
 )
-LAYOUT = re.compile(r"(?<![^\s_.#])(?:has|with|without|no)[-_][\w-]+", re.I)  # says what stands beside or in an element
 HOLDERS = (re.compile(r"^article\b"), re.compile(r"^main\b"), re.compile(r"\brole=main\b"), re.compile(r"[.#](?:article|post|entry|main|content)(?:[-_](?:body|content|text|main))?(?:$|[.# ])"))
 CLOSES = {"p": "p", "li": "li", "td": "td th", "th": "td th", "tr": "tr td th", "dt": "dt dd", "dd": "dt dd", "option": "option"}
 
@@ -120,16 +134,42 @@ def flat(items) -> list[str]:
     return out
 
 
-def expression(page: str) -> str:
-    """The page's folded token stream as text."""
+def read_page(page: str) -> tuple[str, dict[str, int]]:
+    """The page's folded token stream as text, and a hash of the text in each element that has a class, id or
+    role, or is an article or main element (all elements of one signature together)."""
     tokens: list[str] = []
+    running = [0]  # hash of the texts so far
+    path: list[tuple[str, str, int]] = []
+    found: dict[str, int] = {}
+
+    def leave() -> str:
+        name, sign, start = path.pop()
+        if sign != name or name in ("article", "main"):
+            inside = (running[-1] - running[start] * pow(BASE, len(running) - 1 - start, MODULUS)) % MODULUS
+            found[sign] = (found.get(sign, 0) * BASE + inside + 1) % MODULUS
+        return name
+
     for kind, value in events(page):
         if kind == "text":
-            if value.strip() and (not tokens or tokens[-1] != "#"):
-                tokens.append("#")
-        else:
-            tokens.append({"open": "<", "close": "</", "void": "<!"}[kind] + value + ">")
-    return json.dumps(fold(tokens), ensure_ascii=False)
+            if value.strip():
+                running.append((running[-1] * BASE + xxhash.xxh64_intdigest(" ".join(value.split()))) % MODULUS)
+                if not tokens or tokens[-1] != "#":
+                    tokens.append("#")
+            continue
+        tokens.append({"open": "<", "close": "</", "void": "<!"}[kind] + value + ">")
+        if kind == "open":
+            path.append((_name(value), value, len(running) - 1))
+        elif kind == "close" and any(p[0] == value for p in path):
+            while leave() != value:
+                pass
+    while path:
+        leave()
+    return json.dumps(fold(tokens), ensure_ascii=False), found
+
+
+def expression(page: str) -> str:
+    """The page's folded token stream as text."""
+    return read_page(page)[0]
 
 
 def covers(x: list[Item], y: list[Item]) -> bool:
@@ -184,38 +224,67 @@ def infer(expressions: list[str]) -> str:
     return json.dumps(wrapper, ensure_ascii=False)
 
 
+def _name(sign: str) -> str:
+    return re.split(r"[.# ]", sign, maxsplit=1)[0]
+
+
+@lru_cache(maxsize=65536)
 def _is_boilerplate(sign: str) -> bool:
-    name = re.split(r"[.# ]", sign, maxsplit=1)[0]
+    """Whether the element's own kind or all words of one of its names tell of other things than the article."""
+    name = _name(sign)
     if name in ("html", "body"):
         return False
-    return name in NOT_TEXT or bool(NOT_TEXT_WORD.search(LAYOUT.sub("", sign[len(name) :])))
+    if name in NOT_TEXT:
+        return True
+    for token in re.split(r"[\s.#]+|role=", sign[len(name) :].lower()):
+        words = [w for w in re.split(r"[_\W\d]+", token) if w]
+        if any(w in ASIDE_WORDS for w in words) and all(w in ASIDE_WORDS or w in FRAME_WORDS for w in words):
+            if not ("header" in words and "post" in words):  # an article's own head
+                return True
+    return False
+
+
+def _slots(items, repeats: int = 0):
+    """(token, number of repeated groups around it) of an expression."""
+    for x in items:
+        if isinstance(x, tuple):
+            yield from _slots(x[1], repeats + (x[0] == "+"))
+        else:
+            yield x, repeats
 
 
 @lru_cache(maxsize=4096)
-def plan(wrapper: str) -> tuple[str, frozenset[str]]:
+def plan(wrapper: str, same: tuple[str, ...] = (), varied: tuple[str, ...] = ()) -> tuple[str, frozenset[str]]:
     """From a wrapper: the signature of the element that holds the article ('' for the whole page), and the
-    signatures of elements that are not part of it."""
-    signs, path = [], []
+    signatures of elements that are not part of it. ``same`` and ``varied``: signatures of elements whose text
+    is the same on all the host's pages, and of those whose text is not."""
+    path: list[str] = []
+    signs: dict[str, list[int]] = {}  # weight of text slots, repeated link slots
     slots: dict[int, dict[str, int]] = {}  # by the number of elements around a slot that look like boilerplate
     texts: dict[int, int] = {}
-    for token in flat(_tuples(json.loads(wrapper))):
+    for token, repeats in _slots(_tuples(json.loads(wrapper))):
         if token == "#":
+            link = any(_name(s) == "a" for s in path)
+            weight = 0 if link else 1 + 2 * repeats
             # An element's level is the number of such elements down to it, itself included.
             outer, level = set(), 0
             dropped = [_is_boilerplate(s) for s in path]
-            texts[sum(dropped)] = texts.get(sum(dropped), 0) + 1
+            texts[sum(dropped)] = texts.get(sum(dropped), 0) + weight
             for n, s in enumerate(path):
                 level += dropped[n]
-                if s not in outer and not any(dropped[n + 1 :]):
-                    slots.setdefault(level, {})[s] = slots.get(level, {}).get(s, 0) + 1
+                if s not in outer:
+                    signs[s][0] += weight
+                    signs[s][1] += link and repeats > 0
+                    if not any(dropped[n + 1 :]):
+                        slots.setdefault(level, {})[s] = slots.get(level, {}).get(s, 0) + weight
                 outer.add(s)
         elif token.startswith("</"):
             name = token[2:-1]
-            if any(s.startswith(name) for s in path):
-                while path and not path.pop().startswith(name):
+            if any(_name(s) == name for s in path):
+                while path and _name(path.pop()) != name:
                     pass
         elif token.startswith("<") and not token.startswith("<!"):
-            signs.append(token[1:-1])
+            signs.setdefault(token[1:-1], [0, 0])
             path.append(token[1:-1])
     drop = frozenset(s for s in signs if _is_boilerplate(s))
     for level in sorted(slots):
@@ -223,17 +292,19 @@ def plan(wrapper: str) -> tuple[str, frozenset[str]]:
         # slots than stand outside of all such elements.
         less = sum(n for k, n in texts.items() if k < level)
         for pattern in HOLDERS:
-            found = [s for s, n in slots[level].items() if pattern.search(s) and n > less and re.split(r"[.# ]", s, maxsplit=1)[0] not in NOT_TEXT]
+            found = [s for s, n in slots[level].items() if pattern.search(s) and n > less and _name(s) not in NOT_TEXT]
             if found:
-                return max(found, key=lambda s: (slots[level][s], s)), drop
-    return "", drop | {s for s in signs if re.match(r"header\b", s)}
+                holder = max(found, key=lambda s: (slots[level][s], s))
+                return holder, drop | ({s for s in same if s != holder} if holder in varied else set())
+    menus = {s for s, (weight, links) in signs.items() if links and not weight and s != _name(s)}
+    return "", drop | menus | {s for s in signs if re.match(r"header\b", s)}
 
 
-def main_text(page: str | None, wrapper: str) -> str:
+def main_text(page: str | None, wrapper: str, same: tuple[str, ...] = (), varied: tuple[str, ...] = ()) -> str:
     """The article's blocks of one page, joined by newlines."""
     if not page:
         return ""
-    holder, drop = plan(wrapper)
+    holder, drop = plan(wrapper, same, varied)
     blocks: list[str] = []
     parts: list[str] = []
     path: list[tuple[str, str, bool, bool]] = []  # name, signature, inside the holder, dropped
@@ -250,7 +321,7 @@ def main_text(page: str | None, wrapper: str) -> str:
             if inside and not dropped:
                 parts.append(value)
             continue
-        name = re.split(r"[.# ]", value, maxsplit=1)[0]
+        name = _name(value)
         if name not in INLINE:
             end_block()
         if kind == "open":
@@ -278,37 +349,51 @@ def _hosts(pages: DataFrame) -> DataFrame:
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper: one row for each host."""
+    """host, wrapper, same, varied: one row for each host."""
 
-    def streams(batches):
+    def read(batches):
         for batch in batches:
-            hosts = batch.column(0).to_pylist()
-            found = sorted({(h, expression(p)) for h, p in zip(hosts, batch.column(1).to_pylist(), strict=True)})
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], type=pa.string()) for i in (0, 1)], names=["host", "expression"])
+            found, texts = set(), []
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                stream, signs = read_page(page)
+                found.add((host, stream))
+                page_hash = xxhash.xxh64_intdigest(page) >> 1
+                texts += [(host, sign, text, page_hash) for sign, text in signs.items()]
+            rows = [(h, x, None, None, None) for h, x in sorted(found)] + [(h, None, *rest) for h, *rest in texts]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(kinds)], names=["host", "expression", "sign", "text", "page"])
 
     def aligned(key: tuple, table: pa.Table) -> pa.Table:
         part = key[1].as_py() if len(key) > 1 else 0
         return pa.table({"host": pa.array([key[0].as_py()], type=pa.string()), "part": pa.array([part], type=pa.int64()), "expression": [infer(table.column("expression").to_pylist())]})
 
-    found = _hosts(pages).select("host", "html").mapInArrow(streams, "host string, expression string").distinct()
+    schema = "host string, expression string, sign string, text bigint, page bigint"
+    both = write_out(_hosts(pages).select("host", "html").mapInArrow(read, schema), "streams")
+    found = both.where("expression IS NOT NULL").select("host", "expression").distinct()
     found = found.withColumn("part", F.xxhash64("expression"))
     for n in PARTS[:-1]:
         # The part of an expression goes on as that of its wrapper, modulo the next level's number.
         found = found.withColumn("part", F.pmod("part", F.lit(n))).groupBy("host", "part").applyInArrow(aligned, "host string, part bigint, expression string")
-    return found.groupBy("host").applyInArrow(aligned, "host string, part bigint, expression string").select("host", F.col("expression").alias("wrapper"))
+    wrappers = found.groupBy("host").applyInArrow(aligned, "host string, part bigint, expression string").select("host", F.col("expression").alias("wrapper"))
+    texts = both.where("sign IS NOT NULL").groupBy("host", "sign")
+    texts = texts.agg(F.min("text").alias("a"), F.max("text").alias("b"), F.approx_count_distinct("page").alias("n"))
+    kept = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("sign"))))
+    texts = texts.where(f"a <> b OR n >= {SAME_PAGES}").groupBy("host").agg(kept(F.col("a") == F.col("b")).alias("same"), kept(F.col("a") != F.col("b")).alias("varied"))
+    return wrappers.hint("shuffle_merge").join(texts.hint("shuffle_merge"), "host", "left")
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     wrappers = write_out(host_wrappers(pages), "wrappers").withColumnRenamed("host", "_host")
-    few = wrappers.count() <= BROADCAST_ROWS // 50
+    n, size = wrappers.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("wrapper") + F.length(F.to_json("same")) + F.length(F.to_json("varied"))), F.lit(0))).first()
+    few = n <= BROADCAST_ROWS // 50 and size <= BROADCAST_BYTES
     rows = _hosts(pages)
-    rows = rows.join(wrappers.hint("broadcast" if few else "shuffle_merge"), rows["host"] == wrappers["_host"], "left").select("page_id", "url", "html", "wrapper")
+    rows = rows.join(wrappers.hint("broadcast" if few else "shuffle_merge"), rows["host"] == wrappers["_host"], "left").select("page_id", "url", "html", "wrapper", "same", "varied")
 
     def extract(batches):
         for batch in batches:
-            pages_, wrappers_ = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            texts = [main_text(p, w or "[]") for p, w in zip(pages_, wrappers_, strict=True)]
+            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+            texts = [main_text(p, w or "[]", tuple(same or ()), tuple(varied or ())) for p, w, same, varied in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, type=pa.string()), pa.array([len(t) for t in texts], type=pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )

@@ -34,3 +34,33 @@ def test_names_around_the_article_or_on_it_drop_nothing():
         assert main_text(page, wrapper) == "T\na\nb", page
     teaser = '<body><h1>T</h1><p>a</p><p>b</p><aside class="related"><article class="teaser"><p>x</p></article></aside></body>'
     assert main_text(teaser, infer([expression(teaser)])) == "T\na\nb"
+
+
+def test_names_that_only_contain_listed_words_drop_nothing():
+    page = (
+        '<body><article><p>a</p><div class="share-price"><p>b</p></div><div class="search-results"><p>c</p></div><div class="adventure menu-planning"><p>d</p></div>'
+        '<header class="post-header"><h2>e</h2></header><div class="ad-slot">x</div><div id="cookie_notice">x</div><ul class="share-buttons"><li>x</ul><section class="reader-comments"><p>x</p></section>'
+        '<div class="related posts">x</div><div role="navigation">x</div></article></body>'
+    )
+    assert main_text(page, expression(page)) == "a\nb\nc\nd\ne"
+
+
+def test_pages_of_a_host_tell_what_is_not_article(spark):
+    from hybridkb.llm.html_wrapper import extract_main_text
+
+    body = '<body><div class="kw"><a>home</a></div><article><h1>T{0}</h1><p>text {0}</p><div class="kx">Follow us</div><div class="ky">only {0}</div><p>Same words</p></article><div class="kz">end</div></body>'
+    long = "<p>" + "word " * 50_000 + "</p>"
+    rows = [(n, f"http://many/{n}", body.format(n)) for n in range(4)] + [(9, "http://many/9", body.format(9).replace("<p>text 9</p>", long))]
+    # Pages of equal articles, and a host with a single page: nothing tells the article's elements from others.
+    rows += [(20 + n, f"http://equal/{n}", body.format(7).replace("home", f"home {n}")) for n in range(4)] + [(30, "http://one/", body.format(8))]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in range(4):
+        assert got[n] == f"T{n}\ntext {n}\nonly {n}\nSame words"
+        assert got[20 + n] == "T7\ntext 7\nFollow us\nonly 7\nSame words"
+    assert got[9] == "T9\n" + ("word " * 50_000).strip() + "\nonly 9\nSame words"
+    assert got[30] == "T8\ntext 8\nFollow us\nonly 8\nSame words"
+
+
+def test_lists_of_links_are_menus_where_no_element_holds_the_article():
+    page = '<body><div class="kw"><ul><li><a>A</a></li><li><a>B</a></li></ul></div><p>text <a>with link</a></p><p>more</p></body>'
+    assert main_text(page, expression(page)) == "text with link\nmore"
