@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FALLBACK_DIR = "/tmp/checkpoints"
 
@@ -58,6 +59,25 @@ def delete_folder(spark: SparkSession, path: str | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+HOT = 1000  # rows of one key that go to one task in spread_join
+BROADCAST_ROWS = 250_000  # ids of 8 bytes: some 4 MB in memory at most
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], by: list[str], how: str = "inner", size: str = "n") -> DataFrame:
+    """``rows`` joined on the columns ``on`` with a written ``table`` that has one row for each key and, as
+    ``size``, the number of rows that share it. Keys of more than HOT rows are dealt over salts, by the columns
+    ``by``, and only their rows of the table are copied: no more than one for each HOT rows."""
+    salts = F.ceil(F.col(size) / HOT).cast("int")
+    hot = table.where(F.col(size) > HOT).select(*on, salts.alias("salts"))
+    n = hot.count()
+    if not n:
+        return rows.hint("shuffle_merge").join(table.drop(size), on, how)
+    dealt = table.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(size)
+    marked = rows.join(hot.hint("broadcast" if n <= BROADCAST_ROWS else "shuffle_merge"), on, "left")
+    marked = marked.withColumn("salt", F.pmod(F.xxhash64(*by), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return marked.hint("shuffle_merge").join(dealt, [*on, "salt"], how).drop("salt")
+
+
 # --- numpy kernels -------------------------------------------------------------------------------
 
 MIX_1 = np.uint64(0xBF58476D1CE4E5B9)

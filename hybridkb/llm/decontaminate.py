@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from hybridkb.llm.common import (
     ASCII_LOWER,
     BASE,
+    BROADCAST_ROWS,
     mix64,
     prefix_hash,
     separators,
@@ -44,7 +45,7 @@ from hybridkb.llm.common import (
     word_spans,
     write_out,
 )
-from hybridkb.llm.verdicts import BROADCAST_ROWS, keep_without
+from hybridkb.llm.verdicts import keep_without
 
 WORD_SEPARATORS = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 SHINGLE = 3

@@ -37,8 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hybridkb.llm.common import write_out
-from hybridkb.llm.verdicts import BROADCAST_ROWS
+from hybridkb.llm.common import BROADCAST_ROWS, write_out
 
 PARTS = (4096, 256, 16, 1)  # hash parts of a host, level by level; each divides the one before
 SAME_PAGES = 3  # pages on which an element has the same text before it counts as the host's and not the article's

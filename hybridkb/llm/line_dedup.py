@@ -24,8 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hybridkb.llm.common import discard, list_column, prefix_hash, separators, slices_by_bytes, span_hash, text_buffers, word_spans, write_out
-from hybridkb.llm.verdicts import BROADCAST_ROWS
+from hybridkb.llm.common import BROADCAST_ROWS, discard, list_column, prefix_hash, separators, slices_by_bytes, span_hash, text_buffers, word_spans, write_out
 
 NEWLINE = separators((0x0A, 0x0A))
 SPACE = separators((0x20, 0x20), (0x09, 0x0D))

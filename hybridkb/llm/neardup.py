@@ -13,6 +13,10 @@
        sets themselves meet.
    Pairs that meet early enough (by the places of the token in both, and the sizes) are verified on the full sets. Shingles outside the hub are rarest and come first, so
    copies that were edited at different places do not meet.
+   Where the hub leaves more than FEW members unlinked, only pairs of a linked with an unlinked member are sought
+   that way (of the two cases, only the first can hold). The unlinked ones are a bucket of their own with the nearest
+   to the hub as the next hub, in rounds, as long as a hub links at least a sixteenth of its bucket. So a second
+   family of any size costs one more comparison for each member, and no pairs of all its members.
 4. Links become components by contraction.
 
 Band keys find a pair of similarity 0.8 with a chance above 0.9999999 (32 bands of 4 values).
@@ -20,6 +24,8 @@ Band keys find a pair of similarity 0.8 with a chance above 0.9999999 (32 bands
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +33,7 @@ from pyspark.sql import functions as F
 
 from hybridkb.llm.common import (
     ASCII_LOWER,
+    BROADCAST_ROWS,
     GOLDEN,
     discard,
     list_column,
@@ -36,16 +43,17 @@ from hybridkb.llm.common import (
     shingle_hashes,
     slices_by_bytes,
     span_hash,
+    spread_join,
     text_buffers,
     word_spans,
     write_out,
 )
 from hybridkb.llm.components import connected_components
-from hybridkb.llm.verdicts import BROADCAST_ROWS
 
 SPACE = separators((0x20, 0x20), (0x09, 0x0D))
 CHUNK = 1 << 20
 SLOTS, BAND_ROWS = 128, 4
+FEW = 16  # unlinked members that are settled without a hub of their own
 ELEMENTS = 1 << 16  # shingles whose permutations are held at a time
 
 
@@ -232,25 +240,48 @@ def near_duplicate_links(documents: DataFrame, signed: DataFrame, k: int, percen
     involved = pairs.select(F.col("x").alias("sid")).union(pairs.select("c")).distinct()
     wanted = write_out(signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).hint("shuffle_merge").join(involved, "sid"), "wanted")
     sets = write_out(_sets_of(documents, wanted, k), "sets")
-    star = write_out(_compare(pairs, sets, percent, settle=True), "star")
-    rest = None
-    p = percent
+    compared, stars, met = [pairs], [], []
+    while True:
+        star = write_out(_compare(compared[-1], sets, percent, settle=True), "star")
+        stars.append(star)
+        sizes = star.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("linked")).alias("open")).where("open > 0")
+        again = F.col("open") > FEW
+        if len(stars) > 1:
+            again = again & (16 * (F.col("n") - F.col("open")) >= F.col("n"))
+        sizes = write_out(sizes.withColumn("again", again).drop("open"), "sizes")
+        left = write_out(spread_join(star, sizes, ["c"], ["x"]), "left")
+        met.append(write_out(_meetings(left, percent), "met"))
+        open_ = left.where("again AND NOT linked")
+        hubs = open_.groupBy("c").agg(F.min(F.struct("differ", "x")).alias("best"), F.count(F.lit(1)).alias("n")).select("c", F.col("best.x").alias("hub"), "n")
+        more = spread_join(open_.select("c", "x"), write_out(hubs, "hubs"), ["c"], ["x"]).where("x <> hub")
+        more = write_out(more.select(F.col("hub").alias("c"), "x").distinct(), "pairs")
+        discard(sizes, left)
+        if more.isEmpty():
+            break
+        compared.append(more)
+    rest = reduce(DataFrame.unionByName, met).distinct().hint("shuffle_merge").join(reduce(DataFrame.unionByName, compared), ["c", "x"], "left_anti")
+    rest = write_out(rest, "rest")
+    found = [t.where("linked").select(F.col("c").alias("a"), F.col("x").alias("b")) for t in [*stars, _compare(rest, sets, percent, settle=False)]]
+    links = write_out(reduce(DataFrame.unionByName, found), "found")
+    discard(members, wanted, sets, rest, *stars, *met, *compared)
+    return links
+
+
+def _meetings(star: DataFrame, p: int) -> DataFrame:
+    """c, x: pairs of members of one hub that may be linked although one of them is not linked to the hub. Where
+    the hub's unlinked members go on to a next round (``again``), pairs of two of them are left to that."""
+    out = []
     for kind in ("near", "far"):
-        probe = star.select("c", F.struct("x", "size", "differ").alias("a"), F.posexplode(f"{kind}_probe").alias("i", "token"))
-        index = star.select("c", F.struct("x", "size", "differ").alias("b"), F.posexplode(f"{kind}_index").alias("j", "token"))
+        probe = star.where("NOT again" if kind == "far" else "true").select("c", F.struct("x", "size", "differ").alias("a"), F.posexplode(f"{kind}_probe").alias("i", "token"))
+        index = star.where("NOT again" if kind == "far" else "NOT again OR linked").select("c", F.struct("x", "size", "differ").alias("b"), F.posexplode(f"{kind}_index").alias("j", "token"))
         # If this is the first token they share, no more than what is left behind it can be common; a link needs so much.
         if kind == "near":
             able = f"2 * {100 + p} * least(a.differ - i, b.differ - j) >= {100 + p} * (a.differ + b.differ) - {100 - p} * (a.size + b.size)"
         else:
             able = f"{100 + p} * least(a.size - i, b.size - j) >= {p} * (a.size + b.size)"
-        met = probe.hint("shuffle_merge").join(index, ["c", "token"]).where(f"a.x <> b.x AND {able}")
-        met = met.select(F.least("a.x", "b.x").alias("c"), F.greatest("a.x", "b.x").alias("x"))
-        rest = met if rest is None else rest.unionByName(met)
-    rest = write_out(rest.distinct().hint("shuffle_merge").join(pairs, ["c", "x"], "left_anti"), "rest")
-    more = _compare(rest, sets, percent, settle=False)
-    links = write_out(star.where("linked").select(F.col("c").alias("a"), F.col("x").alias("b")).unionByName(more.where("linked").select(F.col("c").alias("a"), F.col("x").alias("b"))), "found")
-    discard(members, wanted, sets, star, rest)
-    return links
+        both = probe.hint("shuffle_merge").join(index, ["c", "token"]).where(f"a.x <> b.x AND {able}")
+        out.append(both.select(F.least("a.x", "b.x").alias("c"), F.greatest("a.x", "b.x").alias("x")))
+    return out[0].unionByName(out[1]).distinct()
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -269,10 +300,12 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     rooted = rows.hint("shuffle_merge").join(roots, rows["sid"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "sid").alias("root"))
     rooted = write_out(rooted, "rooted")
     discard(signed)
-    least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    # Singletons are most of the rows: only groups of two and more are joined.
-    groups = rooted.hint("shuffle_merge").join(least, "root", "left")
-    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    rooted_ = rooted.where("root IS NOT NULL")
+    least = rooted_.groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A group may hold a third of all rows.
+    groups = spread_join(rooted_, write_out(least, "least"), ["root"], ["doc_id"], "left")
+    groups = groups.select("doc_id", "n_shingles", "least").unionByName(rooted.where("root IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("bigint").alias("least")))
+    component = F.coalesce("least", "doc_id")
     return groups.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 

@@ -35,9 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hybridkb.llm.common import GOLDEN, discard, mix64, powers, prefix_hash, slices_by_bytes, span_hash, text_buffers, write_out
+from hybridkb.llm.common import BROADCAST_ROWS, GOLDEN, discard, mix64, powers, prefix_hash, slices_by_bytes, span_hash, text_buffers, write_out
 from hybridkb.llm.run_length_index import RunLengthIndex
-from hybridkb.llm.verdicts import BROADCAST_ROWS
 
 ANCHOR = 36
 SLAB = 2 << 20

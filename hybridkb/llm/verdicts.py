@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hybridkb.llm.common import fresh_name, write_out
-
-BROADCAST_ROWS = 250_000  # ids of 8 bytes: some 4 MB in memory at most
-
+from hybridkb.llm.common import BROADCAST_ROWS, fresh_name, write_out
 
 def keep_without(documents: DataFrame, rejected: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents whose key is not in ``rejected`` (a null key is matched by a null). The ids are counted first:

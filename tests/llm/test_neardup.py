@@ -1,8 +1,9 @@
 import random
 
-
 import numpy as np
+import pytest
 
+from hybridkb.llm import neardup
 from hybridkb.llm.neardup import drop_near_duplicates, near_duplicates, super_minhash
 
 
@@ -31,8 +32,13 @@ def brute(rows, k, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_edited_copies_of_one_text_against_brute_force(spark):
+@pytest.mark.parametrize(("few", "hot"), [(16, 1000), (1, 3)])
+def test_edited_copies_of_one_text_against_brute_force(spark, few, hot, monkeypatch):
     """A hub with copies that are mostly not linked with each other, chains, short texts and exact copies."""
+    from hybridkb.llm import common
+
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(common, "HOT", hot)
     rnd = random.Random(1)
     base = [f"w{i}" for i in range(150)]
     rows = [(1000, " ".join(base))]
@@ -50,6 +56,37 @@ def test_edited_copies_of_one_text_against_brute_force(spark):
     assert got == want
 
 
+def test_a_second_family_near_the_hub_makes_no_pairs_of_its_members(spark, monkeypatch):
+    """Families of m members each: near to the first family's, but not linked, and linked within."""
+    counts = {}
+    plain = neardup.write_out
+
+    def counted(df, name):
+        out = plain(df, name)
+        counts[name] = counts.get(name, 0) + (out.count() if name in ("rest", "pairs") else 0)
+        return out
+
+    monkeypatch.setattr(neardup, "write_out", counted)
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    families = []
+    for f in range(3):
+        w = list(base)
+        for p in range(7 * f, 7 * f + 7 * (f > 0)):
+            w[p * 6 + 3] = f"f{f}_{p}"
+        families.append(w)
+    rows, m = [], 60
+    for f, w in enumerate(families):
+        for i in range(m):
+            x = list(w)
+            x[rnd.randrange(200)] = f"e{f}_{i}"
+            rows.append((f * 1000 + i, " ".join(x)))
+    want = brute(rows, 4, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert got == want
+    assert counts["rest"] <= 16 * len(rows), counts
+
+
 def test_odd_rows(odd_documents, no_documents):
     rows = near_duplicates(odd_documents).collect()
     assert len(rows) == odd_documents.count()
