@@ -13,7 +13,8 @@ last 2 ** k lines: equal names are one interval of suffixes with a common prefix
 
 Order: smaller doc_id first (null last), then the row's text hash, then the line. Rows that repeat both
 doc_id and text are one document. Null text stays null, blank lines and line ends stay as they are; a
-document whose lines all go keeps an empty text. Empty tables give empty results.
+document whose lines all go keeps an empty text. Empty tables give empty results. Very long texts are read whole;
+extra columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hybridkb.llm.common import BROADCAST_ROWS, discard, list_column, prefix_hash, separators, slices_by_bytes, span_hash, text_buffers, word_spans, write_out
+from hybridkb.llm.common import BROADCAST_ROWS, discard, fresh_name, list_column, prefix_hash, separators, slices_by_bytes, span_hash, spread_join, text_buffers, word_spans, write_out
 
 NEWLINE = separators((0x0A, 0x0A))
 SPACE = separators((0x20, 0x20), (0x09, 0x0D))
@@ -81,28 +82,24 @@ def line_sequences(documents: DataFrame, min_words: int) -> DataFrame:
 
 
 def sorted_ranks(pairs: DataFrame) -> DataFrame:
-    """a, b, rank: the place of each distinct pair in the order of all, by a range-partitioned sort."""
+    """a, b, n, rank: the place of each distinct pair in the order of all, by a range-partitioned sort."""
 
     def number(batches):
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * m, type=pa.int32()), pa.array(np.arange(n, n + m))], names=["a", "b", "part", "at"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * m, type=pa.int32()), pa.array(np.arange(n, n + m))], names=["a", "b", "n", "part", "at"])
             n += m
 
     spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = write_out(
-        pairs.repartitionByRange(spread, "a", "b").sortWithinPartitions("a", "b").mapInArrow(number, "a bigint, b bigint, part int, at bigint"), "ranks"
+        pairs.repartitionByRange(spread, "a", "b").sortWithinPartitions("a", "b").mapInArrow(number, "a bigint, b bigint, n bigint, part int, at bigint"), "ranks"
     )
-    sizes = dict(placed.groupBy("part").count().collect())  # a number for each partition
-    before, offsets = 0, {}
-    for part in sorted(sizes):
-        offsets[part] = before
-        before += sizes[part]
-    if not offsets:
-        return placed.select("a", "b", F.lit(0).cast("bigint").alias("rank"))
-    table = F.create_map(*[F.lit(x).cast("bigint") for pair in offsets.items() for x in pair])
-    return placed.select("a", "b", (table[F.col("part").cast("bigint")] + F.col("at")).alias("rank"))
+    # One row for each partition of the sort: a broadcast of bounded size, whatever the number of pairs.
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
+    before = F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("part", F.coalesce(before, F.lit(0).cast("bigint")).alias("before"))
+    return placed.join(F.broadcast(offsets), "part").select("a", "b", "n", (F.col("before") + F.col("at")).alias("rank"))
 
 
 def later_copies(sequences: DataFrame) -> DataFrame:
@@ -110,7 +107,7 @@ def later_copies(sequences: DataFrame) -> DataFrame:
     runs = sequences.select(*KEY, "ids", F.explode(F.arrays_zip("starts", "sizes")).alias("run")).select(
         *KEY, F.col("run.starts").alias("start"), F.col("run.sizes").alias("size"), F.expr("ids[run.starts]").alias("a")
     )
-    seen = sequences.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    seen = sequences.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     seen = write_out(seen, "lines")
     named = [runs.where("size = 1").select(*KEY, "start", "size", "a", F.col("a").alias("b"))]
     longer = runs.where("size > 1").drop("a")
@@ -120,7 +117,7 @@ def later_copies(sequences: DataFrame) -> DataFrame:
         need = longer.select(*KEY, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
         lines = sequences.where(F.exists("sizes", lambda x: x > 1)).select(*KEY, F.posexplode("ids").alias("pos", "rank"))
         ranks = lines.hint("shuffle_merge").join(need, [*KEY, "pos"], "left_semi")
-        ranks = write_out(ranks.hint("shuffle_merge").join(seen.withColumnRenamed("id", "rank"), "rank", "left_semi").select(*KEY, "pos", "rank"), "rank-0")
+        ranks = write_out(spread_join(ranks, seen.withColumnRenamed("id", "rank"), ["rank"], ["doc_id", "pos"], "left_semi").select(*KEY, "pos", "rank"), "rank-0")
         k = 0
         while True:
             here = longer.where((F.col("size") >= 2**k) & (F.col("size") < 2 ** (k + 1)))
@@ -133,40 +130,46 @@ def later_copies(sequences: DataFrame) -> DataFrame:
                 break
             second = ranks.select(*KEY, (F.col("pos") - 2**k).alias("pos"), F.col("rank").alias("b"))
             doubled = write_out(ranks.withColumnRenamed("rank", "a").hint("shuffle_merge").join(second, [*KEY, "pos"]), "pairs")
-            groups = doubled.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-            ranks = write_out(doubled.hint("shuffle_merge").join(sorted_ranks(groups), ["a", "b"]).select(*KEY, "pos", "rank"), f"rank-{k + 1}")
+            groups = doubled.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "n")
+            ranked = write_out(sorted_ranks(groups), "ranked")
+            ranks = write_out(spread_join(doubled, ranked, ["a", "b"], ["doc_id", "pos"]).select(*KEY, "pos", "rank"), f"rank-{k + 1}")
             k += 1
-    every = named[0].hint("shuffle_merge").join(seen.select(F.col("id").alias("a")), "a", "left_semi").select(*KEY, "start", "size", "a", "b")
+    alone = spread_join(named[0], seen.withColumnRenamed("id", "a"), ["a"], ["doc_id", "start"], "left_semi")
+    every = alone.select(*KEY, "start", "size", "a", "b")
     for more in named[1:]:
         every = every.unionByName(more)
     every = write_out(every, "runs")
     place = F.struct("doc_id", "no_id", "rid", "start")
     first = every.groupBy("size", "a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = every.hint("shuffle_merge").join(first, ["size", "a", "b"])
+    joined = spread_join(every, write_out(first, "first"), ["size", "a", "b"], ["doc_id", "start"])
     return joined.where(place > F.col("first")).select(*KEY, "start", "size")
 
 
 def dedup_lines(documents: DataFrame, min_words: int = 5) -> DataFrame:
     """The documents with later copies of repeated line runs deleted from ``text``; all other columns stay,
     and n_chars follows the text where it is a column."""
+    names = documents.columns
+    own = {stem: fresh_name(names, stem) for stem in ("doc", "rid", "no_id", "spans", "dead", "kept")}
     sequences = write_out(line_sequences(documents, min_words), "sequences")
     spans = later_copies(sequences).groupBy(*KEY).agg(F.collect_set(F.struct("start", "size")).alias("spans"))
-    spans = write_out(spans.select(F.col("doc_id").alias("_doc"), F.col("rid").alias("_rid"), F.col("no_id").alias("_no_id"), "spans"), "spans")
+    spans = write_out(spans.select(F.col("doc_id").alias(own["doc"]), F.col("rid").alias(own["rid"]), F.col("no_id").alias(own["no_id"]), F.col("spans").alias(own["spans"])), "spans")
     discard(sequences)
-    few = spans.count() <= BROADCAST_ROWS // 25
+    rows, size = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(own["spans"])), F.lit(0))).first()
+    few = rows <= BROADCAST_ROWS // 25 and size <= BROADCAST_ROWS
     text = F.col("text").cast("string")
-    names = documents.columns
     doc_id = documents["doc_id"].cast("bigint")
-    same = (F.coalesce(doc_id, F.lit(NO_ID)) == F.col("_doc")) & (F.xxhash64(text) == F.col("_rid")) & (doc_id.isNull() == F.col("_no_id"))
-    hit = documents.join(spans.withColumnRenamed("spans", "_spans").hint("broadcast" if few else "shuffle_merge"), same, "left")
-    marked = hit.withColumn("_dead", F.expr("array_distinct(flatten(transform(_spans, x -> sequence(x.start, x.start + x.size - 1))))"))
-    kept = _drop_lines(marked, text)
-    changed = F.col("_spans").isNotNull()
-    new = {"text": F.when(changed, F.col("_text")).otherwise(text), "n_chars": F.when(changed, F.char_length("_text")).otherwise(F.col("n_chars")) if "n_chars" in names else None}
+    same = (F.coalesce(doc_id, F.lit(NO_ID)) == F.col(own["doc"])) & (F.xxhash64(text) == F.col(own["rid"])) & (doc_id.isNull() == F.col(own["no_id"]))
+    hit = documents.join(spans.hint("broadcast" if few else "shuffle_merge"), same, "left")
+    lines = F.flatten(F.transform(own["spans"], lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1)))
+    kept = _drop_lines(hit.withColumn(own["dead"], F.array_distinct(lines)), text, own["dead"], own["kept"])
+    changed = F.col(own["spans"]).isNotNull()
+    new = {"text": F.when(changed, F.col(own["kept"])).otherwise(text)}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(changed, F.char_length(own["kept"])).otherwise(F.col("n_chars"))
     return kept.select(*[new[n].cast(documents.schema[n].dataType).alias(n) if n in new else F.col(n) for n in names])
 
 
-def _drop_lines(marked: DataFrame, text) -> DataFrame:
+def _drop_lines(marked: DataFrame, text, dead: str, kept_text: str) -> DataFrame:
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")
@@ -189,4 +192,4 @@ def _drop_lines(marked: DataFrame, text) -> DataFrame:
             out.append("\n".join(kept))
         return pd.Series(out, dtype=object)
 
-    return marked.withColumn("_text", without(F.when(F.col("_dead").isNotNull(), text), F.col("_dead")))
+    return marked.withColumn(kept_text, without(F.when(F.col(dead).isNotNull(), text), F.col(dead)))

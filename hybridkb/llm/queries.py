@@ -116,9 +116,44 @@ FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+OP4_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, hash(t) AS h, t FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                               ELSE list_transform(range(1, len(w) - 2), lambda p: array_to_string(w[p:p + 3], ' ')) END) AS t FROM doc)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM shingle a JOIN shingle b ON a.h = b.h AND a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM size UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other),
+component AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc.doc_id) AS component_id, coalesce(component_id, doc.doc_id) = doc.doc_id AS kept
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN component USING (doc_id)
+"""
+
+# The hexadecimal form of a text has two characters for each byte.
+OP8_SQL = r"""
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+string AS (SELECT doc_id, p, md5_number(substr(x, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, x, unnest(range(length(x) // 2 - 99)) AS p FROM doc WHERE length(x) >= 200)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS nth FROM string) WHERE nth > 1),
+cut AS (SELECT doc_id, p, coalesce(p - lag(p) OVER w > 100, true) AS fresh, coalesce(lead(p) OVER w - p > 100, true) AS final FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+span AS (SELECT doc_id, p AS lo, CASE WHEN final THEN p ELSE lead(p) OVER (PARTITION BY doc_id ORDER BY p) END + 100 AS hi, fresh FROM cut WHERE fresh OR final),
+gone AS (SELECT doc_id, lo, hi FROM span WHERE fresh),
+piece AS (SELECT doc_id, hi AS lo, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS hi FROM (SELECT * FROM gone UNION ALL SELECT doc_id, -1, 0 FROM doc)),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * lo + 1, 2 * (coalesce(piece.hi, length(x) // 2) - lo)), '' ORDER BY lo) AS x FROM piece JOIN doc USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM gone GROUP BY doc_id)
+SELECT doc.doc_id, CAST(length(doc.x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.x)) AS kept_sha256
+FROM doc JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_toxicity": op1_toxicity, "op2_exact_top_k": op2_exact_top_k, "op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op5_license_scan": op5_license_scan, "op6_token_counts": op6_token_counts, "op7_sentencepiece": op7_sentencepiece, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_line_dedup": op9_line_dedup, "op10_html_extraction": op10_html_extraction}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL, "op3_decontamination": OP3_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op8_suffix_array_dedup": OP8_SQL}

@@ -3,52 +3,64 @@
 Documents are encoded whole and aggregated by length. With n(l) documents of l tokens, suffix sums over l
 give, for a limit L: how many documents are longer, the tokens that truncation at L keeps,
 sum of min(l, L), and what it cuts. The histogram has a row for each different length; its suffix sums are
-taken in two levels, over blocks of lengths and within a block, so no task gets all rows.
+taken in three levels, within blocks of lengths, over the blocks of a top and over the tops, so no task gets all
+rows: a top stands for 65,536 lengths, and as a text has less than 2 ** 31 bytes, there are at most 32,768 tops.
 
-Null and empty texts have 0 tokens. Repeated rows count once each. An empty table gives an empty histogram.
+Null and empty texts have 0 tokens; very long texts are encoded whole. Repeated rows count once each. An empty
+table gives an empty histogram; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from functools import cache
+import hashlib
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from hybridkb.llm.common import write_out
+
 RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenising pattern published with the byte-level BPE vocabulary (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 256  # lengths in a block
 
 
-@cache
-def _encoding(ranks_file: str):
-    import base64
+_encodings: dict[str, object] = {}
+
 
-    import tiktoken
+def _encoding(digest: str, ranks: bytes):
+    """A worker's encoding of the ranks with this digest."""
+    if digest not in _encodings:
+        import base64
 
-    with open(ranks_file, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        import tiktoken
 
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _encodings[digest] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    return _encodings[digest]
 
-def token_count_column(text: Column, ranks_file: str = RANKS_FILE) -> Column:
-    """The number of tokens of a text column."""
+
+def token_count_column(documents: DataFrame, text: str = "text", ranks_file: str = RANKS_FILE) -> Column:
+    """The number of tokens of a text column. The ranks go to the workers by broadcast (about 1 MB)."""
+    ranks = Path(ranks_file).read_bytes()
+    digest, shared = hashlib.sha256(ranks).hexdigest(), documents.sparkSession.sparkContext.broadcast(ranks)
 
     @arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        encode = _encoding(ranks_file).encode_ordinary
+        encode = _encoding(digest, shared.value).encode_ordinary
         return pa.array([len(encode(t)) if t else 0 for t in texts.to_pylist()], type=pa.int64())
 
-    return count(text.cast("string"))
+    return count(F.col(text).cast("string"))
 
 
 def length_histogram(documents: DataFrame, ranks_file: str = RANKS_FILE) -> DataFrame:
     """length, n_docs."""
-    lengths = documents.select(token_count_column(F.col("text"), ranks_file).alias("length"))
-    return lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
+    lengths = documents.select(token_count_column(documents, ranks_file=ranks_file).alias("length"))
+    # Written out: the suffix sums read it several times, and the texts are encoded once.
+    return write_out(lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")), "histogram")
 
 
 def context_totals(histogram: DataFrame) -> DataFrame:
@@ -60,10 +72,12 @@ def context_totals(histogram: DataFrame) -> DataFrame:
     behind = Window.partitionBy(F.floor(F.col("block") / BLOCK)).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     # Blocks of blocks: one row for each BLOCK ** 2 lengths.
     top = blocks.groupBy(F.floor(F.col("block") / BLOCK).alias("top")).agg(F.sum("d").alias("d"), F.sum("t").alias("t"))
-    tops = top.select(F.sort_array(F.collect_list(F.struct("top", "d", "t")).over(Window.partitionBy(F.lit(1)))).alias("all"), "top")
-    after = lambda c: F.aggregate(F.filter("all", lambda x: x["top"] > F.col("top")), F.lit(0).cast("bigint"), lambda a, x: a + x[c])
-    whole = lambda c: F.aggregate("all", F.lit(0).cast("bigint"), lambda a, x: a + x[c])
-    tops = tops.select(F.col("top"), after("d").alias("d_top"), after("t").alias("t_top"), whole("d").alias("d_all"), whole("t").alias("t_all"))
+    every = Window.partitionBy(F.lit(0))  # 32,768 rows at most
+    above = every.orderBy(F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    tops = top.select(
+        "top", F.coalesce(F.sum("d").over(above), none).alias("d_top"), F.coalesce(F.sum("t").over(above), none).alias("t_top"), F.sum("d").over(every).alias("d_all"), F.sum("t").over(every).alias("t_all")
+    )
     zero = F.lit(0).cast("bigint")
     blocks = blocks.select("block", F.floor(F.col("block") / BLOCK).alias("top"), F.coalesce(F.sum("d").over(behind), zero).alias("d_block"), F.coalesce(F.sum("t").over(behind), zero).alias("t_block"))
     blocks = blocks.hint("shuffle_merge").join(tops, "top")

@@ -21,8 +21,10 @@ def odd_documents(spark):
         (9, "ÄÖ ß 日本語 \u0000 x y " * 30),
         (None, None),
     ]
-    full = [(i, t, "en", "s", len(t or ""), "a", "b", "c", "d", "e") for i, t in rows]
-    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, uid string, score string, ids string, spans string, root string")
+    # Names that the operators use themselves.
+    extra = ["uid", "score", "ids", "spans", "root", "doc", "rid", "no_id", "dead", "kept", "rejected", "_score", "_doc", "_rid", "_spans", "_dead", "_text", "salt", "n", "anchor"]
+    full = [(i, t, "en", "s", len(t or ""), *extra) for i, t in rows]
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in extra))
 
 
 @pytest.fixture(scope="session")

@@ -46,6 +46,8 @@ def test_short_items_ties_and_odd_rows(spark, odd_documents, no_documents):
     assert report(no_documents, items) == []
     assert all(r[2] == 0 for r in report(odd_documents, items.limit(0)))
     kept = drop_contaminated(odd_documents, items)
+    own = [c for c in odd_documents.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    assert all(r[c] == c for r in kept.select(*own).collect() for c in own)
     assert kept.columns == odd_documents.columns
     assert {r.doc_id for r in kept.collect()} == {2, 3, 5, 7, 9}
 

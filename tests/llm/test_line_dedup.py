@@ -59,6 +59,8 @@ def test_table(spark, data):
 
 def test_odd_rows(odd_documents, no_documents):
     out = dedup_lines(odd_documents)
+    own = [c for c in odd_documents.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    assert all(r[c] == c for r in out.select(*own).collect() for c in own)
     assert out.columns == odd_documents.columns
     rows = out.collect()
     assert len(rows) == odd_documents.count()

@@ -94,6 +94,8 @@ def test_odd_rows(odd_documents, no_documents):
     assert by_id[6].component_id == 1 and not by_id[6].kept and by_id[1].kept and by_id[8].kept
     assert by_id[2].n_shingles == by_id[3].n_shingles == by_id[7].n_shingles == 0
     kept = drop_near_duplicates(odd_documents)
+    own = [c for c in odd_documents.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    assert all(r[c] == c for r in kept.select(*own).collect() for c in own)
     assert kept.columns == odd_documents.columns and 6 not in {r.doc_id for r in kept.collect()}
     assert near_duplicates(no_documents).count() == 0
 

@@ -1,9 +1,16 @@
+from pathlib import Path
+
+import pytest
+
 from hybridkb.llm.token_counts import RANKS_FILE, _encoding, context_totals, length_histogram, truncated_total
 
 
-def test_totals_against_brute_force(spark, odd_documents):
-    lengths = sorted(len(_encoding(RANKS_FILE).encode_ordinary(r.text or "")) for r in odd_documents.collect())
-    totals = context_totals(length_histogram(odd_documents)).cache()
+@pytest.mark.parametrize("whole_table", [False, True])
+def test_totals_against_brute_force(spark, data, odd_documents, whole_table):
+    docs = spark.read.parquet(f"{data}/documents.parquet") if whole_table else odd_documents
+    encode = _encoding("test", Path(RANKS_FILE).read_bytes()).encode_ordinary
+    lengths = sorted(len(encode(r.text or "")) for r in docs.collect())
+    totals = context_totals(length_histogram(docs)).cache()
     for r in totals.collect():
         n = r.length
         assert (r.n_docs, r.n_fit, r.n_longer) == (lengths.count(n), sum(x <= n for x in lengths), sum(x > n for x in lengths))
