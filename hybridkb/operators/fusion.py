@@ -1,17 +1,18 @@
 """Fusion of ranked lists, source authority, guaranteed slots, overrides and the refusal gate.
 
-Everything here is keyed by query_id and works on some tens of rows for each query.
+Everything here is keyed by query_id and works on some tens of rows for each query. ``retrieve`` writes out the
+lists that several steps read, so the searches run once.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hybridkb.functions.text import is_exact_token_query, rrf_term
 from hybridkb.operators.lexical import bm25_search
 from hybridkb.operators.vector import knn_search
+from hybridkb.sources.staging import stage
 
 # Weights and gates of the retrieval policy.
 LAYER_WEIGHTS = {"shared": 1.2, "community": 1.0, "vessel": 0.9}
@@ -90,37 +91,29 @@ def override_pairs(pool: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def override_pull_in(top: DataFrame, pairs: DataFrame, n: int = 5) -> DataFrame:
-    """query_id, chunk_id, pos: where one side of a pair is in the list, the other comes in: appended while
-    there is room, else in place of the last chunk that is in no pair, else appended. Pairs are worked
-    superseding first, by target. A query has some tens of rows, so each is one small group."""
-
-    def pull(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        ids = rows["chunk_id"].tolist()
-        if not ids:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "pos": []})
-        query = rows["query_id"].tolist()[:1]
-        links = links.sort_values(["relation", "target_id"], ascending=[False, True])
-        pairs_ = list(zip(links["target_id"], links["vessel_id"], strict=True))
-        linked = {x for p in pairs_ for x in p}
-        wanted = []
-        for t, v in pairs_:
-            if t in ids and v not in ids:
-                wanted.append(v)
-            elif v in ids and t not in ids:
-                wanted.append(t)
-        for new in wanted:
-            if new in ids:
-                continue
-            free = [i for i in range(len(ids)) if ids[i] not in linked]
-            if len(ids) < n or not free:
-                ids.append(new)
-            else:
-                ids[free[-1]] = new
-        return pd.DataFrame({"query_id": query * len(ids), "chunk_id": ids, "pos": range(1, len(ids) + 1)})
-
-    links = pairs.select(F.col("query_id").alias("of"), "target_id", "vessel_id", "relation")
-    return top.groupBy("query_id").cogroup(links.groupBy("of")).applyInPandas(pull, "query_id bigint, chunk_id bigint, pos int")
+    """query_id, chunk_id, pos: where the list holds just one side of a pair, the other side comes in. It is appended
+    while there is room; a full list gives up its last chunk that no pair names, and grows if there is none.
+
+    A pair that lacks a side at first is looked at once more when its turn comes, as an earlier pair may have brought
+    the same chunk. Superseding pairs come first, then by target. Both arrays of a query hold some tens of
+    entries, as the list has n and the pool a fixed number of chunks."""
+    first = F.when(F.col("relation") == "supersede", 0).otherwise(1).alias("o")
+    links = pairs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(first, F.col("target_id").alias("t"), F.col("vessel_id").alias("v")))).alias("links"))
+    lists = top.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
+    has = lambda x: F.array_contains("ids", x)
+    missing = F.transform("links", lambda x: F.when(has(x["t"]) & ~has(x["v"]), x["v"]).when(has(x["v"]) & ~has(x["t"]), x["t"]))
+    named = F.flatten(F.transform("links", lambda x: F.array(x["t"], x["v"])))
+
+    def bring(ids: Column, new: Column) -> Column:
+        place = F.array_max(F.transform(ids, lambda x, i: F.when(~F.array_contains("named", x), i)))
+        swapped = F.transform(ids, lambda x, i: F.when(i == place, new).otherwise(x))
+        longer = F.concat(ids, F.array(new))
+        return F.when(F.array_contains(ids, new), ids).when((F.size(ids) < n) | place.isNull(), longer).otherwise(swapped)
+
+    both = lists.join(links, "query_id", "left").withColumn("links", F.coalesce("links", F.expr("cast(array() AS array<struct<o:int,t:bigint,v:bigint>>)")))
+    worked = both.select("query_id", "ids", F.filter(missing, lambda x: x.isNotNull()).alias("wanted"), named.alias("named"))
+    worked = worked.select("query_id", F.posexplode(F.aggregate("wanted", F.col("ids"), bring)).alias("pos", "chunk_id"))
+    return worked.select("query_id", "chunk_id", (F.col("pos") + 1).alias("pos"))
 
 
 def down_rank(working: DataFrame, pairs: DataFrame, n: int = 5) -> DataFrame:
@@ -137,13 +130,14 @@ def down_rank(working: DataFrame, pairs: DataFrame, n: int = 5) -> DataFrame:
 def retrieve(queries: DataFrame, chunks: DataFrame, layers: list[str] | None = None, n: int = 5, pool: int = 20) -> DataFrame:
     """query_id, pos, chunk_id, layer, content, note, refused: the n chunks for each query, best first. A refused
     query has one row, without a chunk."""
-    knn, bm25 = knn_search(queries, chunks, layers, pool), bm25_search(queries, chunks, layers, pool)
+    knn, bm25 = stage(knn_search(queries, chunks, layers, pool), "knn"), stage(bm25_search(queries, chunks, layers, pool), "bm25")
+    about = chunks.drop("embedding")
     gate = below_floor(queries, knn, bm25)
-    ordered = layer_authority(rrf_fuse(knn, bm25), chunks)
+    ordered = stage(layer_authority(rrf_fuse(knn, bm25), about), "ordered")
     top = exact_slot(ordered, bm25, queries, n)
-    pairs = override_pairs(pool_union(ordered, bm25, pool), chunks)
+    pairs = stage(override_pairs(pool_union(ordered, bm25, pool), about), "pairs")
     final = down_rank(override_pull_in(top, pairs, n), pairs, n)
-    answered = gate.where("NOT refused").join(final, "query_id").join(chunks.select("chunk_id", "layer", "content"), "chunk_id")
+    answered = gate.where("NOT refused").join(final, "query_id").join(about.select("chunk_id", "layer", "content"), "chunk_id")
     refused = gate.where("refused").select("query_id")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("chunk_id", "bigint"), ("layer", "string"), ("content", "string"), ("note", "string"))]
     return answered.select("query_id", "pos", "chunk_id", "layer", "content", "note", F.lit(False).alias("refused")).unionByName(refused.select("query_id", *none, F.lit(True).alias("refused")))

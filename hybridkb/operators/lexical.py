@@ -1,7 +1,9 @@
 """BM25 over phrases, for a table of queries against a table of chunks.
 
 Scores are negative, the best the lowest. Statistics cover all chunks; layer and activity filters apply to
-what is ranked. Postings are cut to the queries' terms before anything is shuffled.
+what is ranked. Postings are cut to the queries' terms before anything is shuffled; each different phrase is
+counted once in each chunk, whatever the number of queries that ask it, and these counts are written out. Only
+then do they meet the queries, chunk by chunk, so that what is shuffled behind that is a few best chunks.
 """
 
 from __future__ import annotations
@@ -10,9 +12,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hybridkb.functions.text import tokens, words
+from hybridkb.sources.staging import stage
 
 K1, B = 1.2, 0.75
-BROADCAST_TERMS = 500_000
+BROADCAST_ROWS = 500_000  # of terms or phrases, with BROADCAST_BYTES of text at most
+BROADCAST_BYTES = 32 << 20
+
+
+def size_hint(table: DataFrame, *texts: str) -> str:
+    """The join strategy for a staged table: broadcast only within a count of rows and bytes."""
+    n, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum((F.length(c) for c in texts), F.lit(8))), F.lit(0))).first()
+    return "broadcast" if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else "shuffle_merge"
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
@@ -32,24 +42,40 @@ def document_frequency(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode(F.array_distinct(tokens(F.col("content")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_chunks_with"))
 
 
+def phrase_counts(phrases: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunk_id, len, phrase, tf: how often each different phrase of ``phrases`` stands in each chunk."""
+    asked = phrases.select("phrase", "off", "term", "phrase_len").distinct()
+    asked = stage(asked, "phrases")
+    indexed = chunks.select("chunk_id", tokens(F.col("content")).alias("t"))
+    postings = indexed.select("chunk_id", F.size("t").alias("len"), F.posexplode("t").alias("pos", "term"))
+    one = asked.where("phrase_len = 1").select("phrase", "term")
+    single = postings.join(one.hint(size_hint(one, "phrase", "term")), "term").groupBy("chunk_id", "len", "phrase").agg(F.count(F.lit(1)).alias("tf"))
+    many = asked.where("phrase_len > 1")
+    if many.isEmpty():
+        return single
+    hint = size_hint(many, "phrase", "term")
+    hits = postings.join(many.hint(hint), "term").groupBy("chunk_id", "len", "phrase", "phrase_len", (F.col("pos") - F.col("off")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    runs = hits.where("n = phrase_len").groupBy("chunk_id", "len", "phrase").agg(F.count(F.lit(1)).alias("tf"))
+    return single.unionByName(runs)
+
+
 def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, chunk_id, score for every chunk that holds a phrase of the query."""
     phrases = query_phrases(queries)
-    terms = phrases.select("term").distinct()
-    small = terms.count() <= BROADCAST_TERMS
-    hint = "broadcast" if small else "shuffle_merge"
-    indexed = chunks.select("chunk_id", tokens(F.col("content")).alias("t"))
-    postings = indexed.select("chunk_id", F.size("t").alias("len"), F.posexplode("t").alias("pos", "term"))
-    postings = postings.join(terms.hint(hint), "term", "left_semi")
-    hits = postings.join(phrases.hint(hint), "term").select("query_id", "phrase_no", "phrase_len", "chunk_id", "len", (F.col("pos") - F.col("off")).alias("at"), "off")
-    starts = hits.groupBy("query_id", "phrase_no", "phrase_len", "chunk_id", "len", "at").agg(F.count(F.lit(1)).alias("n")).where("n = phrase_len")
-    tf = starts.groupBy("query_id", "phrase_no", "chunk_id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("query_id", "phrase_no").agg(F.count(F.lit(1)).alias("df"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "term"))), lambda x: x["term"]), " ")
+    keys = phrases.groupBy("query_id", "phrase_no").agg(whole.alias("phrase"), F.max("phrase_len").alias("phrase_len"))
+    keys = stage(keys, "questions")
+    split = keys.select("phrase", "phrase_len", F.posexplode(F.split("phrase", " ")).alias("off", "term"))
+    counts = stage(phrase_counts(split, chunks), "counts")
+    stats = stage(corpus_stats(chunks), "stats")  # one row
+    df = counts.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats))
     n, df_ = F.col("n_chunks"), F.col("df")
-    idf = F.greatest(F.log((n - df_ + 0.5) / (df_ + 0.5)), F.lit(1e-6))
+    known = df.select("phrase", F.greatest(F.log((n - df_ + 0.5) / (df_ + 0.5)), F.lit(1e-6)).alias("idf"), "avg_len")
+    asks = keys.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("times"))
+    asks = stage(asks.hint("shuffle_merge").join(known, "phrase"), "asks")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = tf.join(df.hint("shuffle_merge"), ["query_id", "phrase_no"]).join(F.broadcast(corpus_stats(chunks)))  # one row
-    return scored.groupBy("query_id", "chunk_id").agg((-F.sum(idf * weight)).alias("score"))
+    met = counts.repartition("chunk_id").join(asks.hint(size_hint(asks, "phrase")), "phrase")
+    return met.groupBy("query_id", "chunk_id").agg((-F.sum(F.col("times") * F.col("idf") * weight)).alias("score"))
 
 
 def layer_filter(chunks: DataFrame, layers: list[str] | None) -> DataFrame:

@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 from hybridkb.functions.text import is_exact_token_query, l2_distance, rrf_term, sanitize_query, words
 from hybridkb.operators import context, fusion, lexical, vector
-from hybridkb.plans.tables import CHUNKS_SQL, RETRIEVAL_SQL, chunks, queries, table
+from hybridkb.plans.tables import CHUNKS_SQL, RETRIEVAL_SQL, WHOLE_SQL, chunks, queries, table
+from hybridkb.sources.staging import stage
 
 
 def _lists(spark: SparkSession, sf_dir: str, whole: bool = False):
-    q, c = queries(spark, sf_dir, whole), chunks(spark, sf_dir)
-    return q, c, vector.knn_search(q, c), lexical.bm25_search(q, c)
+    q, c = queries(spark, sf_dir, whole), chunks(spark, sf_dir, vectors=False)
+    return q, c, stage(vector.knn_search(q, chunks(spark, sf_dir)), "knn"), stage(lexical.bm25_search(q, c), "bm25")
 
 
 def _ordered(spark: SparkSession, sf_dir: str, whole: bool = False):
     q, c, knn, bm25 = _lists(spark, sf_dir, whole)
-    return q, c, bm25, fusion.layer_authority(fusion.rrf_fuse(knn, bm25), c)
+    return q, c, bm25, stage(fusion.layer_authority(fusion.rrf_fuse(knn, bm25), c), "ordered")
 
 
 def query_phrases(s, d, whole=False):
@@ -27,11 +28,11 @@ def query_phrases(s, d, whole=False):
 
 
 def bm25_search(s, d, whole=False):
-    return lexical.bm25_search(queries(s, d, whole), chunks(s, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return lexical.bm25_search(queries(s, d, whole), chunks(s, d, vectors=False)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_topk(s, d, k=5, whole=False):
-    return lexical.bm25_search(queries(s, d, whole), chunks(s, d), pool=k).select("query_id", "chunk_id", "rank")
+    return lexical.bm25_search(queries(s, d, whole), chunks(s, d, vectors=False), pool=k).select("query_id", "chunk_id", "rank")
 
 
 def knn_search(s, d):
@@ -47,19 +48,20 @@ def layer_filter(s, d):
 
 
 def active_filter(s, d):
-    return chunks(s, d).where("is_active").groupBy("layer").agg(F.count(F.lit(1)).alias("n_active"))
+    return chunks(s, d, vectors=False).where("is_active").groupBy("layer").agg(F.count(F.lit(1)).alias("n_active"))
 
 
 def corpus_stats(s, d):
-    return lexical.corpus_stats(chunks(s, d)).select("n_chunks", F.round("avg_len", 6).alias("avg_len"))
+    return lexical.corpus_stats(chunks(s, d, vectors=False)).select("n_chunks", F.round("avg_len", 6).alias("avg_len"))
 
 
 def document_frequency(s, d):
-    return lexical.document_frequency(chunks(s, d))
+    return lexical.document_frequency(chunks(s, d, vectors=False))
 
 
 def bm25_join(s, d, whole=False):
-    hits = lexical.bm25_scores(queries(s, d, whole), chunks(s, d)).join(chunks(s, d).select("chunk_id", "layer", "is_active"), "chunk_id")
+    c = chunks(s, d, vectors=False)
+    hits = lexical.bm25_scores(queries(s, d, whole), c).join(c.select("chunk_id", "layer", "is_active"), "chunk_id")
     return hits.groupBy("query_id", "layer", "is_active").agg(F.count(F.lit(1)).alias("n_hits"))
 
 
@@ -127,7 +129,7 @@ def retrieve(s, d):
 
 
 def chunk_metadata(s, d, whole=False):
-    return context.chunk_metadata(_top(s, d, whole), chunks(s, d))
+    return context.chunk_metadata(_top(s, d, whole), chunks(s, d, vectors=False))
 
 
 def _top(s, d, whole=False):
@@ -135,15 +137,15 @@ def _top(s, d, whole=False):
 
 
 def context_blocks(s, d, whole=False):
-    return context.context_blocks(context.chunk_metadata(_top(s, d, whole), chunks(s, d)), queries(s, d, whole)).select("query_id", F.sha2("message", 256).alias("message_sha256"))
+    return context.context_blocks(context.chunk_metadata(_top(s, d, whole), chunks(s, d, vectors=False)), queries(s, d, whole)).select("query_id", F.sha2("message", 256).alias("message_sha256"))
 
 
 def citation_block(s, d, whole=False):
-    return context.citation_block(context.chunk_metadata(_top(s, d, whole), chunks(s, d)))
+    return context.citation_block(context.chunk_metadata(_top(s, d, whole), chunks(s, d, vectors=False)))
 
 
 def source_cards(s, d, whole=False):
-    return context.source_cards(context.chunk_metadata(_top(s, d, whole), chunks(s, d))).select("query_id", "n", "layer", "title", "pages", F.length("content").alias("n_chars"))
+    return context.source_cards(context.chunk_metadata(_top(s, d, whole), chunks(s, d, vectors=False))).select("query_id", "n", "layer", "title", "pages", F.length("content").alias("n_chars"))
 
 
 def validate_citations(s, d):
@@ -174,10 +176,19 @@ def _sql(select: str, base: str = RETRIEVAL_SQL) -> str:
     return f"WITH {base}\n{select}"
 
 
+def _recursive(select: str) -> str:
+    return f"WITH RECURSIVE {WHOLE_SQL}\n{select}"
+
+
 def entries() -> dict:
-    """key: (query, SQL or None). The SQL asks with six words of each question; the queries without SQL, and those
-    named key_whole, ask with all of them."""
-    return {f"{q.__name__}_whole": (partial(q, whole=True), None) for q in WHOLE} | {
+    """key: (query, SQL or None). Keys ask with six words of each question; those named key_whole, retrieve and
+    override_pull_in ask with all of them."""
+    cut = _cut_entries()
+    return cut | {f"{q.__name__}_whole": (partial(q, whole=True), cut[q.__name__][1].replace("[1:6]", "")) for q in WHOLE}
+
+
+def _cut_entries() -> dict:
+    return {
         "query_phrases": (query_phrases, _sql("SELECT query_id, phrase_no, off, term, phrase_len FROM qt")),
         "corpus_stats": (corpus_stats, _sql("SELECT n_chunks, round(avg_len, 6) AS avg_len FROM stats")),
         "document_frequency": (document_frequency, _sql("SELECT term, count(DISTINCT chunk_id) AS n_chunks_with FROM posting GROUP BY 1")),
@@ -199,7 +210,7 @@ def entries() -> dict:
         "pool_union": (pool_union, _sql("SELECT query_id, chunk_id, pos FROM pool")),
         "override_pairs": (override_pairs, _sql("SELECT query_id, target_id, vessel_id, relation FROM pairs")),
         "override_map": (override_pairs, _sql("SELECT query_id, target_id, vessel_id, relation FROM pairs")),
-        "override_pull_in": (override_pull_in, None),
+        "override_pull_in": (override_pull_in, _recursive("SELECT query_id, chunk_id, CAST(pos AS INTEGER) AS pos FROM working")),
         "down_rank": (
             down_rank,
             _sql(
@@ -208,7 +219,13 @@ def entries() -> dict:
                 "(SELECT p.* FROM pairs p JOIN slot v ON v.query_id = p.query_id AND v.chunk_id = p.vessel_id) a ON a.query_id = s.query_id AND a.target_id = s.chunk_id) WHERE pos <= 5"
             ),
         ),
-        "retrieve": (retrieve, None),
+        "retrieve": (
+            retrieve,
+            _recursive(
+                "SELECT query_id, CAST(pos AS INTEGER) AS pos, chunk_id, layer, note, false AS refused FROM final JOIN (SELECT chunk_id, layer FROM chunks) USING (chunk_id) JOIN gate USING (query_id) WHERE NOT gate.refused "
+                "UNION ALL SELECT query_id, NULL, NULL, NULL, NULL, true FROM gate WHERE refused"
+            ),
+        ),
         "chunk_metadata": (chunk_metadata, _sql("SELECT query_id, pos, chunk_id, layer, source AS title, CAST(NULL AS INTEGER) AS page_start, CAST(NULL AS INTEGER) AS page_end, content, '' AS note FROM top5 JOIN chunks USING (chunk_id)")),
         "context_blocks": (
             context_blocks,

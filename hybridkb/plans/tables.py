@@ -12,9 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunks(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
+    """The documents as chunks. Searches that read no vectors leave the join with them out."""
     d = table(spark, sf_dir, "documents")
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     n = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")
     layer = F.element_at(F.array(*[F.lit(x) for x in LAYERS]), F.coalesce(n, F.lit(0)) % 3 + 1)
     base = d.select(
@@ -26,7 +26,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((layer == "vessel") & (F.col("doc_id") % 7 == 0), F.col("doc_id") - 1).alias("supersedes_id"),
         F.when((layer == "vessel") & (F.col("doc_id") % 11 == 0), F.col("doc_id") - 2).alias("annotates_id"),
     )
-    return base.join(e, "chunk_id", "left")
+    if not vectors:
+        return base
+    return base.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
 
 
 def queries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
@@ -103,3 +105,31 @@ pairs AS (
     SELECT e.*, row_number() OVER (PARTITION BY e.query_id, target_id ORDER BY relation DESC, CASE WHEN relation = 'supersede' THEN -vessel_id ELSE vessel_id END) AS nth
     FROM edge e JOIN pool t ON t.query_id = e.query_id AND t.chunk_id = e.target_id) WHERE nth = 1)
 """
+
+# The same with all words of each question, and the lists after the overrides have come in.
+WHOLE_SQL = RETRIEVAL_SQL.replace("[1:6]", "") + r""",
+link AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relation DESC, target_id) AS k FROM pairs),
+listed AS (SELECT query_id, list(chunk_id ORDER BY pos) AS ids FROM slot GROUP BY query_id),
+named AS (SELECT query_id, flatten(list([target_id, vessel_id])) AS named FROM link GROUP BY query_id),
+wanted AS (
+  SELECT query_id, new, row_number() OVER (PARTITION BY query_id ORDER BY k) AS k FROM (
+    SELECT query_id, k, CASE WHEN list_contains(ids, target_id) AND NOT list_contains(ids, vessel_id) THEN vessel_id
+                             WHEN list_contains(ids, vessel_id) AND NOT list_contains(ids, target_id) THEN target_id END AS new
+    FROM link JOIN listed USING (query_id)) WHERE new IS NOT NULL),
+pulled(query_id, k, ids) AS (
+  SELECT query_id, CAST(0 AS BIGINT), ids FROM listed
+  UNION ALL
+  SELECT p.query_id, w.k, CASE
+      WHEN list_contains(p.ids, w.new) THEN p.ids
+      WHEN len(p.ids) < 5 OR len(list_filter(p.ids, lambda x: NOT list_contains(n.named, x))) = 0 THEN list_append(p.ids, w.new)
+      ELSE list_transform(range(1, len(p.ids) + 1), lambda i: CASE WHEN i = list_max(list_filter(range(1, len(p.ids) + 1), lambda j: NOT list_contains(n.named, p.ids[j]))) THEN w.new ELSE p.ids[i] END) END
+  FROM pulled p JOIN wanted w ON w.query_id = p.query_id AND w.k = p.k + 1 JOIN named n ON n.query_id = p.query_id),
+working AS (
+  SELECT query_id, unnest(ids) AS chunk_id, unnest(range(1, len(ids) + 1)) AS pos
+  FROM (SELECT query_id, max_by(ids, k) AS ids FROM pulled GROUP BY query_id)),
+final AS (
+  SELECT query_id, chunk_id, pos, CASE WHEN relation IS NULL THEN '' ELSE ' [NOTE: ' || relation || 'd by vessel note]' END AS note FROM (
+    SELECT w.query_id, w.chunk_id, relation, row_number() OVER (PARTITION BY w.query_id ORDER BY relation IS NOT NULL, w.pos) AS pos FROM working w
+    LEFT JOIN (SELECT p.* FROM pairs p JOIN working v ON v.query_id = p.query_id AND v.chunk_id = p.vessel_id) a ON a.query_id = w.query_id AND a.target_id = w.chunk_id)
+  WHERE pos <= 5)
+"""
