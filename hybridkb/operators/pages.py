@@ -46,19 +46,45 @@ def image_pages(pages: DataFrame) -> DataFrame:
     return pages.where((F.length(F.trim("text")) < 10) & (F.col("n_images") >= 1))
 
 
+def toc_paths(toc: DataFrame) -> DataFrame:
+    """doc_id, seq, page, path: every entry of a table of contents under its ancestors, which are the entries of lower
+    levels that are still open. One fold over the entries of a document, which carries the open ones."""
+    entries = F.array_sort(F.collect_list(F.struct("seq", F.col("level").cast("int").alias("level"), "title", "page")))
+    zero = F.expr("named_struct('open', cast(array() AS array<struct<level:int,title:string>>), 'out', cast(array() AS array<struct<seq:bigint,page:bigint,path:string>>))")
+
+    def step(a: Column, x: Column) -> Column:
+        open_ = F.concat(F.filter(a["open"], lambda o: o["level"] < x["level"]), F.array(F.struct(x["level"].alias("level"), x["title"].alias("title"))))
+        path = F.array_join(F.transform(open_, lambda o: o["title"]), " > ")
+        row = F.struct(x["seq"].cast("bigint").alias("seq"), x["page"].cast("bigint").alias("page"), path.alias("path"))
+        return F.struct(open_.alias("open"), F.concat(a["out"], F.array(row)).alias("out"))
+
+    folded = toc.groupBy("doc_id").agg(entries.alias("entries")).select("doc_id", F.explode(F.aggregate("entries", zero, step, lambda a: a["out"])).alias("e"))
+    return folded.select("doc_id", "e.seq", "e.page", "e.path")
+
+
 def toc_section(pages: DataFrame, toc: DataFrame) -> DataFrame:
     """The pages with ``section_path``: the last entry, in the order of the contents, that begins at or before
-    the page, under its ancestors; "Page n" before the first. Entries are joined by document and page range."""
-    before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    entries = toc.withColumn("_above", F.collect_list(F.struct("seq", "level", "title")).over(before))
-    # Ancestors: walking back, each entry of a lower level than all after it.
-    zero = F.expr("named_struct('level', 1000, 'path', cast(array() AS array<string>))")
-    step = lambda a, x: F.when(x["level"] < a["level"], F.struct(x["level"].cast("int").alias("level"), F.concat(F.array(x["title"]), a["path"]).alias("path"))).otherwise(a)
-    entries = entries.withColumn("_path", F.array_join(F.aggregate(F.reverse("_above"), zero, step, lambda a: a["path"]), " > "))
-    e = entries.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), "seq", "_path")
-    joined = pages.join(e, (pages["doc_id"] == e["_d"]) & (e["_p"] <= pages["page"]), "left")
-    best = joined.groupBy(*pages.columns).agg(F.max_by("_path", "seq").alias("section_path"))
-    return best.withColumn("section_path", F.coalesce("section_path", F.concat(F.lit("Page "), F.col("page").cast("string"))))
+    the page; "Page n" before the first. Entries and pages run through one window, so each is read once."""
+    e = toc_paths(toc).select("doc_id", F.col("page").alias("at"), F.struct("seq", "path").alias("entry"), F.lit(None).cast(pages.schema).alias("row"))
+    p = pages.select("doc_id", F.col("page").cast("bigint").alias("at"), F.lit(None).cast("struct<seq:bigint,path:string>").alias("entry"), F.struct(*pages.columns).alias("row"))
+    run = Window.partitionBy("doc_id").orderBy("at", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    best = e.unionByName(p).withColumn("best", F.max("entry").over(run)).where("row IS NOT NULL")
+    return best.select("row.*", F.coalesce("best.path", F.concat(F.lit("Page "), F.col("at").cast("string"))).alias("section_path"))
+
+
+def toc_chunks(pages: DataFrame, toc: DataFrame) -> DataFrame:
+    """doc_id, page_start, page_end, section_path, content: one raw chunk for each page that has text."""
+    named = toc_section(pages, toc)
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    return named.select("doc_id", F.col("page").alias("page_start"), F.col("page").alias("page_end"), "section_path", text.alias("content")).where("content <> ''")
+
+
+def finalise_chunks(raw: DataFrame, cap: int = CAP) -> DataFrame:
+    """The raw chunks packed to the cap, each part with its page range, its ``section_ordinal`` from 0 inside its
+    section, and its ``token_count``."""
+    parts = raw.select("doc_id", "section_path", "page_start", "page_end", F.posexplode(pack_words(F.col("content"), cap)).alias("part", "content"))
+    order = Window.partitionBy("doc_id", "section_path").orderBy("page_start", "part")
+    return parts.select("doc_id", "section_path", "page_start", "page_end", "content", token_count(F.col("content")).alias("token_count"), (F.row_number().over(order) - 1).alias("section_ordinal"))
 
 
 def pack_words(text: Column, cap: int = CAP) -> Column:

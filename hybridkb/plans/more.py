@@ -27,21 +27,6 @@ def ladder(s, d):
     return out.select("event_id", "rung", F.col("record.system").alias("system"), F.col("record.cost_amount").alias("cost"), F.size("record.parts").alias("n_parts"), F.col("record.vendor").alias("vendor"))
 
 
-def detection(s, d):
-    e = table(s, d, "events")
-    json = F.concat(F.lit('{"zone": "'), F.concat(F.lit("Z"), (F.col("event_id") % 9).cast("string")), F.lit('", "confidence": '), (F.floor(F.col("value") * 25) / 1000).cast("string"), F.lit("}"))
-    zones = s.range(5).select(F.concat(F.lit("Z"), F.col("id").cast("string")).alias("name"))
-    out = payloads.normalise_detection(e.select("event_id", json.alias("payload")), zones)
-    return out.select("event_id", "name", "zone", F.round("confidence", 3).alias("confidence"), "low_confidence")
-
-
-def toc(s, d):
-    lines = table(s, d, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n"))
-    page = lines.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 12).cast("int"))).alias("page"))
-    contents = page.where("page % 3 = 1").select("doc_id", F.col("page").alias("seq"), F.when(F.col("page") % 2 == 1, 1).otherwise(2).alias("level"), F.concat(F.lit("T"), F.col("page").cast("string")).alias("title"), "page")
-    return pages.toc_section(page, contents)
-
-
 def sessions(s, d):
     e = table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     return ops.stream_sessions(e).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("n_messages").alias("n_messages"))
@@ -53,16 +38,11 @@ def entries() -> dict:
         "median_font": (lambda s, d: pages.median_font(_spans(s, d)), "SELECT doc_id, CAST((i - 1) // 12 AS INTEGER) AS page, median(CASE WHEN (i - 1) % 12 = 0 AND (i - 1) // 12 % 2 = 0 THEN 18.0::DOUBLE ELSE 10.0::DOUBLE END) AS median_size FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) GROUP BY ALL"),
         "span_headings": (lambda s, d: pages.span_headings(_spans(s, d)).groupBy("doc_id").agg(F.count_if("heading").alias("n_headings")), None),
         "span_sections": (lambda s, d: pages.span_sections(_spans(s, d)).select("doc_id", "section", "page_start", "page_end", F.sha2("content", 256).alias("content_sha256")), None),
-        "toc_section": (toc, None),
         "pack_words": (lambda s, d: table(s, d, "documents").select("doc_id", F.size(pages.pack_words(F.col("text"))).alias("n_parts")), None),
         "extraction_ladder": (
             ladder,
             "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 'first' WHEN event_id % 6 <> 0 THEN 'retry' ELSE 'default' END AS rung, CASE WHEN event_id % 3 <> 0 THEN 'engine' WHEN event_id % 6 <> 0 THEN 'sails' ELSE 'other' END AS system, CASE WHEN event_id % 3 <> 0 THEN value END AS cost, CASE WHEN event_id % 3 <> 0 THEN 1 ELSE 0 END AS n_parts, CASE WHEN event_id % 3 <> 0 THEN event_type END AS vendor FROM events",
         ),
-        "normalise_detection": (
-            detection,
-            "SELECT event_id, 'Unknown item' AS name, CASE WHEN event_id % 9 < 5 THEN 'Z' || event_id % 9 END AS zone, greatest(0.0::DOUBLE, least(1.0::DOUBLE, c)) AS confidence, c < 0.7 OR c > 1 OR event_id % 9 >= 5 AS low_confidence FROM (SELECT event_id, floor(value * 25) / 1000 AS c FROM events)",
-        ),
         "stream_sessions": (
             sessions,
             "WITH x AS (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events) SELECT user_id, CAST(sum(new) AS BIGINT) AS n_sessions, count(*) AS n_messages FROM x GROUP BY 1",

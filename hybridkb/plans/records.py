@@ -43,6 +43,9 @@ def _items(s, d):
 ITEMS = "items AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, zone_id FROM part LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS zone_id FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)"
 
 
+QUESTIONS = ("ring", "WIDGET", "Brand#1", "no such thing", "d w", "#2")
+
+
 def _zones(s, d):
     return table(s, d, "supplier").select(F.col("s_suppkey").alias("zone_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("area"), F.when(F.col("s_suppkey") % 6 > 0, F.col("s_acctbal")).alias("vertical_index"))
 
@@ -50,8 +53,8 @@ def _zones(s, d):
 def entries() -> dict:
     """key: (query, SQL or None)."""
     slot = lambda: F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("row "), F.col("p_size").cast("string")))
-    raw = lambda: F.element_at(F.array(*[F.lit(x) for x in ("Engine", "engine cooling", "nav", "genset", "Hull/Deck", "e", "the rigging")]), (F.col("event_id") % 7 + 1).cast("int"))
-    cat = lambda: F.element_at(F.array(*[F.lit(x) for x in ("Flares", "toolbox", "water", "games", "toolbox of spares", "SAFETY", "")]), (F.col("event_id") % 7 + 1).cast("int"))
+    raw = lambda: F.element_at(F.array(*[F.lit(x) for x in ("Engine", "oil of the engine", "nav", "winch", "Hull/Deck", "x", "the rigging")]), (F.col("event_id") % 7 + 1).cast("int"))
+    cat = lambda: F.element_at(F.array(*[F.lit(x) for x in ("Flares", "toolbox", "water", "games", "box of shackles", "SAFETY", "")]), (F.col("event_id") % 7 + 1).cast("int"))
 
     def descriptor(s, d):
         z = _zones(s, d).select("zone_id", "name")
@@ -81,7 +84,7 @@ def entries() -> dict:
         return r.slot_valid(rows, grid).select("c_custkey", "reason")
 
     def find(s, d):
-        q = table(s, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.substring("n_name", 1, 2).alias("text"))
+        q = table(s, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.element_at(F.array(*[F.lit(x) for x in QUESTIONS]), (F.col("n_nationkey") % len(QUESTIONS) + 1).cast("int")).alias("text"))
         return r.find_items(_items(s, d), q, ["p_name", "p_brand", "p_type"]).select("query_id", "p_partkey")
 
     def cascade(s, d):
@@ -113,7 +116,10 @@ def entries() -> dict:
         "upsert_source": (lambda s, d: t.upsert_source(_sources(s, d), _sources(s, d, 2)).select("source_id", "layer", "path", "content_hash"), f"WITH {SRC} SELECT source_id, layer, path, sha256(text || CASE WHEN source_id % 5 = 0 THEN ' edited' ELSE '' END) AS content_hash FROM src"),
         "rel_subtract": (lambda s, d: _sources(s, d).join(t.detect_changes(_sources(s, d, 2), _sources(s, d)).where("status = 'changed'").select("layer", "path"), ["layer", "path"], "left_anti").select("source_id"), "SELECT doc_id AS source_id FROM documents WHERE doc_id % 10 <> 9 AND doc_id % 5 <> 0"),
         "assign_ordinals": (lambda s, d: t.assign_ordinals(table(s, d, "documents").select("source", "doc_id"), "source", "doc_id"), "SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS ordinal FROM documents"),
-        "quarantine": (lambda s, d: t.detect_changes(_sources(s, d, 2), _sources(s, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN doc_id % 10 = 9 THEN 'new' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'no-op' END AS status, count(*) AS n FROM documents GROUP BY 1"),
+        "quarantine": (
+            lambda s, d: t.quarantine(_sources(s, d, 2), _sources(s, d), F.when(F.col("source_id") % 13 == 0, "unreadable")),
+            f"WITH {SRC} SELECT path, CASE WHEN source_id % 13 = 0 THEN 'FAIL' WHEN source_id % 10 = 9 OR source_id % 5 = 0 THEN 'OK' ELSE 'NO-OP' END AS result, CASE WHEN source_id % 13 = 0 THEN 'unreadable' END AS error FROM src",
+        ),
         "relayer_candidates": (lambda s, d: t.relayer_candidates(_sources(s, d, 2), _chunks(s, d)), f"WITH {SRC} SELECT source_id, path, CASE WHEN source_id % 7 = 0 THEN 0 ELSE len(string_split(text, chr(10))) END AS n_chunks FROM src WHERE layer = 'vessel' AND source_type = 'whatsapp'"),
         "relayer": (lambda s, d: t.relayer(_sources(s, d, 2), _sources(s, d, 2).where("source_id % 2 = 0").select("path")).select("source_id", "layer"), f"WITH {SRC} SELECT source_id, CASE WHEN layer = 'vessel' AND source_id % 2 = 0 THEN 'community' ELSE layer END AS layer FROM src"),
         "delete_cascade": (cascade, "SELECT doc_id AS source_id, len(string_split(text, chr(10))) AS n FROM documents WHERE doc_id % 7 <> 0 AND NOT (doc_id % 6 = 0 AND doc_id % 10 <> 9)"),
@@ -127,7 +133,10 @@ def entries() -> dict:
         ),
         "ingest_summary": (lambda s, d: t.detect_changes(_sources(s, d, 2), _sources(s, d)).groupBy("layer", "status").agg(F.count(F.lit(1)).alias("n")), f"WITH {SRC} SELECT layer, CASE WHEN source_id % 10 = 9 THEN 'new' WHEN source_id % 5 = 0 THEN 'changed' ELSE 'no-op' END AS status, count(*) AS n FROM src GROUP BY ALL"),
         "list_entries": (lambda s, d: r.list_entries(_entries(s, d), system="purchase", since="2024-01-05", until="2024-01-20").select("entry_id", "date", "system"), f"WITH {ENT} SELECT entry_id, date, system FROM ent WHERE system = 'purchase' AND date BETWEEN '2024-01-05' AND '2024-01-20'"),
-        "entry_display": (lambda s, d: _entries(s, d).select("entry_id", F.concat_ws("  ", "date", F.concat("system", F.lit(" ("), "content", F.lit(")")), F.concat(F.get_json_object("metadata", "$.k"), F.lit(" NZD"))).alias("line")), f"WITH {ENT} SELECT entry_id, date || '  ' || system || ' (' || content || ')  ' || json_extract_string(metadata, '$.k') || ' NZD' AS line FROM ent"),
+        "entry_display": (
+            lambda s, d: _entries(s, d).select("entry_id", r.entry_display(F.col("date"), F.when(F.col("entry_id") % 5 > 0, F.col("system")), F.col("content"), F.when(F.col("entry_id") % 3 > 0, F.get_json_object("metadata", "$.k").cast("double")), F.when(F.col("entry_id") % 2 > 0, "EUR")).alias("line")),
+            f"WITH {ENT} SELECT entry_id, date || '  ' || CASE WHEN entry_id % 5 > 0 THEN system ELSE '—' END || '  ' || content || '  ' || CASE WHEN entry_id % 3 > 0 THEN json_extract_string(metadata, '$.k') || '.00 ' || CASE WHEN entry_id % 2 > 0 THEN 'EUR' ELSE 'NZD' END ELSE '—' END AS line FROM ent",
+        ),
         "filename_collision": (
             lambda s, d: r.entry_filename(_entries(s, d).groupBy("date", "content").agg(F.min("entry_id").alias("entry_id"))).select("entry_id", "file_name"),
             f"WITH {ENT}, e AS (SELECT date, content, min(entry_id) AS entry_id FROM ent GROUP BY ALL), b AS (SELECT *, date || '-' || replace(content, ' ', '-') AS base FROM e) SELECT entry_id, base || CASE WHEN row_number() OVER w > 1 THEN '-' || row_number() OVER w ELSE '' END || '.md' AS file_name FROM b WINDOW w AS (PARTITION BY base ORDER BY entry_id)",
@@ -140,10 +149,13 @@ def entries() -> dict:
         "item_descriptor": (descriptor, f"WITH {ITEMS} SELECT p_partkey, '[Item] ' || p_name || ' (spare' || CASE WHEN p_size % 3 = 0 THEN ', ' || p_type ELSE '' END || ') — ' || CASE WHEN s_name IS NULL THEN 'location unknown' ELSE s_name || CASE WHEN p_size % 2 = 0 THEN ', row ' || p_size ELSE '' END END || ' Brand: ' || p_brand || ' Part: ' || p_partkey || CASE WHEN p_size % 3 = 0 THEN ' Aliases: ' || p_type ELSE '' END AS descriptor FROM items LEFT JOIN supplier ON s_suppkey = zone_id"),
         "deviation_descriptor": (deviation, f"WITH {ITEMS} SELECT p_partkey, '[Deviation] ' || p_name || ' factory: ' || p_type || CASE WHEN p_size % 2 = 0 THEN ' as-built: ' || p_brand ELSE '' END || ' — ' || coalesce(s_name, 'location unknown') AS descriptor FROM items LEFT JOIN supplier ON s_suppkey = zone_id"),
         "item_zone": (lambda s, d: _items(s, d).join(_zones(s, d).select("zone_id", "name"), "zone_id", "left").select("p_partkey", "zone_id", "name"), f"WITH {ITEMS} SELECT p_partkey, zone_id, s_name AS name FROM items LEFT JOIN supplier ON s_suppkey = zone_id"),
-        "list_items": (lambda s, d: _items(s, d).where((F.col("p_size") < 20) & F.contains(F.lower("p_name"), F.lit("1"))).select("p_partkey", "p_name").orderBy("p_name"), f"WITH {ITEMS} SELECT p_partkey, p_name FROM items WHERE p_size < 20 AND contains(lower(p_name), '1')"),
+        "list_items": (
+            lambda s, d: r.list_items(_items(s, d).select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("aliases"), F.lower("p_type").alias("category"), "zone_id"), _zones(s, d).select("zone_id", F.concat(F.lit("z"), (F.col("zone_id") % 3).cast("string")).alias("slug"), F.col("name").alias("label")), "z1", "economy", "R").select("p_partkey", "name", "zone_label"),
+            f"WITH {ITEMS} SELECT p_partkey, p_name AS name, s_name AS zone_label FROM items JOIN supplier ON s_suppkey = zone_id WHERE s_suppkey % 3 = 1 AND p_type = 'ECONOMY' AND (contains(lower(p_name), 'r') OR contains(lower(p_brand), 'r'))",
+        ),
         "list_zones": (lambda s, d: _zones(s, d).orderBy("area", F.asc_nulls_first("vertical_index")).select("zone_id", "area", "vertical_index"), "SELECT s_suppkey AS zone_id, s_nationkey AS area, CASE WHEN s_suppkey % 6 > 0 THEN s_acctbal END AS vertical_index FROM supplier"),
         "annotation_progress": (lambda s, d: _zones(s, d).groupBy("area").agg(F.count_if(F.col("vertical_index").isNotNull()).alias("n_annotated"), F.count(F.lit(1)).alias("n_zones")), "SELECT s_nationkey AS area, count_if(s_suppkey % 6 > 0) AS n_annotated, count(*) AS n_zones FROM supplier GROUP BY 1"),
-        "find_items": (find, f"WITH {ITEMS} SELECT n_nationkey AS query_id, p_partkey FROM items JOIN nation ON contains(lower(p_name), lower(n_name[1:2])) OR contains(lower(p_brand), lower(n_name[1:2])) OR contains(lower(p_type), lower(n_name[1:2]))"),
+        "find_items": (find, f"WITH {ITEMS} SELECT n_nationkey AS query_id, p_partkey FROM items JOIN (SELECT n_nationkey, lower({list(QUESTIONS)}[n_nationkey % {len(QUESTIONS)} + 1]) AS q FROM nation) ON contains(lower(p_name), q) OR contains(lower(p_brand), q) OR contains(lower(p_type), q)"),
         "resolve_zone": (resolve, r"WITH z AS (SELECT regexp_replace(s_name, '\d$', '') AS name, min(s_suppkey) AS id, count(*) AS n FROM supplier GROUP BY 1), x AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN regexp_replace(s_name, '\d$', '') ELSE 'nowhere' END AS zone FROM supplier) SELECT s_suppkey, zone, CASE WHEN n = 1 THEN id END AS zone_id, CASE WHEN trim(zone) = '' THEN 'blank' WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' END AS warning FROM x LEFT JOIN z ON name = zone"),
         "slot_valid": (slots, "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_nationkey % 5 = 4 THEN 'zone has no grid' WHEN c_custkey % 4 > n_regionkey + 1 OR c_custkey % 3 + 1 > 2 THEN 'outside the grid' END AS reason FROM customer JOIN nation ON n_nationkey = c_nationkey"),
         "grid_counts": (lambda s, d: table(s, d, "customer").groupBy(F.col("c_nationkey").alias("zone_id")).agg(F.count(F.lit(1)).alias("n_slots")), "SELECT c_nationkey AS zone_id, count(*) AS n_slots FROM customer GROUP BY 1"),
@@ -152,8 +164,8 @@ def entries() -> dict:
             "WITH m AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events), k AS (SELECT user_id, list(event_type ORDER BY event_id DESC) AS l FROM m WHERE before IS NULL OR before <> event_type GROUP BY 1) SELECT user_id, l[1] AS current, CAST(len(l) - 1 AS INTEGER) AS n_moves, l[2:4] AS latest FROM k",
         ),
         "apply_moves": (
-            lambda s, d: r.location_moves(table(s, d, "events"), "user_id", "event_type", "event_id").select("user_id", "current"),
-            "SELECT user_id, arg_max(event_type, event_id) AS current FROM events GROUP BY 1",
+            lambda s, d: r.location_moves(table(s, d, "events"), "user_id", "event_type", "event_id").select("user_id", "current", F.size("history").alias("n_history"), r.item_descriptor(F.concat(F.lit("item "), F.col("user_id").cast("string")), F.lit("tool"), *[F.lit(None).cast("string")], F.col("current"), *[F.lit(None).cast("string")] * 5).alias("descriptor")),
+            "WITH m AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id, arg_max(event_type, event_id) AS current, CAST(count(*) - 1 AS INTEGER) AS n_history, '[Item] item ' || user_id || ' (tool) — ' || arg_max(event_type, event_id) AS descriptor FROM m WHERE before IS NULL OR before <> event_type GROUP BY 1",
         ),
         "history_places": (
             lambda s, d: moves(s, d).select("user_id", F.array_join("latest", ", ").alias("also_try")),
@@ -161,8 +173,14 @@ def entries() -> dict:
         ),
         "vocabulary": (lambda s, d: r.vocabulary([table(s, d, "part").select("p_brand"), table(s, d, "part").select("p_type")]), "SELECT term, min(p) AS priority FROM (SELECT trim(p_brand) AS term, 0 AS p FROM part UNION ALL SELECT trim(p_type), 1 FROM part) WHERE term <> '' GROUP BY 1 ORDER BY 2, 1 LIMIT 60"),
         "modal_model": (lambda s, d: r.modal_model(table(s, d, "events").select(F.col("event_type").alias("model"))), "SELECT event_type AS model, count(*) AS n FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1"),
-        "model_mismatch": (lambda s, d: r.modal_model(table(s, d, "events").select(F.col("event_type").alias("model"))).select("model", (F.col("model") != "none").alias("mismatch")), "SELECT event_type AS model, true AS mismatch FROM events GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1"),
+        "model_mismatch": (
+            lambda s, d: r.model_mismatch(table(s, d, "events").select(F.col("event_type").alias("model")), table(s, d, "events").agg(F.min("event_type").alias("model"))),
+            "SELECT event_type AS model, (SELECT min(event_type) FROM events) AS asked, event_type <> (SELECT min(event_type) FROM events) AS mismatch FROM events GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1",
+        ),
         "zone_highlights": (highlights, "SELECT user_id AS query_id, event_id % 11 AS zone_id, min(event_id) AS first_rank, CASE WHEN bool_or(event_type = 'error') THEN 'deviation' ELSE 'inventory' END AS kind FROM events WHERE event_id % 9 > 0 GROUP BY ALL"),
         "item_metadata": (lambda s, d: table(s, d, "part").select("p_partkey", F.to_json(F.struct(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("part_number"))).alias("metadata")), """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '{"part_number":"' || p_brand || '"}' ELSE '{}' END AS metadata FROM part"""),
-        "touch_updated": (lambda s, d: _sources(s, d, 2).join(_sources(s, d).select("source_id", F.col("content_hash").alias("old")), "source_id", "left").select("source_id", F.when(F.col("old").eqNullSafe(F.col("content_hash")), "kept").otherwise("2026-05-30").alias("updated_at")), "SELECT doc_id AS source_id, CASE WHEN doc_id % 10 = 9 OR doc_id % 5 = 0 THEN '2026-05-30' ELSE 'kept' END AS updated_at FROM documents"),
+        "touch_updated": (
+            lambda s, d: t.touch_updated(_sources(s, d, 2), _sources(s, d).withColumn("updated_at", F.lit("2025-01-01").cast("date")), F.lit("2026-05-30").cast("date")).select("source_id", F.date_format("updated_at", "yyyy-MM-dd").alias("updated_at")),
+            "SELECT doc_id AS source_id, CASE WHEN doc_id % 10 = 9 OR doc_id % 5 = 0 THEN '2026-05-30' ELSE '2025-01-01' END AS updated_at FROM documents",
+        ),
     }

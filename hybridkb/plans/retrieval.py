@@ -112,6 +112,12 @@ def override_pairs(s, d, whole=False):
     return fusion.override_pairs(fusion.pool_union(ordered, bm25), c)
 
 
+def override_map(s, d):
+    line = F.concat_ws(" ", F.col("target_id").cast("string"), F.concat("relation", F.lit("d")), F.lit("by"), F.col("vessel_id").cast("string"))
+    rows = override_pairs(s, d).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("target_id", line.alias("line")))).alias("lines"))
+    return rows.select("query_id", F.array_join("lines.line", ", ").alias("overrides"))
+
+
 def override_pull_in(s, d):
     q, c, bm25, ordered = _ordered(s, d, whole=True)
     pairs = fusion.override_pairs(fusion.pool_union(ordered, bm25), c)
@@ -209,7 +215,7 @@ def _cut_entries() -> dict:
         "below_floor": (below_floor, _sql("SELECT query_id, refused FROM gate")),
         "pool_union": (pool_union, _sql("SELECT query_id, chunk_id, pos FROM pool")),
         "override_pairs": (override_pairs, _sql("SELECT query_id, target_id, vessel_id, relation FROM pairs")),
-        "override_map": (override_pairs, _sql("SELECT query_id, target_id, vessel_id, relation FROM pairs")),
+        "override_map": (override_map, _sql("SELECT query_id, string_agg(target_id || ' ' || relation || 'd by ' || vessel_id, ', ' ORDER BY target_id) AS overrides FROM pairs GROUP BY 1")),
         "override_pull_in": (override_pull_in, _recursive("SELECT query_id, chunk_id, CAST(pos AS INTEGER) AS pos FROM working")),
         "down_rank": (
             down_rank,

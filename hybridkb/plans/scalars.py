@@ -131,7 +131,7 @@ def entries() -> dict:
             "SELECT event_id, event_id % 3 > 0 AND value / 100 >= 0 AND value / 100 <= 1 AS valid FROM events",
         ),
         "text_contains_any": (_q("events", lambda: ["event_id", text.text_contains_any(F.lit("PURCHASE"), F.col("event_type"), F.col("props")).alias("found")]), "SELECT event_id, contains(lower(event_type), 'purchase') OR contains(lower(props), 'purchase') AS found FROM events"),
-        "content_fingerprint": (_q("documents", lambda: ["doc_id", text.content_fingerprint(_text()).alias("content_hash")]), r"SELECT doc_id, sha256(regexp_replace(text, '\r\n?', chr(10), 'g')) AS content_hash FROM documents"),
+        "content_fingerprint": (_q("documents", lambda: ["doc_id", text.content_fingerprint(_text()).alias("content_hash")]), r"SELECT doc_id, sha256(nfc_normalize(regexp_replace(text, '\r\n?', chr(10), 'g'))) AS content_hash FROM documents"),
         "chunk_hash": (_q("documents", lambda: ["doc_id", F.sha2("text", 256).alias("content_hash")]), "SELECT doc_id, sha256(text) AS content_hash FROM documents"),
         "anchor_key": (_q("documents", lambda: ["doc_id", text.anchor_key(F.col("source"), F.col("lang"), F.col("doc_id") % 5).alias("anchor_key")]), "SELECT doc_id, sha256(source || chr(10) || lang || chr(10) || doc_id % 5) AS anchor_key FROM documents"),
     }

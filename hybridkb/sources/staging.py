@@ -17,13 +17,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or FALLBACK_DIR
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; what is written there goes with the session."""
+    path = f"{shared_dir(spark).rstrip('/')}/hybridkb-{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back, so that plans which use it several times compute it once,
     a lost executor costs a reread, and its size is known to the joins that follow. The files go with the session."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/hybridkb-{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

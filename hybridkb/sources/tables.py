@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
-from hybridkb.operators.chunking import BRACKET_HEADER, PLAIN_HEADER
+from hybridkb.operators.chunking import chat_header
 
 SUFFIXES = (".pdf", ".md", ".markdown", ".txt", ".zip")
 LAYERS = ("vessel", "shared", "community")
@@ -25,7 +24,7 @@ def route_source_type(path: Column, text: Column) -> Column:
     low = F.lower(path)
     slashed = F.concat(F.lit("/"), path)
     first = F.slice(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != ""), 1, 20)
-    chat = F.exists(first, lambda x: x.rlike(PLAIN_HEADER) | x.rlike(BRACKET_HEADER))
+    chat = F.exists(first, lambda x: chat_header(x).isNotNull())
     plain = F.when(chat | F.contains(low, F.lit("whatsapp")), "whatsapp").otherwise("text")
     notes = F.when(F.contains(slashed, F.lit("/data/logs/maint/")), "maintenance_entry").when(F.contains(slashed, F.lit("/data/deviations/")), "deviation").otherwise("markdown")
     return F.when(low.endswith(".pdf"), "pdf").when(low.endswith(".zip"), "whatsapp").when(low.endswith(".md") | low.endswith(".markdown"), notes).when(low.endswith(".txt"), plain)
@@ -41,20 +40,6 @@ def layer_policy(layer: Column, path: Column, source_type: Column) -> Column:
     )
 
 
-def nfc(text: Column) -> Column:
-    """Unicode normal form C, which Spark has no function for."""
-
-    @arrow_udf("string")
-    def normal(column):
-        import unicodedata
-
-        import pyarrow as pa
-
-        return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in column.to_pylist()], type=pa.string())
-
-    return normal(text)
-
-
 def detect_changes(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """The incoming rows with ``status``: no-op, changed or new, by (layer, path) and content_hash."""
     old = stored.select("layer", "path", F.col("content_hash").alias("_old"))
@@ -138,3 +123,18 @@ def embed_attach(chunks: DataFrame, scorer, dimension: int) -> DataFrame:
 
     schema = ", ".join(f"`{n}` {t}" for n, t in chunks.dtypes) + ", embedding array<float>"
     return chunks.mapInPandas(attach, schema)
+
+
+def quarantine(files: DataFrame, stored: DataFrame, error: Column) -> DataFrame:
+    """path, result, error for files (layer, path, content_hash and what ``error`` reads): FAIL where ``error`` is
+    not NULL, NO-OP where nothing changed, else OK. A bad file never keeps another from its result."""
+    judged = detect_changes(files, stored).withColumn("error", error)
+    result = F.when(F.col("error").isNotNull(), "FAIL").when(F.col("status") == "no-op", "NO-OP").otherwise("OK")
+    return judged.select("path", result.alias("result"), "error")
+
+
+def touch_updated(incoming: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
+    """The incoming rows with ``updated_at``: what is stored where the content is the same, else ``now``."""
+    old = stored.select("layer", "path", F.col("updated_at").alias("_was"))
+    judged = detect_changes(incoming, stored).join(old, ["layer", "path"], "left")
+    return judged.withColumn("updated_at", F.when(F.col("status") == "no-op", F.col("_was")).otherwise(now)).drop("_was", "status")

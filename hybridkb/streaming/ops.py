@@ -39,10 +39,10 @@ def stream_moves(moves: DataFrame) -> DataFrame:
 
     def fold(key, batches, state):
         current, n = state.get if state.exists else (None, -1)
-        for pdf in batches:
-            for place in pdf.sort_values("event_id")["place"]:
-                if place != current:
-                    current, n = place, n + 1
+        arrived = pd.concat(list(batches)).sort_values("event_id")  # a key's rows of one micro-batch
+        for place in arrived["place"]:
+            if place != current:
+                current, n = place, n + 1
         state.update((current, n))
         yield pd.DataFrame({"user_id": [key[0]], "n_moves": [n], "current": [current]})
 

@@ -1,3 +1,6 @@
+import hashlib
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from hybridkb.functions import dates, text
@@ -17,26 +20,36 @@ def test_dates(spark):
 
 
 def test_names_and_systems(spark):
-    for raw, want in [("Engine", "engine"), ("genset", "other"), ("engine cooling", "engine"), ("nav", "electronics/nav"), ("e", "other")]:
-        assert one(spark, records.normalise_system(F.lit(raw))) == want
-    for raw, want in [("flares", "safety"), ("life jacket", "safety"), ("toolbox", "tool"), ("water", "provision"), ("toolbox of spares", "spare"), ("", "spare")]:
-        assert one(spark, records.normalise_category(F.lit(raw))) == want
-    assert one(spark, text.first_json_object(F.lit('x {"a": "}{", "b": {"c": 1}} y {'))) == '{"a": "}{", "b": {"c": 1}}'
-    assert one(spark, text.yaml_unquote(text.yaml_quote(F.lit('say: "x"')))) == 'say: "x"'
+    for raw, want in [(" RIGGING ", "rigging"), ("the deck pump", "hull/deck"), ("deckhand", "other"), ("anchor tackle", "other"), ("sails and rigging", "rigging"), (None, "other")]:
+        assert one(spark, records.normalise_system(F.lit(raw).cast("string"))) == want
+    for raw, want in [("Harness", "safety"), (" hand tool", "tool"), ("provision", "provision"), ("a hand tool", "spare"), (None, "spare")]:
+        assert one(spark, records.normalise_category(F.lit(raw).cast("string"))) == want
+    for raw, want in [('so {"k": "{", "m": [{}]} and {', '{"k": "{", "m": [{}]}'), ('{"k": 1}', '{"k": 1}'), ("none", "none"), ('{"k": "\\"}"} tail {"z": 2}', '{"k": "\\"}"}')]:
+        assert one(spark, text.first_json_object(F.lit(raw))) == want
+    assert one(spark, text.yaml_unquote(text.yaml_quote(F.lit("a # b")))) == "a # b"
+
+
+def test_chat_headers(spark):
+    good = {"1/2/24, 7:05 - x": ("1/2/24", "7:05", "x"), "[31.12.2023, 23:59:01] y: z": ("31.12.2023", "23:59:01", "y: z"), "05-06-2024, 8:00 pm - q": ("05-06-2024", "8:00 pm", "q")}
+    bad = ["[1/2/24, 7:05 - x", "1/2/24, 7:05] x", "123/2/24, 7:05 - x", "1/2/2, 7:05 - x", "1/2/24 7:05 - x", "1/2/24, 7:5 - x", "1/2/24, 7 - x", " 1/2/24, 7:05 - x", "1/2/24, 7:05", ""]
+    df = spark.createDataFrame([(x,) for x in [*good, *bad]], "line string").select("line", chunking.chat_header(F.col("line")).alias("h"))
+    got = {r.line: r.h and tuple(r.h) for r in df.collect()}
+    assert got == good | dict.fromkeys(bad)
+    for path, want in [("a/b/WhatsApp Chat with Crew.zip", "Crew"), ("Night watch.2024.txt", "Night watch.2024"), ("c/.hidden", ".hidden")]:
+        assert one(spark, chunking.chat_name(F.lit(path))) == want
 
 
 def test_chat_lines(spark):
-    lines = ["orphan", "01/03/2024, 09:05 - Al: fix: done", "more", "01/03/2024, 09:06 - left the group", "tail", "[01/03/2024, 9:07:30 AM] Bo: <Media omitted>"]
+    lines = ["before any header", "7/8/2023, 10:00 - Eve: a: b", "second line", "", "7/8/2023, 10:01 - Eve added Kim", "still Eve's", "7/8/2023, 10:02 -  : no one", "[7/8/2023, 10:03:00] Kim: <Media omitted>", "[7/8/2023, 10:04:00] Kim: left"]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "chat_id long, line_no long, line string")
     got = [(r.sender, r.body) for r in chunking.chat_lines(df).orderBy("seq").collect()]
-    assert got == [("Al: fix", "done\nmore\ntail"), ("Bo", "[media]")]
+    assert got == [("Eve: a", "b\nsecond line\n\nstill Eve's"), ("Kim", "[media]")]
 
 
 def test_markdown(spark):
-    df = spark.createDataFrame([(1, "# Known Issues\n## Structural\n### Poor Windward Performance\n\nThe boat struggles to point well to weather.\n")], "doc_id long, text string")
-    rows = chunking.markdown_sections(df).collect()
-    assert [r.section_path for r in rows] == ["# Known Issues > ## Structural > ### Poor Windward Performance"]
-    assert rows[0].content.startswith("# Known Issues\n## Structural")
+    df = spark.createDataFrame([(1, "lead\n# A\n#### D\n\none. two.\n## B\n\n# C\nthree\n#no heading\n")], "doc_id long, text string")
+    rows = chunking.markdown_sections(df).orderBy("ordinal").collect()
+    assert [(r.section_path, r.content) for r in rows] == [("Preamble", "lead"), ("# A > #### D", "# A\n#### D\n\none. two."), ("# C", "# C\n\nthree\n#no heading")]
 
 
 def test_packing(spark):
@@ -52,6 +65,33 @@ def test_pages(spark):
     assert [r.section_path for r in pages.toc_section(p, toc).orderBy("page").collect()] == ["Page 1", "A", "A > B", "A > B", "C", "C"]
 
 
+def test_contents_with_skipped_levels_and_empty_pages(spark):
+    toc = spark.createDataFrame([(1, 0, 2, "b", 2), (1, 1, 4, "d", 2), (1, 2, 3, "c", 4), (1, 3, 1, "a", 9)], "doc_id long, seq int, level int, title string, page int")
+    p = spark.createDataFrame([(1, n, "" if n == 3 else f" page {n}. " + "word " * (n * 60)) for n in range(1, 6)] + [(2, 1, "alone")], "doc_id long, page int, text string")
+    raw = pages.toc_chunks(p, toc)
+    assert [(r.doc_id, r.page_start, r.section_path) for r in raw.orderBy("doc_id", "page_start").collect()] == [(1, 1, "Page 1"), (1, 2, "b > d"), (1, 4, "b > c"), (1, 5, "b > c"), (2, 1, "Page 1")]
+    done = pages.finalise_chunks(raw).orderBy("doc_id", "section_path", "section_ordinal").collect()
+    assert all(r.token_count <= 200 for r in done)
+    for key in {(r.doc_id, r.section_path) for r in done}:
+        part = [r for r in done if (r.doc_id, r.section_path) == key]
+        assert [r.section_ordinal for r in part] == list(range(len(part)))
+        whole = " ".join(r.text for r in p.orderBy("page").collect() if (r.doc_id, key[1]) in {(x.doc_id, x.section_path) for x in part if x.page_start == r.page})
+        assert " ".join(r.content for r in part).split() == whole.split()
+
+
+def test_caps_count_the_body_only(spark):
+    df = spark.createDataFrame([(1, ["w " * 50, "x. " * 3]), (2, ["y " * 12]), (3, ["a. " * 9]), (4, [])], "doc_id long, parts array<string>")
+    got = {r.doc_id: (r.n_parts, r.n_over) for r in chunking.token_cap(df, 10).collect()}
+    assert got == {1: (2, 0), 2: (1, 0), 3: (1, 1), 4: (0, 0)}
+
+
+def test_found_items_are_those_that_hold_the_question(spark):
+    items = [(1, "Deck Ring", None), (2, "ring", "a%b"), (3, None, None), (4, "xy", "z")]
+    questions = [(1, "RING"), (2, "k r"), (3, "%"), (4, "z"), (5, ""), (6, None), (7, "ringing")]
+    got = {(r.query_id, r.item_id) for r in records.find_items(spark.createDataFrame(items, "item_id long, a string, b string"), spark.createDataFrame(questions, "query_id long, text string"), ["a", "b"]).collect()}
+    assert got == {(q, i) for q, t in questions if t is not None for i, *f in items if any(t.lower() in x.lower() for x in f if x is not None)}
+
+
 def test_payload_ladder(spark):
     df = spark.createDataFrame([("nope", '{"system": "sails", "parts": 3}'), ('```json\n{"cost_amount": "x", "parts": ["a", " "]}\n```', None), (None, None)], "a string, b string")
     got = [(r.rung, r.record.system, r.record.cost_amount, r.record.parts) for r in payloads.extraction_ladder(df, "a", "b").collect()]
@@ -67,7 +107,9 @@ def test_upsert_is_a_no_op_the_second_time(spark):
 
 
 def test_nfc_scan_and_sink(spark, tmp_path):
-    assert one(spark, tables.nfc(F.lit("é"))) == "é"
+    for raw in ("e\u0301a", "plain", "\u212b"):
+        assert one(spark, text.nfc(F.lit(raw))) == unicodedata.normalize("NFC", raw)
+    assert one(spark, text.content_fingerprint(F.lit("\ufeffe\u0301\r\nx"))) == hashlib.sha256("\u00e9\nx".encode()).hexdigest()
     (tmp_path / "in").mkdir()
     for name in ("a.md", "b.exe"):
         (tmp_path / "in" / name).write_text("x")
