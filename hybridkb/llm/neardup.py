@@ -13,10 +13,10 @@
        sets themselves meet.
    Pairs that meet early enough (by the places of the token in both, and the sizes) are verified on the full sets. Shingles outside the hub are rarest and come first, so
    copies that were edited at different places do not meet.
-   Where the hub leaves more than FEW members unlinked, only pairs of a linked with an unlinked member are sought
-   that way (of the two cases, only the first can hold). The unlinked ones are a bucket of their own with the nearest
-   to the hub as the next hub, in rounds, as long as a hub links at least a sixteenth of its bucket. So a second
-   family of any size costs one more comparison for each member, and no pairs of all its members.
+   Where the hub leaves more than FEW members unlinked, the nearest of them is the hub of a family of its own, and so
+   on in rounds, as long as a hub links at least a sixteenth of what was left. Members of one family are connected
+   through its hub, so a token that only one family has is dropped before anything meets, and pairs of one family
+   are never made: a second family of any size costs one more comparison for each member.
 4. Links become components by contraction.
 
 Band keys find a pair of similarity 0.8 with a chance above 0.9999999 (32 bands of 4 values).
@@ -240,46 +240,62 @@ def near_duplicate_links(documents: DataFrame, signed: DataFrame, k: int, percen
     involved = pairs.select(F.col("x").alias("sid")).union(pairs.select("c")).distinct()
     wanted = write_out(signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).hint("shuffle_merge").join(involved, "sid"), "wanted")
     sets = write_out(_sets_of(documents, wanted, k), "sets")
-    compared, stars, met = [pairs], [], []
-    while True:
-        star = write_out(_compare(compared[-1], sets, percent, settle=True), "star")
-        stars.append(star)
-        sizes = star.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("linked")).alias("open")).where("open > 0")
-        again = F.col("open") > FEW
-        if len(stars) > 1:
-            again = again & (16 * (F.col("n") - F.col("open")) >= F.col("n"))
-        sizes = write_out(sizes.withColumn("again", again).drop("open"), "sizes")
-        left = write_out(spread_join(star, sizes, ["c"], ["x"]), "left")
-        met.append(write_out(_meetings(left, percent), "met"))
-        open_ = left.where("again AND NOT linked")
-        hubs = open_.groupBy("c").agg(F.min(F.struct("differ", "x")).alias("best"), F.count(F.lit(1)).alias("n")).select("c", F.col("best.x").alias("hub"), "n")
-        more = spread_join(open_.select("c", "x"), write_out(hubs, "hubs"), ["c"], ["x"]).where("x <> hub")
-        more = write_out(more.select(F.col("hub").alias("c"), "x").distinct(), "pairs")
-        discard(sizes, left)
-        if more.isEmpty():
-            break
-        compared.append(more)
-    rest = reduce(DataFrame.unionByName, met).distinct().hint("shuffle_merge").join(reduce(DataFrame.unionByName, compared), ["c", "x"], "left_anti")
+    star = write_out(_compare(pairs, sets, percent, settle=True), "star")
+    families, linked = _families(star, sets, percent)
+    rest = _meetings(star, families, percent).hint("shuffle_merge").join(pairs, ["c", "x"], "left_anti")
     rest = write_out(rest, "rest")
-    found = [t.where("linked").select(F.col("c").alias("a"), F.col("x").alias("b")) for t in [*stars, _compare(rest, sets, percent, settle=False)]]
+    found = [t.where("linked").select(F.col("c").alias("a"), F.col("x").alias("b")) for t in [star, *linked, _compare(rest, sets, percent, settle=False)]]
     links = write_out(reduce(DataFrame.unionByName, found), "found")
-    discard(members, wanted, sets, rest, *stars, *met, *compared)
+    discard(members, wanted, sets, rest, star, pairs, *linked)
     return links
 
 
-def _meetings(star: DataFrame, p: int) -> DataFrame:
-    """c, x: pairs of members of one hub that may be linked although one of them is not linked to the hub. Where
-    the hub's unlinked members go on to a next round (``again``), pairs of two of them are left to that."""
+def _families(star: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(c, x, family) of the members of hub c that are not linked to it but to another hub, and the tables of
+    comparisons with those hubs."""
+    open_ = star.where("NOT linked").select("c", "x", "differ")
+    families, linked, first = None, [], True
+    while True:
+        hubs = open_.groupBy("c").agg(F.min(F.struct("differ", "x")).alias("best"), F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW)
+        hubs = write_out(hubs.select("c", F.col("best.x").alias("hub"), "n"), "hubs")
+        if not first:
+            families = write_out(families, "families")
+        if hubs.isEmpty():
+            break
+        asked = write_out(spread_join(open_, hubs, ["c"], ["x"]), "asked")
+        judged = _compare(asked.where("x <> hub").select(F.col("hub").alias("c"), "x").distinct(), sets, percent, settle=False)
+        linked.append(write_out(judged, "judged"))
+        yes = linked[-1].where("linked").select(F.col("c").alias("hub"), "x", F.lit(True).alias("found"))
+        met = write_out(asked.hint("shuffle_merge").join(yes, ["hub", "x"], "left").withColumn("found", F.coalesce("found", F.col("x") == F.col("hub"))), "met")
+        mine = met.where("found").select("c", "x", F.col("hub").alias("family"))
+        families = mine if families is None else families.unionByName(mine)
+        # A hub that links next to nothing ends its bucket's rounds: it is no family, and its rows share few tokens.
+        share = met.groupBy("c").agg(F.count_if("found").alias("m"), F.count(F.lit(1)).alias("n")).where("16 * m >= n").select("c", "n")
+        open_ = spread_join(met.where("NOT found").select("c", "x", "differ"), write_out(share, "share"), ["c"], ["x"])
+        open_ = write_out(open_, "open")
+        first = False
+    return families if families is not None else star.limit(0).select("c", "x", F.col("x").alias("family")), linked
+
+
+def _meetings(star: DataFrame, families: DataFrame, p: int) -> DataFrame:
+    """c, x: pairs of members of one hub and of different families that may be linked, although one of them is not
+    linked to the hub."""
+    known = star.hint("shuffle_merge").join(families, ["c", "x"], "left")
+    known = write_out(known.withColumn("family", F.xxhash64(F.when(F.col("linked"), F.col("c")).otherwise(F.coalesce("family", "x")))), "known")
     out = []
     for kind in ("near", "far"):
-        probe = star.where("NOT again" if kind == "far" else "true").select("c", F.struct("x", "size", "differ").alias("a"), F.posexplode(f"{kind}_probe").alias("i", "token"))
-        index = star.where("NOT again" if kind == "far" else "NOT again OR linked").select("c", F.struct("x", "size", "differ").alias("b"), F.posexplode(f"{kind}_index").alias("j", "token"))
+        side = lambda name, at, list_: known.select("c", F.struct("x", "size", "differ", "family").alias(name), F.posexplode(list_).alias(at, "token"))
+        probe, index = side("a", "i", f"{kind}_probe"), side("b", "j", f"{kind}_index")
+        every = probe.select("c", "token", "a.family").unionByName(index.select("c", "token", "b.family"))
+        shared = every.groupBy("c", "token").agg(F.min("family").alias("least"), F.max("family").alias("most")).where("least <> most").select("c", "token")
+        shared = write_out(shared, "tokens")
         # If this is the first token they share, no more than what is left behind it can be common; a link needs so much.
         if kind == "near":
             able = f"2 * {100 + p} * least(a.differ - i, b.differ - j) >= {100 + p} * (a.differ + b.differ) - {100 - p} * (a.size + b.size)"
         else:
             able = f"{100 + p} * least(a.size - i, b.size - j) >= {p} * (a.size + b.size)"
-        both = probe.hint("shuffle_merge").join(index, ["c", "token"]).where(f"a.x <> b.x AND {able}")
+        probe, index = (t.hint("shuffle_merge").join(shared, ["c", "token"], "left_semi") for t in (probe, index))
+        both = probe.hint("shuffle_merge").join(index, ["c", "token"]).where(f"a.family <> b.family AND a.x <> b.x AND {able}")
         out.append(both.select(F.least("a.x", "b.x").alias("c"), F.greatest("a.x", "b.x").alias("x")))
     return out[0].unionByName(out[1]).distinct()
 
