@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -78,6 +79,22 @@ BASE = np.uint64(0x9E3779B185EBCA87)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker keeps it otherwise, beside what the next operator needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(batches):
+    """The batches, with freed memory given back before each and behind the last."""
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit words."""
     x = x ^ (x >> np.uint64(30))

@@ -42,6 +42,7 @@ from hybridkb.llm.common import (
     slices_by_bytes,
     span_hash,
     text_buffers,
+    tidy,
     word_spans,
     write_out,
 )
@@ -52,7 +53,7 @@ SHINGLE = 3
 MIN_BLOOM_BITS, MAX_BLOOM_BITS = 20, 29  # 16 bits a shingle between these bounds: 64 MB at most
 HOT = 20_000  # occurrences of a shingle that go to one salt
 PIECE = 64  # starts of windows that one piece of a run serves
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 KEY = "struct<pos:int,hash:bigint,run_start:int,run_stop:int>"
 WORDS = "struct<run_start:int,block:int,first:int,text:string>"
@@ -130,7 +131,7 @@ def document_runs(documents: DataFrame, bloom: np.ndarray, bloom_bits: int, size
     def scan(batches):
         bits = shared.value
         uid = TaskContext.get().partitionId() << 33
-        for whole in batches:
+        for whole in tidy(batches):
             for at, n in slices_by_bytes(whole.column(1), CHUNK):
                 batch = whole.slice(at, n)
                 data, offs = text_buffers(batch.column(1))

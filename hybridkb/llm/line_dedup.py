@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hybridkb.llm.common import BROADCAST_ROWS, discard, fresh_name, list_column, prefix_hash, separators, slices_by_bytes, span_hash, spread_join, text_buffers, word_spans, write_out
+from hybridkb.llm.common import BROADCAST_ROWS, discard, fresh_name, list_column, prefix_hash, separators, slices_by_bytes, span_hash, spread_join, text_buffers, tidy, word_spans, write_out
 
 NEWLINE = separators((0x0A, 0x0A))
 SPACE = separators((0x20, 0x20), (0x09, 0x0D))
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 KEY = ["doc_id", "rid", "no_id"]  # never null, as the joins are by equality
 NO_ID = 2**63 - 1
 
@@ -61,7 +61,7 @@ def line_sequences(documents: DataFrame, min_words: int) -> DataFrame:
     """doc_id, rid, no_id, ids (of the non-blank lines), starts and sizes (of the shortest runs of min_words words)."""
 
     def scan(batches):
-        for whole in batches:
+        for whole in tidy(batches):
             for at, n in slices_by_bytes(whole.column(3), CHUNK):
                 data, offs = text_buffers(whole.column(3).slice(at, n))
                 w, _, _ = word_spans(data, offs, SPACE)

@@ -45,13 +45,14 @@ from hybridkb.llm.common import (
     span_hash,
     spread_join,
     text_buffers,
+    tidy,
     word_spans,
     write_out,
 )
 from hybridkb.llm.components import connected_components
 
 SPACE = separators((0x20, 0x20), (0x09, 0x0D))
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SLOTS, BAND_ROWS = 128, 4
 FEW = 16  # unlinked members that are settled without a hub of their own
 ELEMENTS = 1 << 16  # shingles whose permutations are held at a time
@@ -134,7 +135,7 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, sid (identity of the set, null if empty), bands (keys of the signature's bands)."""
 
     def scan(batches):
-        for whole in batches:
+        for whole in tidy(batches):
             for at, n in slices_by_bytes(whole.column(1), CHUNK):
                 sets = document_sets(whole.column(1).slice(at, n), k)
                 sizes = np.array([len(x) for x in sets], dtype=np.int64)
@@ -163,7 +164,7 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     docs = docs.join(ids.hint("broadcast" if n <= BROADCAST_ROWS else "shuffle_merge"), docs["doc_id"].eqNullSafe(ids["_wanted"]), "left_semi")
 
     def scan(batches):
-        for whole in batches:
+        for whole in tidy(batches):
             for at, count in slices_by_bytes(whole.column(1), CHUNK):
                 sets = [x for x in document_sets(whole.column(1).slice(at, count), k) if len(x)]
                 if not sets:
@@ -206,7 +207,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int, settle: bool) -> D
         return out
 
     def verify(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             linked, sizes, extra = [], [], [[], [], [], []]
             for ec, ex in zip(batch.column(2), batch.column(3), strict=True):
                 c, x = np.frombuffer(ec.as_buffer(), np.uint64), np.frombuffer(ex.as_buffer(), np.uint64)

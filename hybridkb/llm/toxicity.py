@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from hybridkb.llm.common import fresh_name, mix64, slices_by_bytes
+from hybridkb.llm.common import fresh_name, give_back, mix64, slices_by_bytes, tidy
 
 BUCKET_BITS = 20
 SIZES = (3, 4, 5, 6)
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 MAX_PER_CLASS = 3000
 THRESHOLD = 0.7
 
@@ -111,7 +111,7 @@ def train(documents: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_
     texts = docs.join(F.broadcast(sample), "_id").select("_toxic", "_text")
 
     def featurise(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             for at, n in slices_by_bytes(batch.column(1), CHUNK):
                 found = text_features(batch.column(1).slice(at, n).to_pylist())
                 yield pa.RecordBatch.from_arrays(
@@ -141,6 +141,7 @@ def toxicity_score(documents: DataFrame, weights: np.ndarray, text: str = "text"
         out = np.empty(len(texts))
         for at, n in slices_by_bytes(texts, CHUNK):
             out[at : at + n] = [w[f].sum(dtype=np.float64) for f in text_features(texts.slice(at, n).to_pylist())]
+        give_back()
         return pa.array(1.0 / (1.0 + np.exp(-np.clip(out + float(w[-1]), -40, 40))))
 
     return score(F.col(text).cast("string"))
