@@ -33,10 +33,10 @@ from pyspark.sql.functions import arrow_udf
 from hybridkb.llm.common import give_back, list_column, mix64, prefix_hash, slices_by_bytes, span_hash, text_buffers
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-SLAB = 2 << 20
-ADD_CHARS = 400_000  # characters of units that are indexed at a time
-CACHED_UNITS = 300_000  # kept between batches by a worker; a bound on memory only
-PAIR_BITS = 20  # places of the table of compatible pairs; a bound on memory only
+SLAB = 1 << 20
+ADD_CHARS = 120_000  # characters of units that are indexed at a time
+CACHED_UNITS = 120_000  # kept between batches by a worker; a bound on memory only
+PAIR_BITS = 19  # places of the table of compatible pairs; a bound on memory only
 SPACE_MARK = "\u2581"
 MARKS = ".,;:!?%*#$&|"
 LETTER = r"[^\W\d_¹²³]"
@@ -413,8 +413,10 @@ def encode_column(documents: DataFrame, text: str = "text", model_file: str = MO
     @arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         encoder = _worker_encoder(digest, shared)
-        parts = [encoder.encode(texts.slice(at, n)) for at, n in slices_by_bytes(texts, SLAB)]
-        give_back()
+        parts = []
+        for at, n in slices_by_bytes(texts, SLAB):
+            parts.append(encoder.encode(texts.slice(at, n)))
+            give_back()
         return pa.concat_arrays(parts) if parts else pa.array([], type=pa.list_(pa.int32()))
 
     return encode(F.col(text).cast("string"))
