@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -406,18 +407,18 @@ def _worker_encoder(digest: str, shared) -> Encoder:
 
 
 def encode_column(documents: DataFrame, text: str = "text", model_file: str = MODEL_FILE) -> Column:
-    """The token ids of a text column, as array<int>."""
+    """The token ids of a text column, as array<int>. They go back slab by slab, as the ids of a whole batch
+    would stand in memory twice here and once more in the JVM."""
     vocabulary = Vocabulary.load(model_file)
     digest, shared = vocabulary.digest, documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     @arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _worker_encoder(digest, shared)
-        parts = []
-        for at, n in slices_by_bytes(texts, SLAB):
-            parts.append(encoder.encode(texts.slice(at, n)))
-            give_back()
-        return pa.concat_arrays(parts) if parts else pa.array([], type=pa.list_(pa.int32()))
+        for texts in batches:
+            for at, n in slices_by_bytes(texts, SLAB):
+                yield encoder.encode(texts.slice(at, n))
+                give_back()
 
     return encode(F.col(text).cast("string"))
 
