@@ -84,6 +84,12 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridkb.llm.spelling import spelling_forms
+
+    return spelling_forms(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hybridkb.llm.filter_audit import audit_filters
 
@@ -163,6 +169,36 @@ FROM doc JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+# Letters of a run are one byte, or two if they are beyond ASCII: 195 and the code less 64.
+OP12_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)),
+run AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+bytes AS (
+  SELECT run, n, flatten(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN unicode(x[i]) < 128 THEN [unicode(x[i])::BIGINT] ELSE [195::BIGINT, unicode(x[i])::BIGINT - 64] END)) AS b
+  FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS x FROM run)),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, k: xor(c >> 8, t[(xor(c, k) & 255) + 1])), 4294967295) AS h FROM bytes, tab),
+word AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+del AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM word)),
+near AS (
+  SELECT a.word, b.word AS near FROM del a JOIN del b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT del.word, w.word FROM del JOIN word w ON w.word = del.d
+  UNION SELECT w.word, del.word FROM del JOIN word w ON w.word = del.d),
+best AS (
+  SELECT near.word, count(*) AS n_near, first(near.near ORDER BY w.n DESC, encode(near.near)) AS near, max(w.n) AS near_n
+  FROM near JOIN word w ON w.word = near.near GROUP BY near.word),
+judged AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM word LEFT JOIN best USING (word)),
+walk(word, root) AS (SELECT word, word FROM judged UNION ALL SELECT walk.word, judged.form FROM walk JOIN judged ON judged.word = walk.root WHERE judged.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN (SELECT walk.word, root FROM walk JOIN judged ON judged.word = root WHERE judged.form IS NULL) USING (word)
+"""
+
 OP13_SQL = r"""
 WITH doc AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
@@ -196,8 +232,8 @@ FROM count_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_exact_top_k": op2_exact_top_k, "op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op5_license_scan": op5_license_scan, "op6_token_counts": op6_token_counts, "op7_sentencepiece": op7_sentencepiece, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_line_dedup": op9_line_dedup, "op10_html_extraction": op10_html_extraction, "op11_quality": op11_quality, "op13_filter_audit": op13_filter_audit}
+    return {"op1_toxicity": op1_toxicity, "op2_exact_top_k": op2_exact_top_k, "op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op5_license_scan": op5_license_scan, "op6_token_counts": op6_token_counts, "op7_sentencepiece": op7_sentencepiece, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_line_dedup": op9_line_dedup, "op10_html_extraction": op10_html_extraction, "op11_quality": op11_quality, "op12_spelling": op12_spelling, "op13_filter_audit": op13_filter_audit}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op8_suffix_array_dedup": OP8_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op8_suffix_array_dedup": OP8_SQL, "op12_spelling": OP12_SQL, "op13_filter_audit": OP13_SQL}
