@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hybridkb.functions.text import token_count, words
+from hybridkb.operators.numbering import number_rows
 
 TOKEN_CAP = 200
 GAP = 30 * 60
@@ -106,7 +107,7 @@ def markdown_sections(documents: DataFrame, cap: int = TOKEN_CAP) -> DataFrame:
 
 def section_ordinal(chunks: DataFrame) -> DataFrame:
     """The chunks with a counter from 0 inside each (doc_id, section_path)."""
-    return chunks.withColumn("section_ordinal", F.row_number().over(Window.partitionBy("doc_id", "section_path").orderBy("ordinal")) - 1)
+    return number_rows(chunks, ["doc_id", "section_path"], ["ordinal"], "section_ordinal")
 
 
 def gap_sessions(messages: DataFrame, key: str = "user_id", ts: str = "ts", order: str = "event_id", gap: int = GAP) -> DataFrame:

@@ -3,7 +3,8 @@
 Scores are negative, the best the lowest. Statistics cover all chunks; layer and activity filters apply to
 what is ranked. Postings are cut to the queries' terms before anything is shuffled; each different phrase is
 counted once in each chunk, whatever the number of queries that ask it, and these counts are written out. Only
-then do they meet the queries, chunk by chunk, so that what is shuffled behind that is a few best chunks.
+then do they meet the queries, chunk by chunk. The search for the best chunks prunes exactly: bounds for each
+phrase tell which phrases cannot lift a chunk into the list by themselves.
 """
 
 from __future__ import annotations
@@ -12,17 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hybridkb.functions.text import tokens, words
-from hybridkb.sources.staging import stage
+from hybridkb.sources.staging import size_hint, stage
 
 K1, B = 1.2, 0.75
-BROADCAST_ROWS = 500_000  # of terms or phrases, with BROADCAST_BYTES of text at most
-BROADCAST_BYTES = 32 << 20
-
-
-def size_hint(table: DataFrame, *texts: str) -> str:
-    """The join strategy for a staged table: broadcast only within a count of rows and bytes."""
-    n, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum((F.length(c) for c in texts), F.lit(8))), F.lit(0))).first()
-    return "broadcast" if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else "shuffle_merge"
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
@@ -43,12 +36,14 @@ def document_frequency(chunks: DataFrame) -> DataFrame:
 
 
 def phrase_counts(phrases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """chunk_id, len, phrase, tf: how often each different phrase of ``phrases`` stands in each chunk."""
+    """chunk_id, len, phrase, tf: how often each different phrase of ``phrases`` stands in each chunk. The empty phrase
+    stands once in every chunk, so that the lengths of all chunks come out of the same pass."""
     asked = phrases.select("phrase", "off", "term", "phrase_len").distinct()
     asked = stage(asked, "phrases")
     indexed = chunks.select("chunk_id", tokens(F.col("content")).alias("t"))
-    postings = indexed.select("chunk_id", F.size("t").alias("len"), F.posexplode("t").alias("pos", "term"))
-    one = asked.where("phrase_len = 1").select("phrase", "term")
+    postings = indexed.select("chunk_id", F.size("t").alias("len"), F.posexplode(F.concat(F.array(F.lit("")), "t")).alias("pos", "term"))
+    every = chunks.sparkSession.range(1).select(F.lit("").alias("phrase"), F.lit("").alias("term"))
+    one = asked.where("phrase_len = 1").select("phrase", "term").unionByName(every)
     single = postings.join(one.hint(size_hint(one, "phrase", "term")), "term").groupBy("chunk_id", "len", "phrase").agg(F.count(F.lit(1)).alias("tf"))
     many = asked.where("phrase_len > 1")
     if many.isEmpty():
@@ -59,23 +54,31 @@ def phrase_counts(phrases: DataFrame, chunks: DataFrame) -> DataFrame:
     return single.unionByName(runs)
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score for every chunk that holds a phrase of the query."""
+def bm25_parts(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asks, weights), both written: query_id, phrase, factor (how often asked, times idf), and chunk_id, phrase, weight
+    (the saturated count). A chunk's score for a query is minus the sum of factor times weight."""
     phrases = query_phrases(queries)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "term"))), lambda x: x["term"]), " ")
     keys = phrases.groupBy("query_id", "phrase_no").agg(whole.alias("phrase"), F.max("phrase_len").alias("phrase_len"))
     keys = stage(keys, "questions")
     split = keys.select("phrase", "phrase_len", F.posexplode(F.split("phrase", " ")).alias("off", "term"))
     counts = stage(phrase_counts(split, chunks), "counts")
-    stats = stage(corpus_stats(chunks), "stats")  # one row
+    stats = stage(counts.where("phrase = ''").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("len").alias("avg_len")), "stats")  # one row
+    counts = counts.where("phrase <> ''")
     df = counts.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats))
     n, df_ = F.col("n_chunks"), F.col("df")
-    known = df.select("phrase", F.greatest(F.log((n - df_ + 0.5) / (df_ + 0.5)), F.lit(1e-6)).alias("idf"), "avg_len")
+    known = df.select("phrase", F.greatest(F.log((n - df_ + 0.5) / (df_ + 0.5)), F.lit(1e-6)).alias("idf"))
     asks = keys.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("times"))
-    asks = stage(asks.hint("shuffle_merge").join(known, "phrase"), "asks")
+    asks = stage(asks.hint("shuffle_merge").join(known, "phrase").select("query_id", "phrase", (F.col("times") * F.col("idf")).alias("factor")), "asks")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    met = counts.repartition("chunk_id").join(asks.hint(size_hint(asks, "phrase")), "phrase")
-    return met.groupBy("query_id", "chunk_id").agg((-F.sum(F.col("times") * F.col("idf") * weight)).alias("score"))
+    return asks, counts.join(F.broadcast(stats)).select("chunk_id", "phrase", weight.alias("weight"))
+
+
+def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, chunk_id, score for every chunk that holds a phrase of the query."""
+    asks, weights = bm25_parts(queries, chunks)
+    met = weights.repartition("chunk_id").join(asks.hint(size_hint(asks, "phrase")), "phrase")
+    return met.groupBy("query_id", "chunk_id").agg((-F.sum(F.col("factor") * F.col("weight"))).alias("score"))
 
 
 def layer_filter(chunks: DataFrame, layers: list[str] | None) -> DataFrame:
@@ -90,7 +93,51 @@ def top_by(scores: DataFrame, value: str, k: int, by: str = "query_id", tie: str
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+SLACK = 1e-7  # beyond what sums in another order, and ranks by rounded scores, can differ
+
+
+def split_phrases(asks: DataFrame, weights: DataFrame, pool: int) -> DataFrame:
+    """The asks with ``spare``, ``floor`` and ``rest``. At least ``pool`` chunks score ``floor`` or more for the query: as many
+    have that much from one of its phrases alone. Phrases are spare as long as all of them together, the weakest first,
+    give a chunk less than that; ``rest`` is the most that the query's spare phrases give together. So a chunk that
+    holds spare phrases only is not among the first ``pool``."""
+    nth = F.row_number().over(Window.partitionBy("phrase").orderBy(F.desc("weight")))
+    best = weights.withColumn("nth", nth).where(F.col("nth") <= pool).groupBy("phrase").agg(F.max("weight").alias("most"), F.when(F.count(F.lit(1)) == pool, F.min("weight")).otherwise(0.0).alias("least"))
+    known = asks.hint("shuffle_merge").join(best, "phrase").select("query_id", "phrase", "factor", (F.col("factor") * F.col("most")).alias("most"), (F.col("factor") * F.col("least")).alias("least"))
+    whole = Window.partitionBy("query_id")
+    rising = whole.orderBy("most", "phrase").rowsBetween(Window.unboundedPreceding, 0)
+    known = known.withColumn("floor", F.max("least").over(whole)).withColumn("sum", F.sum("most").over(rising))
+    known = known.withColumn("spare", F.col("sum") < F.col("floor") - SLACK)
+    rest = F.coalesce(F.max(F.when(F.col("spare"), F.col("sum"))).over(whole), F.lit(0.0))
+    return known.withColumn("rest", rest).select("query_id", "phrase", "factor", "spare", "floor", "rest")
+
+
+def bm25_best(asks: DataFrame, weights: DataFrame, pool: int) -> DataFrame:
+    """query_id, chunk_id, score of all chunks that can be among the first ``pool`` of their query, with whole scores.
+    Spare phrases, mostly the common ones, are looked up for chunks alone that the other phrases leave in the race."""
+    parted = stage(split_phrases(asks, weights, pool), "parted")
+    main = parted.where("NOT spare").select("query_id", "phrase", "factor")
+    met = weights.repartition("chunk_id").join(main.hint(size_hint(main, "phrase")), "phrase")
+    sums = met.groupBy("query_id", "chunk_id").agg(F.sum(F.col("factor") * F.col("weight")).alias("main"))
+    spare = parted.where("spare").select("query_id", "phrase", "factor")
+    if spare.isEmpty():
+        return sums.select("query_id", "chunk_id", (-F.col("main")).alias("score"))
+    sums = stage(sums, "sums")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("main")))
+    reached = sums.withColumn("nth", nth).where(F.col("nth") <= pool).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == pool, F.min("main")).otherwise(0.0).alias("reached"))
+    bounds = parted.groupBy("query_id").agg(F.max("floor").alias("floor"), F.max("rest").alias("rest"))
+    bounds = stage(bounds.hint("shuffle_merge").join(reached, "query_id"), "bounds")
+    racing = sums.join(bounds.hint(size_hint(bounds)), "query_id").where(F.col("main") + F.col("rest") > F.greatest("floor", "reached") - SLACK)
+    racing = stage(racing.select("query_id", "chunk_id", "main"), "racing")
+    asked = racing.join(spare.hint(size_hint(spare, "phrase")), "query_id")
+    more = asked.hint("shuffle_merge").join(weights, ["chunk_id", "phrase"]).select("query_id", "chunk_id", (F.col("factor") * F.col("weight")).alias("part"))
+    every = racing.select("query_id", "chunk_id", F.col("main").alias("part")).unionByName(more)
+    return every.groupBy("query_id", "chunk_id").agg((-F.sum("part")).alias("score"))
+
+
 def bm25_search(queries: DataFrame, chunks: DataFrame, layers: list[str] | None = None, pool: int = 20) -> DataFrame:
-    """query_id, chunk_id, score, rank."""
+    """query_id, chunk_id, score, rank: the ``pool`` best chunks of the layers for each query."""
     kept = layer_filter(chunks, layers).select("chunk_id")
-    return top_by(bm25_scores(queries, chunks).join(kept, "chunk_id", "left_semi"), "score", pool)
+    asks, weights = bm25_parts(queries, chunks)
+    weights = stage(weights.hint("shuffle_merge").join(kept, "chunk_id", "left_semi"), "weights")
+    return top_by(bm25_best(asks, weights, pool), "score", pool)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hybridkb.functions.text import slugify, text_contains_any, yaml_quote
-from hybridkb.sources.staging import stage
+from hybridkb.operators.numbering import with_previous
+from hybridkb.sources.staging import size_hint, stage
 
 # Systems in the order in which a partial match is decided.
 SYSTEMS = ("engine", "electrical", "plumbing", "rigging", "sails", "hull/deck", "electronics/nav", "ground tackle", "safety", "refrigeration", "other")
@@ -68,27 +69,52 @@ def normalise_enum(raw: Column, values: list[str]) -> Column:
     return F.when(t.isin(*values), t)
 
 
-GRAM = 3  # characters of a question by which it is joined
+GRAM = 3  # characters of the pieces by which questions are looked up
+DEALT = 2000  # rows of one piece that go to one task
 
 
-def find_items(items: DataFrame, queries: DataFrame, columns: list[str]) -> DataFrame:
-    """query_id with the items that hold its text in any column, as they stand. Questions are joined by their first
-    characters, three at most, with the items' pieces of that length, and then looked for whole; so the work grows
-    with what shares a piece. Blank-free empty questions meet every item; a NULL question meets none."""
-    asked = queries.where("text IS NOT NULL").select("query_id", F.lower("text").alias("q"))
-    asked = stage(asked.withColumn("gram", F.substring("q", 1, GRAM)).withColumn("size", F.length("gram")), "questions")
-    sizes = [r["size"] for r in asked.select("size").distinct().collect()]  # GRAM + 1 numbers at most
-    fields = F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in columns])
+def pieces(fields: list[Column], sizes: list[int]) -> Column:
+    """The different pieces of the fields, of the given lengths, in lower case; of length 0 the empty one."""
+    lower = F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in fields])
 
-    def pieces(size: int) -> Column:
+    def cut(size: int) -> Column:
         if size == 0:
             return F.array(F.lit(""))
-        return F.flatten(F.transform(fields, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - size + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(size)))))
+        long_enough = F.filter(lower, lambda x: F.length(x) >= size)
+        return F.flatten(F.transform(long_enough, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - size + 1), lambda i: F.substring(x, i, F.lit(size)))))
+
+    return F.array_distinct(F.concat(*[cut(n) for n in sizes]))
+
 
-    every = F.array_distinct(F.concat(*[pieces(n) for n in sizes])) if sizes else F.array().cast("array<string>")
-    cut = items.withColumn("gram", F.explode(every))
-    met = cut.hint("shuffle_merge").join(asked.drop("size"), "gram")
-    return met.where(text_contains_any(F.col("q"), *[F.col(c) for c in columns])).drop("gram", "q")
+def find_items(items: DataFrame, queries: DataFrame, columns: list[str]) -> DataFrame:
+    """query_id with the items that hold its text in any column, as they stand.
+
+    A question is looked up by the rarest of its pieces of three characters among the items, and then compared whole;
+    one of which some piece occurs nowhere meets no item. Questions of fewer characters are their own piece; the empty
+    one meets every item, a NULL one none. A piece that many items hold is dealt over many tasks."""
+    asked = queries.where("text IS NOT NULL").select("query_id", F.lower("text").alias("q"))
+    grams = F.when(F.length("q") < GRAM, F.array("q")).otherwise(pieces([F.col("q")], [GRAM]))
+    asked = stage(asked.withColumn("grams", grams), "questions")
+    sizes = [r[0] for r in asked.select(F.length(F.get("grams", F.lit(0)))).distinct().collect()]  # GRAM + 1 numbers at most
+    if not sizes:
+        return items.limit(0).withColumn("query_id", F.lit(None).cast(queries.schema["query_id"].dataType))
+    fields = [F.col(c) for c in columns]
+    wanted = asked.select("query_id", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
+    known = stage(wanted.select("gram").distinct(), "pieces")
+    counts = items.select(F.explode(pieces(fields, sizes)).alias("gram")).join(known.hint(size_hint(known, "gram")), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    best = wanted.hint("shuffle_merge").join(counts, "gram").groupBy("query_id", "n_grams").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("n", "gram")).alias("best"))
+    picks = best.where("found = n_grams").select("query_id", "best.*")
+    picks = stage(picks.hint("shuffle_merge").join(asked.select("query_id", "q"), "query_id"), "picks")
+    cut = items.withColumn("gram", F.explode(pieces(fields, sizes)))
+    hint = size_hint(picks, "q", "gram")
+    if hint == "broadcast":
+        met = cut.join(picks.drop("n").hint(hint), "gram")
+    else:
+        salts = F.ceil(F.col("n") / DEALT).cast("int")
+        salted = picks.select("gram", salts.alias("salts")).distinct()
+        rows = cut.hint("shuffle_merge").join(salted, "gram").withColumn("salt", F.pmod(F.xxhash64(*items.columns), F.col("salts")).cast("int")).drop("salts")
+        met = rows.hint("shuffle_merge").join(picks.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n"), ["gram", "salt"]).drop("salt")
+    return met.where(text_contains_any(F.col("q"), *fields)).drop("gram", "q")
 
 
 def item_descriptor(name: Column, category: Column, aliases: Column, label: Column, slot: Column, brand: Column, model: Column, extra: Column, notes: Column) -> Column:
@@ -106,12 +132,21 @@ def deviation_descriptor(component: Column, factory: Column, built: Column, reas
 
 
 def location_moves(moves: DataFrame, item: str, place: str, ts: str) -> DataFrame:
-    """item, current, history: repeated equal places are one move; history is newest first, without the current."""
-    w = Window.partitionBy(item).orderBy(ts)
-    first = F.row_number().over(w) == 1
-    real = moves.withColumn("_same", F.lag(place).over(w).eqNullSafe(F.col(place)) & ~first).where("NOT _same")
-    seen = real.groupBy(item).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(place).alias("place"))), False).alias("all"))
-    return seen.select(item, F.get("all", F.lit(0))["place"].alias("current"), F.transform(F.slice("all", F.lit(2), F.size("all")), lambda x: x["place"]).alias("history"))
+    """The rows that move an item: its first, and those whose place differs from the one before (null is a place)."""
+    rows = with_previous(moves.select(item, place, ts), [item], [ts], "_before")
+    return rows.where(F.col("_before").isNull() | ~F.col(f"_before.{place}").eqNullSafe(F.col(place))).drop("_before")
+
+
+def latest_moves(moves: DataFrame, item: str, place: str, ts: str, n: int = 3) -> DataFrame:
+    """item, current, n_moves (the first row is none), latest (the ``n`` places before the current, newest first)."""
+    real = stage(location_moves(moves, item, place, ts), "moves")
+    counts = real.groupBy(item).agg((F.count(F.lit(1)) - 1).cast("int").alias("n_moves"))
+    # Only the newest rows of an item leave their partition.
+    nth = F.row_number().over(Window.partitionBy(item).orderBy(F.desc(ts)))
+    newest = real.withColumn("_nth", nth).where(F.col("_nth") <= n + 1)
+    lists = newest.groupBy(F.col(item).alias("_item")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", F.col(place).alias("place")))), lambda x: x["place"]).alias("places"))
+    joined = counts.join(lists.hint("shuffle_merge"), F.col(item).eqNullSafe(F.col("_item")))
+    return joined.select(item, F.get("places", F.lit(0)).alias("current"), "n_moves", F.slice("places", 2, n).alias("latest"))
 
 
 def resolve_zone(rows: DataFrame, zones: DataFrame, name: str) -> DataFrame:

@@ -7,15 +7,23 @@ from pyspark.sql import functions as F
 from hybridkb.operators import records as r
 from hybridkb.plans.tables import LAYERS, table
 from hybridkb.sources import tables as t
+from hybridkb.sources import versions
+from hybridkb.sources.staging import fresh_folder
+
+
+LOST = 1_000_000_000_000  # added to the number of a source, names one that does not exist
 
 
 def _sources(s, d, version=1):
-    """A source for each document; version 2 has every fifth one edited and ten in a hundred missing."""
+    """A source for each document. Version 1 is what is stored: ten in a hundred lie under an older name there, and every
+    fifth has been edited since."""
     docs = table(s, d, "documents")
-    path = F.concat_ws("/", F.lit("data"), "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
+    if version == 1:
+        name = F.when(F.col("doc_id") % 10 == 9, F.concat(F.lit("old-"), name)).otherwise(name)
+    path = F.concat_ws("/", F.lit("data"), "source", name)
     text = F.col("text") if version == 1 else F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
-    out = docs.select(F.col("doc_id").alias("source_id"), F.element_at(F.array(*[F.lit(x) for x in LAYERS]), (F.col("doc_id") % 3 + 1).cast("int")).alias("layer"), path.alias("path"), F.when(F.col("doc_id") % 4 == 0, "whatsapp").otherwise("markdown").alias("source_type"), F.sha2(text, 256).alias("content_hash"))
-    return out if version == 2 else out.where("source_id % 10 <> 9")
+    return docs.select(F.col("doc_id").alias("source_id"), F.element_at(F.array(*[F.lit(x) for x in LAYERS]), (F.col("doc_id") % 3 + 1).cast("int")).alias("layer"), path.alias("path"), F.when(F.col("doc_id") % 4 == 0, "whatsapp").otherwise("markdown").alias("source_type"), F.sha2(text, 256).alias("content_hash"))
 
 
 SRC = """src AS (SELECT doc_id AS source_id, ['shared', 'community', 'vessel'][doc_id % 3 + 1] AS layer, 'data/' || source || '/' || doc_id || '.md' AS path,
@@ -23,7 +31,9 @@ SRC = """src AS (SELECT doc_id AS source_id, ['shared', 'community', 'vessel'][d
 
 
 def _chunks(s, d):
-    return table(s, d, "documents").select(F.col("doc_id").alias("source_id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "content")).where("source_id % 7 <> 0")
+    """A chunk for each line; those of every seventh document name a source that is not there."""
+    owner = F.when(F.col("doc_id") % 7 == 0, F.col("doc_id") + LOST).otherwise(F.col("doc_id"))
+    return table(s, d, "documents").select(owner.alias("source_id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "content"))
 
 
 def _entries(s, d):
@@ -43,7 +53,14 @@ def _items(s, d):
 ITEMS = "items AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, zone_id FROM part LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS zone_id FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)"
 
 
-QUESTIONS = ("ring", "WIDGET", "Brand#1", "no such thing", "d w", "#2")
+def _questions(s, d):
+    """Names, brands and pieces of kinds of the parts, and names of nations, each asked once."""
+    p = table(s, d, "part")
+    texts = [p.select(F.upper("p_name").alias("text")), p.select("p_brand"), p.select(F.substring("p_type", 2, 2)), table(s, d, "nation").select("n_name")]
+    every = texts[0]
+    for more in texts[1:]:
+        every = every.union(more)
+    return every.distinct().select(F.col("text").alias("query_id"), "text")
 
 
 def _zones(s, d):
@@ -69,9 +86,7 @@ def entries() -> dict:
         return i.select("p_partkey", r.deviation_descriptor(F.col("p_name"), F.col("p_type"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), none, none, F.col("name"), none).alias("descriptor"))
 
     def moves(s, d):
-        e = table(s, d, "events")
-        out = r.location_moves(e, "user_id", "event_type", "event_id")
-        return out.select("user_id", "current", F.size("history").alias("n_moves"), F.slice("history", 1, 3).alias("latest"))
+        return r.latest_moves(table(s, d, "events"), "user_id", "event_type", "event_id")
 
     def resolve(s, d):
         z = _zones(s, d).select("zone_id", F.regexp_replace("name", r"\d$", "").alias("name"))
@@ -84,13 +99,42 @@ def entries() -> dict:
         return r.slot_valid(rows, grid).select("c_custkey", "reason")
 
     def find(s, d):
-        q = table(s, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.element_at(F.array(*[F.lit(x) for x in QUESTIONS]), (F.col("n_nationkey") % len(QUESTIONS) + 1).cast("int")).alias("text"))
-        return r.find_items(_items(s, d), q, ["p_name", "p_brand", "p_type"]).select("query_id", "p_partkey")
+        return r.find_items(_items(s, d), _questions(s, d), ["p_name", "p_brand", "p_type"]).select("query_id", "p_partkey")
 
     def cascade(s, d):
         gone = _sources(s, d).where("source_id % 6 = 0")
         return t.delete_cascade(_chunks(s, d), gone, "source_id").groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
 
+    def audit(s, d):
+        """Tables with faults of every kind: repeated rows, unknown layers and categories, names of what is not there."""
+        src = _sources(s, d, 2).withColumn("layer", F.when(F.col("source_id") % 90 == 1, "attic").otherwise(F.col("layer")))
+        src = src.unionByName(_sources(s, d, 2).where("source_id % 50 = 0"))
+        c = _chunks(s, d)
+        c = c.unionByName(c.where(f"source_id % {LOST} % 40 = 0 AND ordinal = 0"))
+        vectors = table(s, d, "embeddings").select((F.col("vec_id") * 3).alias("chunk_id"))
+        zones = _zones(s, d).select("zone_id", F.regexp_replace("name", r"\d$", "").alias("name"))
+        slots = table(s, d, "customer").select(F.col("c_nationkey").alias("zone_id"), (F.col("c_custkey") % 30).alias("row"), (F.col("c_custkey") % 4).alias("col"))
+        things = _items(s, d).select(F.when(F.col("p_size") % 2 == 0, F.lower("p_type")).otherwise("Spare").alias("category"), (F.col("zone_id") + 1).alias("zone_id"))
+        docs = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"))
+        return t.integrity_audit(src, c, vectors, docs, zones, slots, things)
+
+    def upsert(s, d):
+        """The stored sources are published, then what came in; read back from the newest version."""
+        folder = fresh_folder(s, "sources")
+        for version in (1, 2):
+            versions.publish_changes(_sources(s, d, version), folder)
+        return versions.read_table(s, folder).select("source_id", "layer", "path", "content_hash")
+
+    def sink(s, d):
+        """Chunks by layer; then every second source of the vessel layer moves to the community layer."""
+        folder = fresh_folder(s, "chunks")
+        c = _chunks(s, d).select("source_id", "ordinal", F.sha2("content", 256).alias("content_sha256"))
+        about = _sources(s, d, 2).select(F.col("source_id").alias("_id"), "layer", "path")
+        own = F.when(F.col("source_id") >= LOST, F.col("source_id") - LOST).otherwise(F.col("source_id"))
+        versions.publish(c.withColumn("_id", own).hint("shuffle_merge").join(about, "_id").drop("_id"), folder)
+        versions.relayer_table(about.where("layer = 'vessel' AND _id % 2 = 0").select("path"), folder)
+        return versions.read_table(s, folder).select("source_id", "ordinal", "layer", "version", "content_sha256")
+
     def nulls(s, d):
         gone = _zones(s, d).where("zone_id % 4 = 0")
         return t.set_null(_items(s, d).select("p_partkey", "zone_id"), gone, "zone_id")
@@ -113,8 +157,18 @@ def entries() -> dict:
             f"WITH x AS ({route_sql}, ['shared', 'community', 'vessel'][doc_id % 3 + 1] AS layer FROM documents) SELECT doc_id, CASE WHEN source_type IN ('maintenance_entry', 'deviation') AND layer <> 'vessel' THEN 'vessel only' WHEN (layer = 'vessel') = (doc_id % 4 = 2) THEN 'outside the layer''s folder' END AS reject_reason FROM x",
         ),
         "detect_changes": (lambda s, d: t.detect_changes(_sources(s, d, 2), _sources(s, d)).select("source_id", "status"), "SELECT doc_id AS source_id, CASE WHEN doc_id % 10 = 9 THEN 'new' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'no-op' END AS status FROM documents"),
-        "upsert_source": (lambda s, d: t.upsert_source(_sources(s, d), _sources(s, d, 2)).select("source_id", "layer", "path", "content_hash"), f"WITH {SRC} SELECT source_id, layer, path, sha256(text || CASE WHEN source_id % 5 = 0 THEN ' edited' ELSE '' END) AS content_hash FROM src"),
-        "rel_subtract": (lambda s, d: _sources(s, d).join(t.detect_changes(_sources(s, d, 2), _sources(s, d)).where("status = 'changed'").select("layer", "path"), ["layer", "path"], "left_anti").select("source_id"), "SELECT doc_id AS source_id FROM documents WHERE doc_id % 10 <> 9 AND doc_id % 5 <> 0"),
+        "upsert_source": (
+            upsert,
+            f"WITH {SRC} SELECT source_id, layer, path, sha256(text || CASE WHEN source_id % 5 = 0 THEN ' edited' ELSE '' END) AS content_hash FROM src "
+            "UNION ALL SELECT source_id, layer, replace(path, '/' || source_id || '.md', '/old-' || source_id || '.md'), sha256(text) FROM src WHERE source_id % 10 = 9",
+        ),
+        "chunks_sink": (
+            sink,
+            f"WITH {SRC}, line AS (SELECT source_id, layer, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT source_id, layer, string_split(text, chr(10)) AS l FROM src)) "
+            f"SELECT CASE WHEN source_id % 7 = 0 THEN source_id + {LOST} ELSE source_id END AS source_id, CAST(i - 1 AS INTEGER) AS ordinal, CASE WHEN layer = 'vessel' AND source_id % 2 = 0 THEN 'community' ELSE layer END AS layer, "
+            "CAST(CASE WHEN layer = 'shared' THEN 1 ELSE 2 END AS INTEGER) AS version, sha256(l[i]) AS content_sha256 FROM line",
+        ),
+        "rel_subtract": (lambda s, d: _sources(s, d).join(t.detect_changes(_sources(s, d, 2), _sources(s, d)).where("status = 'changed'").select("layer", "path"), ["layer", "path"], "left_anti").select("source_id"), "SELECT doc_id AS source_id FROM documents WHERE doc_id % 5 <> 0"),
         "assign_ordinals": (lambda s, d: t.assign_ordinals(table(s, d, "documents").select("source", "doc_id"), "source", "doc_id"), "SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS ordinal FROM documents"),
         "quarantine": (
             lambda s, d: t.quarantine(_sources(s, d, 2), _sources(s, d), F.when(F.col("source_id") % 13 == 0, "unreadable")),
@@ -122,14 +176,23 @@ def entries() -> dict:
         ),
         "relayer_candidates": (lambda s, d: t.relayer_candidates(_sources(s, d, 2), _chunks(s, d)), f"WITH {SRC} SELECT source_id, path, CASE WHEN source_id % 7 = 0 THEN 0 ELSE len(string_split(text, chr(10))) END AS n_chunks FROM src WHERE layer = 'vessel' AND source_type = 'whatsapp'"),
         "relayer": (lambda s, d: t.relayer(_sources(s, d, 2), _sources(s, d, 2).where("source_id % 2 = 0").select("path")).select("source_id", "layer"), f"WITH {SRC} SELECT source_id, CASE WHEN layer = 'vessel' AND source_id % 2 = 0 THEN 'community' ELSE layer END AS layer FROM src"),
-        "delete_cascade": (cascade, "SELECT doc_id AS source_id, len(string_split(text, chr(10))) AS n FROM documents WHERE doc_id % 7 <> 0 AND NOT (doc_id % 6 = 0 AND doc_id % 10 <> 9)"),
+        "delete_cascade": (cascade, f"SELECT CASE WHEN doc_id % 7 = 0 THEN doc_id + {LOST} ELSE doc_id END AS source_id, len(string_split(text, chr(10))) AS n FROM documents WHERE doc_id % 7 = 0 OR doc_id % 6 <> 0"),
         "set_null": (nulls, f"WITH {ITEMS} SELECT p_partkey, CASE WHEN zone_id % 4 <> 0 THEN zone_id END AS zone_id FROM items"),
         "list_sources": (lambda s, d: t.list_sources(_sources(s, d, 2), "shared").select("source_id", "layer_rank"), "SELECT doc_id AS source_id, 2 AS layer_rank FROM documents WHERE doc_id % 3 = 0"),
         "concat_layers": (lambda s, d: t.list_sources(_sources(s, d, 2)).select("source_id", "layer_rank"), "SELECT doc_id AS source_id, [2, 3, 1][doc_id % 3 + 1] AS layer_rank FROM documents"),
         "explore_groups": (lambda s, d: t.list_sources(_sources(s, d, 2)).groupBy("layer_rank", "layer").agg(F.count(F.lit(1)).alias("n_sources"), F.min("path").alias("first_path")), f"WITH {SRC} SELECT CASE layer WHEN 'vessel' THEN 1 WHEN 'shared' THEN 2 ELSE 3 END AS layer_rank, layer, count(*) AS n_sources, min(path) AS first_path FROM src GROUP BY ALL"),
         "integrity_audit": (
-            lambda s, d: t.integrity_audit(_sources(s, d).unionByName(_sources(s, d).where("source_id % 50 = 0")), _chunks(s, d)),
-            f"WITH {SRC} SELECT 'source path' AS rule, layer || '|' || path AS item, 2 AS n FROM src WHERE source_id % 50 = 0 UNION ALL SELECT 'orphan', CAST(source_id AS VARCHAR), len(string_split(text, chr(10))) FROM src WHERE source_id % 10 = 9 AND source_id % 7 <> 0",
+            audit,
+            f"""WITH {SRC}, {ITEMS}, line AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, string_split(text, chr(10)) AS l FROM documents)
+            SELECT 'source path' AS rule, layer || '|' || path AS item, 2 AS n FROM src WHERE source_id % 50 = 0
+            UNION ALL SELECT 'source layer', CASE WHEN source_id % 90 = 1 THEN 'attic' END, count(*) FROM src WHERE source_id % 90 = 1 GROUP BY ALL
+            UNION ALL SELECT 'chunk ordinal', CASE WHEN doc_id % 7 = 0 THEN doc_id + {LOST} ELSE doc_id END || '|' || 0, 2 FROM line WHERE doc_id % 40 = 0
+            UNION ALL SELECT 'chunk source', CAST(doc_id + {LOST} AS VARCHAR), n + CASE WHEN doc_id % 40 = 0 THEN 1 ELSE 0 END FROM line WHERE doc_id % 7 = 0
+            UNION ALL SELECT 'vector chunk', CAST(vec_id * 3 AS VARCHAR), count(*) FROM embeddings WHERE vec_id * 3 NOT IN (SELECT doc_id FROM documents) GROUP BY ALL
+            UNION ALL SELECT * FROM (SELECT 'zone name', s_name, count(*) AS n FROM (SELECT regexp_replace(s_name, '\\d$', '') AS s_name FROM supplier) GROUP BY ALL) WHERE n > 1
+            UNION ALL SELECT * FROM (SELECT 'zone slot', c_nationkey || '|' || c_custkey % 30 || '|' || c_custkey % 4, count(*) AS n FROM customer GROUP BY ALL) WHERE n > 1
+            UNION ALL SELECT 'item category', lower(p_type), count(*) FROM part WHERE p_size % 2 = 0 GROUP BY ALL
+            UNION ALL SELECT 'item zone', CAST(zone_id + 1 AS VARCHAR), count(*) FROM items WHERE zone_id + 1 NOT IN (SELECT s_suppkey FROM supplier) GROUP BY ALL""",
         ),
         "ingest_summary": (lambda s, d: t.detect_changes(_sources(s, d, 2), _sources(s, d)).groupBy("layer", "status").agg(F.count(F.lit(1)).alias("n")), f"WITH {SRC} SELECT layer, CASE WHEN source_id % 10 = 9 THEN 'new' WHEN source_id % 5 = 0 THEN 'changed' ELSE 'no-op' END AS status, count(*) AS n FROM src GROUP BY ALL"),
         "list_entries": (lambda s, d: r.list_entries(_entries(s, d), system="purchase", since="2024-01-05", until="2024-01-20").select("entry_id", "date", "system"), f"WITH {ENT} SELECT entry_id, date, system FROM ent WHERE system = 'purchase' AND date BETWEEN '2024-01-05' AND '2024-01-20'"),
@@ -155,7 +218,11 @@ def entries() -> dict:
         ),
         "list_zones": (lambda s, d: _zones(s, d).orderBy("area", F.asc_nulls_first("vertical_index")).select("zone_id", "area", "vertical_index"), "SELECT s_suppkey AS zone_id, s_nationkey AS area, CASE WHEN s_suppkey % 6 > 0 THEN s_acctbal END AS vertical_index FROM supplier"),
         "annotation_progress": (lambda s, d: _zones(s, d).groupBy("area").agg(F.count_if(F.col("vertical_index").isNotNull()).alias("n_annotated"), F.count(F.lit(1)).alias("n_zones")), "SELECT s_nationkey AS area, count_if(s_suppkey % 6 > 0) AS n_annotated, count(*) AS n_zones FROM supplier GROUP BY 1"),
-        "find_items": (find, f"WITH {ITEMS} SELECT n_nationkey AS query_id, p_partkey FROM items JOIN (SELECT n_nationkey, lower({list(QUESTIONS)}[n_nationkey % {len(QUESTIONS)} + 1]) AS q FROM nation) ON contains(lower(p_name), q) OR contains(lower(p_brand), q) OR contains(lower(p_type), q)"),
+        "find_items": (
+            find,
+            f"WITH {ITEMS}, q AS (SELECT upper(p_name) AS text FROM part UNION SELECT p_brand FROM part UNION SELECT substr(p_type, 2, 2) FROM part UNION SELECT n_name FROM nation) "
+            "SELECT text AS query_id, p_partkey FROM items JOIN q ON contains(lower(p_name), lower(text)) OR contains(lower(p_brand), lower(text)) OR contains(lower(p_type), lower(text))",
+        ),
         "resolve_zone": (resolve, r"WITH z AS (SELECT regexp_replace(s_name, '\d$', '') AS name, min(s_suppkey) AS id, count(*) AS n FROM supplier GROUP BY 1), x AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN regexp_replace(s_name, '\d$', '') ELSE 'nowhere' END AS zone FROM supplier) SELECT s_suppkey, zone, CASE WHEN n = 1 THEN id END AS zone_id, CASE WHEN trim(zone) = '' THEN 'blank' WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' END AS warning FROM x LEFT JOIN z ON name = zone"),
         "slot_valid": (slots, "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_nationkey % 5 = 4 THEN 'zone has no grid' WHEN c_custkey % 4 > n_regionkey + 1 OR c_custkey % 3 + 1 > 2 THEN 'outside the grid' END AS reason FROM customer JOIN nation ON n_nationkey = c_nationkey"),
         "grid_counts": (lambda s, d: table(s, d, "customer").groupBy(F.col("c_nationkey").alias("zone_id")).agg(F.count(F.lit(1)).alias("n_slots")), "SELECT c_nationkey AS zone_id, count(*) AS n_slots FROM customer GROUP BY 1"),
@@ -164,7 +231,7 @@ def entries() -> dict:
             "WITH m AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events), k AS (SELECT user_id, list(event_type ORDER BY event_id DESC) AS l FROM m WHERE before IS NULL OR before <> event_type GROUP BY 1) SELECT user_id, l[1] AS current, CAST(len(l) - 1 AS INTEGER) AS n_moves, l[2:4] AS latest FROM k",
         ),
         "apply_moves": (
-            lambda s, d: r.location_moves(table(s, d, "events"), "user_id", "event_type", "event_id").select("user_id", "current", F.size("history").alias("n_history"), r.item_descriptor(F.concat(F.lit("item "), F.col("user_id").cast("string")), F.lit("tool"), *[F.lit(None).cast("string")], F.col("current"), *[F.lit(None).cast("string")] * 5).alias("descriptor")),
+            lambda s, d: moves(s, d).select("user_id", "current", F.col("n_moves").alias("n_history"), r.item_descriptor(F.concat(F.lit("item "), F.col("user_id").cast("string")), F.lit("tool"), *[F.lit(None).cast("string")], F.col("current"), *[F.lit(None).cast("string")] * 5).alias("descriptor")),
             "WITH m AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id, arg_max(event_type, event_id) AS current, CAST(count(*) - 1 AS INTEGER) AS n_history, '[Item] item ' || user_id || ' (tool) — ' || arg_max(event_type, event_id) AS descriptor FROM m WHERE before IS NULL OR before <> event_type GROUP BY 1",
         ),
         "history_places": (

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+
+from hybridkb.functions.text import tokens
 
 from hybridkb.operators.chunking import chat_header
+from hybridkb.operators.numbering import number_rows
+from hybridkb.operators.records import CATEGORIES
 
 SUFFIXES = (".pdf", ".md", ".markdown", ".txt", ".zip")
 LAYERS = ("vessel", "shared", "community")
@@ -55,8 +64,8 @@ def upsert_source(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def assign_ordinals(chunks: DataFrame, source: str, *order: str) -> DataFrame:
-    """A 0-based ordinal for each source."""
-    return chunks.withColumn("ordinal", F.row_number().over(Window.partitionBy(source).orderBy(*order)) - 1)
+    """A 0-based ordinal for each source; a source of any size is numbered by many tasks."""
+    return number_rows(chunks, [source], list(order), "ordinal")
 
 
 def relayer(sources: DataFrame, names: DataFrame) -> DataFrame:
@@ -71,12 +80,12 @@ def relayer_candidates(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     """source_id, path, n_chunks of the vessel layer's chats; sources without chunks stay in the list."""
     counts = chunks.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
     chats = sources.where("layer = 'vessel' AND source_type = 'whatsapp'")
-    return chats.join(counts, "source_id", "left").select("source_id", "path", F.coalesce("n", F.lit(0)).alias("n_chunks"))
+    return chats.hint("shuffle_merge").join(counts, "source_id", "left").select("source_id", "path", F.coalesce("n", F.lit(0)).alias("n_chunks"))
 
 
 def delete_cascade(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     """Rows whose parent was not deleted."""
-    return rows.join(deleted.select(key).distinct(), key, "left_anti")
+    return rows.hint("shuffle_merge").join(deleted.select(key).distinct(), key, "left_anti")
 
 
 def set_null(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
@@ -92,37 +101,74 @@ def list_sources(sources: DataFrame, layer: str = "all") -> DataFrame:
     return kept.where(rank > 0).withColumn("layer_rank", rank.cast("int")).orderBy("layer_rank", "source_id")
 
 
-def integrity_audit(sources: DataFrame, chunks: DataFrame) -> DataFrame:
-    """rule, item, n: repeated (layer, path) and (source, ordinal), unknown layers, chunks without a source."""
-    twice = lambda t, rule, *keys: t.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(rule).alias("rule"), F.concat_ws("|", *keys).alias("item"), "n")
-    bad = sources.where(~F.col("layer").isin(*LAYERS)).groupBy("layer").agg(F.count(F.lit(1)).alias("n")).select(F.lit("layer").alias("rule"), F.col("layer").alias("item"), "n")
-    lost = chunks.join(sources.select("source_id"), "source_id", "left_anti").groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit("orphan").alias("rule"), F.col("source_id").cast("string").alias("item"), "n")
-    return twice(sources, "source path", "layer", "path").unionByName(twice(chunks, "chunk ordinal", "source_id", "ordinal")).unionByName(bad).unionByName(lost)
+def integrity_audit(sources: DataFrame, chunks: DataFrame, vectors: DataFrame, stored_chunks: DataFrame, zones: DataFrame, slots: DataFrame, items: DataFrame) -> DataFrame:
+    """rule, item, n of all violations: repeated source paths in a layer, chunk ordinals in a source, zone names and slots
+    in a zone; unknown layers and categories; chunks, vectors and items that name a source, chunk or zone that is not
+    there. A missing (null) name refers to nothing and violates nothing, but a source needs a layer.
+
+    Each table is read once: every row says which names it uses and which it defines, and one aggregation over all
+    names tells what is used twice, used against the list, or used without being defined."""
 
+    def says(rows: DataFrame, *facts: tuple[str, Column, Column, Column]) -> DataFrame:
+        lists = [F.struct(F.lit(rule).alias("rule"), item.cast("string").alias("item"), uses.cast("bigint").alias("uses"), defines.cast("bigint").alias("defines")) for rule, item, uses, defines in facts]
+        return rows.select(F.explode(F.array(*lists)).alias("f")).select("f.*")
 
-def chunks_sink(chunks: DataFrame, folder: str) -> None:
-    """Chunks as Parquet with the layer as the physical partition, so layer filters read only their folders."""
-    chunks.write.mode("overwrite").partitionBy("layer").parquet(folder)
+    yes, no = F.lit(1), F.lit(0)
+    joined = lambda *c: F.concat_ws("|", *c)
+    known = lambda c, values: F.coalesce(F.lower(c).isin(*values), F.lit(False))
+    category = F.col("category")
+    every = [
+        says(sources, ("source path", joined("layer", "path"), yes, no), ("source layer", F.coalesce("layer", F.lit("")), (~known(F.col("layer"), LAYERS)).cast("int"), no), ("chunk source", F.col("source_id"), no, yes)),
+        says(chunks, ("chunk ordinal", joined("source_id", "ordinal"), yes, no), ("chunk source", F.col("source_id"), yes, no)),
+        says(vectors, ("vector chunk", F.col("chunk_id"), yes, no)),
+        says(stored_chunks, ("vector chunk", F.col("chunk_id"), no, yes)),
+        says(zones, ("zone name", F.col("name"), yes, no), ("item zone", F.col("zone_id"), no, yes)),
+        says(slots, ("zone slot", joined("zone_id", "row", "col"), yes, no)),
+        says(items, ("item category", category, (~known(category, CATEGORIES)).cast("int"), no), ("item zone", F.col("zone_id"), yes, no)),
+    ]
+    facts = reduce(DataFrame.unionByName, every).where("item IS NOT NULL")
+    counts = facts.groupBy("rule", "item").agg(F.sum("uses").alias("n"), F.max("defines").alias("defined"))
+    once, listed = F.col("rule").isin("source path", "chunk ordinal", "zone name", "zone slot"), F.col("rule").isin("source layer", "item category")
+    wrong = F.when(once, F.col("n") > 1).when(listed, F.col("n") > 0).otherwise((F.col("n") > 0) & (F.col("defined") == 0))
+    return counts.where(wrong).select("rule", "item", "n")
+
+
+SCORED = 64  # texts that a scorer gets at once
 
 
 def embed_attach(chunks: DataFrame, scorer, dimension: int) -> DataFrame:
-    """The chunks with ``embedding``: scorer takes a list of at most 64 texts and returns as many vectors."""
+    """The chunks with ``embedding``: ``scorer`` takes a list of at most 64 texts (null as empty) and returns as many
+    vectors of ``dimension`` numbers; anything else fails the job."""
+    at = chunks.columns.index("content")
 
     def attach(batches):
-        import pandas as pd
+        import numpy as np
+        import pyarrow as pa
 
-        for pdf in batches:
-            vectors = []
-            for i in range(0, len(pdf), 64):
-                texts = pdf["content"].iloc[i : i + 64].tolist()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SCORED):
+                part = batch.slice(lo, SCORED)
+                texts = [t or "" for t in part.column(at).to_pylist()]
                 got = scorer(texts)
-                if len(got) != len(texts) or any(len(v) != dimension for v in got):
-                    raise ValueError("the scorer returned another number of vectors, or another dimension")
-                vectors += [list(map(float, v)) for v in got]
-            yield pdf.assign(embedding=pd.Series(vectors, index=pdf.index, dtype=object))
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in chunks.dtypes) + ", embedding array<float>"
-    return chunks.mapInPandas(attach, schema)
+                if len(got) != len(texts):
+                    raise ValueError(f"{len(got)} vectors for {len(texts)} texts")
+                if any(len(v) != dimension for v in got):
+                    raise ValueError(f"a vector has another dimension than {dimension}")
+                flat = pa.array(np.asarray(got, dtype=np.float32).reshape(-1))
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * dimension), flat)
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors], names=[*part.schema.names, "embedding"])
+
+    schema = StructType([*chunks.schema.fields, StructField("embedding", ArrayType(FloatType()))])
+    return chunks.mapInArrow(attach, schema)
+
+
+def hashed_embedding(chunks: DataFrame, dimension: int = 384) -> DataFrame:
+    """The chunks with ``embedding``: counts of their tokens hashed to ``dimension`` places, of length one. It stands in
+    where no model is at hand and knows words, not meanings. A text without tokens has the zero vector."""
+    lists = chunks.withColumn("_tokens", tokens(F.coalesce("content", F.lit(""))))
+    hashed = HashingTF(numFeatures=dimension, inputCol="_tokens", outputCol="_counts").transform(lists)
+    unit = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(hashed)
+    return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_tokens", "_counts", "_unit")
 
 
 def quarantine(files: DataFrame, stored: DataFrame, error: Column) -> DataFrame:
