@@ -1,4 +1,4 @@
-"""Queries of pages, payloads and the batch twins of the streams."""
+"""Queries of pages and payloads."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from hybridkb.operators import pages, payloads
 from hybridkb.plans.tables import table
-from hybridkb.streaming import ops
 
 
 def _spans(s, d):
@@ -27,11 +26,6 @@ def ladder(s, d):
     return out.select("event_id", "rung", F.col("record.system").alias("system"), F.col("record.cost_amount").alias("cost"), F.size("record.parts").alias("n_parts"), F.col("record.vendor").alias("vendor"))
 
 
-def sessions(s, d):
-    e = table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return ops.stream_sessions(e).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("n_messages").alias("n_messages"))
-
-
 def entries() -> dict:
     """key: (query, SQL or None)."""
     return {
@@ -43,8 +37,4 @@ def entries() -> dict:
             ladder,
             "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 'first' WHEN event_id % 6 <> 0 THEN 'retry' ELSE 'default' END AS rung, CASE WHEN event_id % 3 <> 0 THEN 'engine' WHEN event_id % 6 <> 0 THEN 'sails' ELSE 'other' END AS system, CASE WHEN event_id % 3 <> 0 THEN value END AS cost, CASE WHEN event_id % 3 <> 0 THEN 1 ELSE 0 END AS n_parts, CASE WHEN event_id % 3 <> 0 THEN event_type END AS vendor FROM events",
         ),
-        "stream_sessions": (
-            sessions,
-            "WITH x AS (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events) SELECT user_id, CAST(sum(new) AS BIGINT) AS n_sessions, count(*) AS n_messages FROM x GROUP BY 1",
-        ),
     }

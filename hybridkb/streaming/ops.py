@@ -2,48 +2,100 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from hybridkb.sources.tables import detect_changes
+from hybridkb.sources.staging import stage
+from hybridkb.sources.versions import publish_changes
 
+LATEST = 3  # places that an item's state remembers besides the current one
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def stream_ingest(files: DataFrame, stored: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """For every micro-batch, hand the new and changed rows to ``write(rows, batch_id)``. ``stored`` reads the
-    current table; a batch that is run again finds its rows stored and writes nothing."""
+
+def stream_ingest(files: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Publish every micro-batch of files (layer, path, content_hash, seq and others) to the versioned table in
+    ``folder``: of a path's rows in a batch the one with the largest ``seq``, and of these what is new or changed. A
+    batch that is run again after a failure finds its rows stored, and publishes nothing."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.groupBy("layer", "path").agg(F.max_by(F.struct(*[c for c in batch.columns if c not in ("layer", "path")]), "seq").alias("r")).select("layer", "path", "r.*")
-        write(detect_changes(latest, stored()).where("status <> 'no-op'"), batch_id)
+        rest = F.struct(*[c for c in batch.columns if c not in ("layer", "path")])
+        latest = batch.groupBy("layer", "path").agg(F.max_by(rest, "seq").alias("r")).select("layer", "path", "r.*")
+        publish_changes(stage(latest, "arrived"), folder)
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_sessions(messages: DataFrame, late: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
-    """Session windows by user in event time; rows later than the watermark are dropped and counted by Spark."""
+    """user_id, start, end, n_messages: session windows in event time, each once it can no longer grow. A message that
+    ends its own gap before the watermark is dropped; ``dropped_late`` counts these."""
     return messages.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_messages")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_messages")
 
 
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows that the query's state operators have dropped behind the watermark, over its recent progress."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def stream_dedupe(files: DataFrame, late: str = "1 day") -> DataFrame:
     """The same content of the same path once within the watermark."""
     return files.withWatermark("ts", late).dropDuplicatesWithinWatermark(["layer", "path", "content_hash"])
 
 
-def stream_moves(moves: DataFrame) -> DataFrame:
-    """user_id, n_moves, current: keyed state that ignores moves to where the item already is."""
-
-    def fold(key, batches, state):
-        current, n = state.get if state.exists else (None, -1)
-        arrived = pd.concat(list(batches)).sort_values("event_id")  # a key's rows of one micro-batch
-        for place in arrived["place"]:
-            if place != current:
-                current, n = place, n + 1
-        state.update((current, n))
-        yield pd.DataFrame({"user_id": [key[0]], "n_moves": [n], "current": [current]})
-
-    return moves.groupBy("user_id").applyInPandasWithState(fold, "user_id bigint, n_moves bigint, current string", "current string, n bigint", "update", GroupStateTimeout.NoTimeout)
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, outside of the heap; the setting is put back behind."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class Moves(StatefulProcessor):
+    """Where an item is, how often it moved, and the places before."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "place string, event_id bigint, n_moves bigint, n_late bigint", self.ttl_ms)
+        self.before = handle.getListState("before", "place string", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.now.exists()
+        place, last, n_moves, n_late = self.now.get() if known else (None, None, 0, 0)
+        before = [p for (p,) in self.before.get()] if known else []
+        # A key's rows of one micro-batch; the source's limit for a trigger bounds them.
+        arrived = pd.concat([r[["event_id", "place"]] for r in rows]).sort_values("event_id")
+        for event_id, where in zip(arrived["event_id"].tolist(), arrived["place"].tolist(), strict=True):
+            where = where if isinstance(where, str) else None
+            if last is not None and event_id <= last:
+                n_late += 1
+                continue
+            if last is None:
+                place = where
+            elif where != place:
+                before, place, n_moves = [place, *before][:LATEST], where, n_moves + 1
+            last = event_id
+        self.now.update((place, last, n_moves, n_late))
+        self.before.put([(p,) for p in before])
+        yield pd.DataFrame({"user_id": [key[0]], "n_moves": [n_moves], "n_late": [n_late], "current": [place], "latest": [before]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_moves(moves: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """user_id, n_moves, n_late, current, latest for the items (user_id) that a micro-batch has rows of (event_id, place).
+    Rows of a batch count in the order of event_id; one that is not newer than what its item has seen in earlier
+    batches changes nothing and is counted as late. Start it inside ``rocksdb_state``. With ``ttl_ms``, an item
+    without rows for so long is forgotten."""
+    out = "user_id bigint, n_moves bigint, n_late bigint, current string, latest array<string>"
+    return moves.groupBy("user_id").transformWithStateInPandas(Moves(ttl_ms), out, "Update", "ProcessingTime" if ttl_ms else "None")
