@@ -161,7 +161,7 @@ def slot_valid(rows: DataFrame, slots: DataFrame) -> DataFrame:
     """reason: NULL where the slot is absent or in its zone's grid, else why not."""
     grids = slots.groupBy("zone_id").agg(F.count(F.lit(1)).alias("_n"))
     cells = slots.select("zone_id", "row", "col", F.lit(True).alias("_cell")).distinct()
-    joined = rows.join(grids, "zone_id", "left").join(cells, ["zone_id", "row", "col"], "left")
+    joined = rows.hint("shuffle_merge").join(grids, "zone_id", "left").hint("shuffle_merge").join(cells, ["zone_id", "row", "col"], "left")
     reason = F.when(F.col("row").isNull(), None).when(F.col("_n").isNull(), "zone has no grid").when(F.col("_cell").isNull(), "outside the grid")
     return joined.withColumn("reason", reason).drop("_n", "_cell")
 

@@ -8,7 +8,7 @@ from hybridkb.operators import records as r
 from hybridkb.plans.tables import LAYERS, table
 from hybridkb.sources import tables as t
 from hybridkb.sources import versions
-from hybridkb.sources.staging import fresh_folder
+from hybridkb.sources.staging import fresh_folder, rename_suffix
 
 
 LOST = 1_000_000_000_000  # added to the number of a source, names one that does not exist
@@ -125,6 +125,24 @@ def entries() -> dict:
             versions.publish_changes(_sources(s, d, version), folder)
         return versions.read_table(s, folder).select("source_id", "layer", "path", "content_hash")
 
+    def scan(s, d):
+        """Documents written out as lines of JSON below a folder, in files of three kinds; what the scan keeps is read."""
+        folder = fresh_folder(s, "scanned")
+        kind = F.element_at(F.array(F.lit("txt"), F.lit("md"), F.lit("json")), (F.col("doc_id") % 3 + 1).cast("int"))
+        rows = table(s, d, "documents").select(kind.alias("kind"), F.to_json(F.struct("doc_id", "text")).alias("line"))
+        for k in ("txt", "md", "json"):
+            rows.where(F.col("kind") == k).select("line").write.option("maxRecordsPerFile", 2000).text(f"{folder}/{k}/deep")
+            rename_suffix(s, f"{folder}/{k}/deep", ".txt", f".{k}")
+        kept, skipped = t.corpus_scan(s, folder)
+        lines = kept.select("suffix", F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line <> ''")
+        docs = lines.select("suffix", F.from_json("line", "doc_id bigint, text string").alias("r")).select("r.doc_id", "suffix", F.sha2("r.text", 256).alias("text_sha256"), F.lit("kept").alias("status"))
+        none = skipped.select(F.lit(None).cast("bigint").alias("doc_id"), "suffix", F.lit(None).cast("string").alias("text_sha256"), F.lit("skipped").alias("status"))
+        return docs.unionByName(none.distinct())
+
+    def vectors(s, d):
+        c = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+        return t.hashed_embedding(c).select("chunk_id", "embedding")
+
     def sink(s, d):
         """Chunks by layer; then every second source of the vessel layer moves to the community layer."""
         folder = fresh_folder(s, "chunks")
@@ -162,6 +180,11 @@ def entries() -> dict:
             f"WITH {SRC} SELECT source_id, layer, path, sha256(text || CASE WHEN source_id % 5 = 0 THEN ' edited' ELSE '' END) AS content_hash FROM src "
             "UNION ALL SELECT source_id, layer, replace(path, '/' || source_id || '.md', '/old-' || source_id || '.md'), sha256(text) FROM src WHERE source_id % 10 = 9",
         ),
+        "corpus_scan": (
+            scan,
+            "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '.txt' ELSE '.md' END AS suffix, sha256(text) AS text_sha256, 'kept' AS status FROM documents WHERE doc_id % 3 < 2 UNION ALL SELECT NULL, '.json', NULL, 'skipped'",
+        ),
+        "embed_attach": (vectors, None),
         "chunks_sink": (
             sink,
             f"WITH {SRC}, line AS (SELECT source_id, layer, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT source_id, layer, string_split(text, chr(10)) AS l FROM src)) "

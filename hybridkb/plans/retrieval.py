@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,26 +11,26 @@ from hybridkb.plans.tables import CHUNKS_SQL, RETRIEVAL_SQL, WHOLE_SQL, chunks,
 from hybridkb.sources.staging import stage
 
 
-def _lists(spark: SparkSession, sf_dir: str, whole: bool = False):
-    q, c = queries(spark, sf_dir, whole), chunks(spark, sf_dir, vectors=False)
+def _lists(spark: SparkSession, sf_dir: str):
+    q, c = queries(spark, sf_dir), chunks(spark, sf_dir, vectors=False)
     return q, c, stage(vector.knn_search(q, chunks(spark, sf_dir)), "knn"), stage(lexical.bm25_search(q, c), "bm25")
 
 
-def _ordered(spark: SparkSession, sf_dir: str, whole: bool = False):
-    q, c, knn, bm25 = _lists(spark, sf_dir, whole)
+def _ordered(spark: SparkSession, sf_dir: str):
+    q, c, knn, bm25 = _lists(spark, sf_dir)
     return q, c, bm25, stage(fusion.layer_authority(fusion.rrf_fuse(knn, bm25), c), "ordered")
 
 
-def query_phrases(s, d, whole=False):
-    return lexical.query_phrases(queries(s, d, whole))
+def query_phrases(s, d):
+    return lexical.query_phrases(queries(s, d))
 
 
-def bm25_search(s, d, whole=False):
-    return lexical.bm25_search(queries(s, d, whole), chunks(s, d, vectors=False)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+def bm25_search(s, d):
+    return lexical.bm25_search(queries(s, d), chunks(s, d, vectors=False)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-def bm25_topk(s, d, k=5, whole=False):
-    return lexical.bm25_search(queries(s, d, whole), chunks(s, d, vectors=False), pool=k).select("query_id", "chunk_id", "rank")
+def bm25_topk(s, d, k=5):
+    return lexical.bm25_search(queries(s, d), chunks(s, d, vectors=False), pool=k).select("query_id", "chunk_id", "rank")
 
 
 def knn_search(s, d):
@@ -59,56 +57,56 @@ def document_frequency(s, d):
     return lexical.document_frequency(chunks(s, d, vectors=False))
 
 
-def bm25_join(s, d, whole=False):
+def bm25_join(s, d):
     c = chunks(s, d, vectors=False)
-    hits = lexical.bm25_scores(queries(s, d, whole), c).join(c.select("chunk_id", "layer", "is_active"), "chunk_id")
+    hits = lexical.bm25_scores(queries(s, d), c).join(c.select("chunk_id", "layer", "is_active"), "chunk_id")
     return hits.groupBy("query_id", "layer", "is_active").agg(F.count(F.lit(1)).alias("n_hits"))
 
 
-def rrf_fuse(s, d, whole=False):
-    _, _, knn, bm25 = _lists(s, d, whole)
+def rrf_fuse(s, d):
+    _, _, knn, bm25 = _lists(s, d)
     return fusion.rrf_fuse(knn, bm25).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "pos")
 
 
-def rank_lists(s, d, whole=False):
-    _, _, knn, bm25 = _lists(s, d, whole)
+def rank_lists(s, d):
+    _, _, knn, bm25 = _lists(s, d)
     return knn.select("query_id", F.lit("knn").alias("list"), "rank", "chunk_id").unionByName(bm25.select("query_id", F.lit("bm25").alias("list"), "rank", "chunk_id"))
 
 
-def stable_order(s, d, whole=False):
-    _, _, knn, bm25 = _lists(s, d, whole)
+def stable_order(s, d):
+    _, _, knn, bm25 = _lists(s, d)
     return fusion.rrf_fuse(knn, bm25).select("query_id", "chunk_id", "knn_rank", "bm25_rank", "pos")
 
 
-def layer_authority(s, d, whole=False):
-    return _ordered(s, d, whole)[3].select("query_id", "chunk_id", F.round("weighted", 9).alias("weighted"), "pos")
+def layer_authority(s, d):
+    return _ordered(s, d)[3].select("query_id", "chunk_id", F.round("weighted", 9).alias("weighted"), "pos")
 
 
-def layer_lookup(s, d, whole=False):
-    return _ordered(s, d, whole)[3].select("query_id", "chunk_id", "layer")
+def layer_lookup(s, d):
+    return _ordered(s, d)[3].select("query_id", "chunk_id", "layer")
 
 
-def top_n(s, d, whole=False):
-    return _ordered(s, d, whole)[3].where("pos <= 5").select("query_id", "pos", "chunk_id")
+def top_n(s, d):
+    return _ordered(s, d)[3].where("pos <= 5").select("query_id", "pos", "chunk_id")
 
 
-def exact_slot(s, d, whole=False):
-    q, _, bm25, ordered = _ordered(s, d, whole)
+def exact_slot(s, d):
+    q, _, bm25, ordered = _ordered(s, d)
     return fusion.exact_slot(ordered, bm25, q)
 
 
-def below_floor(s, d, whole=False):
-    q, _, knn, bm25 = _lists(s, d, whole)
+def below_floor(s, d):
+    q, _, knn, bm25 = _lists(s, d)
     return fusion.below_floor(q, knn, bm25)
 
 
-def pool_union(s, d, whole=False):
-    _, _, bm25, ordered = _ordered(s, d, whole)
+def pool_union(s, d):
+    _, _, bm25, ordered = _ordered(s, d)
     return fusion.pool_union(ordered, bm25)
 
 
-def override_pairs(s, d, whole=False):
-    _, c, bm25, ordered = _ordered(s, d, whole)
+def override_pairs(s, d):
+    _, c, bm25, ordered = _ordered(s, d)
     return fusion.override_pairs(fusion.pool_union(ordered, bm25), c)
 
 
@@ -119,39 +117,39 @@ def override_map(s, d):
 
 
 def override_pull_in(s, d):
-    q, c, bm25, ordered = _ordered(s, d, whole=True)
+    q, c, bm25, ordered = _ordered(s, d)
     pairs = fusion.override_pairs(fusion.pool_union(ordered, bm25), c)
     return fusion.override_pull_in(fusion.exact_slot(ordered, bm25, q), pairs)
 
 
-def down_rank(s, d, whole=False):
-    q, c, bm25, ordered = _ordered(s, d, whole)
+def down_rank(s, d):
+    q, c, bm25, ordered = _ordered(s, d)
     pairs = fusion.override_pairs(fusion.pool_union(ordered, bm25), c)
     return fusion.down_rank(fusion.exact_slot(ordered, bm25, q), pairs)
 
 
 def retrieve(s, d):
-    return fusion.retrieve(queries(s, d, whole=True), chunks(s, d)).drop("content")
+    return fusion.retrieve(queries(s, d), chunks(s, d)).drop("content")
 
 
-def chunk_metadata(s, d, whole=False):
-    return context.chunk_metadata(_top(s, d, whole), chunks(s, d, vectors=False))
+def chunk_metadata(s, d):
+    return context.chunk_metadata(_top(s, d), chunks(s, d, vectors=False))
 
 
-def _top(s, d, whole=False):
-    return _ordered(s, d, whole)[3].where("pos <= 5").select("query_id", "pos", "chunk_id", F.lit("").alias("note"))
+def _top(s, d):
+    return _ordered(s, d)[3].where("pos <= 5").select("query_id", "pos", "chunk_id", F.lit("").alias("note"))
 
 
-def context_blocks(s, d, whole=False):
-    return context.context_blocks(context.chunk_metadata(_top(s, d, whole), chunks(s, d, vectors=False)), queries(s, d, whole)).select("query_id", F.sha2("message", 256).alias("message_sha256"))
+def context_blocks(s, d):
+    return context.context_blocks(context.chunk_metadata(_top(s, d), chunks(s, d, vectors=False)), queries(s, d)).select("query_id", F.sha2("message", 256).alias("message_sha256"))
 
 
-def citation_block(s, d, whole=False):
-    return context.citation_block(context.chunk_metadata(_top(s, d, whole), chunks(s, d, vectors=False)))
+def citation_block(s, d):
+    return context.citation_block(context.chunk_metadata(_top(s, d), chunks(s, d, vectors=False)))
 
 
-def source_cards(s, d, whole=False):
-    return context.source_cards(context.chunk_metadata(_top(s, d, whole), chunks(s, d, vectors=False))).select("query_id", "n", "layer", "title", "pages", F.length("content").alias("n_chars"))
+def source_cards(s, d):
+    return context.source_cards(context.chunk_metadata(_top(s, d), chunks(s, d, vectors=False))).select("query_id", "n", "layer", "title", "pages", F.length("content").alias("n_chars"))
 
 
 def validate_citations(s, d):
@@ -172,12 +170,6 @@ def query_valid(s, d):
     return context.query_valid(c).select("conv_id", "turn", "reject_reason")
 
 
-WHOLE = [
-    query_phrases, bm25_search, bm25_topk, bm25_join, rank_lists, rrf_fuse, stable_order, layer_authority, layer_lookup, top_n,
-    exact_slot, below_floor, pool_union, override_pairs, down_rank, chunk_metadata, context_blocks, citation_block, source_cards,
-]
-
-
 def _sql(select: str, base: str = RETRIEVAL_SQL) -> str:
     return f"WITH {base}\n{select}"
 
@@ -187,13 +179,7 @@ def _recursive(select: str) -> str:
 
 
 def entries() -> dict:
-    """key: (query, SQL or None). Keys ask with six words of each question; those named key_whole, retrieve and
-    override_pull_in ask with all of them."""
-    cut = _cut_entries()
-    return cut | {f"{q.__name__}_whole": (partial(q, whole=True), cut[q.__name__][1].replace("[1:6]", "")) for q in WHOLE}
-
-
-def _cut_entries() -> dict:
+    """key: (query, SQL or None)."""
     return {
         "query_phrases": (query_phrases, _sql("SELECT query_id, phrase_no, off, term, phrase_len FROM qt")),
         "corpus_stats": (corpus_stats, _sql("SELECT n_chunks, round(avg_len, 6) AS avg_len FROM stats")),

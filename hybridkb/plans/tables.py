@@ -31,12 +31,12 @@ def chunks(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
     return base.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
 
 
-def queries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """The benchmark's texts as questions: whole, or the first six words of each, as CHUNKS_SQL has them."""
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts as questions."""
     b = table(spark, sf_dir, "benchmark")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(words if whole else F.slice(words, 1, 6), " ").alias("text")).join(e, "query_id", "left")
+    return b.select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text")).join(e, "query_id", "left")
 
 
 CHUNKS_SQL = r"""
@@ -47,7 +47,7 @@ chunks AS (
   FROM (SELECT *, ['shared', 'community', 'vessel'][coalesce(TRY_CAST(regexp_extract(source, '(\d+)$', 1) AS INTEGER), 0) % 3 + 1] AS layer FROM documents) d
   LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 queries AS (
-  SELECT item_id AS query_id, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[1:6], ' ') AS text, embedding
+  SELECT item_id AS query_id, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), ' ') AS text, embedding
   FROM benchmark LEFT JOIN embeddings ON vec_id = item_id)
 """
 
@@ -106,8 +106,8 @@ pairs AS (
     FROM edge e JOIN pool t ON t.query_id = e.query_id AND t.chunk_id = e.target_id) WHERE nth = 1)
 """
 
-# The same with all words of each question, and the lists after the overrides have come in.
-WHOLE_SQL = RETRIEVAL_SQL.replace("[1:6]", "") + r""",
+# The same with the lists after the overrides have come in.
+WHOLE_SQL = RETRIEVAL_SQL + r""",
 link AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relation DESC, target_id) AS k FROM pairs),
 listed AS (SELECT query_id, list(chunk_id ORDER BY pos) AS ids FROM slot GROUP BY query_id),
 named AS (SELECT query_id, flatten(list([target_id, vessel_id])) AS named FROM link GROUP BY query_id),

@@ -43,3 +43,13 @@ def size_hint(table: DataFrame, *texts: str) -> str:
     """The join strategy for a staged table: broadcast only within a count of rows and bytes."""
     n, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum((F.length(c) for c in texts), F.lit(8))), F.lit(0))).first()
     return "broadcast" if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else "shuffle_merge"
+
+
+def rename_suffix(spark: SparkSession, folder: str, old: str, new: str) -> None:
+    """Give the files of a folder another suffix, file by file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(path) if old != new else []:
+        name = f.getPath().getName()
+        if name.endswith(old):
+            fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(path, name[: -len(old)] + new))

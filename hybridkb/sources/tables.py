@@ -22,10 +22,14 @@ LAYER_ROOTS = {"shared": "shared", "vessel": "data", "community": "shared"}
 
 
 def corpus_scan(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(kept, skipped) files below a folder, with path, length and modificationTime; content is read only if used."""
+    """(kept, skipped) files anywhere below a folder: path, suffix (in lower case, empty if there is none), length and
+    modificationTime, and for kept files their content, which is read only if it is used. Files and folders whose
+    names begin with a dot or an underscore are not seen."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    known = F.regexp_extract(F.lower("path"), r"(\.[a-z0-9]+)$", 1).isin(*SUFFIXES)
-    return files.where(known), files.where(~known).select("path", "length")
+    files = files.withColumn("suffix", F.regexp_extract(F.lower("path"), r"(\.[a-z0-9]+)$", 1))
+    known = F.col("suffix").isin(*SUFFIXES)
+    about = ["path", "suffix", "length", "modificationTime"]
+    return files.where(known).select(*about, "content"), files.where(~known).select(*about)
 
 
 def route_source_type(path: Column, text: Column) -> Column:

@@ -120,3 +120,19 @@ def relayer_table(names: DataFrame, folder: str) -> int | None:
         return None
     both = ["community", "vessel"]
     return publish(relayer(read_table(spark, folder, both), named), folder, both)
+
+
+def write_together(tables: dict[str, DataFrame], folder: str, batch: str) -> str:
+    """Write the tables of a batch below one folder that gets its name when all of them are there, and return it. Readers
+    see all tables of a batch or none; a batch that is there already is an error."""
+    spark = next(iter(tables.values())).sparkSession
+    fs, final = _files(spark, f"{folder}/{batch}")
+    if fs.exists(final):
+        raise FileExistsError(f"{folder}/{batch}")
+    _, draft = _files(spark, f"{folder}/_draft-{batch}")
+    fs.delete(draft, True)  # of a run that did not end
+    for name, rows in tables.items():
+        rows.write.parquet(f"{folder}/_draft-{batch}/{name}")
+    if not fs.rename(draft, final):
+        raise RuntimeError(f"{folder}/{batch} was not published")
+    return f"{folder}/{batch}"
