@@ -38,45 +38,40 @@ def document_frequency(chunks: DataFrame) -> DataFrame:
 def phrase_counts(phrases: DataFrame, chunks: DataFrame) -> DataFrame:
     """chunk_id, len, phrase, tf: how often each different phrase of ``phrases`` stands in each chunk. The empty phrase
     stands once in every chunk, so that the lengths of all chunks come out of the same pass."""
-    asked = phrases.select("phrase", "off", "term", "phrase_len").distinct()
-    asked = stage(asked, "phrases")
+    every = chunks.sparkSession.range(1).select(F.lit("").alias("phrase"), F.lit(0).alias("off"), F.lit("").alias("term"), F.lit(1).alias("phrase_len"))
+    asked = stage(phrases.select("phrase", "off", "term", "phrase_len").distinct().unionByName(every), "phrases")
     indexed = chunks.select("chunk_id", tokens(F.col("content")).alias("t"))
     postings = indexed.select("chunk_id", F.size("t").alias("len"), F.posexplode(F.concat(F.array(F.lit("")), "t")).alias("pos", "term"))
-    every = chunks.sparkSession.range(1).select(F.lit("").alias("phrase"), F.lit("").alias("term"))
-    one = asked.where("phrase_len = 1").select("phrase", "term").unionByName(every)
-    single = postings.join(one.hint(size_hint(one, "phrase", "term")), "term").groupBy("chunk_id", "len", "phrase").agg(F.count(F.lit(1)).alias("tf"))
-    many = asked.where("phrase_len > 1")
-    if many.isEmpty():
-        return single
-    hint = size_hint(many, "phrase", "term")
-    hits = postings.join(many.hint(hint), "term").groupBy("chunk_id", "len", "phrase", "phrase_len", (F.col("pos") - F.col("off")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    runs = hits.where("n = phrase_len").groupBy("chunk_id", "len", "phrase").agg(F.count(F.lit(1)).alias("tf"))
-    return single.unionByName(runs)
+    alone = F.col("phrase_len") == 1
+    start = F.when(alone, 0).otherwise(F.col("pos") - F.col("off")).alias("at")
+    hits = postings.join(asked.hint(size_hint(asked, "phrase", "term")), "term").groupBy("chunk_id", "len", "phrase", "phrase_len", start).agg(F.count(F.lit(1)).alias("n"))
+    times = F.when(alone, F.col("n")).when(F.col("n") == F.col("phrase_len"), 1)
+    return hits.groupBy("chunk_id", "len", "phrase").agg(F.sum(times).alias("tf")).where("tf > 0")
 
 
 def bm25_parts(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(asks, weights), both written: query_id, phrase, factor (how often asked, times idf), and chunk_id, phrase, weight
-    (the saturated count). A chunk's score for a query is minus the sum of factor times weight."""
+    """(asks, weights): query_id, phrase, factor (how often asked, times idf), and chunk_id, phrase, weight (the saturated
+    count). A chunk's score for a query is minus the sum of factor times weight."""
     phrases = query_phrases(queries)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "term"))), lambda x: x["term"]), " ")
     keys = phrases.groupBy("query_id", "phrase_no").agg(whole.alias("phrase"), F.max("phrase_len").alias("phrase_len"))
     keys = stage(keys, "questions")
     split = keys.select("phrase", "phrase_len", F.posexplode(F.split("phrase", " ")).alias("off", "term"))
     counts = stage(phrase_counts(split, chunks), "counts")
-    stats = stage(counts.where("phrase = ''").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("len").alias("avg_len")), "stats")  # one row
+    n, average = counts.where("phrase = ''").agg(F.count(F.lit(1)), F.coalesce(F.avg("len"), F.lit(0.0))).first()
     counts = counts.where("phrase <> ''")
-    df = counts.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats))
-    n, df_ = F.col("n_chunks"), F.col("df")
-    known = df.select("phrase", F.greatest(F.log((n - df_ + 0.5) / (df_ + 0.5)), F.lit(1e-6)).alias("idf"))
+    df_ = F.col("df")
+    known = counts.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).select("phrase", F.greatest(F.log((n - df_ + 0.5) / (df_ + 0.5)), F.lit(1e-6)).alias("idf"))
     asks = keys.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("times"))
-    asks = stage(asks.hint("shuffle_merge").join(known, "phrase").select("query_id", "phrase", (F.col("times") * F.col("idf")).alias("factor")), "asks")
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return asks, counts.join(F.broadcast(stats)).select("chunk_id", "phrase", weight.alias("weight"))
+    asks = asks.hint("shuffle_merge").join(known, "phrase").select("query_id", "phrase", (F.col("times") * F.col("idf")).alias("factor"))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (average or 1.0)))
+    return asks, counts.select("chunk_id", "phrase", weight.alias("weight"))
 
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, chunk_id, score for every chunk that holds a phrase of the query."""
     asks, weights = bm25_parts(queries, chunks)
+    asks = stage(asks, "asks")
     met = weights.repartition("chunk_id").join(asks.hint(size_hint(asks, "phrase")), "phrase")
     return met.groupBy("query_id", "chunk_id").agg((-F.sum(F.col("factor") * F.col("weight"))).alias("score"))
 
@@ -126,8 +121,7 @@ def bm25_best(asks: DataFrame, weights: DataFrame, pool: int) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("main")))
     reached = sums.withColumn("nth", nth).where(F.col("nth") <= pool).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == pool, F.min("main")).otherwise(0.0).alias("reached"))
     bounds = parted.groupBy("query_id").agg(F.max("floor").alias("floor"), F.max("rest").alias("rest"))
-    bounds = stage(bounds.hint("shuffle_merge").join(reached, "query_id"), "bounds")
-    racing = sums.join(bounds.hint(size_hint(bounds)), "query_id").where(F.col("main") + F.col("rest") > F.greatest("floor", "reached") - SLACK)
+    racing = sums.hint("shuffle_merge").join(bounds.hint("shuffle_merge").join(reached, "query_id"), "query_id").where(F.col("main") + F.col("rest") > F.greatest("floor", "reached") - SLACK)
     racing = stage(racing.select("query_id", "chunk_id", "main"), "racing")
     asked = racing.join(spare.hint(size_hint(spare, "phrase")), "query_id")
     more = asked.hint("shuffle_merge").join(weights, ["chunk_id", "phrase"]).select("query_id", "chunk_id", (F.col("factor") * F.col("weight")).alias("part"))

@@ -99,7 +99,7 @@ def entries() -> dict:
         return r.slot_valid(rows, grid).select("c_custkey", "reason")
 
     def find(s, d):
-        return r.find_items(_items(s, d), _questions(s, d), ["p_name", "p_brand", "p_type"]).select("query_id", "p_partkey")
+        return r.find_items(table(s, d, "part"), _questions(s, d), ["p_name", "p_brand", "p_type"]).select("query_id", "p_partkey")
 
     def cascade(s, d):
         gone = _sources(s, d).where("source_id % 6 = 0")
@@ -243,8 +243,8 @@ def entries() -> dict:
         "annotation_progress": (lambda s, d: _zones(s, d).groupBy("area").agg(F.count_if(F.col("vertical_index").isNotNull()).alias("n_annotated"), F.count(F.lit(1)).alias("n_zones")), "SELECT s_nationkey AS area, count_if(s_suppkey % 6 > 0) AS n_annotated, count(*) AS n_zones FROM supplier GROUP BY 1"),
         "find_items": (
             find,
-            f"WITH {ITEMS}, q AS (SELECT upper(p_name) AS text FROM part UNION SELECT p_brand FROM part UNION SELECT substr(p_type, 2, 2) FROM part UNION SELECT n_name FROM nation) "
-            "SELECT text AS query_id, p_partkey FROM items JOIN q ON contains(lower(p_name), lower(text)) OR contains(lower(p_brand), lower(text)) OR contains(lower(p_type), lower(text))",
+            "WITH q AS (SELECT upper(p_name) AS text FROM part UNION SELECT p_brand FROM part UNION SELECT substr(p_type, 2, 2) FROM part UNION SELECT n_name FROM nation) "
+            "SELECT text AS query_id, p_partkey FROM part JOIN q ON contains(lower(p_name), lower(text)) OR contains(lower(p_brand), lower(text)) OR contains(lower(p_type), lower(text))",
         ),
         "resolve_zone": (resolve, r"WITH z AS (SELECT regexp_replace(s_name, '\d$', '') AS name, min(s_suppkey) AS id, count(*) AS n FROM supplier GROUP BY 1), x AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN regexp_replace(s_name, '\d$', '') ELSE 'nowhere' END AS zone FROM supplier) SELECT s_suppkey, zone, CASE WHEN n = 1 THEN id END AS zone_id, CASE WHEN trim(zone) = '' THEN 'blank' WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' END AS warning FROM x LEFT JOIN z ON name = zone"),
         "slot_valid": (slots, "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_nationkey % 5 = 4 THEN 'zone has no grid' WHEN c_custkey % 4 > n_regionkey + 1 OR c_custkey % 3 + 1 > 2 THEN 'outside the grid' END AS reason FROM customer JOIN nation ON n_nationkey = c_nationkey"),

@@ -71,7 +71,7 @@ class Moves(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         known = self.now.exists()
         place, last, n_moves, n_late = self.now.get() if known else (None, None, 0, 0)
-        before = [p for (p,) in self.before.get()] if known else []
+        before = [p for (p,) in self.before.get()] if self.before.exists() else []
         # A key's rows of one micro-batch; the source's limit for a trigger bounds them.
         arrived = pd.concat([r[["event_id", "place"]] for r in rows]).sort_values("event_id")
         for event_id, where in zip(arrived["event_id"].tolist(), arrived["place"].tolist(), strict=True):
@@ -85,7 +85,8 @@ class Moves(StatefulProcessor):
                 before, place, n_moves = [place, *before][:LATEST], where, n_moves + 1
             last = event_id
         self.now.update((place, last, n_moves, n_late))
-        self.before.put([(p,) for p in before])
+        if before:
+            self.before.put([(p,) for p in before])
         yield pd.DataFrame({"user_id": [key[0]], "n_moves": [n_moves], "n_late": [n_late], "current": [place], "latest": [before]})
 
     def close(self) -> None:

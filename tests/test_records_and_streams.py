@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hybridkb.functions import dates, text
 from hybridkb.operators import chunking, pages, payloads, records
-from hybridkb.sources import tables
+from hybridkb.sources import tables, versions
 from hybridkb.streaming import ops
 
 
@@ -116,23 +116,55 @@ def test_nfc_scan_and_sink(spark, tmp_path):
     kept, skipped = tables.corpus_scan(spark, str(tmp_path / "in"))
     assert kept.count() == skipped.count() == 1
     chunks = spark.createDataFrame([(1, "shared", "x y"), (2, "vessel", "z")], "chunk_id long, layer string, content string")
-    tables.chunks_sink(tables.embed_attach(chunks, lambda texts: [[1.0, 2.0] for _ in texts], 2), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).where("layer = 'shared'").select("embedding").first()[0] == [1.0, 2.0]
-
-
-def test_streams(spark, tmp_path):
-    rows = [(1, f"2024-01-01 00:{m:02d}:00", p) for m, p in ((0, "a"), (5, "a"), (50, "b"))] + [(2, "2024-01-01 03:00:00", "c")]
-    source = str(tmp_path / "src")
-    df = spark.createDataFrame([(u, e, t, p) for e, (u, t, p) in enumerate(rows)], "user_id long, event_id long, t string, place string").withColumn("ts", F.to_timestamp("t")).drop("t")
-    df.coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema(df.schema).parquet(source)
-
-    def run(out, mode, name):
-        q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        return spark.table(name)
-
-    moves = {r.user_id: (r.n_moves, r.current) for r in run(ops.stream_moves(stream), "update", "moves").collect()}
-    assert moves == {1: (1, "b"), 2: (0, "c")}
-    done = run(ops.stream_sessions(stream), "append", "sessions").collect()
-    assert sorted(r.n_messages for r in done if r.user_id == 1) == [1, 2]
+    versions.publish(tables.embed_attach(chunks, lambda texts: [[1.0, 2.0] for _ in texts], 2), str(tmp_path / "out"))
+    assert versions.read_table(spark, str(tmp_path / "out"), ["shared"]).select("embedding").first()[0] == [1.0, 2.0]
+
+
+def arrive(spark, folder, schema, parts, step):
+    """Each part is written and then seen by a run of its own."""
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        step(spark.readStream.schema(schema).parquet(folder))
+
+
+def test_stream_of_moves_goes_on_from_its_checkpoint(spark, tmp_path):
+    out = []
+
+    def step(stream):
+        with ops.rocksdb_state(spark):
+            q = ops.stream_moves(stream).writeStream.foreachBatch(lambda b, i: out.append({r.user_id: (r.n_moves, r.n_late, r.current, r.latest) for r in b.collect()}))
+            q.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+
+    parts = [[(1, 1, "a"), (1, 3, "b"), (1, 2, "a"), (2, 4, None)], [(1, 5, "b"), (1, 6, "c"), (2, 7, "x")], [(1, 4, "z"), (1, 8, "d"), (1, 9, "e"), (1, 9, "f")]]
+    arrive(spark, str(tmp_path / "in"), "user_id long, event_id long, place string", parts, step)
+    assert out == [{1: (1, 0, "b", ["a"]), 2: (0, 0, None, [])}, {1: (2, 0, "c", ["b", "a"]), 2: (1, 0, "x", [None])}, {1: (4, 2, "e", ["d", "c", "b"])}]
+
+
+def test_late_messages_are_dropped_and_counted(spark, tmp_path):
+    dropped = []
+
+    def step(stream):
+        q = ops.stream_sessions(stream.withColumn("ts", F.to_timestamp("t"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        query = q.trigger(availableNow=True).start()
+        query.awaitTermination()
+        dropped.append(ops.dropped_late(query))
+
+    at = lambda *x: [(u, f"2024-01-01 {t}:00") for u, t in x]
+    parts = [at((1, "10:40"), (1, "10:00"), (1, "10:30")), at((1, "10:45"), (2, "12:00")), at((1, "09:00"), (1, "11:20"), (1, "10:29")), [(9, "2024-02-01 00:00:00")]]
+    arrive(spark, str(tmp_path / "in"), "user_id long, t string", parts, step)
+    assert dropped == [0, 0, 2, 0]
+    got = sorted((r.user_id, f"{r.start:%H:%M}", r.n_messages) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, "10:00", 4), (1, "11:20", 1), (2, "12:00", 1)]
+
+
+def test_ingest_again_publishes_changes_only(spark, tmp_path):
+    table = str(tmp_path / "table")
+    parts = [[("shared", "a", "1", 1), ("vessel", "b", "1", 2)], [("shared", "a", "1", 3), ("vessel", "b", "2", 5), ("vessel", "b", "3", 4)], [("shared", "a", "1", 6)]]
+    seen = []
+
+    def step(stream):
+        ops.stream_ingest(stream, table, str(tmp_path / "state")).awaitTermination()
+        seen.append((versions.listing(spark, table)["version"], sorted((r.path, r.content_hash) for r in versions.read_table(spark, table).collect())))
+
+    arrive(spark, str(tmp_path / "in"), "layer string, path string, content_hash string, seq long", parts, step)
+    assert seen == [(1, [("a", "1"), ("b", "1")]), (2, [("a", "1"), ("b", "2")]), (2, [("a", "1"), ("b", "2")])]

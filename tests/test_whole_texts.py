@@ -29,7 +29,7 @@ def test_sections_hold_every_line(spark, data):
 
 
 def test_questions_keep_all_their_words(spark, data):
-    phrases = catalog.entries()["query_phrases_whole"][0](spark, data)
+    phrases = catalog.entries()["query_phrases"][0](spark, data)
     got = Counter((r.query_id, r.term) for r in phrases.collect())
     assert got == Counter((r.item_id, t) for r in table(spark, data, "benchmark").collect() for t in tokens(r.text))
 
@@ -53,5 +53,5 @@ def test_bm25_of_whole_questions_against_brute_force(spark, data):
                 scores[c] -= idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(docs[c]) / average))
         best = sorted((round(s, 9), c) for c, s in scores.items() if c in active)[:20]
         want |= {(q.item_id, n): s for n, (s, _) in enumerate(best, 1)}
-    got = {(r.query_id, r.rank): r.score for r in catalog.entries()["bm25_search_whole"][0](spark, data).collect()}
+    got = {(r.query_id, r.rank): r.score for r in catalog.entries()["bm25_search"][0](spark, data).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
