@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hybridkb.functions.text import is_exact_token_query, rrf_term
 from hybridkb.operators.lexical import bm25_search
 from hybridkb.operators.vector import knn_search
-from hybridkb.sources.staging import stage
+from hybridkb.sources.staging import size_hint, stage
 
 # Weights and gates of the retrieval policy.
 LAYER_WEIGHTS = {"shared": 1.2, "community": 1.0, "vessel": 0.9}
@@ -119,8 +119,8 @@ def override_pull_in(top: DataFrame, pairs: DataFrame, n: int = 5) -> DataFrame:
 def down_rank(working: DataFrame, pairs: DataFrame, n: int = 5) -> DataFrame:
     """query_id, chunk_id, pos, note: targets whose overrider is in the list go to the end, then the first n."""
     present = working.select("query_id", F.col("chunk_id").alias("vessel_id"))
-    active = pairs.join(present, ["query_id", "vessel_id"]).select("query_id", F.col("target_id").alias("chunk_id"), "relation")
-    noted = working.join(active, ["query_id", "chunk_id"], "left")
+    active = pairs.hint("shuffle_merge").join(present, ["query_id", "vessel_id"]).select("query_id", F.col("target_id").alias("chunk_id"), "relation")
+    noted = working.hint("shuffle_merge").join(active, ["query_id", "chunk_id"], "left")
     order = Window.partitionBy("query_id").orderBy(F.col("relation").isNotNull(), "pos")
     ranked = noted.withColumn("new_pos", F.row_number().over(order)).where(F.col("new_pos") <= n)
     note = F.when(F.col("relation").isNotNull(), F.concat(F.lit(" [NOTE: "), F.col("relation"), F.lit("d by vessel note]"))).otherwise("")
@@ -136,8 +136,10 @@ def retrieve(queries: DataFrame, chunks: DataFrame, layers: list[str] | None = N
     ordered = stage(layer_authority(rrf_fuse(knn, bm25), about), "ordered")
     top = exact_slot(ordered, bm25, queries, n)
     pairs = stage(override_pairs(pool_union(ordered, bm25, pool), about), "pairs")
-    final = down_rank(override_pull_in(top, pairs, n), pairs, n)
-    answered = gate.where("NOT refused").join(final, "query_id").join(about.select("chunk_id", "layer", "content"), "chunk_id")
+    gate = stage(gate, "gate")
+    final = stage(down_rank(stage(override_pull_in(top, pairs, n), "working"), pairs, n), "final")
+    answered = final.hint("shuffle_merge").join(gate.where("NOT refused").drop("refused"), "query_id")
+    answered = about.select("chunk_id", "layer", "content").join(answered.hint(size_hint(answered, "note")), "chunk_id")
     refused = gate.where("refused").select("query_id")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("chunk_id", "bigint"), ("layer", "string"), ("content", "string"), ("note", "string"))]
     return answered.select("query_id", "pos", "chunk_id", "layer", "content", "note", F.lit(False).alias("refused")).unionByName(refused.select("query_id", *none, F.lit(True).alias("refused")))

@@ -17,24 +17,25 @@ def median_font(spans: DataFrame) -> DataFrame:
 
 def span_headings(spans: DataFrame) -> DataFrame:
     """The spans with ``heading``: larger than 1.15 medians of the page, or bold and short; never blank."""
-    joined = spans.join(median_font(spans), ["doc_id", "page"])
-    big = F.col("size") > 1.15 * F.col("median_size")
+    usual = F.percentile("size", F.lit(0.5)).over(Window.partitionBy("doc_id", "page"))
+    big = F.col("size") > 1.15 * F.col("_usual")
     bold = F.contains(F.col("font"), F.lit("Bold")) & (F.length("text") < 80)
-    return joined.withColumn("heading", (F.trim("text") != "") & (big | bold)).drop("median_size")
+    return spans.withColumn("_usual", usual).withColumn("heading", (F.trim("text") != "") & (big | bold)).drop("_usual")
 
 
 def span_sections(spans: DataFrame, least: int = 3) -> DataFrame:
     """doc_id, section, page_start, page_end, content: with fewer than ``least`` headings in a document one
     section a page; else the first heading of a page starts a section and pages without one continue it."""
     marked = span_headings(spans)
-    counts = marked.groupBy("doc_id").agg(F.count_if("heading").alias("n"))
     pages = marked.groupBy("doc_id", "page").agg(
         F.min(F.when(F.col("heading"), F.struct("span_no", F.trim("text").alias("t")))).alias("h"),
+        F.count_if("heading").alias("n_headings"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("heading") & (F.trim("text") != ""), F.struct("span_no", "text")))), lambda x: x["text"]), " ").alias("body"),
     )
     carry = F.last("h.t", True).over(Window.partitionBy("doc_id").orderBy("page"))
     page_name = F.concat(F.lit("Page "), F.col("page").cast("string"))
-    named = pages.join(counts, "doc_id").withColumn("section", F.when(F.col("n") < least, page_name).otherwise(F.coalesce(carry, page_name)))
+    pages = pages.withColumn("n", F.sum("n_headings").over(Window.partitionBy("doc_id")))
+    named = pages.withColumn("section", F.when(F.col("n") < least, page_name).otherwise(F.coalesce(carry, page_name)))
     order = Window.partitionBy("doc_id").orderBy("page")
     named = named.withColumn("run", F.sum(F.when(F.col("section").eqNullSafe(F.lag("section").over(order)), 0).otherwise(1)).over(order))
     out = named.groupBy("doc_id", "run", "section").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "body"))), lambda x: x["body"]), "\n").alias("content"))
@@ -46,6 +47,26 @@ def image_pages(pages: DataFrame) -> DataFrame:
     return pages.where((F.length(F.trim("text")) < 10) & (F.col("n_images") >= 1))
 
 
+def page_selection(specs: DataFrame) -> DataFrame:
+    """The rows with ``pages`` (sorted, each once) of ``spec``, a list of pages from 1 and ranges a-b parted by commas, or
+    ``reason`` why it is none."""
+    first, last = r"^\s*(\d+)", r"-\s*(\d+)\s*$"
+    number = lambda p, form: F.regexp_extract(p, form, 1).try_cast("int")
+    bound = lambda p: F.struct(number(p, first).alias("a"), F.coalesce(number(p, last), number(p, first)).alias("b"), p.rlike(r"^\s*\d+\s*(-\s*\d+\s*)?$").alias("ok"))
+    rows = specs.withColumn("_bounds", F.transform(F.split("spec", ","), bound))
+    bad = F.when(F.col("spec").isNull() | F.exists("_bounds", lambda x: ~x["ok"] | x["a"].isNull() | x["b"].isNull()), "not a page").when(F.exists("_bounds", lambda x: (x["a"] < 1) | (x["b"] < x["a"])), "out of order")
+    ranges = F.transform(F.filter("_bounds", lambda x: x["ok"] & (x["a"] <= x["b"])), lambda x: F.sequence(x["a"], x["b"]))
+    good = F.array_sort(F.array_distinct(F.flatten(ranges)))
+    return rows.select(*specs.columns, F.when(bad.isNull(), good).alias("pages"), bad.alias("reason"))
+
+
+def selected_pages(specs: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages (doc_id, page and others) that some spec (doc_id, spec) of their document selects; pages that a document
+    does not have are left out, and so are specs that are none."""
+    wanted = page_selection(specs).select("doc_id", F.explode("pages").alias("page")).distinct()
+    return pages.hint("shuffle_merge").join(wanted, ["doc_id", "page"], "left_semi")
+
+
 def toc_paths(toc: DataFrame) -> DataFrame:
     """doc_id, seq, page, path: every entry of a table of contents under its ancestors, which are the entries of lower
     levels that are still open. One fold over the entries of a document, which carries the open ones."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hybridkb.functions.text import slugify, text_contains_any, yaml_quote
-from hybridkb.operators.numbering import with_previous
+from hybridkb.operators.numbering import number_rows, with_previous
 from hybridkb.sources.staging import size_hint, stage
 
 # Systems in the order in which a partial match is decided.
@@ -166,6 +166,47 @@ def slot_valid(rows: DataFrame, slots: DataFrame) -> DataFrame:
     return joined.withColumn("reason", reason).drop("_n", "_cell")
 
 
+def grid_counts(slots: DataFrame) -> DataFrame:
+    """zone_id, n_slots, n_rows, n_cols of every zone that has a grid of slots (zone_id, row, col)."""
+    return slots.groupBy("zone_id").agg(F.count(F.lit(1)).alias("n_slots"), F.max("row").alias("n_rows"), F.max("col").alias("n_cols"))
+
+
+def sub_slot_grid(zones: DataFrame, rows: Column, cols: Column, labels: Column) -> DataFrame:
+    """zone_id, row, col, row_label: the slots of zones with ``rows`` by ``cols`` of them, from 1; rows beyond the labels
+    have none, and zones without rows or columns no slots."""
+    size = lambda n: F.when(n > 0, F.sequence(F.lit(1), n.cast("int")))
+    by_row = zones.select("zone_id", F.explode(size(rows)).alias("row"), labels.alias("_labels"), cols.alias("_cols"))
+    return by_row.select("zone_id", "row", F.explode(size(F.col("_cols"))).alias("col"), F.get("_labels", F.col("row") - 1).alias("row_label"))
+
+
+def annotation_progress(zones: DataFrame) -> DataFrame:
+    """zone_id, name, annotated, place, n_annotated, n_zones: zones with neither image nor geometry missing are annotated;
+    the others come first, then by name. ``place`` is the row's, from 0, and the counts are of all zones."""
+    done = F.col("schematic_image").isNotNull() & F.col("geometry").isNotNull()
+    rows = zones.select("zone_id", "name", done.alias("annotated"))
+    totals = rows.agg(F.count_if("annotated").alias("n_annotated"), F.count(F.lit(1)).alias("n_zones"))  # one row
+    return number_rows(rows, [], ["annotated", "name", "zone_id"], "place").join(F.broadcast(totals))
+
+
+def list_zones(zones: DataFrame) -> DataFrame:
+    """Zones from the bottom of each area up; those of unknown height first."""
+    return zones.orderBy("area", F.asc_nulls_first("vertical_index"), "zone_id")
+
+
+def item_zone(items: DataFrame, zones: DataFrame) -> DataFrame:
+    """The items with the ``zone_name`` and ``zone_label`` of where they are now, NULL where that is unknown."""
+    labels = zones.select("zone_id", F.col("name").alias("zone_name"), F.col("label").alias("zone_label"))
+    return items.hint("shuffle_merge").join(labels, "zone_id", "left")
+
+
+def validate_category(rows: DataFrame, column: str = "category") -> DataFrame:
+    """The rows with the category in lower case and trimmed, NULL where it is none, and ``reject_reason``."""
+    clean = F.lower(F.trim(column))
+    known = F.coalesce(clean.isin(*CATEGORIES), F.lit(False))
+    reason = F.when(F.coalesce(clean, F.lit("")) == "", "no category").when(~known, F.concat(F.lit("unknown category: "), clean))
+    return rows.withColumn("reject_reason", reason).withColumn(column, F.when(known, clean))
+
+
 def list_entries(entries: DataFrame, system: str | None = None, since: str | None = None, until: str | None = None, text: str | None = None) -> DataFrame:
     """Log entries, newest first: exact system, inclusive dates compared as ISO text, literal text."""
     out = entries

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hybridkb.operators import chunking, pages, payloads, records
+from hybridkb.plans.chunking import SENTENCES, TOKENS, pack_sql, words_sql
 from hybridkb.plans.records import _items
 from hybridkb.plans.tables import table
 
@@ -141,6 +142,15 @@ def entries() -> dict:
             toc_chunks,
             rf"WITH {PAGES_SQL}, c AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS content FROM page) SELECT doc_id, CAST(p AS INTEGER) AS page_start, CAST(p AS INTEGER) AS page_end, {PATH_SQL} AS section_path, sha256(content) AS content_sha256 FROM c WHERE content <> ''",
         ),
-        "finalise_chunks": (finalised, None),
-        "token_cap": (capped, None),
+        "finalise_chunks": (
+            finalised,
+            rf"""WITH RECURSIVE {PAGES_SQL}, c AS (SELECT doc_id, p AS page_start, {PATH_SQL} AS section_path, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM page),
+            raw AS (SELECT * FROM c WHERE x <> ''), {words_sql('pack', 'raw', 'doc_id, section_path, page_start')}
+            SELECT doc_id, section_path, CAST(page_start AS INTEGER) AS page_start, CAST(row_number() OVER (PARTITION BY doc_id, section_path ORDER BY page_start, part) - 1 AS INTEGER) AS section_ordinal, CAST({TOKENS.format('content')} AS INTEGER) AS token_count, sha256(content) AS content_sha256 FROM pack""",
+        ),
+        "token_cap": (
+            capped,
+            f"""WITH RECURSIVE doc AS (SELECT doc_id, {SENTENCES.format('text')} AS l FROM documents), {pack_sql('pack', 'doc', 'doc_id', 120)}, size AS (SELECT doc_id, n, {TOKENS.format('content')} AS tokens FROM pack)
+            SELECT doc.doc_id, CAST(count(n) AS INTEGER) AS n_parts, CAST(count_if(tokens > 120 AND n > 1) AS INTEGER) AS n_over, CAST(coalesce(max(tokens), 0) AS INTEGER) AS largest FROM doc LEFT JOIN size USING (doc_id) GROUP BY doc.doc_id""",
+        ),
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hybridkb.functions.text import item_metadata
 from hybridkb.operators import records as r
 from hybridkb.plans.tables import LAYERS, table
 from hybridkb.sources import tables as t
@@ -230,17 +231,26 @@ def entries() -> dict:
         "render_entry": (lambda s, d: _entries(s, d).select("entry_id", r.render_entry(["date", "system"]).alias("text")), f"WITH {ENT} SELECT entry_id, '---' || chr(10) || 'date: ' || date || chr(10) || 'system: ' || system || chr(10) || '---' || chr(10) || content AS text FROM ent"),
         "normalise_system": (lambda s, d: table(s, d, "events").select("event_id", r.normalise_system(raw()).alias("system")), "SELECT event_id, ['engine', 'engine', 'electronics/nav', 'other', 'hull/deck', 'other', 'rigging'][event_id % 7 + 1] AS system FROM events"),
         "normalise_category": (lambda s, d: table(s, d, "events").select("event_id", r.normalise_category(cat()).alias("category")), "SELECT event_id, ['safety', 'tool', 'provision', 'toy', 'spare', 'safety', 'spare'][event_id % 7 + 1] AS category FROM events"),
-        "validate_category": (lambda s, d: table(s, d, "events").select("event_id", F.lower(cat()).isin(*r.CATEGORIES).alias("valid")), "SELECT event_id, event_id % 7 = 5 AS valid FROM events"),
+        "validate_category": (
+            lambda s, d: r.validate_category(table(s, d, "events").select("event_id", cat().alias("category"))),
+            "SELECT event_id, CASE WHEN event_id % 7 = 5 THEN 'safety' END AS category, ['unknown category: flares', 'unknown category: toolbox', 'unknown category: water', 'unknown category: games', 'unknown category: box of shackles', NULL, 'no category'][event_id % 7 + 1] AS reject_reason FROM events",
+        ),
         "normalise_side": (lambda s, d: table(s, d, "events").select("event_id", r.normalise_enum(F.when(F.col("event_id") % 3 == 0, " Port").when(F.col("event_id") % 3 == 1, "left"), ["port", "starboard", "centre"]).alias("side")), "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'port' END AS side FROM events"),
         "item_descriptor": (descriptor, f"WITH {ITEMS} SELECT p_partkey, '[Item] ' || p_name || ' (spare' || CASE WHEN p_size % 3 = 0 THEN ', ' || p_type ELSE '' END || ') — ' || CASE WHEN s_name IS NULL THEN 'location unknown' ELSE s_name || CASE WHEN p_size % 2 = 0 THEN ', row ' || p_size ELSE '' END END || ' Brand: ' || p_brand || ' Part: ' || p_partkey || CASE WHEN p_size % 3 = 0 THEN ' Aliases: ' || p_type ELSE '' END AS descriptor FROM items LEFT JOIN supplier ON s_suppkey = zone_id"),
         "deviation_descriptor": (deviation, f"WITH {ITEMS} SELECT p_partkey, '[Deviation] ' || p_name || ' factory: ' || p_type || CASE WHEN p_size % 2 = 0 THEN ' as-built: ' || p_brand ELSE '' END || ' — ' || coalesce(s_name, 'location unknown') AS descriptor FROM items LEFT JOIN supplier ON s_suppkey = zone_id"),
-        "item_zone": (lambda s, d: _items(s, d).join(_zones(s, d).select("zone_id", "name"), "zone_id", "left").select("p_partkey", "zone_id", "name"), f"WITH {ITEMS} SELECT p_partkey, zone_id, s_name AS name FROM items LEFT JOIN supplier ON s_suppkey = zone_id"),
+        "item_zone": (
+            lambda s, d: r.item_zone(_items(s, d), _zones(s, d).withColumn("label", F.concat(F.lit("area "), F.col("area").cast("string")))).select("p_partkey", "zone_id", "zone_name", "zone_label"),
+            f"WITH {ITEMS} SELECT p_partkey, zone_id, s_name AS zone_name, 'area ' || s_nationkey AS zone_label FROM items LEFT JOIN supplier ON s_suppkey = zone_id",
+        ),
         "list_items": (
             lambda s, d: r.list_items(_items(s, d).select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("aliases"), F.lower("p_type").alias("category"), "zone_id"), _zones(s, d).select("zone_id", F.concat(F.lit("z"), (F.col("zone_id") % 3).cast("string")).alias("slug"), F.col("name").alias("label")), "z1", "economy", "R").select("p_partkey", "name", "zone_label"),
             f"WITH {ITEMS} SELECT p_partkey, p_name AS name, s_name AS zone_label FROM items JOIN supplier ON s_suppkey = zone_id WHERE s_suppkey % 3 = 1 AND p_type = 'ECONOMY' AND (contains(lower(p_name), 'r') OR contains(lower(p_brand), 'r'))",
         ),
-        "list_zones": (lambda s, d: _zones(s, d).orderBy("area", F.asc_nulls_first("vertical_index")).select("zone_id", "area", "vertical_index"), "SELECT s_suppkey AS zone_id, s_nationkey AS area, CASE WHEN s_suppkey % 6 > 0 THEN s_acctbal END AS vertical_index FROM supplier"),
-        "annotation_progress": (lambda s, d: _zones(s, d).groupBy("area").agg(F.count_if(F.col("vertical_index").isNotNull()).alias("n_annotated"), F.count(F.lit(1)).alias("n_zones")), "SELECT s_nationkey AS area, count_if(s_suppkey % 6 > 0) AS n_annotated, count(*) AS n_zones FROM supplier GROUP BY 1"),
+        "list_zones": (lambda s, d: r.list_zones(_zones(s, d)).select("zone_id", "area", "vertical_index"), "SELECT s_suppkey AS zone_id, s_nationkey AS area, CASE WHEN s_suppkey % 6 > 0 THEN s_acctbal END AS vertical_index FROM supplier"),
+        "annotation_progress": (
+            lambda s, d: r.annotation_progress(_zones(s, d).select("zone_id", "name", F.when(F.col("zone_id") % 2 == 0, F.lit("plan.png")).alias("schematic_image"), F.col("vertical_index").alias("geometry"))),
+            "SELECT *, CAST(row_number() OVER (ORDER BY annotated, name, zone_id) - 1 AS INTEGER) AS place, CAST(count_if(annotated) OVER () AS BIGINT) AS n_annotated, count(*) OVER () AS n_zones FROM (SELECT s_suppkey AS zone_id, s_name AS name, s_suppkey % 2 = 0 AND s_suppkey % 6 > 0 AS annotated FROM supplier)",
+        ),
         "find_items": (
             find,
             "WITH q AS (SELECT upper(p_name) AS text FROM part UNION SELECT p_brand FROM part UNION SELECT substr(p_type, 2, 2) FROM part UNION SELECT n_name FROM nation) "
@@ -248,7 +258,10 @@ def entries() -> dict:
         ),
         "resolve_zone": (resolve, r"WITH z AS (SELECT regexp_replace(s_name, '\d$', '') AS name, min(s_suppkey) AS id, count(*) AS n FROM supplier GROUP BY 1), x AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN regexp_replace(s_name, '\d$', '') ELSE 'nowhere' END AS zone FROM supplier) SELECT s_suppkey, zone, CASE WHEN n = 1 THEN id END AS zone_id, CASE WHEN trim(zone) = '' THEN 'blank' WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' END AS warning FROM x LEFT JOIN z ON name = zone"),
         "slot_valid": (slots, "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_nationkey % 5 = 4 THEN 'zone has no grid' WHEN c_custkey % 4 > n_regionkey + 1 OR c_custkey % 3 + 1 > 2 THEN 'outside the grid' END AS reason FROM customer JOIN nation ON n_nationkey = c_nationkey"),
-        "grid_counts": (lambda s, d: table(s, d, "customer").groupBy(F.col("c_nationkey").alias("zone_id")).agg(F.count(F.lit(1)).alias("n_slots")), "SELECT c_nationkey AS zone_id, count(*) AS n_slots FROM customer GROUP BY 1"),
+        "grid_counts": (
+            lambda s, d: r.grid_counts(table(s, d, "nation").select(F.col("n_nationkey").alias("zone_id"), F.explode(F.sequence(F.lit(1), F.col("n_regionkey") + 1)).alias("row")).select("zone_id", "row", F.explode(F.array(F.lit(1), F.lit(2))).alias("col")).where("zone_id % 5 <> 4")).withColumn("n_rows", F.col("n_rows").cast("bigint")),
+            "SELECT n_nationkey AS zone_id, CAST(2 * (n_regionkey + 1) AS BIGINT) AS n_slots, CAST(n_regionkey + 1 AS BIGINT) AS n_rows, 2 AS n_cols FROM nation WHERE n_nationkey % 5 <> 4",
+        ),
         "location_moves": (
             moves,
             "WITH m AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events), k AS (SELECT user_id, list(event_type ORDER BY event_id DESC) AS l FROM m WHERE before IS NULL OR before <> event_type GROUP BY 1) SELECT user_id, l[1] AS current, CAST(len(l) - 1 AS INTEGER) AS n_moves, l[2:4] AS latest FROM k",
@@ -268,7 +281,11 @@ def entries() -> dict:
             "SELECT event_type AS model, (SELECT min(event_type) FROM events) AS asked, event_type <> (SELECT min(event_type) FROM events) AS mismatch FROM events GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1",
         ),
         "zone_highlights": (highlights, "SELECT user_id AS query_id, event_id % 11 AS zone_id, min(event_id) AS first_rank, CASE WHEN bool_or(event_type = 'error') THEN 'deviation' ELSE 'inventory' END AS kind FROM events WHERE event_id % 9 > 0 GROUP BY ALL"),
-        "item_metadata": (lambda s, d: table(s, d, "part").select("p_partkey", F.to_json(F.struct(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("part_number"))).alias("metadata")), """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '{"part_number":"' || p_brand || '"}' ELSE '{}' END AS metadata FROM part"""),
+        "item_metadata": (
+            lambda s, d: table(s, d, "part").select("p_partkey", item_metadata(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), F.when(F.col("p_size") % 3 == 0, F.lit("2027-01-01")), F.when(F.col("p_size") % 5 == 0, F.lit(" ")).otherwise("2026-12-31"), F.when(F.col("p_size") % 7 == 0, F.col("p_type"))).alias("metadata")),
+            """SELECT p_partkey, '{' || concat_ws(',', CASE WHEN p_size % 2 = 0 THEN '"part_number":"' || p_brand || '"' END, CASE WHEN p_size % 3 = 0 THEN '"best_before":"2027-01-01"' END, CASE WHEN p_size % 5 <> 0 THEN '"expiry":"2026-12-31"' END,
+            CASE WHEN p_size % 7 = 0 THEN '"last_inspected":"' || p_type || '"' END) || '}' AS metadata FROM part""",
+        ),
         "touch_updated": (
             lambda s, d: t.touch_updated(_sources(s, d, 2), _sources(s, d).withColumn("updated_at", F.lit("2025-01-01").cast("date")), F.lit("2026-05-30").cast("date")).select("source_id", F.date_format("updated_at", "yyyy-MM-dd").alias("updated_at")),
             "SELECT doc_id AS source_id, CASE WHEN doc_id % 10 = 9 OR doc_id % 5 = 0 THEN '2026-05-30' ELSE '2025-01-01' END AS updated_at FROM documents",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hybridkb.functions import dates, text
+from hybridkb.operators.pages import page_selection, selected_pages
+from hybridkb.operators.records import sub_slot_grid
 from hybridkb.plans.tables import table
 
 WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
@@ -94,7 +96,7 @@ def entries() -> dict:
         "yaml_quote": (_q("part", lambda: ["p_partkey", text.yaml_quote(_sku()).alias("quoted")]), """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '"' || p_name || ': 50%_off"' ELSE p_name END AS quoted FROM part"""),
         "yaml_unquote": (_q("part", lambda: ["p_partkey", text.yaml_unquote(text.yaml_quote(_sku())).alias("plain")]), "SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN ': 50%_off' ELSE '' END AS plain FROM part"),
         "page_selection": (
-            lambda s, d: _page_selection(table(s, d, "part").select("p_partkey", _pages().alias("spec"))),
+            lambda s, d: page_selection(table(s, d, "part").select("p_partkey", _pages().alias("spec"))).drop("spec"),
             "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE list_sort(list_distinct([p_size, p_size + 1, p_size + 2, p_size + 3])) END AS pages, CASE WHEN p_partkey % 5 = 0 THEN 'not a page' END AS reason FROM part",
         ),
         "normalise_date": (_free_dates, FREE_DATES_SQL),
@@ -114,17 +116,21 @@ def entries() -> dict:
             _q("events", lambda: ["event_id", _confidence()[0].alias("confidence"), _confidence()[1].alias("downgraded")]),
             "SELECT event_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(v, 0))) AS confidence, v IS NULL OR v < 0 OR v > 1 AS downgraded FROM (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN round(value / 50 - 0.5, 4) END AS v FROM events)",
         ),
-        "json_field": (_q("events", lambda: ["event_id", F.get_json_object("props", "$.k").alias("k")]), "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"),
-        "json_valid": (_q("events", lambda: ["event_id", F.try_parse_json(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props"))).isNotNull().alias("valid")]), "SELECT event_id, event_id % 3 <> 0 AS valid FROM events"),
+        "json_field": (_q("events", lambda: ["event_id", text.json_field(F.col("props"), "k").alias("k")]), "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"),
+        "json_valid": (_q("events", lambda: ["event_id", text.json_valid(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props"))).alias("valid")]), "SELECT event_id, event_id % 3 <> 0 AS valid FROM events"),
         "safe_json": (
-            _q("events", lambda: ["event_id", F.size(F.map_keys(F.coalesce(F.from_json(F.when(F.col("event_id") % 3 == 0, "[1]").otherwise(F.col("props")), "map<string,string>"), F.create_map().cast("map<string,string>")))).alias("n_keys")]),
+            _q("events", lambda: ["event_id", F.size(text.safe_json(F.when(F.col("event_id") % 3 == 0, "[1]").otherwise(F.col("props")))).alias("n_keys")]),
             "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(len(json_keys(props)) AS INTEGER) END AS n_keys FROM events",
         ),
         "coerce_str_list": (_q("events", lambda: ["event_id", text.coerce_str_list(F.when(F.col("event_id") % 3 == 0, '["a ", "", "b"]').when(F.col("event_id") % 3 == 1, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).otherwise(F.col("props"))).alias("items")]), "SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN [event_type] ELSE CAST([] AS VARCHAR[]) END AS items FROM events"),
         "coerce_scalar": (_q("events", lambda: ["event_id", text.coerce_scalar(F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit(" "), F.col("event_type"))).otherwise(" ")).alias("value")]), "SELECT event_id, CASE event_id % 3 WHEN 1 THEN event_type END AS value FROM events"),
         "sub_slot_grid": (
-            lambda s, d: table(s, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(1), F.col("n_regionkey") + 1)).alias("row"), "n_name").select("n_nationkey", "row", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("col"), F.get(F.split("n_name", " "), F.col("row") - 1).alias("row_label")),
-            "SELECT n_nationkey, r AS row, c AS col, string_split(n_name, ' ')[r] AS row_label FROM (SELECT *, unnest([1, 2]) AS c FROM (SELECT *, CAST(unnest(range(1, n_regionkey + 2)) AS INTEGER) AS r FROM nation))",
+            lambda s, d: sub_slot_grid(table(s, d, "nation").withColumn("zone_id", F.col("n_nationkey")), F.col("n_regionkey") + 1, F.lit(2), F.split("n_name", " ")),
+            "SELECT n_nationkey AS zone_id, r AS row, c AS col, string_split(n_name, ' ')[r] AS row_label FROM (SELECT *, unnest([1, 2]) AS c FROM (SELECT *, CAST(unnest(range(1, n_regionkey + 2)) AS INTEGER) AS r FROM nation))",
+        ),
+        "selected_pages": (
+            lambda s, d: selected_pages(table(s, d, "documents").select("doc_id", F.concat_ws(",", F.lit("1-2"), (F.col("doc_id") % 9 + 1).cast("string")).alias("spec")), table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "line")).select("doc_id", (F.col("page") + 1).alias("page"), F.sha2("line", 256).alias("line_sha256"))),
+            "SELECT doc_id, CAST(i AS INTEGER) AS page, sha256(l[i]) AS line_sha256 FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE i <= 2 OR i = doc_id % 9 + 1",
         ),
         "geometry_valid": (
             _q("events", lambda: ["event_id", text.geometry_valid(F.transform(F.sequence(F.lit(1), F.lit(2) + (F.col("event_id") % 3).cast("int")), lambda i: F.array(F.col("value") / 100, F.lit(0.5) * (i % 2)))).alias("valid")]),
@@ -132,15 +138,6 @@ def entries() -> dict:
         ),
         "text_contains_any": (_q("events", lambda: ["event_id", text.text_contains_any(F.lit("PURCHASE"), F.col("event_type"), F.col("props")).alias("found")]), "SELECT event_id, contains(lower(event_type), 'purchase') OR contains(lower(props), 'purchase') AS found FROM events"),
         "content_fingerprint": (_q("documents", lambda: ["doc_id", text.content_fingerprint(_text()).alias("content_hash")]), r"SELECT doc_id, sha256(nfc_normalize(regexp_replace(text, '\r\n?', chr(10), 'g'))) AS content_hash FROM documents"),
-        "chunk_hash": (_q("documents", lambda: ["doc_id", F.sha2("text", 256).alias("content_hash")]), "SELECT doc_id, sha256(text) AS content_hash FROM documents"),
+        "chunk_hash": (_q("documents", lambda: ["doc_id", text.chunk_hash(F.col("text")).alias("content_hash")]), "SELECT doc_id, sha256(text) AS content_hash FROM documents"),
         "anchor_key": (_q("documents", lambda: ["doc_id", text.anchor_key(F.col("source"), F.col("lang"), F.col("doc_id") % 5).alias("anchor_key")]), "SELECT doc_id, sha256(source || chr(10) || lang || chr(10) || doc_id % 5) AS anchor_key FROM documents"),
     }
-
-
-def _page_selection(specs):
-    """pages (sorted, distinct) or the reason why a spec is none: "a-b" ranges and single pages from 1."""
-    bounds = F.transform(F.split("spec", ","), lambda p: F.struct(F.regexp_extract(p, r"^\s*(\d+)", 1).try_cast("int").alias("a"), F.coalesce(F.regexp_extract(p, r"-\s*(\d+)\s*$", 1).try_cast("int"), F.regexp_extract(p, r"^\s*(\d+)", 1).try_cast("int")).alias("b"), p.rlike(r"^\s*\d+\s*(-\s*\d+\s*)?$").alias("ok")))
-    rows = specs.withColumn("b", bounds)
-    bad = F.when(F.exists("b", lambda x: ~x["ok"]), "not a page").when(F.exists("b", lambda x: (x["a"] < 1) | (x["b"] < x["a"])), "out of order")
-    good = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("b", lambda x: x["ok"] & (x["a"] <= x["b"])), lambda x: F.sequence(x["a"], x["b"])))))
-    return rows.select(*[c for c in specs.columns if c != "spec"], F.when(bad.isNull(), good).alias("pages"), bad.alias("reason"))

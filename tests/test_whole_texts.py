@@ -8,7 +8,7 @@ import pytest
 
 from hybridkb.operators import chunking
 from hybridkb.plans import catalog
-from hybridkb.plans.chunking import _markdown_whole
+from hybridkb.plans.chunking import _markdown
 from hybridkb.plans.tables import chunks, table
 
 
@@ -19,7 +19,7 @@ def tokens(text):
 def test_sections_hold_every_line(spark, data):
     docs = {r.doc_id: r.text for r in table(spark, data, "documents").collect() if r.text and r.text.strip()}
     found = {}
-    for r in chunking.markdown_sections(_markdown_whole(spark, data)).collect():
+    for r in chunking.markdown_sections(_markdown(spark, data)).collect():
         found.setdefault(r.doc_id, []).append(r.content)
     assert set(found) == set(docs)
     for doc_id, text in docs.items():
