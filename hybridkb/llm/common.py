@@ -123,7 +123,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """h with len(data) + 1 entries; (h[e] - h[s]) * BASE ** -s identifies data[s:e]."""
+    """h with len(data) + 1 entries; (h[e] - h[s]) * BASE ** -s is a hash of data[s:e]: a cheap one to find candidates
+    by, which some pairs of strings share whatever the base. Identities are field_span's."""
     h = np.zeros(len(data) + 1, dtype=np.uint64)
     codes = BYTE_CODES[data]
     codes *= powers(len(data))[0]
@@ -137,6 +138,70 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix64((h[end] - h[start]) * down[start] + (end - start).astype(np.uint64) * GOLDEN)
 
 
+# --- identities of substrings ---------------------------------------------------------------------
+
+#: Two polynomial hashes modulo the prime 2 ** 31 - 1. Modulo a power of two, as above, some strings collide for every
+#: base (Thue-Morse words of 1,024 letters); modulo a prime, two strings of n bytes do for n of its bases at most.
+PRIME = np.uint64(2**31 - 1)
+HALF = np.uint64(31)
+FIELD_BASES = tuple(int(x) % (2**31 - 3) + 2 for x in mix64(np.arange(1001, 1003, dtype=np.uint64) * GOLDEN))
+FIELD_CODES = mix64(np.arange(2001, 2513, dtype=np.uint64) * GOLDEN).reshape(2, 256) % PRIME
+
+_field_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, but for at most 2 ** 33 / PRIME times it."""
+    return (x & PRIME) + (x >> HALF)
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, from 0 to PRIME - 1."""
+    x = _fold(_fold(x))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def field_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For both bases the powers with exponents below n, and their inverses, modulo PRIME."""
+    if not _field_powers or len(_field_powers[0][0]) < n:
+        room = 1 << max(16, (n - 1).bit_length())
+
+        def row(base: int) -> np.ndarray:
+            out = np.ones(room, dtype=np.uint32)
+            have = 1
+            while have < room:
+                step = np.uint64(pow(base, have, int(PRIME)))
+                out[have : 2 * have] = _residue(out[:have].astype(np.uint64) * step)
+                have *= 2
+            return out
+
+        _field_powers[:] = [(row(b), row(pow(b, -1, int(PRIME)))) for b in FIELD_BASES]
+    return _field_powers
+
+
+def field_hash(data: np.ndarray) -> np.ndarray:
+    """Prefix hashes of ``data`` for field_span: len(data) + 1 pairs of 31 bits, one in each half of a word."""
+    n = len(data)
+    out = np.zeros(n + 1, dtype=np.uint64)
+    for k, (up, _) in enumerate(field_powers(n + 1)):
+        x = FIELD_CODES[k][data]
+        x *= up[:n]
+        x = _fold(x)
+        np.cumsum(x, out=x)
+        out[1:] |= _residue(x) << np.uint64(32 * k)
+        del x
+    return out
+
+
+def field_span(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit identities of data[start:end], from 62 bits of hash and the length."""
+    parts = []
+    for k, (_, down) in enumerate(field_powers(len(h))):
+        half = lambda at: (h[at] >> np.uint64(32 * k)) & np.uint64(0xFFFFFFFF)  # noqa: B023, E731
+        parts.append(_residue(_fold(half(end) + PRIME - half(start)) * down[start]))
+    return mix64((parts[0] | parts[1] << HALF) + (end - start).astype(np.uint64) * GOLDEN)
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column without copying; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -36,11 +36,11 @@ from hybridkb.llm.common import (
     BASE,
     BROADCAST_ROWS,
     mix64,
-    prefix_hash,
+    field_hash,
     separators,
     shingle_hashes,
     slices_by_bytes,
-    span_hash,
+    field_span,
     text_buffers,
     tidy,
     word_spans,
@@ -62,7 +62,7 @@ WORDS = "struct<run_start:int,block:int,first:int,text:string>"
 def _words(data: np.ndarray, offsets: np.ndarray):
     lower = ASCII_LOWER[data]
     starts, ends, first = word_spans(lower, offsets, WORD_SEPARATORS)
-    return lower, starts, ends, first, span_hash(prefix_hash(lower), starts, ends)
+    return lower, starts, ends, first, field_span(field_hash(lower), starts, ends)
 
 
 def _keys(words: np.ndarray, k: int) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hybridkb.llm.common import ASCII_LOWER, prefix_hash, separators, shingle_hashes, slices_by_bytes, span_hash, text_buffers, word_spans
+from hybridkb.llm.common import ASCII_LOWER, field_hash, separators, shingle_hashes, slices_by_bytes, field_span, text_buffers, word_spans
 
 WORD_SEPARATORS = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 NEWLINE = separators((0x0A, 0x0A))
@@ -81,7 +81,7 @@ def _bigrams(data: np.ndarray, offsets: np.ndarray):
     """Places (bytes) of the bigrams' first and second words, and their hashes; none across a text's end."""
     lower = ASCII_LOWER[data]
     s, e, first = word_spans(lower, offsets, WORD_SEPARATORS)
-    h = shingle_hashes(span_hash(prefix_hash(lower), s, e), 2)
+    h = shingle_hashes(field_span(field_hash(lower), s, e), 2)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     same = doc[1:] == doc[:-1] if len(doc) > 1 else np.zeros(0, bool)
     return s[:-1][same], s[1:][same], h[same]

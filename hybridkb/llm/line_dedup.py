@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hybridkb.llm.common import BROADCAST_ROWS, discard, fresh_name, list_column, prefix_hash, separators, slices_by_bytes, span_hash, spread_join, text_buffers, tidy, word_spans, write_out
+from hybridkb.llm.common import BROADCAST_ROWS, discard, field_hash, field_span, fresh_name, list_column, prefix_hash, separators, slices_by_bytes, span_hash, spread_join, text_buffers, tidy, word_spans, write_out
 
 NEWLINE = separators((0x0A, 0x0A))
 SPACE = separators((0x20, 0x20), (0x09, 0x0D))
@@ -58,7 +58,8 @@ def _runs(words: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray,
 
 
 def line_sequences(documents: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, rid, no_id, ids (of the non-blank lines), starts and sizes (of the shortest runs of min_words words)."""
+    """doc_id, rid, no_id, ids (of the non-blank lines), starts and sizes (of the shortest runs of min_words words), and
+    for runs of a single line a second hash of it as check: such a run is named by both."""
 
     def scan(batches):
         for whole in tidy(batches):
@@ -69,15 +70,17 @@ def line_sequences(documents: DataFrame, min_words: int) -> DataFrame:
                 inside = np.searchsorted(w, e) - np.searchsorted(w, s)
                 s, e, inside = s[inside > 0], e[inside > 0], inside[inside > 0]
                 first = np.searchsorted(s, offs)
-                ids = span_hash(prefix_hash(data), s, e).view(np.int64)
+                ids = field_span(field_hash(data), s, e).view(np.int64)
                 doc, start, size = _runs(inside, first, min_words)
                 per = np.bincount(doc, minlength=n)
+                line = first[doc] + start
+                check = np.where(size == 1, span_hash(prefix_hash(data), s[line], e[line]).view(np.int64), 0)
                 yield pa.RecordBatch.from_arrays(
-                    [*(whole.column(k).slice(at, n) for k in range(3)), list_column(ids, np.diff(first), pa.int64()), list_column(start, per, pa.int32()), list_column(size, per, pa.int32())],
-                    names=[*KEY, "ids", "starts", "sizes"],
+                    [*(whole.column(k).slice(at, n) for k in range(3)), list_column(ids, np.diff(first), pa.int64()), list_column(start, per, pa.int32()), list_column(size, per, pa.int32()), list_column(check, per, pa.int64())],
+                    names=[*KEY, "ids", "starts", "sizes", "checks"],
                 )
 
-    schema = "doc_id bigint, rid bigint, no_id boolean, ids array<bigint>, starts array<int>, sizes array<int>"
+    schema = "doc_id bigint, rid bigint, no_id boolean, ids array<bigint>, starts array<int>, sizes array<int>, checks array<bigint>"
     return _row_key(documents).mapInArrow(scan, schema).dropDuplicates(KEY)
 
 
@@ -104,13 +107,13 @@ def sorted_ranks(pairs: DataFrame) -> DataFrame:
 
 def later_copies(sequences: DataFrame) -> DataFrame:
     """doc_id, rid, no_id, start, size: the shortest runs that stand in the text before."""
-    runs = sequences.select(*KEY, "ids", F.explode(F.arrays_zip("starts", "sizes")).alias("run")).select(
-        *KEY, F.col("run.starts").alias("start"), F.col("run.sizes").alias("size"), F.expr("ids[run.starts]").alias("a")
+    runs = sequences.select(*KEY, "ids", F.explode(F.arrays_zip("starts", "sizes", "checks")).alias("run")).select(
+        *KEY, F.col("run.starts").alias("start"), F.col("run.sizes").alias("size"), F.expr("ids[run.starts]").alias("a"), F.col("run.checks").alias("b")
     )
     seen = sequences.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     seen = write_out(seen, "lines")
-    named = [runs.where("size = 1").select(*KEY, "start", "size", "a", F.col("a").alias("b"))]
-    longer = runs.where("size > 1").drop("a")
+    named = [runs.where("size = 1").select(*KEY, "start", "size", "a", "b")]
+    longer = runs.where("size > 1").drop("a", "b")
     deepest = longer.agg(F.max("size")).first()[0] or 1
     if deepest > 1:
         # Only lines of runs of several lines need ranks beyond 0.

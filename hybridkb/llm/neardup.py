@@ -38,11 +38,11 @@ from hybridkb.llm.common import (
     discard,
     list_column,
     mix64,
-    prefix_hash,
+    field_hash,
     separators,
     shingle_hashes,
     slices_by_bytes,
-    span_hash,
+    field_span,
     spread_join,
     text_buffers,
     tidy,
@@ -63,7 +63,7 @@ def document_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     data, offs = text_buffers(column)
     lower = ASCII_LOWER[data]
     s, e, first = word_spans(lower, offs, SPACE)
-    h = span_hash(prefix_hash(lower), s, e)
+    h = field_span(field_hash(lower), s, e)
     whole = shingle_hashes(h, k)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

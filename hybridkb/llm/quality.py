@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from hybridkb.llm.common import GOLDEN, give_back, mix64, prefix_hash, slices_by_bytes, span_hash, text_buffers, tidy, write_out
+from hybridkb.llm.common import GOLDEN, give_back, mix64, field_hash, slices_by_bytes, field_span, text_buffers, tidy, write_out
 
 BUCKET_BITS = 20
 LONGEST = 3
@@ -69,7 +69,7 @@ def _n_grams(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ends = np.append(starts[1:], len(data))
     real = kind[starts] != SPACE
     starts, ends = starts[real], ends[real]
-    token = span_hash(prefix_hash(data), starts, ends)
+    token = field_span(field_hash(data), starts, ends)
     owner = np.searchsorted(edges, starts, side="right")
     places, buckets = [], []
     for n in range(1, LONGEST + 1):

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from hybridkb.llm.common import give_back, list_column, mix64, prefix_hash, slices_by_bytes, span_hash, text_buffers
+from hybridkb.llm.common import give_back, list_column, mix64, field_hash, slices_by_bytes, field_span, text_buffers
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SLAB = 1 << 20
@@ -44,6 +44,9 @@ LETTER = r"[^\W\d_¹²³]"
 NONE, START = -1, -2
 
 
+COMPARED = 1 << 16  # bytes of units that are compared at once
+
+
 class Vocabulary:
     """Pieces, merge ranks and byte pieces of a model; small, and sent to the workers whole."""
 
@@ -349,23 +352,35 @@ class Encoder:
         ends = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(start, offs)]
         return list_column(tokens, np.diff(ends), pa.int32())
 
+    @staticmethod
+    def _differing(data: np.ndarray, start: np.ndarray, stop: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        """The units whose bytes are not those of the unit ``lead`` that stands for them."""
+        length = stop - start
+        wrong = length != length[lead]
+        unit = np.flatnonzero(~wrong & (lead != np.arange(len(lead))))
+        total = np.concatenate(([0], np.cumsum(length[unit])))
+        x = 0
+        while x < len(unit):
+            y = max(x + 1, int(np.searchsorted(total, total[x] + COMPARED, side="right")) - 1)
+            here = unit[x:y]
+            row = np.repeat(np.arange(y - x), length[here])
+            place = np.arange(len(row)) - np.repeat(total[x:y] - total[x], length[here])
+            differ = data[start[here][row] + place] != data[start[lead[here]][row] + place]
+            wrong[here[row[differ]]] = True
+            x = y
+        return np.flatnonzero(wrong)
+
     def _numbers(self, raw: bytes, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """The entry of each unit data[start:stop]. Units are gathered by their hash, length and edges, then
-        looked up by their bytes."""
+        """The entry of each unit data[start:stop]. Units are gathered by their hash, compared by all their bytes, and
+        one of each kind is looked up."""
         if not len(start):
             return start
-        key = span_hash(prefix_hash(data), start, stop)
-        padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
-        words = np.lib.stride_tricks.as_strided(padded.view(np.uint8), shape=(len(data) + 9, 8), strides=(1, 1))
-        length = stop - start
+        key = field_span(field_hash(data), start, stop)
         _, at, back = np.unique(key, return_index=True, return_inverse=True)
-        lead = at[back]
-        for edge in (words[start + 8], words[stop]):
-            edge = np.ascontiguousarray(edge).view(np.uint64).ravel()
-            if not ((edge == edge[lead]) | (length < 8)).all():
-                raise ArithmeticError("two units share a 64-bit hash")
-        if not (length == length[lead]).all():
-            raise ArithmeticError("two units share a 64-bit hash")
+        odd = self._differing(data, start, stop, at[back])
+        if len(odd):  # units that share a hash, but not their bytes, stand for themselves
+            back[odd] = len(at) + np.arange(len(odd))
+            at = np.concatenate([at, odd])
         units = [raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)]
         if len(self.index) + len(units) > CACHED_UNITS:
             self._forget()

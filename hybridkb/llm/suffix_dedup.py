@@ -7,8 +7,8 @@ share of it:
 1. Every string of 100 bytes has an anchor, its leftmost 36-byte substring of least hash. The strings that
    share one anchor occurrence form a segment (some 30 strings, at most 164 bytes). Equal strings have equal
    anchors, so they only ever meet in segments of equal anchors.
-2. Segments that are equal as a whole (by two 64-bit hashes, of the anchor and of all bytes) are one text with
-   several places: the first stays, later ones go. A batch settles its own first, so a passage that a third of
+2. Segments that are equal as a whole (by two hashes, of the anchor and of all bytes, the latter modulo a prime) are
+   one text with several places: the first stays, later ones go. A batch settles its own first, so a passage that a third of
    all documents hold reaches the shuffle once for each batch; buckets of hashes with very many rows are dealt
    over salts.
 3. The different segments of anchors that have several (the ends of copied passages, edits) are gathered by
@@ -20,8 +20,9 @@ share of it:
    longer anchor, and so on; at the latest an anchor as long as the strings tells all different ones apart.
 5. The removed spans of a document are merged.
 
-Null text is empty; a null doc_id counts as largest. Rows that repeat doc_id and text are one document;
-rows that share a doc_id but not the text are only compared with other documents (and with themselves).
+Null text is empty. Rows that repeat doc_id and text, or have no doc_id and the same text, are one document. Rows
+that share a doc_id but not the text are different documents, in the order of a hash of their texts; those without
+doc_id come last, in that order too.
 Texts shorter than 100 bytes lose nothing; very long texts are read in pieces that overlap. Empty tables give empty
 results; other columns, whatever their names, are ignored.
 """
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hybridkb.llm.common import BROADCAST_ROWS, GOLDEN, discard, mix64, powers, prefix_hash, slices_by_bytes, span_hash, text_buffers, write_out
+from hybridkb.llm.common import BROADCAST_ROWS, GOLDEN, discard, field_hash, field_span, mix64, powers, prefix_hash, slices_by_bytes, span_hash, text_buffers, write_out
 from hybridkb.llm.run_length_index import RunLengthIndex
 
 ANCHOR = 36
@@ -77,7 +78,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, width: int = AN
     place = (least[start] & LOW).astype(np.int64)
     cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     lo, hi, place = start[cut], start[np.concatenate((cut[1:], [len(start)])) - 1], place[cut]
-    return place, lo, hi, span_hash(h, place, place + width), span_hash(h, lo, hi + length)
+    anchor = span_hash(h, place, place + width)
+    del h, order, least, end, start
+    return place, lo, hi, anchor, field_span(field_hash(data), lo, hi + length)
 
 
 def _slabs(batch: pa.RecordBatch, column: int, length: int):
@@ -92,9 +95,9 @@ def _slabs(batch: pa.RecordBatch, column: int, length: int):
                 yield at, 1, piece, np.array([0, len(piece)]), base
 
 
-def _first_of(hashes: np.ndarray, anchor: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _first_of(hashes: np.ndarray, anchor: np.ndarray, doc: np.ndarray, rid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the earliest occurrence of each hash, and of others that have its anchor too."""
-    order = np.lexsort((start, doc, hashes))
+    order = np.lexsort((start, rid, doc, anchor, hashes))
     change = lambda x: x[order][1:] != x[order][:-1]
     lead = np.concatenate(([True], change(hashes) | change(anchor))) if len(order) else np.zeros(0, bool)
     return order[lead], order[~lead]
@@ -114,8 +117,10 @@ def _merged(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
 
 
 def _documents(documents: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LARGEST)).alias("doc"), F.xxhash64(text).alias("rid"), text.alias("text"))
+    """doc (LARGEST without doc_id), rid (a hash of the text, another one without doc_id), text, doc_id."""
+    text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("bigint")
+    rid = F.when(doc_id.isNull(), F.xxhash64(text, F.lit(1))).otherwise(F.xxhash64(text))
+    return documents.select(F.coalesce(doc_id, F.lit(LARGEST)).alias("doc"), rid.alias("rid"), text.alias("text"), doc_id.alias("doc_id"))
 
 
 def _long_column(x: np.ndarray) -> pa.Array:
@@ -133,7 +138,7 @@ def scan_segments(documents: DataFrame, length: int) -> DataFrame:
                 _, lo, hi, anchor, whole = segments(data, offs, length)
                 row = np.searchsorted(offs, lo, side="right") - 1
                 lo, hi = lo - offs[row] + base, hi + length - offs[row] + base
-                first, later = _first_of(whole, anchor, doc_all[at + row], lo)
+                first, later = _first_of(whole, anchor, doc_all[at + row], rid_all[at + row], lo)
                 r, a, b = _merged(row[later], lo[later], hi[later])
                 rows = np.concatenate([row[first], r]) + at
                 nulls = np.arange(len(rows)) >= len(first)
@@ -150,7 +155,7 @@ def scan_segments(documents: DataFrame, length: int) -> DataFrame:
                     names=["doc", "rid", "anchor", "whole", "lo", "hi"],
                 )
 
-    return _documents(documents).mapInArrow(scan, "doc bigint, rid bigint, anchor bigint, whole bigint, lo int, hi int")
+    return _documents(documents).drop("doc_id").mapInArrow(scan, "doc bigint, rid bigint, anchor bigint, whole bigint, lo int, hi int")
 
 
 def shared_anchor_texts(documents: DataFrame, bloom, length: int) -> DataFrame:
@@ -167,7 +172,7 @@ def shared_anchor_texts(documents: DataFrame, bloom, length: int) -> DataFrame:
                 keep = _in_bloom(bits, anchor) if len(anchor) else np.zeros(0, bool)
                 lo, hi, anchor, whole = lo[keep], hi[keep] + length, anchor[keep], whole[keep]
                 row = np.searchsorted(offs, lo, side="right") - 1
-                first, _ = _first_of(whole, anchor, doc_all[at + row], lo - offs[row] + base)
+                first, _ = _first_of(whole, anchor, doc_all[at + row], rid_all[at + row], lo - offs[row] + base)
                 row, lo, hi = row[first], lo[first], hi[first]
                 bodies = [data[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -182,7 +187,7 @@ def shared_anchor_texts(documents: DataFrame, bloom, length: int) -> DataFrame:
                     names=["doc", "rid", "anchor", "whole", "lo", "body"],
                 )
 
-    return _documents(documents).mapInArrow(scan, "doc bigint, rid bigint, anchor bigint, whole bigint, lo int, body binary")
+    return _documents(documents).drop("doc_id").mapInArrow(scan, "doc bigint, rid bigint, anchor bigint, whole bigint, lo int, body binary")
 
 
 BLOOM_BITS = 26  # 8 MB, whatever the size of the corpus: it only saves work
@@ -403,8 +408,7 @@ def remove_repeats(documents: DataFrame, length: int = 100) -> DataFrame:
     spans = write_out(removed_spans(documents, length), "spans").select(F.col("doc").alias("_doc"), F.col("rid").alias("_rid"), "spans")
     rows, size = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("spans")), F.lit(0))).first()
     hint = "broadcast" if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else "shuffle_merge"
-    docs = _documents(documents).withColumn("doc_id", F.when(F.col("doc") != LARGEST, F.col("doc")))
-    joined = docs.join(spans.hint(hint), (F.col("doc") == F.col("_doc")) & (F.col("rid") == F.col("_rid")), "left").select("doc_id", "text", "spans")
+    joined = _documents(documents).join(spans.hint(hint), (F.col("doc") == F.col("_doc")) & (F.col("rid") == F.col("_rid")), "left").select("doc_id", "text", "spans")
 
     def cut(batches):
         for batch in batches:
