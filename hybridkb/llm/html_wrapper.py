@@ -12,11 +12,10 @@
 3. From the wrapper follows the element that holds the article: the article or main element (or one of such a
    name) with the most text slots, where a slot counts more the deeper it stands in repeated groups, and slots of
    links do not count. Without one the whole page is read, but for elements whose slots are repeated links only.
-4. Inside the holder an element is left out (a) if HTML itself says that it is no article text (nav, aside,
-   footer, form, ...), (b) if the host's pages show it: an element with a class, id or role whose text is the same
-   on all its pages, three or more, while the holder's text varies; (c) if all words of one of its names speak of
-   menus, adverts, notices, comments and the like ("ad-slot", not "share-price"); so the pages' own evidence comes
-   before names, and names on the holder or around it, or on an element that holds most of the slots, drop nothing.
+4. Inside the holder an element is left out if HTML itself says that it is no article text (nav, aside, footer, form,
+   ...), or if all words of one of its names speak of menus, adverts, notices, comments and the like ("ad-slot", not
+   "share-price"). Names on the holder or around it, or on an element that holds most of the slots, drop nothing.
+   What the article's own text says decides nothing, so a paragraph stays however many pages share it.
 
 Blocks are the text between tags of block elements and line breaks. Null html, and pages without any text
 slot, give an empty text. A null or odd url counts as a host of its own name. Repeated rows are extracted
@@ -33,20 +32,20 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hybridkb.llm.common import BROADCAST_ROWS, write_out
 
 PARTS = (4096, 256, 16, 1)  # hash parts of a host, level by level; each divides the one before
-SAME_PAGES = 3  # pages on which an element has the same text before it counts as the host's and not the article's
 BROADCAST_BYTES = 16 << 20
-BASE, MODULUS = 0x9E3779B97F4A7C15 % (2**61 - 1), 2**61 - 1
 FOLD = 24  # longest group of tokens that is looked for as a repeat
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# A quote opens a value right behind an equals sign only; anywhere else it is a letter of a name or value.
+VALUE = r"""=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:{VALUE}|[^>=])*+)(?:>|$)|([^<]+|<)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+NAMING = {"class": ".", "id": "#", "role": " role="}
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg".split())
@@ -85,8 +84,10 @@ def events(page: str):
             sign = name
             if "=" in m[3]:
                 for a in ATTRIBUTE.finditer(m[3]):
-                    value = " ".join((a[2] or a[3] or a[4] or "").split())
-                    sign += {"class": ".", "id": "#", "role": " role="}[a[1].lower()] + re.sub(r"\d+", "0", value)
+                    mark = NAMING.get(a[1].lower())
+                    if mark and a[0] != a[1]:
+                        value = " ".join((a[2] or a[3] or a[4] or "").split())
+                        sign += mark + re.sub(r"\d+", "0", value)
             if name in VOID:
                 yield "void", sign
             elif name in RAW:
@@ -133,42 +134,15 @@ def flat(items) -> list[str]:
     return out
 
 
-def read_page(page: str) -> tuple[str, dict[str, int]]:
-    """The page's folded token stream as text, and a hash of the text in each element that has a class, id or
-    role, or is an article or main element (all elements of one signature together)."""
-    tokens: list[str] = []
-    running = [0]  # hash of the texts so far
-    path: list[tuple[str, str, int]] = []
-    found: dict[str, int] = {}
-
-    def leave() -> str:
-        name, sign, start = path.pop()
-        if sign != name or name in ("article", "main"):
-            inside = (running[-1] - running[start] * pow(BASE, len(running) - 1 - start, MODULUS)) % MODULUS
-            found[sign] = (found.get(sign, 0) * BASE + inside + 1) % MODULUS
-        return name
-
-    for kind, value in events(page):
-        if kind == "text":
-            if value.strip():
-                running.append((running[-1] * BASE + xxhash.xxh64_intdigest(" ".join(value.split()))) % MODULUS)
-                if not tokens or tokens[-1] != "#":
-                    tokens.append("#")
-            continue
-        tokens.append({"open": "<", "close": "</", "void": "<!"}[kind] + value + ">")
-        if kind == "open":
-            path.append((_name(value), value, len(running) - 1))
-        elif kind == "close" and any(p[0] == value for p in path):
-            while leave() != value:
-                pass
-    while path:
-        leave()
-    return json.dumps(fold(tokens), ensure_ascii=False), found
-
-
 def expression(page: str) -> str:
     """The page's folded token stream as text."""
-    return read_page(page)[0]
+    tokens: list[str] = []
+    for kind, value in events(page):
+        if kind != "text":
+            tokens.append({"open": "<", "close": "</", "void": "<!"}[kind] + value + ">")
+        elif value.strip() and (not tokens or tokens[-1] != "#"):
+            tokens.append("#")
+    return json.dumps(fold(tokens), ensure_ascii=False)
 
 
 def covers(x: list[Item], y: list[Item]) -> bool:
@@ -253,10 +227,9 @@ def _slots(items, repeats: int = 0):
 
 
 @lru_cache(maxsize=4096)
-def plan(wrapper: str, same: tuple[str, ...] = (), varied: tuple[str, ...] = ()) -> tuple[str, frozenset[str]]:
+def plan(wrapper: str) -> tuple[str, frozenset[str]]:
     """From a wrapper: the signature of the element that holds the article ('' for the whole page), and the
-    signatures of elements that are not part of it. ``same`` and ``varied``: signatures of elements whose text
-    is the same on all the host's pages, and of those whose text is not."""
+    signatures of elements that are not part of it."""
     path: list[str] = []
     signs: dict[str, list[int]] = {}  # weight of text slots, repeated link slots
     slots: dict[int, dict[str, int]] = {}  # by the number of elements around a slot that look like boilerplate
@@ -294,16 +267,16 @@ def plan(wrapper: str, same: tuple[str, ...] = (), varied: tuple[str, ...] = ())
             found = [s for s, n in slots[level].items() if pattern.search(s) and n > less and _name(s) not in NOT_TEXT]
             if found:
                 holder = max(found, key=lambda s: (slots[level][s], s))
-                return holder, drop | ({s for s in same if s != holder} if holder in varied else set())
+                return holder, drop
     menus = {s for s, (weight, links) in signs.items() if links and not weight and s != _name(s)}
     return "", drop | menus | {s for s in signs if re.match(r"header\b", s)}
 
 
-def main_text(page: str | None, wrapper: str, same: tuple[str, ...] = (), varied: tuple[str, ...] = ()) -> str:
+def main_text(page: str | None, wrapper: str) -> str:
     """The article's blocks of one page, joined by newlines."""
     if not page:
         return ""
-    holder, drop = plan(wrapper, same, varied)
+    holder, drop = plan(wrapper)
     blocks: list[str] = []
     parts: list[str] = []
     path: list[tuple[str, str, bool, bool]] = []  # name, signature, inside the holder, dropped
@@ -348,51 +321,36 @@ def _hosts(pages: DataFrame) -> DataFrame:
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper, same, varied: one row for each host."""
+    """host, wrapper: one row for each host."""
 
     def read(batches):
         for batch in batches:
-            found, texts = set(), []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                stream, signs = read_page(page)
-                found.add((host, stream))
-                page_hash = xxhash.xxh64_intdigest(page) >> 1
-                texts += [(host, sign, text, page_hash) for sign, text in signs.items()]
-            rows = [(h, x, None, None, None) for h, x in sorted(found)] + [(h, None, *rest) for h, *rest in texts]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(kinds)], names=["host", "expression", "sign", "text", "page"])
+            found = sorted({(h, expression(p)) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)})
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], type=pa.string()) for i in (0, 1)], names=["host", "expression"])
 
     def aligned(key: tuple, table: pa.Table) -> pa.Table:
         part = key[1].as_py() if len(key) > 1 else 0
         return pa.table({"host": pa.array([key[0].as_py()], type=pa.string()), "part": pa.array([part], type=pa.int64()), "expression": [infer(table.column("expression").to_pylist())]})
 
-    schema = "host string, expression string, sign string, text bigint, page bigint"
-    both = write_out(_hosts(pages).select("host", "html").mapInArrow(read, schema), "streams")
-    found = both.where("expression IS NOT NULL").select("host", "expression").distinct()
-    found = found.withColumn("part", F.xxhash64("expression"))
+    found = _hosts(pages).select("host", "html").mapInArrow(read, "host string, expression string").distinct()
+    found = write_out(found, "streams").withColumn("part", F.xxhash64("expression"))
     for n in PARTS[:-1]:
         # The part of an expression goes on as that of its wrapper, modulo the next level's number.
         found = found.withColumn("part", F.pmod("part", F.lit(n))).groupBy("host", "part").applyInArrow(aligned, "host string, part bigint, expression string")
-    wrappers = found.groupBy("host").applyInArrow(aligned, "host string, part bigint, expression string").select("host", F.col("expression").alias("wrapper"))
-    texts = both.where("sign IS NOT NULL").groupBy("host", "sign")
-    texts = texts.agg(F.min("text").alias("a"), F.max("text").alias("b"), F.approx_count_distinct("page").alias("n"))
-    kept = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("sign"))))
-    texts = texts.where(f"a <> b OR n >= {SAME_PAGES}").groupBy("host").agg(kept(F.col("a") == F.col("b")).alias("same"), kept(F.col("a") != F.col("b")).alias("varied"))
-    return wrappers.hint("shuffle_merge").join(texts.hint("shuffle_merge"), "host", "left")
+    return found.groupBy("host").applyInArrow(aligned, "host string, part bigint, expression string").select("host", F.col("expression").alias("wrapper"))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     wrappers = write_out(host_wrappers(pages), "wrappers").withColumnRenamed("host", "_host")
-    n, size = wrappers.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("wrapper") + F.length(F.to_json("same")) + F.length(F.to_json("varied"))), F.lit(0))).first()
+    n, size = wrappers.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()
     few = n <= BROADCAST_ROWS // 50 and size <= BROADCAST_BYTES
     rows = _hosts(pages)
-    rows = rows.join(wrappers.hint("broadcast" if few else "shuffle_merge"), rows["host"] == wrappers["_host"], "left").select("page_id", "url", "html", "wrapper", "same", "varied")
+    rows = rows.join(wrappers.hint("broadcast" if few else "shuffle_merge"), rows["host"] == wrappers["_host"], "left").select("page_id", "url", "html", "wrapper")
 
     def extract(batches):
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
-            texts = [main_text(p, w or "[]", tuple(same or ()), tuple(varied or ())) for p, w, same, varied in zip(*columns, strict=True)]
+            texts = [main_text(p, w or "[]") for p, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, type=pa.string()), pa.array([len(t) for t in texts], type=pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
