@@ -8,7 +8,7 @@ the templates only those of a fitting size are scored.
 
 Templates are a small table by nature (at most MAX_TEMPLATES, else an error) and are sent to every worker.
 Null text counts as empty, texts of one word have no bigram, and neither matches. Repeated rows are reported
-once each. Empty tables give empty reports; other columns are ignored.
+once each. Very long texts are read whole. Empty tables give empty reports; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ returns k rows for each of its queries; a window over those picks the k best.
 
 Components are floor(256 * x). Vectors that are null, empty, or hold null or non-finite components take no
 part; vectors only meet others of their length. Ties go to the smaller id; a row never meets rows of its own
-id, and rows that repeat an id count once each as candidates of others and once as a query. Rows with a null
-id take no part.
+id. Rows that repeat an id count once each as candidates of others; as a query, the one with the smallest vector,
+component by component, asks. Rows with a null id take no part. Empty tables give empty results, and columns other
+than the id and the vector are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -111,11 +112,13 @@ def _integers(vectors: DataFrame, id_column: str, vector_column: str) -> DataFra
 def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best integer inner products."""
     asked, held = (_integers(t, id_column, vector_column) for t in (queries, vectors))
+    # Counted before repeated ids go, which only makes more blocks.
     n_query = max(1, -(-asked.count() // QUERY_BLOCK))
     n_held = max(1, -(-held.count() // CANDIDATE_BLOCK))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     across = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.dropDuplicates(["id"]).withColumn("qb", block(n_query)).withColumn("cb", across(n_held))
+    asked = asked.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    left = asked.withColumn("qb", block(n_query)).withColumn("cb", across(n_held))
     right = held.withColumn("cb", block(n_held)).withColumn("qb", across(n_query))
 
     def cell(qs: pa.Table, cs: pa.Table) -> pa.Table:

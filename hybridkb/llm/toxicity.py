@@ -7,7 +7,9 @@ other training documents, and a logistic regression is fitted on the scaled feat
 The fit takes at most ``max_per_class`` labelled documents of each class, those with the smallest hash of
 their id; scoring covers whole texts of all documents. Null and empty texts get the score of the bias alone.
 Labels with a null id or label, or for unknown documents, are ignored; several labels for a document count as
-toxic if any is. Without labels of both classes every score is 0.
+toxic if any is. Without labels of both classes every score is 0. Repeated rows are scored alike; for the fit, a
+document in several rows counts once, by its smallest text. Very long texts are scored whole. An empty table gives an empty result. Columns other than
+doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -108,7 +110,7 @@ def train(documents: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_
     pick = [known.where(F.col("_toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_per_class) for y in (0, 1)]
     sample = pick[0].unionByName(pick[1])  # 2 * max_per_class rows at most
     docs = documents.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("string").alias("_text"))
-    texts = docs.join(F.broadcast(sample), "_id").select("_toxic", "_text")
+    texts = docs.join(F.broadcast(sample), "_id").groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).select("_toxic", "_text")
 
     def featurise(batches):
         for batch in tidy(batches):

@@ -21,3 +21,11 @@ def test_against_brute_force_with_ties_and_odd_vectors(spark):
             want[q] = [(n + 1, c, -x) for n, (x, c) in enumerate(s)]
     assert {q: sorted(x) for q, x in got.items()} == {q: x for q, x in want.items() if x}
     assert exact_top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_of_repeated_query_ids_the_smallest_vector_asks(spark):
+    rows = [(0, [1.0, 0.0]), (0, [-1.0, 0.5]), (0, [-1.0, 0.25]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, -1.0]), (3, [-1.0, 0.0])]
+    for n in (1, 4):
+        v = spark.createDataFrame([(i, e, "x") for i, e in rows], "vec_id long, embedding array<float>, score string").repartition(n)
+        got = [(r["rank"], r.vec_id, r.score) for r in exact_top_k(v.where("vec_id = 0"), v, 3).orderBy("rank").collect()]
+        assert got == [(1, 3, 65536), (2, 2, 64 * 256), (3, 2, -64 * 256)]
