@@ -10,16 +10,15 @@ kept or dropped together, as decisions are by doc_id. An empty table gives an em
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from hybridkb.llm.common import delete_folder, shared_dir
+from hybridkb.llm.common import delete_folder
 from hybridkb.llm.decontaminate import drop_contaminated
 from hybridkb.llm.line_dedup import dedup_lines
 from hybridkb.llm.neardup import drop_near_duplicates
 from hybridkb.llm.sentencepiece_sa import encode_documents
 from hybridkb.llm.toxicity import drop_toxic
+from hybridkb.sources.staging import fresh_folder
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +61,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each written as Parquet and reread."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    base = f"{shared_dir(spark).rstrip('/')}/hybridkb-pipeline-{uuid.uuid4().hex}"
+    base = fresh_folder(spark, "pipeline")  # the last stage's rows go with the session
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         path = f"{base}/{k}-{name}"
