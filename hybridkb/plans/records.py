@@ -204,7 +204,7 @@ def entries() -> dict:
         "set_null": (nulls, f"WITH {ITEMS} SELECT p_partkey, CASE WHEN zone_id % 4 <> 0 THEN zone_id END AS zone_id FROM items"),
         "list_sources": (lambda s, d: t.list_sources(_sources(s, d, 2), "shared").select("source_id", "layer_rank"), "SELECT doc_id AS source_id, 2 AS layer_rank FROM documents WHERE doc_id % 3 = 0"),
         "concat_layers": (lambda s, d: t.list_sources(_sources(s, d, 2)).select("source_id", "layer_rank"), "SELECT doc_id AS source_id, [2, 3, 1][doc_id % 3 + 1] AS layer_rank FROM documents"),
-        "explore_groups": (lambda s, d: t.list_sources(_sources(s, d, 2)).groupBy("layer_rank", "layer").agg(F.count(F.lit(1)).alias("n_sources"), F.min("path").alias("first_path")), f"WITH {SRC} SELECT CASE layer WHEN 'vessel' THEN 1 WHEN 'shared' THEN 2 ELSE 3 END AS layer_rank, layer, count(*) AS n_sources, min(path) AS first_path FROM src GROUP BY ALL"),
+        "explore_groups": (lambda s, d: t.explore_groups(_sources(s, d, 2)), f"WITH {SRC} SELECT CASE layer WHEN 'vessel' THEN 1 WHEN 'shared' THEN 2 ELSE 3 END AS layer_rank, layer, count(*) AS n_sources, min(path) AS first_path FROM src GROUP BY ALL"),
         "integrity_audit": (
             audit,
             f"""WITH {SRC}, {ITEMS}, line AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, string_split(text, chr(10)) AS l FROM documents)

@@ -105,6 +105,11 @@ def list_sources(sources: DataFrame, layer: str = "all") -> DataFrame:
     return kept.where(rank > 0).withColumn("layer_rank", rank.cast("int")).orderBy("layer_rank", "source_id")
 
 
+def explore_groups(sources: DataFrame) -> DataFrame:
+    """layer_rank, layer, n_sources, first_path of the layers that have sources."""
+    return list_sources(sources).groupBy("layer_rank", "layer").agg(F.count(F.lit(1)).alias("n_sources"), F.min("path").alias("first_path"))
+
+
 def integrity_audit(sources: DataFrame, chunks: DataFrame, vectors: DataFrame, stored_chunks: DataFrame, zones: DataFrame, slots: DataFrame, items: DataFrame) -> DataFrame:
     """rule, item, n of all violations: repeated source paths in a layer, chunk ordinals in a source, zone names and slots
     in a zone; unknown layers and categories; chunks, vectors and items that name a source, chunk or zone that is not
