@@ -11,8 +11,9 @@
        prefix of D(y) under any fixed order meets D(x);
      * else one has J < 1/2 with c, so the other has J < 1/2 + (1 - t), and the usual prefixes of the
        sets themselves meet.
-   Pairs that meet early enough (by the places of the token in both, and the sizes) are verified on the full sets. Shingles outside the hub are rarest and come first, so
-   copies that were edited at different places do not meet.
+   Pairs that meet early enough (by the places of the token in both, and the sizes) are verified on the full sets. In
+   D, tokens come in the order of how many members of the bucket have them, so copies that were edited at different
+   places do not meet, also where the hub was edited itself.
    Where the hub leaves more than FEW members unlinked, the nearest of them is the hub of a family of its own, and so
    on in rounds, as long as a hub links at least a sixteenth of what was left. Members of one family are connected
    through its hub, so a token that only one family has is dropped before anything meets, and pairs of one family
@@ -183,45 +184,44 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int, settle: bool) -> D
     """c, x, linked for pairs of set identities; with ``settle``, also the tokens that step 3 joins on."""
     left = sets.select(F.col("sid").alias("x"), F.col("elements").alias("ex"))
     right = sets.select(F.col("sid").alias("c"), F.col("elements").alias("ec"))
-    both = pairs.hint("shuffle_merge").join(left, "x").hint("shuffle_merge").join(right, "c").select("c", "x", "ec", "ex")
-    lists = ["near_index", "near_probe", "far_index", "far_probe"]
-    schema = "c binary, x binary, linked boolean" + ", size bigint, differ bigint" * settle + "".join(f", {n} array<bigint>" for n in lists if settle)
+    # A hub's set goes once to each thousand of its members.
+    counts = pairs.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    right = write_out(right.hint("shuffle_merge").join(counts, "c"), "hub-sets")
+    both = spread_join(pairs.hint("shuffle_merge").join(left, "x"), right, ["c"], ["x"]).select("c", "x", "ec", "ex")
+    lists = ["near", "far_index", "far_probe"]
+    schema = "c binary, x binary, linked boolean" + ", hub_size bigint, size bigint, differ bigint" * settle + "".join(f", {n} array<bigint>" for n in lists if settle)
     t, none = percent, np.zeros(0, np.int64)
 
-    def tokens(c: np.ndarray, x: np.ndarray, inter: int, linked: bool) -> list[np.ndarray]:
+    def tokens(c: np.ndarray, x: np.ndarray, inter: int) -> list[np.ndarray]:
         union = len(c) + len(x) - inter
         added = np.setdiff1d(x, c, assume_unique=True)
-        out = [none] * 4
+        out = [none] * 3
         if 2 * inter >= union:
-            diff = np.concatenate([added, np.setdiff1d(c, x, assume_unique=True)]).view(np.int64)
-            least = ((100 + t) * len(diff) + (100 - t) * (len(c) - len(x))) // (2 * (100 + t))
-            out[0] = diff[: len(diff) - least]
-            if not linked:
-                out[1] = diff
+            out[0] = np.concatenate([added, np.setdiff1d(c, x, assume_unique=True)]).view(np.int64)
         if 100 * inter < (150 - t) * union:
             prefix = len(x) - -(-t * len(x) // 100) + 1
             own = np.concatenate([added, np.intersect1d(x, c, assume_unique=True)])[:prefix].view(np.int64)
-            out[2] = own
+            out[1] = own
             if 2 * inter < union:
-                out[3] = own
+                out[2] = own
         return out
 
     def verify(batches):
         for batch in tidy(batches):
-            linked, sizes, extra = [], [], [[], [], [], []]
+            linked, sizes, extra = [], [], [[] for _ in lists]
             for ec, ex in zip(batch.column(2), batch.column(3), strict=True):
                 c, x = np.frombuffer(ec.as_buffer(), np.uint64), np.frombuffer(ex.as_buffer(), np.uint64)
                 inter = len(np.intersect1d(c, x, assume_unique=True))
                 linked.append(100 * inter >= t * (len(c) + len(x) - inter))
                 if settle:
-                    sizes.append((len(x), len(c) + len(x) - 2 * inter))
-                    for column, values in zip(extra, tokens(c, x, inter, linked[-1]), strict=True):
+                    sizes.append((len(c), len(x), len(c) + len(x) - 2 * inter))
+                    for column, values in zip(extra, tokens(c, x, inter), strict=True):
                         column.append(values)
             cols = [batch.column(0), batch.column(1), pa.array(linked, type=pa.bool_())]
             if settle:
-                cols += [pa.array([v[i] for v in sizes], type=pa.int64()) for i in range(2)]
+                cols += [pa.array([v[i] for v in sizes], type=pa.int64()) for i in range(3)]
                 cols += [list_column(np.concatenate([none, *v]), np.array([len(x) for x in v], dtype=np.int64), pa.int64()) for v in extra]
-            yield pa.RecordBatch.from_arrays(cols, names=["c", "x", "linked"] + (["size", "differ"] + lists) * settle)
+            yield pa.RecordBatch.from_arrays(cols, names=["c", "x", "linked"] + (["hub_size", "size", "differ"] + lists) * settle)
 
     return both.mapInArrow(verify, schema)
 
@@ -232,11 +232,11 @@ def near_duplicate_links(documents: DataFrame, signed: DataFrame, k: int, percen
     classes = signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     members = classes.select("sid", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = write_out(members.hint("shuffle_merge").join(shared, "key"), "members")
+    members = write_out(spread_join(members, write_out(shared.withColumn("n", F.col("size")), "shared"), ["key"], ["sid"]), "members")
     scores = members.groupBy("sid").agg(F.sum("size").alias("score"))
     scored = members.hint("shuffle_merge").join(scores, "sid")
-    hubs = scored.groupBy("key").agg(F.max(F.struct("score", "sid")).alias("best")).select("key", F.col("best.sid").alias("c"))
-    pairs = members.hint("shuffle_merge").join(hubs, "key").where("sid <> c").select("c", F.col("sid").alias("x")).distinct()
+    hubs = scored.groupBy("key").agg(F.max(F.struct("score", "sid")).alias("best"), F.count(F.lit(1)).alias("n")).select("key", F.col("best.sid").alias("c"), "n")
+    pairs = spread_join(members, write_out(hubs, "hubs"), ["key"], ["sid"]).where("sid <> c").select("c", F.col("sid").alias("x")).distinct()
     pairs = write_out(pairs, "pairs")
     involved = pairs.select(F.col("x").alias("sid")).union(pairs.select("c")).distinct()
     wanted = write_out(signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).hint("shuffle_merge").join(involved, "sid"), "wanted")
@@ -283,22 +283,44 @@ def _meetings(star: DataFrame, families: DataFrame, p: int) -> DataFrame:
     linked to the hub."""
     known = star.hint("shuffle_merge").join(families, ["c", "x"], "left")
     known = write_out(known.withColumn("family", F.xxhash64(F.when(F.col("linked"), F.col("c")).otherwise(F.coalesce("family", "x")))), "known")
-    out = []
-    for kind in ("near", "far"):
-        side = lambda name, at, list_: known.select("c", F.struct("x", "size", "differ", "family").alias(name), F.posexplode(list_).alias(at, "token"))
-        probe, index = side("a", "i", f"{kind}_probe"), side("b", "j", f"{kind}_index")
-        every = probe.select("c", "token", "a.family").unionByName(index.select("c", "token", "b.family"))
-        shared = every.groupBy("c", "token").agg(F.min("family").alias("least"), F.max("family").alias("most")).where("least <> most").select("c", "token")
-        shared = write_out(shared, "tokens")
-        # If this is the first token they share, no more than what is left behind it can be common; a link needs so much.
-        if kind == "near":
-            able = f"2 * {100 + p} * least(a.differ - i, b.differ - j) >= {100 + p} * (a.differ + b.differ) - {100 - p} * (a.size + b.size)"
-        else:
-            able = f"{100 + p} * least(a.size - i, b.size - j) >= {p} * (a.size + b.size)"
-        probe, index = (t.hint("shuffle_merge").join(shared, ["c", "token"], "left_semi") for t in (probe, index))
-        both = probe.hint("shuffle_merge").join(index, ["c", "token"]).where(f"a.family <> b.family AND a.x <> b.x AND {able}")
-        out.append(both.select(F.least("a.x", "b.x").alias("c"), F.greatest("a.x", "b.x").alias("x")))
-    return out[0].unionByName(out[1]).distinct()
+    # If a token is the first that two members share, no more than what is left behind it can be common; a link needs so much.
+    pair = lambda probe, index, able: (
+        probe.hint("shuffle_merge").join(index, ["c", "token"]).where(f"a.family <> b.family AND a.x <> b.x AND {able}").select(F.least("a.x", "b.x").alias("c"), F.greatest("a.x", "b.x").alias("x"))
+    )
+    return _near_meetings(known, pair, p).unionByName(_far_meetings(known, pair, p)).distinct()
+
+
+def _shared_tokens(every: DataFrame) -> DataFrame:
+    """c, token, n: tokens that members of several families have, and how many members have them."""
+    shared = every.groupBy("c", "token").agg(F.min("family").alias("least"), F.max("family").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
+    return write_out(shared.select("c", "token", "n"), "tokens")
+
+
+def _near_meetings(known: DataFrame, pair, p: int) -> DataFrame:
+    """Pairs that share a token early enough in their differences from the hub. Tokens are ordered by how many members
+    have them, those of a single family first, which meet nobody and only count. So what all members differ in, as
+    the hub itself was edited, stands last, and copies that were edited at different places do not meet."""
+    full = known.where(F.size("near") > 0).select("c", "x", "hub_size", "size", "differ", "linked", "family", F.explode("near").alias("token"))
+    shared = _shared_tokens(full)
+    rows = spread_join(full, shared.withColumn("often", F.col("n")), ["c", "token"], ["x"])
+    about = ["c", "x", "hub_size", "size", "differ", "linked", "family"]
+    lists = rows.groupBy(*about).agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("tokens"))
+    placed = lists.select(*about, (F.col("differ") - F.size("tokens")).alias("first"), F.posexplode("tokens").alias("at", "t"))
+    placed = write_out(placed.select(*about, (F.col("first") + F.col("at")).alias("i"), F.col("t.token").alias("token")), "placed")
+    need = f"({100 + p} * differ + {100 - p} * (hub_size - size)) div {2 * (100 + p)}"
+    member = F.struct("x", "size", "differ", "family")
+    probe = placed.where("NOT linked").select("c", "token", member.alias("a"), "i")
+    index = placed.where(f"i < differ - {need}").select("c", "token", member.alias("b"), F.col("i").alias("j"))
+    return pair(probe, index, f"2 * {100 + p} * least(a.differ - i, b.differ - j) >= {100 + p} * (a.differ + b.differ) - {100 - p} * (a.size + b.size)")
+
+
+def _far_meetings(known: DataFrame, pair, p: int) -> DataFrame:
+    """Pairs that share a token early enough in the sets themselves, of which one is far from the hub."""
+    side = lambda name, at, list_: known.select("c", F.struct("x", "size", "differ", "family").alias(name), F.posexplode(list_).alias(at, "token"))
+    probe, index = side("a", "i", "far_probe"), side("b", "j", "far_index")
+    shared = _shared_tokens(probe.select("c", "token", "a.family").unionByName(index.select("c", "token", "b.family"))).drop("n")
+    probe, index = (t.hint("shuffle_merge").join(shared, ["c", "token"], "left_semi") for t in (probe, index))
+    return pair(probe, index, f"{100 + p} * least(a.size - i, b.size - j) >= {p} * (a.size + b.size)")
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -314,8 +336,11 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     links = near_duplicate_links(documents, signed, k, percent)
     roots = connected_components(links)
     rows = signed.select("doc_id", "n_shingles", "sid")
-    rooted = rows.hint("shuffle_merge").join(roots, rows["sid"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "sid").alias("root"))
-    rooted = write_out(rooted, "rooted")
+    # A set may be that of a third of all rows, and so may the missing one be.
+    counts = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
+    named = write_out(roots.withColumnRenamed("node", "sid").hint("shuffle_merge").join(counts, "sid"), "named")
+    rooted = spread_join(rows.where("sid IS NOT NULL"), named, ["sid"], ["doc_id"], "left").select("doc_id", "n_shingles", F.coalesce("root", "sid").alias("root"))
+    rooted = write_out(rooted.unionByName(rows.where("sid IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("binary").alias("root"))), "rooted")
     discard(signed)
     rooted_ = rooted.where("root IS NOT NULL")
     least = rooted_.groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
