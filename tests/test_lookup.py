@@ -114,3 +114,27 @@ def test_scorers_get_64_texts_and_are_checked(spark):
         with pytest.raises(Exception, match="vectors for|dimension"):
             tables.embed_attach(chunks, scorer, 2).collect()
     assert tables.embed_attach(chunks.limit(0), lambda texts: [], 2).collect() == []
+
+
+def test_a_task_sums_up_a_bounded_number_of_pairs(spark, monkeypatch):
+    chunks, queries = corpus(spark, 4)
+    asks, weights = lexical.bm25_parts(queries, chunks, ("layer",))
+    assert {"df", "n_chunks"} <= set(asks.columns) and "layer" in weights.columns
+    whole = sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in lexical.bm25_scores(queries, chunks).collect())
+    monkeypatch.setattr(lexical, "PAIRS", 200)
+    scores = lexical.bm25_scores(queries, chunks, ("layer",)).withColumn("task", F.spark_partition_id())
+    rows = scores.collect()
+    assert sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in rows) == whole
+    assert all(r.layer == ("shared" if r.chunk_id % 3 else "vessel") for r in rows)
+    most = max(Counter(r.task for r in rows).values())
+    assert len(rows) > 5000 and most < 1000, most
+
+
+def test_a_value_that_some_rows_reach(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.random() * 3) for k in (1, 2, 3) for _ in range(50 * k)] + [(9, 0.5)]
+    got = {r.k: (r.most, r.least) for r in lexical.reached(spark.createDataFrame(rows, "k int, v double"), "k", "v", 20, 8).collect()}
+    for k in (1, 2, 3):
+        values = sorted((v for x, v in rows if x == k), reverse=True)
+        assert got[k][0] == values[0] and values[19] - 1 / 8 < got[k][1] <= values[19]
+    assert got[9] == (0.5, 0.0)
