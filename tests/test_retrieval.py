@@ -119,3 +119,14 @@ def test_entry_runs(spark):
 
     out = __spark_entry__.entry(spark)
     assert {"query_id", "pos", "chunk_id", "refused"} <= set(out.columns) and out.count() > 0
+
+
+def test_texts_take_no_part_in_the_join_with_vectors(spark):
+    rnd = random.Random(9)
+    word = lambda: rnd.choice(["pump", "winch", "mast", "sail", "rope", "keel", "#12"])
+    rows = [(i, ["shared", "vessel", "community"][i % 3], " ".join(word() for _ in range(8)), i % 5 > 0, i - 1 if i % 6 == 1 else None, None, [rnd.random() for _ in range(4)] if i % 4 else None) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, layer string, content string, is_active boolean, supersedes_id long, annotates_id long, embedding array<float>")
+    queries = spark.createDataFrame([(q, " ".join(word() for _ in range(3)), [rnd.random() for _ in range(4)] if q % 3 else None) for q in range(9)], "query_id long, text string, embedding array<float>")
+    keep = lambda t: sorted((r.query_id, r.pos or 0, r.chunk_id or -1, r.note or "") for r in t.collect())
+    apart = fusion.retrieve(queries, chunks.drop("embedding"), vectors=chunks.drop("content"))
+    assert keep(apart) == keep(fusion.retrieve(queries, chunks)) and apart.count() >= 9
