@@ -65,20 +65,20 @@ def build_entries(incoming: DataFrame, today: str) -> DataFrame:
     return entry_filename(kept).withColumn("text", render_entry(["date", "system"]))
 
 
-def locate_fallback(queries: DataFrame, found: DataFrame, items: DataFrame, chunks: DataFrame) -> DataFrame:
+def locate_fallback(queries: DataFrame, found: DataFrame, items: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """query_id, item_id, rank for the questions that ``found`` (query_id) does not have: retrieval over the vessel layer,
     whose chunks lead back to items that exist (chunks has item_id), in rank order, each item once. A refused
-    question, or one whose chunks belong to no item, has no row."""
+    question, or one whose chunks belong to no item, has no row. ``vectors`` is that of ``retrieve``."""
     rest = stage(queries.hint("shuffle_merge").join(found.select("query_id").distinct(), "query_id", "left_anti"), "unmatched")
-    hits = stage(fusion.retrieve(rest, chunks, layers=["vessel"], n=5, pool=20).where("NOT refused").select("query_id", "pos", "chunk_id"), "hits")
+    hits = stage(fusion.retrieve(rest, chunks, layers=["vessel"], n=5, pool=20, vectors=vectors).where("NOT refused").select("query_id", "pos", "chunk_id"), "hits")
     led = chunks.select("chunk_id", "item_id").where("item_id IS NOT NULL").join(hits.hint(size_hint(hits)), "chunk_id").groupBy("query_id", "item_id").agg(F.min("pos").alias("pos"))
     led = led.hint("shuffle_merge").join(items.select("item_id"), "item_id", "left_semi")
     return led.select("query_id", "item_id", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")).alias("rank"))
 
 
-def locate_items(queries: DataFrame, items: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
+def locate_items(queries: DataFrame, items: DataFrame, chunks: DataFrame, columns: list[str], vectors: DataFrame | None = None) -> DataFrame:
     """query_id, item_id, rank, how: items whose fields hold the question; questions without any go to retrieval."""
     by_field = stage(find_items(items, queries, columns).select("query_id", "item_id"), "by-field")
-    led = locate_fallback(queries, by_field, items, chunks).withColumn("how", F.lit("retrieval"))
+    led = locate_fallback(queries, by_field, items, chunks, vectors).withColumn("how", F.lit("retrieval"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("item_id"))
     return by_field.select("query_id", "item_id", nth.alias("rank"), F.lit("field").alias("how")).unionByName(led)

@@ -52,19 +52,19 @@ def written(s, d):
 
 def _located(s, d):
     """Questions, parts as items, and chunks of which three in a row belong to an item. Even questions name a brand."""
-    chunks = tables.chunks(s, d).withColumn("item_id", F.floor(F.col("chunk_id") / 3))
+    chunks = tables.chunks(s, d, vectors=False).withColumn("item_id", F.floor(F.col("chunk_id") / 3))
     i = table(s, d, "part").select(F.col("p_partkey").alias("item_id"), "p_name", "p_brand")
     q = tables.queries(s, d).withColumn("text", F.when(F.col("query_id") % 2 == 0, F.lit("#12")).otherwise(F.col("text")))
     return q, i, chunks
 
 
 def locate(s, d):
-    return b.locate_items(*_located(s, d), ["p_name", "p_brand"])
+    return b.locate_items(*_located(s, d), ["p_name", "p_brand"], vectors=tables.chunks(s, d))
 
 
 def fallback(s, d):
     q, i, chunks = _located(s, d)
-    return b.locate_fallback(q, q.where("text = '#12'"), i, chunks)
+    return b.locate_fallback(q, q.where("text = '#12'"), i, chunks, tables.chunks(s, d))
 
 
 # Retrieval over the vessel layer alone; words count over all chunks.
