@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hybridkb.sources.staging import size_hint, stage
+
 LAYERS = ("shared", "vessel", "community", "all")
 
 
@@ -13,7 +15,8 @@ def chunk_metadata(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     have = set(chunks.columns)
     cols = [F.col("source").alias("title") if "title" not in have else F.coalesce("title", "source").alias("title")]
     cols += [F.col(c) if c in have else F.lit(None).cast("int").alias(c) for c in ("page_start", "page_end")]
-    return ranked.join(chunks.select("chunk_id", "layer", *cols, "content"), "chunk_id").select("query_id", "pos", "chunk_id", "layer", "title", "page_start", "page_end", "content", "note")
+    ranked = stage(ranked, "ranked")
+    return chunks.select("chunk_id", "layer", *cols, "content").join(ranked.hint(size_hint(ranked, "note")), "chunk_id").select("query_id", "pos", "chunk_id", "layer", "title", "page_start", "page_end", "content", "note")
 
 
 def context_blocks(cited: DataFrame, queries: DataFrame) -> DataFrame:

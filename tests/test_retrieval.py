@@ -130,3 +130,18 @@ def test_texts_take_no_part_in_the_join_with_vectors(spark):
     keep = lambda t: sorted((r.query_id, r.pos or 0, r.chunk_id or -1, r.note or "") for r in t.collect())
     apart = fusion.retrieve(queries, chunks.drop("embedding"), vectors=chunks.drop("content"))
     assert keep(apart) == keep(fusion.retrieve(queries, chunks)) and apart.count() >= 9
+
+
+def test_few_ranked_rows_do_not_move_the_texts(spark):
+    from hybridkb.operators.context import chunk_metadata
+
+    chunks = spark.createDataFrame([(i, "shared", f"s{i}", f"text {i}") for i in range(50)], "chunk_id long, layer string, source string, content string")
+    ranked = spark.createDataFrame([(1, 1, 7, ""), (1, 2, 99, ""), (2, 1, 8, "!")], "query_id long, pos int, chunk_id long, note string").repartition(3, "query_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cited = chunk_metadata(ranked, chunks)
+        assert "BroadcastHashJoin" in cited._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.query_id, r.pos, r.title, r.content, r.note) for r in cited.collect()) == [(1, 1, "s7", "text 7", ""), (2, 1, "s8", "text 8", "!")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
