@@ -36,12 +36,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hybridkb.llm.common import BROADCAST_ROWS, GOLDEN, discard, field_hash, field_span, mix64, powers, prefix_hash, slices_by_bytes, span_hash, text_buffers, write_out
+from hybridkb.llm.common import (
+    BROADCAST_ROWS,
+    GOLDEN,
+    discard,
+    field_hash,
+    field_span,
+    mix64,
+    powers,
+    prefix_hash,
+    slices_by_bytes,
+    span_hash,
+    text_buffers,
+    tidy,
+    write_out,
+)
 from hybridkb.llm.run_length_index import RunLengthIndex
 
 ANCHOR = 36
 SLAB = 2 << 20
-INDEX_BYTES = 2 << 20  # of segments that one index is built for
+PIECE = 1 << 19  # of a slab that is hashed at a time
+INDEX_BYTES = 2 << 20  # of segments of one anchor that one index is built for
+GROUP_BYTES = 1 << 19  # of segments of several anchors that share one index
 HASH_BUCKETS = 1 << 16
 HOT, SALTS = 100_000, 64  # rows of a bucket of hashes beyond twice the mean that are dealt over salts
 BROADCAST_BYTES = 32 << 20
@@ -53,9 +69,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, width: int = AN
     """For each occurrence of an anchor of ``width`` bytes: its place, the first and last start of its strings,
     anchor hash, hash of all."""
     n, w = len(data), length - width + 1
-    none = np.zeros(0, np.int64)
+    none, hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if n < length:
-        return none, none, none, none, none
+        return none, none, none, hashes, hashes
     h = prefix_hash(data)
     # Hashes of all such substrings as in span_hash, in place: a batch's arrays are the memory of a task.
     order = h[width:] - h[:-width]
@@ -74,7 +90,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, width: int = AN
     least = np.minimum(least[:m], least[w - size : w - size + m])
     start = np.flatnonzero(np.arange(length, length + m, dtype=np.int32) <= end[:m])
     if not len(start):
-        return none, none, none, none, none
+        return none, none, none, hashes, hashes
     place = (least[start] & LOW).astype(np.int64)
     cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     lo, hi, place = start[cut], start[np.concatenate((cut[1:], [len(start)])) - 1], place[cut]
@@ -83,6 +99,22 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, width: int = AN
     return place, lo, hi, anchor, field_span(field_hash(data), lo, hi + length)
 
 
+def segments_by_pieces(data: np.ndarray, offsets: np.ndarray, length: int, width: int = ANCHOR):
+    """``segments``, hashed some texts at a time, as the hashes take some eighty times the bytes that they are of. A long
+    text is cut with an overlap; segments at the cuts are shorter, and hold the same strings."""
+    found = [segments(data[:0], np.zeros(1, np.int64), length, width)]
+    for at, n in slices_by_bytes(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]), PIECE):
+        a, b = int(offsets[at]), int(offsets[at + n])
+        if n > 1 or b - a <= 2 * PIECE:
+            cuts = [(a, offsets[at : at + n + 1] - a)]
+        else:
+            cuts = [(x, np.array([0, min(PIECE + length - 1, b - x)])) for x in range(a, b - length + 1, PIECE)]
+        for base, ends in cuts:
+            place, lo, hi, anchor, whole = segments(data[base : base + ends[-1]], ends, length, width)
+            found.append((place + base, lo + base, hi + base, anchor, whole))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _slabs(batch: pa.RecordBatch, column: int, length: int):
     """(first row, rows, bytes, offsets, base): pieces of at most a few MB; a long text is cut with an overlap."""
     for at, n in slices_by_bytes(batch.column(column), SLAB):
@@ -97,10 +129,16 @@ def _slabs(batch: pa.RecordBatch, column: int, length: int):
 
 def _first_of(hashes: np.ndarray, anchor: np.ndarray, doc: np.ndarray, rid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the earliest occurrence of each hash, and of others that have its anchor too."""
-    order = np.lexsort((start, rid, doc, anchor, hashes))
+    if not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    by_hash = np.argsort(hashes)
+    edge = np.concatenate(([True], hashes[by_hash][1:] != hashes[by_hash][:-1], [True]))
+    alone = edge[:-1] & edge[1:]
+    some = by_hash[~alone]
+    order = some[np.lexsort((start[some], rid[some], doc[some], anchor[some], hashes[some]))]
     change = lambda x: x[order][1:] != x[order][:-1]
     lead = np.concatenate(([True], change(hashes) | change(anchor))) if len(order) else np.zeros(0, bool)
-    return order[lead], order[~lead]
+    return np.concatenate((by_hash[alone], order[lead])), order[~lead]
 
 
 def _merged(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,10 +170,10 @@ def scan_segments(documents: DataFrame, length: int) -> DataFrame:
     the merged spans that the batch already knows to be later copies."""
 
     def scan(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             doc_all, rid_all = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for at, n, data, offs, base in _slabs(batch, 2, length):
-                _, lo, hi, anchor, whole = segments(data, offs, length)
+                _, lo, hi, anchor, whole = segments_by_pieces(data, offs, length)
                 row = np.searchsorted(offs, lo, side="right") - 1
                 lo, hi = lo - offs[row] + base, hi + length - offs[row] + base
                 first, later = _first_of(whole, anchor, doc_all[at + row], rid_all[at + row], lo)
@@ -165,10 +203,10 @@ def shared_anchor_texts(documents: DataFrame, bloom, length: int) -> DataFrame:
 
     def scan(batches):
         bits = shared.value
-        for batch in batches:
+        for batch in tidy(batches):
             doc_all, rid_all = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for at, n, data, offs, base in _slabs(batch, 2, length):
-                _, lo, hi, anchor, whole = segments(data, offs, length)
+                _, lo, hi, anchor, whole = segments_by_pieces(data, offs, length)
                 keep = _in_bloom(bits, anchor) if len(anchor) else np.zeros(0, bool)
                 lo, hi, anchor, whole = lo[keep], hi[keep] + length, anchor[keep], whole[keep]
                 row = np.searchsorted(offs, lo, side="right") - 1
@@ -293,16 +331,15 @@ def _settle_groups(shared: DataFrame, length: int) -> DataFrame:
             )
             return out, rest
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            pending += batch.nbytes
-            if pending > INDEX_BYTES:
-                out, held = flush(held, final=False)
-                pending = sum(b.nbytes for b in held)
-                if out is not None:
-                    yield out
+        for batch in tidy(batches):
+            for at, n in slices_by_bytes(batch.column(4), GROUP_BYTES):
+                held.append(batch.slice(at, n))
+                pending += held[-1].nbytes
+                if pending > GROUP_BYTES:
+                    out, held = flush(held, final=False)
+                    pending = sum(b.nbytes for b in held)
+                    if out is not None:
+                        yield out
         if held:
             out, _ = flush(held, final=True)
             if out is not None:
@@ -334,12 +371,12 @@ def _finer_segments(texts: DataFrame, length: int, width: int) -> DataFrame:
     """doc, rid, anchor, whole, lo, hi, body: segments cut again by anchors of ``width`` bytes."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             for at, n in slices_by_bytes(batch.column(3), SLAB):
                 bodies = batch.column(3).slice(at, n)
                 data, offs = text_buffers(bodies)
                 doc, rid, place = (batch.column(i).slice(at, n).to_numpy(zero_copy_only=False) for i in range(3))
-                _, lo, hi, anchor, whole = segments(data, offs, length, width)
+                _, lo, hi, anchor, whole = segments_by_pieces(data, offs, length, width)
                 hi = hi + length
                 row = np.searchsorted(offs, lo, side="right") - 1
                 found = [data[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]

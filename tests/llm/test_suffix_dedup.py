@@ -68,3 +68,30 @@ def test_matching_statistics_against_brute_force():
             s = int(start[0])
             want = max(n for n in range(len(p) - s + 1) if any(pattern[s : s + n] in t for t in texts))
             assert min(int(length[0]), 12) == min(want, 12)
+
+
+def test_memory_of_a_slab():
+    """An executor has a Python worker for each core, and all of them beside its heap."""
+    import tracemalloc
+
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    data = rnd.integers(97, 100, suffix_dedup.SLAB).astype(np.uint8)
+    data[1_650_000:1_700_000] = 120  # of one letter at the end of a long text
+    offsets = np.concatenate([np.arange(0, 300_001, 1000), np.arange(1_700_000, suffix_dedup.SLAB, 1000), [suffix_dedup.SLAB]])
+    suffix_dedup.segments_by_pieces(data, offsets, 100)  # powers are kept
+    tracemalloc.start()
+    _, lo, hi, anchor, whole = suffix_dedup.segments_by_pieces(data, offsets, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    # Every start of a string is in one segment, and equal strings have equal anchors.
+    starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True)])
+    sizes = np.diff(offsets)
+    want = np.concatenate([np.arange(a, a + n - 99) for a, n in zip(offsets[:-1], sizes, strict=True) if n >= 100])
+    assert np.array_equal(np.sort(starts), want)
+    by_string = {}
+    for k in rnd.choice(len(lo), 2000):
+        by_string.setdefault(data[lo[k] : lo[k] + 100].tobytes(), set()).add(int(anchor[k]))
+    assert all(len(x) == 1 for x in by_string.values())
