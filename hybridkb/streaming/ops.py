@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -65,18 +64,15 @@ class Moves(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "place string, event_id bigint, n_moves bigint, n_late bigint", self.ttl_ms)
-        self.before = handle.getListState("before", "place string", self.ttl_ms)
+        # One state, so that a key costs one call to read and one to write.
+        self.now = handle.getValueState("now", "place string, event_id bigint, n_moves bigint, n_late bigint, before array<string>", self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.now.exists()
-        place, last, n_moves, n_late = self.now.get() if known else (None, None, 0, 0)
-        before = [p for (p,) in self.before.get()] if self.before.exists() else []
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        place, last, n_moves, n_late, before = self.now.get() or (None, None, 0, 0, [])
         # A key's rows of one micro-batch; the source's limit for a trigger bounds them.
-        arrived = pd.concat([r[["event_id", "place"]] for r in rows]).sort_values("event_id")
-        for event_id, where in zip(arrived["event_id"].tolist(), arrived["place"].tolist(), strict=True):
-            where = where if isinstance(where, str) else None
-            if last is not None and event_id <= last:
+        arrived = sorted(((r["event_id"], r["place"]) for r in rows), key=lambda r: (r[0] is None, r[0]))
+        for event_id, where in arrived:
+            if event_id is None or (last is not None and event_id <= last):
                 n_late += 1
                 continue
             if last is None:
@@ -84,10 +80,9 @@ class Moves(StatefulProcessor):
             elif where != place:
                 before, place, n_moves = [place, *before][:LATEST], where, n_moves + 1
             last = event_id
-        self.now.update((place, last, n_moves, n_late))
-        if before:
-            self.before.put([(p,) for p in before])
-        yield pd.DataFrame({"user_id": [key[0]], "n_moves": [n_moves], "n_late": [n_late], "current": [place], "latest": [before]})
+        before = list(before)
+        self.now.update((place, last, n_moves, n_late, before))
+        yield Row(user_id=key[0], n_moves=n_moves, n_late=n_late, current=place, latest=before)
 
     def close(self) -> None:
         pass
@@ -96,7 +91,7 @@ class Moves(StatefulProcessor):
 def stream_moves(moves: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """user_id, n_moves, n_late, current, latest for the items (user_id) that a micro-batch has rows of (event_id, place).
     Rows of a batch count in the order of event_id; one that is not newer than what its item has seen in earlier
-    batches changes nothing and is counted as late. Start it inside ``rocksdb_state``. With ``ttl_ms``, an item
+    batches, or has no event_id, changes nothing and is counted as late. Start it inside ``rocksdb_state``. With ``ttl_ms``, an item
     without rows for so long is forgotten."""
     out = "user_id bigint, n_moves bigint, n_late bigint, current string, latest array<string>"
-    return moves.groupBy("user_id").transformWithStateInPandas(Moves(ttl_ms), out, "Update", "ProcessingTime" if ttl_ms else "None")
+    return moves.groupBy("user_id").transformWithState(Moves(ttl_ms), out, "Update", "ProcessingTime" if ttl_ms else "None")

@@ -168,3 +168,38 @@ def test_ingest_again_publishes_changes_only(spark, tmp_path):
 
     arrive(spark, str(tmp_path / "in"), "layer string, path string, content_hash string, seq long", parts, step)
     assert seen == [(1, [("a", "1"), ("b", "1")]), (2, [("a", "1"), ("b", "2")]), (2, [("a", "1"), ("b", "2")])]
+
+
+def test_moves_read_and_write_a_key_once():
+    """A key costs one call to read its state and one to write it."""
+    from pyspark.sql import Row
+
+    from hybridkb.streaming.ops import Moves
+
+    class Value:
+        def __init__(self):
+            self.held, self.calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+    class Handle:
+        def __init__(self):
+            self.values = {}
+
+        def getValueState(self, name, schema, ttl=None):
+            return self.values.setdefault(name, Value())
+
+    handle, moves = Handle(), Moves()
+    moves.init(handle)
+    rows = lambda *pairs: iter([Row(event_id=i, place=p) for i, p in pairs])
+    first = list(moves.handleInputRows((7,), rows((3, "b"), (1, "a"), (2, None)), None))
+    assert [r.asDict() for r in first] == [{"user_id": 7, "n_moves": 2, "n_late": 0, "current": "b", "latest": [None, "a"]}]
+    again = list(moves.handleInputRows((7,), rows((3, "c"), (None, "d"), (4, "c"), (5, "c")), None))
+    assert [r.asDict() for r in again] == [{"user_id": 7, "n_moves": 3, "n_late": 2, "current": "c", "latest": ["b", None, "a"]}]
+    assert [v.calls for v in handle.values.values()] == [["get", "update"] * 2]
