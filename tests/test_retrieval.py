@@ -145,3 +145,26 @@ def test_few_ranked_rows_do_not_move_the_texts(spark):
         assert sorted((r.query_id, r.pos, r.title, r.content, r.note) for r in cited.collect()) == [(1, 1, "s7", "text 7", ""), (2, 1, "s8", "text 8", "!")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_terms_of_different_chunks_are_counted_without_a_join(spark, monkeypatch):
+    """In place of a join and two counts, batches are looked up; repeated or missing ids take the join. Both give the same."""
+    from hybridkb.operators import lexical
+
+    texts = ["a b a-b b", "", None, "B c, a b a b", "x " * 3000 + "a b", "é É a", "c"]
+    phrases = spark.createDataFrame([(1, 0, "a", 1), (2, 0, "b", 1), (3, 0, "a", 2), (3, 1, "b", 2), (4, 0, "a", 3), (4, 1, "b", 3), (4, 2, "a", 3), (5, 0, "é", 1), (6, 0, "q", 1)], "phrase long, off int, term string, phrase_len int")
+    chunks = spark.createDataFrame([(i, "s" if i % 2 else None, t) for i, t in enumerate(texts)], "chunk_id long, layer string, content string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    found = lexical.phrase_counts(phrases, chunks, ("layer",))
+    assert "Join" not in plan(found) and "MapInArrow" in plan(found)
+    got = sorted(map(tuple, found.collect()), key=str)
+    assert (3, "s", 6, 3, 2) in got and (3, "s", 6, 4, 1) in got and (0, None, 5, 1, 2) in got and not [r for r in got if r[0] == 2]
+    monkeypatch.setattr(lexical, "TERMS", 3)
+    assert sorted(map(tuple, lexical.phrase_counts(phrases, chunks, ("layer",)).collect()), key=str) == got
+    monkeypatch.setattr(lexical, "size_hint", lambda *a: "shuffle_merge")
+    joined = lexical.phrase_counts(phrases, chunks, ("layer",))
+    assert "Join" in plan(joined) and sorted(map(tuple, joined.collect()), key=str) == got
+    monkeypatch.undo()
+    for odd in (chunks.unionByName(chunks), chunks.unionByName(chunks.where("chunk_id = 0").selectExpr("CAST(NULL AS BIGINT) AS chunk_id", "layer", "content"))):
+        assert "Join" in plan(lexical.phrase_counts(phrases, odd, ("layer",)))
+    assert lexical.phrase_counts(phrases, chunks.limit(0), ("layer",)).count() == 0
