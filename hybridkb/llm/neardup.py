@@ -5,19 +5,19 @@
 2. Classes that share a band key form a bucket. A bucket's hub is its most central class (whose buckets are
    largest); every other member is verified against the hub on the full sets. That is linear in the bucket.
 3. What the hub does not settle is settled exactly, without pairs of all members. Let c be the hub, D(x) the
-   symmetric difference of x and c, and J Jaccard similarity, whose complement is a metric. For a linked
-   pair x, y (J >= t) of which x is not linked to c:
-     * if both have J(., c) >= 1/2, then |D(x) & D(y)| > (|D(y)| + (1 - t) / (1 + t) * (|c| - |y|)) / 2, so a
-       prefix of D(y) under any fixed order meets D(x);
-     * else one has J < 1/2 with c, so the other has J < 1/2 + (1 - t), and the usual prefixes of the
-       sets themselves meet.
+   symmetric difference of x and c, t the threshold of Jaccard similarity J and k = (1 - t) / (1 + t). x and y differ
+   where D(x) and D(y) do, so they are linked if |D(x)| + |D(y)| - 2 |D(x) & D(y)| <= k (|x| + |y|). As x is not linked
+   to c, |D(x)| > k (|x| + |c|), and so |D(x) & D(y)| > (|D(y)| + k (|c| - |y|)) / 2 >= 0, however far both are from c:
+   a prefix of D(y) under any fixed order meets D(x). What stands before the first common token is in one of x and y
+   alone, no more than k (|x| + |y|) <= (1 - t) / t |x| tokens, so a prefix of D(x) is enough, too.
    Pairs that meet early enough (by the places of the token in both, and the sizes) are verified on the full sets. In
    D, tokens come in the order of how many members of the bucket have them, so copies that were edited at different
-   places do not meet, also where the hub was edited itself.
-   Where the hub leaves more than FEW members unlinked, the nearest of them is the hub of a family of its own, and so
-   on in rounds, as long as a hub links at least a sixteenth of what was left. Members of one family are connected
-   through its hub, so a token that only one family has is dropped before anything meets, and pairs of one family
-   are never made: a second family of any size costs one more comparison for each member.
+   places do not meet, also where the hub was edited itself, or where all of them lack a part of the hub. (In the sets
+   themselves an edit shows by what it adds alone; in D by what it takes away, too.)
+   Where the hub leaves more than FEW members unlinked, the nearest of them is a further hub, and so on in rounds, as
+   long as a hub links at least a sixteenth of what was left. All links to hubs, of all buckets together, give families
+   (components so far): a token that only one family has is dropped before anything meets, and pairs of one family are
+   never made, as they are connected already. A second family of any size costs one more comparison for each member.
 4. Links become components by contraction.
 
 Band keys find a pair of similarity 0.8 with a chance above 0.9999999 (32 bands of 4 values).
@@ -181,47 +181,31 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int, settle: bool) -> DataFrame:
-    """c, x, linked for pairs of set identities; with ``settle``, also the tokens that step 3 joins on."""
+    """c, x, linked for pairs of set identities; with ``settle``, also the sizes and differences (D) of step 3."""
     left = sets.select(F.col("sid").alias("x"), F.col("elements").alias("ex"))
     right = sets.select(F.col("sid").alias("c"), F.col("elements").alias("ec"))
     # A hub's set goes once to each thousand of its members.
     counts = pairs.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     right = write_out(right.hint("shuffle_merge").join(counts, "c"), "hub-sets")
     both = spread_join(pairs.hint("shuffle_merge").join(left, "x"), right, ["c"], ["x"]).select("c", "x", "ec", "ex")
-    lists = ["near", "far_index", "far_probe"]
-    schema = "c binary, x binary, linked boolean" + ", hub_size bigint, size bigint, differ bigint" * settle + "".join(f", {n} array<bigint>" for n in lists if settle)
+    schema = "c binary, x binary, linked boolean" + ", hub_size bigint, size bigint, differ bigint, tokens array<bigint>" * settle
     t, none = percent, np.zeros(0, np.int64)
 
-    def tokens(c: np.ndarray, x: np.ndarray, inter: int) -> list[np.ndarray]:
-        union = len(c) + len(x) - inter
-        added = np.setdiff1d(x, c, assume_unique=True)
-        out = [none] * 3
-        if 2 * inter >= union:
-            out[0] = np.concatenate([added, np.setdiff1d(c, x, assume_unique=True)]).view(np.int64)
-        if 100 * inter < (150 - t) * union:
-            prefix = len(x) - -(-t * len(x) // 100) + 1
-            own = np.concatenate([added, np.intersect1d(x, c, assume_unique=True)])[:prefix].view(np.int64)
-            out[1] = own
-            if 2 * inter < union:
-                out[2] = own
-        return out
-
     def verify(batches):
         for batch in tidy(batches):
-            linked, sizes, extra = [], [], [[] for _ in lists]
+            linked, sizes, tokens = [], [], [none]
             for ec, ex in zip(batch.column(2), batch.column(3), strict=True):
                 c, x = np.frombuffer(ec.as_buffer(), np.uint64), np.frombuffer(ex.as_buffer(), np.uint64)
                 inter = len(np.intersect1d(c, x, assume_unique=True))
                 linked.append(100 * inter >= t * (len(c) + len(x) - inter))
                 if settle:
                     sizes.append((len(c), len(x), len(c) + len(x) - 2 * inter))
-                    for column, values in zip(extra, tokens(c, x, inter), strict=True):
-                        column.append(values)
+                    tokens.append(np.setxor1d(x, c, assume_unique=True).view(np.int64))
             cols = [batch.column(0), batch.column(1), pa.array(linked, type=pa.bool_())]
             if settle:
                 cols += [pa.array([v[i] for v in sizes], type=pa.int64()) for i in range(3)]
-                cols += [list_column(np.concatenate([none, *v]), np.array([len(x) for x in v], dtype=np.int64), pa.int64()) for v in extra]
-            yield pa.RecordBatch.from_arrays(cols, names=["c", "x", "linked"] + (["hub_size", "size", "differ"] + lists) * settle)
+                cols.append(list_column(np.concatenate(tokens), np.array([len(x) for x in tokens[1:]], dtype=np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays(cols, names=["c", "x", "linked"] + ["hub_size", "size", "differ", "tokens"] * settle)
 
     return both.mapInArrow(verify, schema)
 
@@ -242,85 +226,66 @@ def near_duplicate_links(documents: DataFrame, signed: DataFrame, k: int, percen
     wanted = write_out(signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).hint("shuffle_merge").join(involved, "sid"), "wanted")
     sets = write_out(_sets_of(documents, wanted, k), "sets")
     star = write_out(_compare(pairs, sets, percent, settle=True), "star")
-    families, linked = _families(star, sets, percent)
-    rest = _meetings(star, families, percent).hint("shuffle_merge").join(pairs, ["c", "x"], "left_anti")
+    judged = _families(star, sets, percent)
+    linked = [_linked(t) for t in [star, *judged]]
+    roots = write_out(connected_components(reduce(DataFrame.unionByName, linked)), "roots")
+    rest = _meetings(star, roots, percent).hint("shuffle_merge").join(pairs, ["c", "x"], "left_anti")
     rest = write_out(rest, "rest")
-    found = [t.where("linked").select(F.col("c").alias("a"), F.col("x").alias("b")) for t in [star, *linked, _compare(rest, sets, percent, settle=False)]]
-    links = write_out(reduce(DataFrame.unionByName, found), "found")
-    discard(members, wanted, sets, rest, star, pairs, *linked)
+    found = _linked(_compare(rest, sets, percent, settle=False))
+    links = write_out(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), "found")
+    discard(members, wanted, sets, rest, star, pairs, roots, *judged)
     return links
 
 
-def _families(star: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(c, x, family) of the members of hub c that are not linked to it but to another hub, and the tables of
-    comparisons with those hubs."""
+def _linked(compared: DataFrame) -> DataFrame:
+    """a, b of the compared pairs that are linked."""
+    return compared.where("linked").select(F.col("c").alias("a"), F.col("x").alias("b"))
+
+
+def _families(star: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+    """Tables of comparisons (c, x, linked) of members that their bucket's hub leaves unlinked with further hubs."""
     open_ = star.where("NOT linked").select("c", "x", "differ")
-    families, linked, first = None, [], True
+    judged = []
     while True:
         hubs = open_.groupBy("c").agg(F.min(F.struct("differ", "x")).alias("best"), F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW)
         hubs = write_out(hubs.select("c", F.col("best.x").alias("hub"), "n"), "hubs")
-        if not first:
-            families = write_out(families, "families")
         if hubs.isEmpty():
-            break
+            return judged
         asked = write_out(spread_join(open_, hubs, ["c"], ["x"]), "asked")
-        judged = _compare(asked.where("x <> hub").select(F.col("hub").alias("c"), "x").distinct(), sets, percent, settle=False)
-        linked.append(write_out(judged, "judged"))
-        yes = linked[-1].where("linked").select(F.col("c").alias("hub"), "x", F.lit(True).alias("found"))
+        compared = _compare(asked.where("x <> hub").select(F.col("hub").alias("c"), "x").distinct(), sets, percent, settle=False)
+        judged.append(write_out(compared, "judged"))
+        yes = judged[-1].where("linked").select(F.col("c").alias("hub"), "x", F.lit(True).alias("found"))
         met = write_out(asked.hint("shuffle_merge").join(yes, ["hub", "x"], "left").withColumn("found", F.coalesce("found", F.col("x") == F.col("hub"))), "met")
-        mine = met.where("found").select("c", "x", F.col("hub").alias("family"))
-        families = mine if families is None else families.unionByName(mine)
         # A hub that links next to nothing ends its bucket's rounds: it is no family, and its rows share few tokens.
         share = met.groupBy("c").agg(F.count_if("found").alias("m"), F.count(F.lit(1)).alias("n")).where("16 * m >= n").select("c", "n")
         open_ = spread_join(met.where("NOT found").select("c", "x", "differ"), write_out(share, "share"), ["c"], ["x"])
         open_ = write_out(open_, "open")
-        first = False
-    return families if families is not None else star.limit(0).select("c", "x", F.col("x").alias("family")), linked
-
-
-def _meetings(star: DataFrame, families: DataFrame, p: int) -> DataFrame:
-    """c, x: pairs of members of one hub and of different families that may be linked, although one of them is not
-    linked to the hub."""
-    known = star.hint("shuffle_merge").join(families, ["c", "x"], "left")
-    known = write_out(known.withColumn("family", F.xxhash64(F.when(F.col("linked"), F.col("c")).otherwise(F.coalesce("family", "x")))), "known")
-    # If a token is the first that two members share, no more than what is left behind it can be common; a link needs so much.
-    pair = lambda probe, index, able: (
-        probe.hint("shuffle_merge").join(index, ["c", "token"]).where(f"a.family <> b.family AND a.x <> b.x AND {able}").select(F.least("a.x", "b.x").alias("c"), F.greatest("a.x", "b.x").alias("x"))
-    )
-    return _near_meetings(known, pair, p).unionByName(_far_meetings(known, pair, p)).distinct()
-
 
-def _shared_tokens(every: DataFrame) -> DataFrame:
-    """c, token, n: tokens that members of several families have, and how many members have them."""
-    shared = every.groupBy("c", "token").agg(F.min("family").alias("least"), F.max("family").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
-    return write_out(shared.select("c", "token", "n"), "tokens")
 
-
-def _near_meetings(known: DataFrame, pair, p: int) -> DataFrame:
-    """Pairs that share a token early enough in their differences from the hub. Tokens are ordered by how many members
-    have them, those of a single family first, which meet nobody and only count. So what all members differ in, as
-    the hub itself was edited, stands last, and copies that were edited at different places do not meet."""
-    full = known.where(F.size("near") > 0).select("c", "x", "hub_size", "size", "differ", "linked", "family", F.explode("near").alias("token"))
-    shared = _shared_tokens(full)
-    rows = spread_join(full, shared.withColumn("often", F.col("n")), ["c", "token"], ["x"])
+def _meetings(star: DataFrame, roots: DataFrame, p: int) -> DataFrame:
+    """c, x: pairs of members of one hub and of different families (components so far) that may be linked, although one
+    of them is not linked to the hub: those that share a token early enough in their differences from the hub. Tokens
+    are ordered by how many members have them, those of a single family first, which meet nobody and only count. So what
+    all members differ in stands last, and copies that were edited at different places do not meet."""
+    known = star.hint("shuffle_merge").join(roots.withColumnRenamed("node", "x"), "x", "left")
+    known = write_out(known.withColumn("family", F.coalesce("root", "x")).drop("root"), "known")
     about = ["c", "x", "hub_size", "size", "differ", "linked", "family"]
+    full = known.select(*about, F.explode("tokens").alias("token"))
+    shared = full.groupBy("c", "token").agg(F.min("family").alias("least"), F.max("family").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
+    shared = write_out(shared.select("c", "token", "n"), "tokens")
+    rows = spread_join(full, shared.withColumn("often", F.col("n")), ["c", "token"], ["x"])
     lists = rows.groupBy(*about).agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("tokens"))
     placed = lists.select(*about, (F.col("differ") - F.size("tokens")).alias("first"), F.posexplode("tokens").alias("at", "t"))
-    placed = write_out(placed.select(*about, (F.col("first") + F.col("at")).alias("i"), F.col("t.token").alias("token")), "placed")
+    placed = placed.select(*about, (F.col("first") + F.col("at")).alias("i"), F.col("t.token").alias("token")).where(f"{p} * i <= {100 - p} * size")
+    placed = write_out(placed, "placed")
     need = f"({100 + p} * differ + {100 - p} * (hub_size - size)) div {2 * (100 + p)}"
     member = F.struct("x", "size", "differ", "family")
     probe = placed.where("NOT linked").select("c", "token", member.alias("a"), "i")
     index = placed.where(f"i < differ - {need}").select("c", "token", member.alias("b"), F.col("i").alias("j"))
-    return pair(probe, index, f"2 * {100 + p} * least(a.differ - i, b.differ - j) >= {100 + p} * (a.differ + b.differ) - {100 - p} * (a.size + b.size)")
-
-
-def _far_meetings(known: DataFrame, pair, p: int) -> DataFrame:
-    """Pairs that share a token early enough in the sets themselves, of which one is far from the hub."""
-    side = lambda name, at, list_: known.select("c", F.struct("x", "size", "differ", "family").alias(name), F.posexplode(list_).alias(at, "token"))
-    probe, index = side("a", "i", "far_probe"), side("b", "j", "far_index")
-    shared = _shared_tokens(probe.select("c", "token", "a.family").unionByName(index.select("c", "token", "b.family"))).drop("n")
-    probe, index = (t.hint("shuffle_merge").join(shared, ["c", "token"], "left_semi") for t in (probe, index))
-    return pair(probe, index, f"{100 + p} * least(a.size - i, b.size - j) >= {p} * (a.size + b.size)")
+    # If a token is the first that two members share, no more than what is left behind it can be common; a link needs so much.
+    able = f"2 * {100 + p} * least(a.differ - i, b.differ - j) >= {100 + p} * (a.differ + b.differ) - {100 - p} * (a.size + b.size)"
+    met = probe.hint("shuffle_merge").join(index, ["c", "token"]).where(f"a.family <> b.family AND a.x <> b.x AND {able}")
+    return met.select(F.least("a.x", "b.x").alias("c"), F.greatest("a.x", "b.x").alias("x")).distinct()
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -89,6 +89,31 @@ def test_a_second_family_near_the_hub_makes_no_pairs_of_its_members(spark, monke
     assert counts["rest"] <= (4 * len(rows) if n_families == 2 else m * m + 4 * len(rows)), counts
 
 
+def test_parts_of_one_text_far_from_their_hub_make_no_pairs(spark, monkeypatch):
+    """Edited copies of a text, and of its first half: the halves are far from the buckets' hubs and share most of
+    their shingles, but few pairs are linked. Pairs that are compared grow no faster than the rows."""
+    counts = {}
+    plain = neardup.write_out
+
+    def counted(df, name):
+        out = plain(df, name)
+        counts[name] = counts.get(name, 0) + (out.count() if name == "rest" else 0)
+        return out
+
+    monkeypatch.setattr(neardup, "write_out", counted)
+    rnd = random.Random(7)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(160):
+        w = list(base[: 150 if i < 40 else 70])
+        for p in rnd.sample(range(len(w)), 1 if i < 40 else rnd.randint(1, 3)):
+            w[p] = f"e{i}_{p}"
+        rows.append((i, " ".join(w)))
+    rows += [(200, " ".join(base)), (201, " ".join(base[:70]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == brute(rows, 5, 80)
+    assert counts["rest"] <= 2 * len(rows), counts
+
+
 def test_odd_rows(odd_documents, no_documents):
     rows = near_duplicates(odd_documents).collect()
     assert len(rows) == odd_documents.count()
