@@ -87,8 +87,15 @@ def give_back() -> None:
         trim(0)
 
 
+#: What a worker keeps between tasks of one operator; the next operator's tasks, which may run in the same worker, drop it.
+WORKER_CACHES: list[dict] = []
+
+
 def tidy(batches):
     """The batches, with freed memory given back before each and behind the last."""
+    for cache in WORKER_CACHES:
+        cache.clear()
+    give_back()
     for batch in batches:
         yield batch
         del batch

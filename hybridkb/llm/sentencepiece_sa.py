@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from hybridkb.llm.common import give_back, list_column, mix64, field_hash, slices_by_bytes, field_span, text_buffers
+from hybridkb.llm.common import WORKER_CACHES, give_back, list_column, mix64, field_hash, slices_by_bytes, field_span, text_buffers
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SLAB = 1 << 20
@@ -411,6 +411,7 @@ def _unit_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 _encoders: dict[str, Encoder] = {}
+WORKER_CACHES.append(_encoders)
 
 
 def _worker_encoder(digest: str, shared) -> Encoder:

@@ -47,3 +47,12 @@ def test_odd_rows(odd_documents, no_documents):
     assert coded.count() == odd_documents.count() and set(coded.columns) == set(odd_documents.columns)
     assert all(r.ids == [] for r in coded.where("text IS NULL OR text = ''").collect())
     assert encode_documents(no_documents).count() == 0
+
+
+def test_another_operator_frees_the_workers_encoder():
+    from hybridkb.llm import sentencepiece_sa
+    from hybridkb.llm.common import tidy
+
+    sentencepiece_sa._encoders["x"] = object()
+    assert list(tidy([1, 2])) == [1, 2]
+    assert not sentencepiece_sa._encoders
